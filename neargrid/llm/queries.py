@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_counts, token_output
+from . import exact_dedup, packing, tiling, token_counts, token_output
 from .common import read_documents
 
 
@@ -14,10 +14,18 @@ def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_ids(read_documents(spark, sf_dir))
 
 
+def op4_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.group_texts(read_documents(spark, sf_dir)).drop("n_chars")
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir))
 
 
+def op9_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tiling.leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir))
 
@@ -26,5 +34,19 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
 
+OP4_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, coalesce(text, '') AS text, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS content
+    FROM documents
+), ranked AS (
+    SELECT doc_id, content,
+           first_value(doc_id) OVER (PARTITION BY content ORDER BY length(text) DESC, doc_id) AS keep_id,
+           count(*) OVER (PARTITION BY content) AS group_size
+    FROM cut
+)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS text_sha256 FROM ranked
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_grace_exact_dedup": OP4_SQL}
