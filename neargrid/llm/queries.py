@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, tiling, token_counts, token_output
+from . import exact_dedup, order_minhash, packing, tiling, token_counts, token_output
 from .common import read_documents
 
 
@@ -14,6 +14,10 @@ def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_ids(read_documents(spark, sf_dir))
 
 
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.near_duplicates(read_documents(spark, sf_dir))
+
+
 def op4_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(read_documents(spark, sf_dir)).drop("n_chars")
 
