@@ -49,6 +49,16 @@ def safe_cuts(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
+_KEPT: dict[tuple[str, bool], PieceEncoder] = {}
+
+
+def worker_encoder(name: str, ids: bool = True) -> PieceEncoder:
+    """The encoder of this Python worker, which Spark uses for one task after another: its cache stays warm."""
+    if (name, ids) not in _KEPT:
+        _KEPT[name, ids] = PieceEncoder(name, ids)
+    return _KEPT[name, ids]
+
+
 class PieceEncoder:
     """Ids of whole texts, piece by piece. With ids=False only their numbers are kept.
 

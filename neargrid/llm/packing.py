@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import ragged, small_batches, stage
-from .encoding import PieceEncoder
+from .encoding import worker_encoder
 
 CAPACITY = 2048
 SEPARATOR = 0
@@ -155,7 +155,7 @@ def pieces_of(docs: DataFrame, vocabulary: str, capacity: int) -> DataFrame:
     def run(batches):
         from pyspark import TaskContext
 
-        encoder, task = PieceEncoder(vocabulary), TaskContext.get().partitionId()
+        encoder, task = worker_encoder(vocabulary), TaskContext.get().partitionId()
         ranks = np.zeros(capacity + 1, dtype=np.int64)
         for batch in batches:
             ids, lengths = encoder.encode(batch.column(1))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, order_minhash, packing, tiling, token_counts, token_output
+from . import exact_dedup, order_minhash, packing, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -22,6 +22,10 @@ def op4_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(read_documents(spark, sf_dir)).drop("n_chars")
 
 
+def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.held_out_scores(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_documents(spark, sf_dir))
 

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import small_batches
-from .encoding import PieceEncoder, safe_cuts
+from .encoding import worker_encoder, safe_cuts
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
@@ -53,7 +53,7 @@ def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit:
     small_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = PieceEncoder(vocabulary, ids=False)
+        encoder = worker_encoder(vocabulary, ids=False)
         for batch in batches:
             texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
             counts = np.zeros(len(texts), dtype=np.int64)

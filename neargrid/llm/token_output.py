@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import ragged, shared_dir, small_batches, stage
-from .encoding import PieceEncoder
+from .encoding import worker_encoder
 from .rans import Coder, frequencies
 
 END = 2
@@ -34,7 +34,7 @@ def encode_documents(docs: DataFrame, vocabulary: str = "byte_bpe_50k.json", end
     small_batches(docs.sparkSession)
 
     def run(batches):
-        encoder = PieceEncoder(vocabulary)
+        encoder = worker_encoder(vocabulary)
         for batch in batches:
             ids, lengths = encoder.encode(batch.column(1))
             bounds = ragged(lengths)

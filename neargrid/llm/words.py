@@ -17,9 +17,10 @@ _IS_WORD[[*range(48, 58), *range(65, 91), 95, *range(97, 123), *range(128, 256)]
 
 
 class Words:
-    """hashes: of all words; bounds: of the texts, in words; starts and ends: of the words, in bytes of `raw`."""
+    """hashes: of all words; bounds: of the texts, in words; starts and ends: of the words, in bytes of `raw`;
+    runs: with keep, hashes of any run of the lower-case bytes."""
 
-    def __init__(self, texts):
+    def __init__(self, texts, keep: bool = False):
         self.raw, self.offsets = utf8_runs(texts)
         data = np.frombuffer(self.raw, dtype=np.uint8)
         on = _IS_WORD[data]
@@ -38,7 +39,9 @@ class Words:
         wide = np.zeros_like(on)
         wide[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
         low[wide] += 32
-        self.hashes = RunHashes(low).of(self.starts, self.ends)
+        runs = RunHashes(low)
+        self.hashes = runs.of(self.starts, self.ends)
+        self.runs = runs if keep else None
         self.bounds = np.searchsorted(self.starts, self.offsets)
 
 
