@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python. Documents may hold 100 KB and more, so batches stay small.
-ARROW_ROWS = 1024
+ARROW_ROWS = 2048
 
 
 def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:

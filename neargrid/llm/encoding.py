@@ -164,9 +164,11 @@ class PieceEncoder:
         a, b = starts[first], ends[first]
         assert self._same(data, starts, ends - starts, a[of], (b - a)[of]), "two pieces share a hash"
         pieces = [raw[i:j] for i, j in zip(a.tolist(), b.tolist(), strict=True)]
-        if missing := [p for p in pieces if p not in self.index]:
+        codes = list(map(self.index.get, pieces))
+        if missing := [p for p, c in zip(pieces, codes, strict=True) if c is None]:
             self._add(missing)
-        at = np.fromiter(map(self.index.__getitem__, pieces), dtype=np.int64, count=len(pieces))[of]
+            codes = [self.index[p] if c is None else c for p, c in zip(pieces, codes, strict=True)]
+        at = np.array(codes, dtype=np.int64)[of]
         runs = at >> self.MARK_BITS
         self.hits[: self.runs] += np.bincount(runs, minlength=self.runs)
         return runs, at & ((1 << self.MARK_BITS) - 1), np.searchsorted(starts, offsets)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, order_minhash, packing, tiling, token_counts, token_output, toxicity
+from . import exact_dedup, order_minhash, packing, repeats, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -18,6 +18,10 @@ def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order_minhash.near_duplicates(read_documents(spark, sf_dir))
 
 
+def op3_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(read_documents(spark, sf_dir))
+
+
 def op4_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.group_texts(read_documents(spark, sf_dir)).drop("n_chars")
 

@@ -52,7 +52,7 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 class Coder:
     """Encoder and decoder of blocks over one frequency table (at most 65,536 ids)."""
 
-    def __init__(self, freqs: np.ndarray, lanes: int = 1024, every: int = 128):
+    def __init__(self, freqs: np.ndarray, lanes: int = 4096, every: int = 128):
         self.freq = freqs.astype(np.uint64)
         self.start = (np.cumsum(freqs) - freqs).astype(np.uint64)
         self.slots = np.repeat(np.arange(len(freqs), dtype=np.uint16), freqs)
