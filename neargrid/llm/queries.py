@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
+from . import exact_dedup, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -38,6 +38,10 @@ def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return surrogates.pseudonymize(read_documents(spark, sf_dir))
 
 
+def op8_maxent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent.score(read_documents(spark, sf_dir))
+
+
 def op9_greedy_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tiling.leaks(read_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 

@@ -174,4 +174,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, s
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents into which no item leaks."""
-    return docs.join(leaks(docs, benchmark, **options).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    bad = leaks(docs, benchmark, **options).select(F.col("doc_id").alias("__bad")).distinct()
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)
