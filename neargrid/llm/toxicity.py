@@ -165,10 +165,20 @@ def score(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLA
     vocabulary = choose_terms(examples, terms, least_z)
     counted = stage(term_counts(docs, vocabulary))
 
-    total = counted.count()
-    df = np.zeros(len(vocabulary))
-    for r in counted.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect():  # one row a term
-        df[r["t"]] = r["n"]
+    def frequencies(batches):
+        n, seen = 0, np.zeros(len(vocabulary) + 1, dtype=np.int64)
+        for batch in batches:
+            n += batch.num_rows
+            own = batch.column(0).flatten().to_numpy(zero_copy_only=False)
+            seen[:-1] += np.bincount(own, minlength=len(vocabulary))
+        seen[-1] = n
+        yield pa.RecordBatch.from_arrays([pa.array(range(len(seen)), pa.int32()), pa.array(seen)], names=["term", "n"])
+
+    # one row a term from each task; documents are counted as one more term
+    df = np.zeros(len(vocabulary) + 1)
+    for r in counted.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
+        df[r["term"]] = r["n"]
+    total, df = df[-1], df[:-1]
     idf = np.log((1 + total) / (1 + df)) + 1
 
     def vector(some: np.ndarray, counts: np.ndarray) -> np.ndarray:
