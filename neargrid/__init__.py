@@ -1,0 +1 @@
+"""Nearest-neighbour search analytics on Spark."""
