@@ -7,7 +7,7 @@ through Parquet.
 from __future__ import annotations
 
 import json
-from dataclasses import asdict, dataclass, field
+from dataclasses import dataclass, field
 from typing import Protocol
 
 import numpy as np
@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.metrics import metric as find
+from ..sources.staging import stage
 from .knn import knn, matrix, query_blocks, rerank, top_k
 
 
@@ -169,8 +170,8 @@ class GraphIndex:
             return pa.Table.from_arrays([table.column("shard"), table.column("block"), table.column("key"), table.column("vector").cast(pa.list_(pa.float32())), out], names=["shard", "block", "key", "vector", "neighbors"])
 
         placed = base.select(F.pmod("key", F.lit(self.shards)).cast("long").alias("shard"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("long").alias("block"), F.col("key").cast("long"), F.col("vector").cast("array<float>"))
-        graph = placed.groupBy("shard", "block").applyInArrow(build, GRAPH).persist()
-        graph.count()  # building is not billed to the first search
+        # written now, so building is not billed to the first search and survives lost executors
+        graph = stage(placed.groupBy("shard", "block").applyInArrow(build, GRAPH))
         self.graph = graph if self.graph is None else self.graph.unionByName(graph)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
@@ -200,6 +201,3 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
         index.add(rows)
         return index
     return GraphIndex(**meta, graph=rows.select("shard", "block", "key", "vector", "neighbors").withColumn("shard", F.col("shard").cast("long")))
-
-
-__all__ = ["FlatIndex", "GraphIndex", "SignLsh", "VectorIndex", "asdict", "load"]

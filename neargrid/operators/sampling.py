@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.staging import stage
+
 MULTIPLIER = 2654435761
 MODULUS = 4294967296
 
@@ -25,7 +27,7 @@ def global_rank(df: DataFrame, *order: Column | str, name: str = "perm") -> Data
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("__at", F.monotonically_increasing_id())
     ranged = ranged.withColumn("__part", F.shiftright("__at", 33)).withColumn("__nth", F.col("__at").bitwiseAND(F.lit((1 << 33) - 1)))
-    ranged = ranged.persist()  # sizes and places must be of one layout
+    ranged = stage(ranged)  # sizes and places must be of one layout, also when executors are lost
     sizes = ranged.groupBy("__part").agg(F.count("*").alias("__n"))
     before = sizes.withColumn("__before", F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).drop("__n")
     return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__at", "__nth", "__before")
