@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.staging import shared_dir, stage
+
+__all__ = ["RunHashes", "crc_mod", "gather_runs", "mix64", "ragged", "read_documents", "shared_dir", "small_batches", "stage", "utf8_runs"]
+
 #: Rows of one Arrow batch handed to Python. Documents may hold 100 KB and more, so batches stay small.
 ARROW_ROWS = 2048
 
@@ -17,30 +18,6 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
-
-    Only where that setting is absent (tests, a laptop) is it set, to a folder of this machine.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='neargrid-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/neargrid-{uuid.uuid4().hex}"
-
-
-def stage(df: DataFrame, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:
-    """Write a table to the shared folder and read it again: lineage ends, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = shared_dir(spark)
-    writer = df.write.option("compression", codec)
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    # the schema is given, so that no file has to be opened for it and empty tables read well
-    fields = [f for f in df.schema if f.name not in (partition_by or [])]
-    fields += [f for f in df.schema if f.name in (partition_by or [])]
-    return spark.read.schema(type(df.schema)(fields)).parquet(path)
-
-
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bound the Arrow batches by rows and by bytes: a batch of very long texts is cut earlier."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -60,21 +37,6 @@ def mix64(x: np.ndarray, seed: int = 0) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
-def string_hashes(words: list[str]) -> np.ndarray:
-    """64-bit xxhash of each word; equal words are hashed once."""
-    import xxhash
-
-    digest = xxhash.xxh3_64_intdigest
-    known: dict[str, int] = {}
-    out = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = digest(w.encode("utf-8", "surrogatepass"))
-        out.append(h)
-    return np.array(out, dtype=np.uint64)
-
-
 def ragged(values: list[int] | np.ndarray) -> np.ndarray:
     """Offsets (n + 1) of runs with the given lengths."""
     out = np.zeros(len(values) + 1, dtype=np.int64)

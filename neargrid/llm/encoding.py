@@ -23,7 +23,7 @@ _SPACE[[*range(0x09, 0x0E), 0x20, *range(0x1C, 0x20)]] = True
 #: A plain word and the marks behind it: letters are one pre-token, the marks another.
 _WORD = re.compile(rb"( (?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([.,;:!?]*)")
 #: Pieces held by one worker. When there are more, those met only once since the last sweep go.
-CACHE_PIECES = 500_000
+CACHE_PIECES = 900_000
 #: Plain words encoded in one call.
 JOINED = 256
 
