@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Folders that this driver has named; `clear` deletes them.
+_NAMED: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A new folder name below the shared folder that the cluster names in spark.checkpoint.dir.
 
@@ -17,7 +21,16 @@ def shared_dir(spark: SparkSession) -> str:
     if not base:
         base = f"file://{tempfile.mkdtemp(prefix='neargrid-')}"
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/neargrid-{uuid.uuid4().hex}"
+    _NAMED.append(f"{base.rstrip('/')}/neargrid-{uuid.uuid4().hex}")
+    return _NAMED[-1]
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all staged tables of this driver, once the results that read them have been written."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    while _NAMED:
+        path = jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+        path.getFileSystem(conf).delete(path, True)
 
 
 def stage(df: DataFrame, partition_by: list[str] | None = None, codec: str = "zstd") -> DataFrame:

@@ -213,3 +213,15 @@ def test_order_sample_and_places(spark):
     assert a == b and len(set(a)) == 20
     offsets = sampling.shard_offsets(spark.createDataFrame([(0, 3), (1, 0), (2, 4)], "shard bigint, rows bigint"))
     assert [(r.row, r.shard, r.local) for r in sampling.locate(base.where("row < 8"), offsets).orderBy("row").collect()] == [(0, 0, 0), (1, 0, 1), (2, 0, 2), (3, 2, 0), (4, 2, 1), (5, 2, 2), (6, 2, 3)]
+
+
+def test_staged_tables_are_deleted(spark):
+    import os
+
+    from neargrid.sources import staging
+
+    df = staging.stage(spark.range(10))
+    path = staging._NAMED[-1].removeprefix("file://")
+    assert df.count() == 10 and os.path.isdir(path)
+    staging.clear(spark)
+    assert not os.path.exists(path) and not staging._NAMED
