@@ -2,7 +2,7 @@
 
 Texts are UTF-8 bytes (null: empty), ordered by doc_id (null first), rows of one doc_id in the order they are stored.
 
-1. Documents are stored in chunks of some megabytes. In every window of LENGTH bytes the least hash of a run of GRAM bytes
+1. Documents are stored in chunks of some megabytes, each one compressed row, which is what later shuffles move. In every window of LENGTH bytes the least hash of a run of GRAM bytes
    is its anchor (winnowing), so equal windows have equal anchors at equal places, and one anchor stands for many windows.
 2. Each chunk sends its distinct anchor hashes, packed by buckets; a bucket returns those that occur twice or more.
 3. A chunk sends, for each repeated anchor, the bytes of all windows that it stands for. Of anchors with the same bytes
@@ -22,6 +22,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +37,8 @@ LEFT, RIGHT = 80, 104  # bytes kept on both sides of an anchor, rounded up to wo
 BUCKET_BYTES = 16 << 20
 
 CHUNKS = "chunk long, nth int, doc_id long, text binary"
+PACKED = "chunk long, n_bytes long, data binary"
+LEVEL = 6
 ITEM = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("low", "i1"), ("high", "i1"), ("bytes", "u1", (LEFT + RIGHT,))])
 NO_ID = -(1 << 63)
 
@@ -57,6 +60,25 @@ def chunked(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, CHUNKS)
 
 
+def packed_chunks(docs: DataFrame) -> DataFrame:
+    """One row for each chunk: its documents (doc_id, text) as one compressed Arrow stream."""
+
+    def run(batches):
+        squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
+        for chunk, table in _by_chunk(batches):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, (own := table.sort_by("nth").select(["doc_id", "text"])).schema) as out:
+                out.write_table(own)
+            size = sum(len(x) for x in own.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "n_bytes", "data"])
+
+    return chunked(docs).mapInArrow(run, PACKED)
+
+
+def unpacked(data: bytes) -> pa.Table:
+    return pa.ipc.open_stream(zstandard.decompress(data)).read_all()
+
+
 class Anchors:
     """Anchors of the texts of a chunk: places in the joined bytes, hashes, and the windows each stands for."""
 
@@ -126,11 +148,11 @@ def removed_spans(items: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return items["row"][out], (items["at"] + least)[out], (items["at"] + most + LENGTH)[out]
 
 
-def _packed(buckets: np.ndarray, n: int, values: np.ndarray, chunk: int) -> pa.RecordBatch:
+def _packed(buckets: np.ndarray, n: int, values: np.ndarray, chunk: int, squeeze=bytes) -> pa.RecordBatch:
     """Values in one binary row for each bucket."""
     order = np.argsort(buckets, kind="stable")
     cut = np.searchsorted(buckets[order], np.arange(n + 1))
-    rows = [(b, chunk, values[order[cut[b] : cut[b + 1]]].tobytes()) for b in np.flatnonzero(np.diff(cut)).tolist()]
+    rows = [(b, chunk, squeeze(values[order[cut[b] : cut[b + 1]]].tobytes())) for b in np.flatnonzero(np.diff(cut)).tolist()]
     columns = list(zip(*rows, strict=True)) if rows else [[], [], []]
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "data"])
 
@@ -165,20 +187,21 @@ def _spans(rows: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.RecordB
 
 def find_spans(chunks: DataFrame) -> DataFrame:
     """(chunk, spans) for all that is to be removed, in any number of rows a chunk."""
-    total = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, -(-total // BUCKET_BYTES))
 
-    def texts_of(table: pa.Table):
-        table = table.sort_by("nth")
+    def texts_of(data: bytes):
+        table = unpacked(data)
         return table, Anchors(table.column("text").to_pylist())
 
     def hashes(batches):
-        for chunk, table in _by_chunk(batches):
-            _, anchors = texts_of(table)
-            own, counts = np.unique(anchors.hashes, return_counts=True)
-            # a hash that occurs twice here is sent twice
-            own = np.concatenate([own, own[counts > 1]])
-            yield _packed((own % np.uint64(n)).astype(np.int64), n, own, chunk)
+        for batch in batches:
+            for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+                _, anchors = texts_of(data.as_py())
+                own, counts = np.unique(anchors.hashes, return_counts=True)
+                # a hash that occurs twice here is sent twice
+                own = np.concatenate([own, own[counts > 1]])
+                yield _packed((own % np.uint64(n)).astype(np.int64), n, own, chunk)
 
     def repeated(held):
         values = np.concatenate([np.frombuffer(d, "<u8") for _, d in held])
@@ -196,7 +219,7 @@ def find_spans(chunks: DataFrame) -> DataFrame:
 
     def send(key, left: pa.Table, right: pa.Table) -> pa.Table:
         chunk = key[0].as_py()
-        table, anchors = texts_of(left)
+        table, anchors = texts_of(left.column("data")[0].as_py())
         wanted = np.unique(np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("hashes").to_pylist())]))
         which = np.flatnonzero(np.isin(anchors.hashes, wanted))
         names = np.array([NO_ID if x is None else x for x in table.column("doc_id").to_pylist()], dtype=np.int64)
@@ -213,7 +236,7 @@ def find_spans(chunks: DataFrame) -> DataFrame:
             first.append(k not in seen)
             seen[k] = None
         first = np.array(first, dtype=bool)
-        packed = _packed((items["hash"][first] % np.uint64(n)).astype(np.int64), n, items[first], chunk)
+        packed = _packed((items["hash"][first] % np.uint64(n)).astype(np.int64), n, items[first], chunk, zstandard.ZstdCompressor(level=LEVEL).compress)
         rest = items[~first]
         spans = _spans(rest["row"], rest["at"] + rest["low"], rest["at"] + rest["high"] + LENGTH)
         out = pa.Table.from_arrays([packed.column(0), packed.column(1), packed.column(2), pa.nulls(packed.num_rows, pa.binary())], names=["bucket", "chunk", "data", "spans"])
@@ -221,7 +244,7 @@ def find_spans(chunks: DataFrame) -> DataFrame:
         return pa.concat_tables([out, own])
 
     def compare(held):
-        items = np.concatenate([np.frombuffer(d, ITEM) for _, d in held])
+        items = np.concatenate([np.frombuffer(zstandard.decompress(d), ITEM) for _, d in held])
         yield _spans(*removed_spans(items))
 
     sent = _together(chunks.mapInArrow(hashes, "bucket long, chunk long, data binary"), repeated, "chunk long, hashes binary")
@@ -258,12 +281,12 @@ def union(spans: np.ndarray) -> np.ndarray:
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, what is left of each text (binary)."""
-    chunks = stage(chunked(docs))
+    chunks = stage(packed_chunks(docs), codec="uncompressed")
     spans = find_spans(chunks)
     kept = "kept" if texts else "kept_sha256"
 
     def cut(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        left = left.sort_by("nth")
+        left = unpacked(left.column("data")[0].as_py())
         rows = np.concatenate([np.zeros((0, 3), "<i8"), *(np.frombuffer(x, "<i8").reshape(-1, 3) for x in right.column("spans").to_pylist())])
         rows = rows[np.argsort(rows[:, 0], kind="stable")]
         at = np.searchsorted(rows[:, 0], np.arange(left.num_rows + 1))
