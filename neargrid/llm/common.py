@@ -18,10 +18,10 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = 8 << 20) -> None:
     """Bound the Arrow batches by rows and by bytes: a batch of very long texts is cut earlier."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
 def crc_mod(column: str, modulus: int):

@@ -39,13 +39,15 @@ BUCKET_BYTES = 16 << 20
 CHUNKS = "chunk long, nth int, doc_id long, text binary"
 PACKED = "chunk long, n_bytes long, data binary"
 LEVEL = 6
+#: Text of a chunk; a worker holds some fifty times as much while it looks for anchors.
+CHUNK_BYTES = 4 << 20
 ITEM = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"), ("low", "i1"), ("high", "i1"), ("bytes", "u1", (LEFT + RIGHT,))])
 NO_ID = -(1 << 63)
 
 
-def chunked(docs: DataFrame) -> DataFrame:
-    """Documents in chunks: one Arrow batch each. A row's number in its chunk is nth."""
-    small_batches(docs.sparkSession)
+def chunked(docs: DataFrame, size: int = 8 << 20) -> DataFrame:
+    """Documents in chunks: one Arrow batch each, of about `size` bytes. A row's number in its chunk is nth."""
+    small_batches(docs.sparkSession, size=size)
 
     def run(batches):
         from pyspark import TaskContext
@@ -72,7 +74,7 @@ def packed_chunks(docs: DataFrame) -> DataFrame:
             size = sum(len(x) for x in own.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "n_bytes", "data"])
 
-    return chunked(docs).mapInArrow(run, PACKED)
+    return chunked(docs, CHUNK_BYTES).mapInArrow(run, PACKED)
 
 
 def unpacked(data: bytes) -> pa.Table:
