@@ -45,9 +45,9 @@ ITEM = np.dtype([("hash", "<u8"), ("doc", "<i8"), ("row", "<i8"), ("at", "<i8"),
 NO_ID = -(1 << 63)
 
 
-def chunked(docs: DataFrame, size: int = 8 << 20) -> DataFrame:
-    """Documents in chunks: one Arrow batch each, of about `size` bytes. A row's number in its chunk is nth."""
-    small_batches(docs.sparkSession, size=size)
+def chunked(docs: DataFrame) -> DataFrame:
+    """Documents in chunks: one Arrow batch each. A row's number in its chunk is nth."""
+    small_batches(docs.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
@@ -63,18 +63,27 @@ def chunked(docs: DataFrame, size: int = 8 << 20) -> DataFrame:
 
 
 def packed_chunks(docs: DataFrame) -> DataFrame:
-    """One row for each chunk: its documents (doc_id, text) as one compressed Arrow stream."""
+    """One row for each chunk: its documents (doc_id, text) as one compressed Arrow stream.
+
+    Done where documents are read, by one worker a core: another one behind it would hold memory of its own.
+    """
+    small_batches(docs.sparkSession, size=CHUNK_BYTES)
 
     def run(batches):
+        from pyspark import TaskContext
+
         squeeze = zstandard.ZstdCompressor(level=LEVEL).compress
-        for chunk, table in _by_chunk(batches):
+        chunk = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
+            own = pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.binary())], names=["doc_id", "text"])
             sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, (own := table.sort_by("nth").select(["doc_id", "text"])).schema) as out:
-                out.write_table(own)
-            size = sum(len(x) for x in own.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([size], pa.int64()), pa.array([squeeze(sink.getvalue().to_pybytes())], pa.binary())], names=["chunk", "n_bytes", "data"])
+            with pa.ipc.new_stream(sink, own.schema) as out:
+                out.write_batch(own)
+            yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([sum(map(len, texts))], pa.int64()), pa.array([squeeze(sink.getvalue())], pa.binary())], names=["chunk", "n_bytes", "data"])
+            chunk += 1
 
-    return chunked(docs, CHUNK_BYTES).mapInArrow(run, PACKED)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PACKED)
 
 
 def unpacked(data: bytes) -> pa.Table:
