@@ -12,7 +12,12 @@ insertions and deletions are allowed, which bounds the band that has to be searc
    is a few comparisons a member, with those that share most, and in every table with others. No group is gathered.
 3. Matches are joined into classes by large and small stars (Kiveris et al. 2014).
 4. Each bucket keeps one entry for each class, and steps 2 and 3 are repeated over what is left, until no match is new:
-   members that were apart from each other in the order become neighbours.
+   members that were apart from each other in the order become neighbours. These rounds join most of a large group with
+   a few comparisons a member.
+5. What they leave is compared in full: in each bucket that still holds more than one class, every two texts of different
+   classes, with all members of each class. Large buckets are dealt into blocks, and each two blocks are one group of rows:
+   common shingles are counted by matrix products, and only pairs that have enough of them are aligned. Two blocks of one
+   class are left out. So the classes are those of all pairs that share a bucket.
 
 Null counts as empty; all texts without words are one class. Rows with one doc_id twice must have equal texts to be one
 document; a null doc_id is left out, as it names no document. Empty tables give no rows.
@@ -36,6 +41,11 @@ TABLES = 12
 SAMPLE = 3
 #: Following entries of a bucket with which each is compared in a round.
 NEAR = 3
+#: Texts, and characters, of a block of a bucket that is compared in full.
+BLOCK = 256
+BLOCK_CHARS = 2 << 20
+#: Columns of one matrix product of common shingles.
+COLUMNS = 4096
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -153,6 +163,49 @@ def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
     return n - 2 * overlap(a, b) <= most and alignment(a, b, most) <= most
 
 
+def shared_shingles(rows: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Number of common elements of each row of `left` and each of `right`; rows hold no element twice."""
+    out = np.zeros((len(left), len(right)), dtype=np.float32)
+    _, code, n = np.unique(np.concatenate(rows), return_inverse=True, return_counts=True)
+    at = np.repeat(np.arange(len(rows)), [len(x) for x in rows])
+    column = np.cumsum(n > 1) - 1
+    at, code = at[n[code] > 1], column[code[n[code] > 1]]
+    order = np.argsort(code, kind="stable")
+    at, code = at[order], code[order]
+    edges = np.arange(0, (int(code[-1]) if len(code) else -1) + COLUMNS + 1, COLUMNS)
+    cut = np.searchsorted(code, edges)
+    for first, a, b in zip(edges[:-1], cut[:-1], cut[1:], strict=True):
+        x = np.zeros((len(rows), COLUMNS), dtype=np.float32)
+        x[at[a:b], code[a:b] - first] = 1
+        out += x[left] @ x[right].T
+    return out
+
+
+def links_between(texts: list[np.ndarray], names: list[int], left: np.ndarray, right: np.ndarray, similarity: float = SIMILARITY) -> list[tuple[int, int]]:
+    """Pairs of alike texts (one of left, one of right) that join all classes with alike members. names: their classes."""
+    common = shared_shingles([labelled(x) for x in texts], left, right)
+    sizes, names = np.array([len(x) for x in texts]), np.array(names)
+    total = sizes[left][:, None] + sizes[right][None, :]
+    most = (total * (1 - similarity) / (1 + similarity) + 1e-9).astype(np.int64)
+    maybe = (total - 2 * common <= most) & (names[left][:, None] != names[right][None, :])
+    top = {x: x for x in names.tolist()}
+
+    def find(x: int) -> int:
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        return x
+
+    out = []
+    for i, j in np.argwhere(maybe).tolist():
+        a, b = int(left[i]), int(right[j])
+        x, y = find(int(names[a])), find(int(names[b]))
+        if x != y and alignment(texts[a], texts[b], int(most[i, j])) <= most[i, j]:
+            top[max(x, y)] = min(x, y)
+            out.append((a, b))
+    return out
+
+
 # ---------------------------------------------------------------- Spark
 
 SKETCH = "doc_id long, digest binary, keys array<long>"
@@ -258,6 +311,40 @@ def classes(edges: DataFrame) -> DataFrame:
     return stage(stars.unionByName(stars.select(F.col("class").alias("node"), "class").distinct()))
 
 
+def compare_fully(entries: DataFrame, labels: DataFrame | None, texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Matches (a, b) that join all classes which share a bucket and have alike members.
+
+    Buckets of up to NEAR + 1 entries have been compared in full by `neighbours`. A class that fills more than a block has
+    blocks of its own; the others of its bucket are pooled. Nothing is numbered by a window: nodes are dealt by hash.
+    """
+    named = entries.select("key", "node")
+    named = named.withColumn("class", F.col("node")) if labels is None else named.join(labels, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
+    several = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where(f"n > {NEAR + 1} AND x <> y").select("key")
+    rest = stage(named.join(several, "key", "left_semi").join(texts.select("node", F.length("text").alias("chars")), "node"))
+    own = rest.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
+    own = stage(own.withColumn("home", F.expr(f"CASE WHEN n > {BLOCK} OR chars > {BLOCK_CHARS} THEN class END")))
+    blocks = own.groupBy("key", "home").agg(F.expr(f"greatest(ceil(sum(n) / {BLOCK}), ceil(sum(chars) / {BLOCK_CHARS}), 1)").alias("parts"))
+    blocks = stage(blocks)
+    placed = rest.join(own.select("key", "class", "home"), ["key", "class"]).alias("m").join(blocks.alias("b"), F.expr("m.key = b.key AND m.home <=> b.home"))
+    placed = placed.select(F.expr("struct(m.key, m.home, pmod(xxhash64(m.node), b.parts) AS part)").alias("block"), "m.node", "m.class")
+    placed = placed.join(texts, "node").select("block", "node", "class", "text")
+    each = blocks.select("key", "home", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")).select("key", F.struct("key", "home", "part").alias("block"))
+    both = each.select("key", F.col("block").alias("i")).join(each.select("key", F.col("block").alias("j")), "key").where("i <= j AND NOT (i.home IS NOT NULL AND i.home <=> j.home)").select("i", "j")
+    sides = both.select("i", "j", F.col("i").alias("block"), F.lit(0).alias("side")).unionByName(both.where("i < j").select("i", "j", F.col("j").alias("block"), F.lit(1).alias("side")))
+    groups = sides.join(placed, "block").select(F.to_json("i").alias("i"), F.to_json("j").alias("j"), "side", "node", "class", "text")
+
+    def run(table: pa.Table) -> pa.Table:
+        side, nodes = table.column("side").to_numpy(), table.column("node").to_pylist()
+        words = Words(table.column("text").combine_chunks())
+        own = [shingles(words.hashes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+        left = np.flatnonzero(side == 0)
+        right = np.flatnonzero(side == 1) if table.column("i")[0] != table.column("j")[0] else left
+        found = [sorted((nodes[x], nodes[y])) for x, y in links_between(own, table.column("class").to_pylist(), left, right, similarity)]
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return groups.groupBy("i", "j").applyInArrow(run, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id and class_id (the least doc_id of its class) for every document with an id."""
     rows = stage(sketches(docs))
@@ -285,6 +372,9 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
             break
         links = new if links is None else links.unionByName(new)
         labels = classes(links)
+    more = stage(compare_fully(entries, labels, texts, similarity))
+    if not more.isEmpty():
+        labels = classes(more if links is None else links.unionByName(more))
     out = rows.select("doc_id", "digest").join(reps.select("digest", "node"), "digest").select("doc_id", "node")
     if labels is None:
         return out.select("doc_id", F.col("node").alias("class_id"))

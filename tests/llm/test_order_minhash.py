@@ -79,3 +79,38 @@ def test_chains_of_edits(spark):
     rows.append((n, " ".join(reversed(rows[0][1].split()))))
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
     assert result(om.near_duplicates(df)) == brute(rows)
+
+
+def template_group(groups: int = 100, seed: int = 5):
+    """Texts that share a template (340 of 400 words) and are less than 0.8 alike; each has a copy with edits elsewhere that is
+    0.8 alike by a narrow margin, and ids say nothing of who belongs to whom."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(6))
+    template = [word() for _ in range(340)]
+    texts = []
+    for _ in range(groups):
+        text = template[:170] + [word() for _ in range(60)] + template[170:]
+        for c in range(2):
+            copy = [*text]
+            for k in range(4):
+                copy[10 + 95 * k + 12 * c] = word()
+            texts.append(" ".join(copy))
+    r.shuffle(texts)
+    return [*enumerate(texts)]
+
+
+def test_template_group_against_brute_force(spark):
+    rows = template_group()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = brute(rows)
+    assert len(set(want.values())) == 100
+    assert result(om.near_duplicates(df)) == want
+
+
+def test_all_members_stay_candidates():
+    # a, b, c are one class and d is alike to c only; e shares no more than a template with any of them
+    chain = [np.arange(k, k + 100, dtype=np.uint64) for k in (0, 8, 16, 24)] + [np.concatenate([np.arange(60), np.arange(500, 540)]).astype(np.uint64)]
+    at = np.arange(5)
+    assert om.links_between(chain, [0, 0, 0, 3, 4], at, at) == [(2, 3)]
+    common = om.shared_shingles(chain, at[:2], at[2:])
+    assert common.tolist() == [[84, 76, 60], [92, 84, 52]]
