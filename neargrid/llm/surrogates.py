@@ -8,7 +8,13 @@ stay hexadecimal, IPv4 addresses stay valid, telephone numbers keep their countr
 
 A surrogate is a function of a secret key, the type, the canonical value (lower case, digits only, ...) and an attempt, so
 one value is replaced alike everywhere, however it is written. Candidates that two values share, or that are the value of
-another entity, go to the next attempt, until all surrogates differ from each other and from every value found.
+another entity, go to the next attempt, until all surrogates differ from each other and from every value found. Every
+eighth attempt adds a character to secrets and e-mail addresses, and a syllable to names, so that short values cannot run
+out of surrogates; a secret without letters and digits becomes letters.
+
+Names are any number of words behind one title or more, with inner capitals, apostrophes, initials and particles. Each
+form of a name is a value of its own: `Mr Smith` and `Mr John Smith` get unrelated surrogates, and a name without a title
+is not found.
 
 1. Each text is scanned once; texts and the values found are stored.
 2. The distinct values get their surrogates: one aggregation, and one round for each attempt.
@@ -29,20 +35,27 @@ from .common import stage
 
 KEY = "neargrid-surrogates-1"
 # Titles by gender, and first names by gender and script.
-MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]
+MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Sir", "Lord", "Sr", "Signor"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Madam", "Lady", "Mme", "Mlle", "Señorita", "Sra", "Signora"]
+#: Titles of any gender.
+OTHER_TITLES = ["Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор"]
 FIRST_NAMES = {
     ("m", "latin"): ["Adam", "Bruno", "Carl", "David", "Erik", "Felix", "Georg", "Hugo", "Ivan", "Jonas", "Leon", "Martin", "Oscar", "Paul", "Simon", "Victor"],
     ("f", "latin"): ["Alice", "Bella", "Clara", "Diana", "Emma", "Flora", "Greta", "Helena", "Ida", "Julia", "Laura", "Maria", "Nora", "Olivia", "Sofia", "Vera"],
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Кирилл", "Максим", "Олег", "Павел"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Юлия"],
 }
+FIRST_NAMES |= {("n", script): FIRST_NAMES["m", script] + FIRST_NAMES["f", script] for script in ("latin", "cyrillic")}
 SYLLABLES = {
     "latin": ["ba", "bel", "cor", "da", "den", "fal", "gar", "hol", "jan", "kel", "lan", "mar", "nor", "pel", "ran", "sol", "tam", "ver", "win", "zan"],
     "cyrillic": ["ба", "вел", "гор", "да", "жен", "зар", "кол", "лан", "мар", "нов", "пет", "рад", "сол", "тим", "фед", "чер"],
 }
 
-_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES)
+_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+_TITLED = rf"(?:(?:{_TITLES})\.? ){{1,5}}"
+# a capital, and what follows in the word: an apostrophe only ahead of another capital (O'Brien, not Smith's)
+_WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})){0,40}+)"
+_PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|zu) ){0,3}"
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SECRET_NAMES = "password|passwd|pwd|secret|token|api_key|apikey"
 PATTERNS = {
@@ -54,7 +67,7 @@ PATTERNS = {
     "card": r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{2,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
-    "name": rf"(?<![\p{{L}}])(?:{_TITLES})\.? \p{{Lu}}\p{{Ll}}++(?:[ -]\p{{Lu}}\p{{Ll}}++)?",
+    "name": rf"(?<![\p{{L}}]){_TITLED}{_PARTICLES}{_WORD}(?:[ -]{_PARTICLES}{_WORD}){{0,20}}+",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds nothing to be found; most texts are passed over by this alone.
@@ -83,8 +96,9 @@ CANONICAL = rf"""CASE kind
     WHEN 'card' THEN regexp_replace(value, '[^0-9]', '')
     WHEN 'ssn' THEN regexp_replace(value, '[^0-9]', '')
     WHEN 'iban' THEN replace(value, ' ', '')
-    WHEN 'name' THEN concat(CASE WHEN value RLIKE {_literal("^(?:" + "|".join(MALE_TITLES) + ")[. ]")} THEN 'm' ELSE 'f' END, ' ',
-                            lower(regexp_replace(value, {_literal("^(?:" + _TITLES + ")[.]? ")}, '')))
+    WHEN 'name' THEN concat(CASE WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(MALE_TITLES) + ")[. ]")} THEN 'm'
+                            WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(FEMALE_TITLES) + ")[. ]")} THEN 'f' ELSE 'n' END, ' ',
+                            lower(regexp_replace(value, {_literal("^" + _TITLED)}, '')))
     ELSE value END"""
 
 _BYTE = "cast(conv(substr(h, 2 * (i % 64) + 1, 2), 16, 10) AS int)"
@@ -96,20 +110,27 @@ _CHARS = rf"""array_join(transform(split(part, ''), (c, i) -> CASE
     WHEN c RLIKE '[а-я]' THEN substr('абвгдежзиклмнопрстуфхцчшэюя', 1 + {_BYTE} % 27, 1)
     WHEN c RLIKE '[\\p{{Ll}}]' THEN char(97 + {_BYTE} % 26)
     WHEN c RLIKE '[\\p{{Lu}}]' THEN char(65 + {_BYTE} % 26)
+    WHEN c RLIKE '[\\p{{N}}]' THEN cast({_BYTE} % 10 AS string)
+    WHEN c RLIKE '[\\p{{L}}]' OR bare THEN char(97 + {_BYTE} % 26)
     ELSE c END), '')"""
 
 
+#: Attempts after which surrogates grow.
+WIDEN = 8
+
+
 def _last_name(script: str) -> str:
     words = _list(SYLLABLES[script])
     n = len(SYLLABLES[script])
-    return "concat(" + ", ".join(f"element_at({words}, 1 + cast(conv(substr(h, {9 + 4 * j}, 4), 16, 10) AS int) % {n})" for j in range(4)) + ")"
+    return f"array_join(transform(sequence(0, 3 + least(attempt div {WIDEN}, 24)), j -> element_at({words}, 1 + cast(conv(substr(h, 9 + 4 * j, 4), 16, 10) AS int) % {n})), '')"
 
 
 def _name() -> str:
     def full(gender: str, script: str) -> str:
         first = FIRST_NAMES[gender, script]
-        one = f"lower(element_at({_list(first)}, 1 + cast(conv(substr(h, 1, 4), 16, 10) AS int) % {len(first)}))"
-        return f"concat('{gender} ', CASE WHEN substr(canonical, 3) RLIKE '[ -]' THEN concat({one}, CASE WHEN canonical RLIKE '-' THEN '-' ELSE ' ' END) ELSE '' END, {_last_name(script)})"
+        one = f"lower(element_at({_list(first)}, 1 + cast(conv(substr(h, CASE WHEN i = 0 THEN 1 ELSE 65 + 4 * (i % 15) END, 4), 16, 10) AS int) % {len(first)}))"
+        # all words but the last, each with the mark behind it
+        return f"concat('{gender} ', array_join(transform(regexp_extract_all(substr(canonical, 3), '[^ -]+[ -]', 0), (w, i) -> concat({one}, right(w, 1))), ''), {_last_name(script)})"
 
     cases = " ".join(f"WHEN canonical RLIKE '^{g}' AND {'' if s == 'cyrillic' else 'NOT '}canonical RLIKE '[а-я]' THEN {full(g, s)}" for g, s in FIRST_NAMES)
     return f"CASE {cases} END"
@@ -124,7 +145,9 @@ def candidates(values: DataFrame, key: str) -> DataFrame:
     parts = parts.withColumn("tail", F.expr("CASE kind WHEN 'email' THEN length(substring_index(canonical, '.', -1)) ELSE 0 END"))
     parts = parts.withColumn("part", F.expr("substr(canonical, head + 1, length(canonical) - head - tail)"))
     parts = parts.withColumn("hexadecimal", F.expr("kind = 'secret' AND canonical RLIKE '^[0-9a-f]+$'"))
-    made = F.expr(f"CASE kind WHEN 'ip' THEN concat_ws('.', {octets}) WHEN 'name' THEN {_name()} ELSE concat(substr(canonical, 1, head), {_CHARS}, right(canonical, tail)) END")
+    parts = parts.withColumn("bare", F.expr(f"kind = 'secret' AND NOT canonical RLIKE {_literal('[\\p{L}\\p{N}]')}"))
+    wider = f"CASE WHEN kind IN ('email', 'secret') THEN substr(h, 101, least(attempt div {WIDEN}, 24)) ELSE '' END"
+    made = F.expr(f"CASE kind WHEN 'ip' THEN concat_ws('.', {octets}) WHEN 'name' THEN {_name()} ELSE concat({wider}, substr(canonical, 1, head), {_CHARS}, right(canonical, tail)) END")
     return parts.select("kind", "canonical", "attempt", made.alias("surrogate"))
 
 
@@ -155,10 +178,11 @@ WRITTEN = r"""CASE
              THEN substr(surrogate, length(surrogate) - length(regexp_replace(substr(value, i + 2), '[^0-9]', '')), 1) ELSE c END), '')
     WHEN kind = 'iban' THEN array_join(transform(split(value, ''), (c, i) ->
         CASE WHEN c = ' ' THEN c ELSE substr(surrogate, i + 1 - (length(substr(value, 1, i)) - length(replace(substr(value, 1, i), ' ', ''))), 1) END), '')
-    WHEN kind = 'email' THEN array_join(transform(split(value, ''), (c, i) ->
-        CASE WHEN c RLIKE '[A-Z]' THEN upper(substr(surrogate, i + 1, 1)) ELSE substr(surrogate, i + 1, 1) END), '')
+    WHEN kind = 'email' THEN concat(substr(surrogate, 1, length(surrogate) - length(value)), array_join(transform(split(value, ''), (c, i) ->
+        CASE WHEN c RLIKE '[A-Z]' THEN upper(substr(surrogate, length(surrogate) - length(value) + i + 1, 1))
+             ELSE substr(surrogate, length(surrogate) - length(value) + i + 1, 1) END), ''))
     WHEN kind = 'name' THEN concat(regexp_extract(value, TITLE, 0), array_join(transform(split(substr(surrogate, 3), '-'), w -> initcap(w)), '-'))
-    ELSE surrogate END""".replace("TITLE", _literal("^(?:" + _TITLES + ")[.]? "))
+    ELSE surrogate END""".replace("TITLE", _literal("^" + _TITLED))
 
 
 def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:

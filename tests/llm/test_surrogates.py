@@ -62,3 +62,26 @@ def test_query_and_edges(spark):
     kept = surrogates.pseudonymize(edge(spark)).collect()
     assert sorted((r.text or "") for r in kept) == sorted((t or "") for _, t in EDGE)
     assert surrogates.pseudonymize(none(spark)).collect() == []
+
+
+def test_values_without_letters_or_room_end(spark):
+    rows = [(1, "password=****** x"), (2, "password=密码密码 x"), (3, "---@--.-- x")]
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert re.fullmatch(r"password=[a-z]{6} x", got[1].text) and re.fullmatch(r"password=[a-z]{4} x", got[2].text)
+    assert got[3].n_values == 1 and re.fullmatch(r"[0-9a-f]+---@--\.-- x", got[3].text)
+    # all secrets of one digit and one mark are values
+    values = spark.createDataFrame([("secret", f"-{i}-") for i in range(10)], "kind string, canonical string")
+    made = {r.surrogate for r in surrogates.surrogates(values).collect()}
+    assert len(made) == 10 and not made & {f"-{i}-" for i in range(10)}
+
+
+def test_whole_names(spark):
+    names = ["Mr John Peter Smith", "Mr McDonald", "Mr O'Brien", "Dr Smith", "Prof. Dr. Anna-Lena Meyer", "Herr Ludwig van Beethoven", "Mrs J. K. Rowling", "Señora María José Núñez"]
+    df = spark.createDataFrame([(i, f"Yes, {n}'s dog and {n}.") for i, n in enumerate(names)], "doc_id long, text string")
+    got = by_id(surrogates.pseudonymize(df))
+    for i, n in enumerate(names):
+        title = re.match(r"(?:(?:Mr|Dr|Prof|Herr|Mrs|Señora)\.? )+", n)[0]
+        m = re.fullmatch(rf"Yes, {re.escape(title)}(.+)'s dog and {re.escape(title)}(.+)\.", got[i].text)
+        assert m and m[1] == m[2] and got[i].n_values == 2, got[i].text
+        old, new = (re.split("[ -]", x) for x in (n[len(title):], m[1]))
+        assert len(new) == len(old) and not {"John", "Peter", "Smith", "McDonald", "Donald", "O'Brien", "Brien", "Meyer", "Beethoven", "Rowling", "Núñez"} & set(new)
