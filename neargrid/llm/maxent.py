@@ -13,7 +13,7 @@ model gives each token log P(class | before) + log P(token | class, before):
 
 Both factors sum to one over the vocabulary and one unknown word for each class, so P is a distribution.
 
-1. Documents are stored in chunks. Each chunk sends its distinct words with their counts, packed by buckets; buckets add
+1. Documents are stored in chunks, one row each, so that no file split cuts a chunk in two. Each chunk sends its distinct words with their counts, packed by buckets; buckets add
    them up (over all training documents), and return to each chunk the counts of its words in the order it sent them.
 2. The driver gets the `HEAD` most frequent words and sums for each class: both have fixed sizes.
 3. Weights are trained where chunks are read; one block of features after another is averaged.
@@ -33,7 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import RunHashes, mix64, ragged, stage
-from .repeats import BUCKET_BYTES, _by_chunk, chunked
+from .repeats import BUCKET_BYTES, unpacked
+from .repeats import packed_chunks as chunked
 
 HEAD = 1 << 14
 #: Rank at which each frequency bin of the head ends.
@@ -59,11 +60,19 @@ def held_out(doc_id) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 10 == 0
 
 
+def _tables(batches):
+    """The number and the documents of each chunk."""
+    for batch in batches:
+        for chunk, data in zip(batch.column("chunk").to_pylist(), batch.column("data"), strict=True):
+            yield chunk, unpacked(data.as_py())
+
+
 class Tokens:
     """Tokens of a chunk: `of` numbers the distinct words (their number: the end), document after document."""
 
     def __init__(self, table: pa.Table):
-        table = table.sort_by("nth")
+        if "nth" in table.column_names:
+            table = table.sort_by("nth")
         self.names = table.column("doc_id").to_pylist()
         texts = table.column("text").to_pylist()
         offsets = ragged([len(x) + 1 for x in texts])
@@ -217,11 +226,11 @@ def _sum_counts(held, head: int):
 
 def count_words(chunks: DataFrame, head: int = HEAD) -> DataFrame:
     """Rows of three kinds: counts for a chunk (chunk set), frequent words (hash set), sums of a sign (kinds set)."""
-    total = chunks.agg(F.sum(F.length("text"))).first()[0] or 0
+    total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
     n = max(1, -(-total // BUCKET_BYTES))
 
     def send(batches):
-        for chunk, table in _by_chunk(batches):
+        for chunk, table in _tables(batches):
             t = Tokens(table)
             rows = np.zeros(len(t.hashes), dtype=SENT)
             rows["hash"], rows["n"], rows["sign"] = t.hashes, t.counts(), t.sign
@@ -264,7 +273,7 @@ def train(chunks: DataFrame, model: Model) -> None:
         model.weights = np.zeros((SLOTS, CLASSES), dtype=np.float32)
         energy, seen = np.zeros(SLOTS), np.zeros(SLOTS)
         hits, mass = np.zeros(DISTANCES), np.zeros(DISTANCES)
-        for _, table in _by_chunk(batches):
+        for _, table in _tables(batches):
             t = Tokens(table)
             model.learn(t, energy, seen)
             kind, known = model.classes(t)
@@ -327,8 +336,13 @@ def fit(chunks: DataFrame, counted: DataFrame) -> tuple[Model, int, int]:
         kinds[k] += 1
         words[rest + r["sign"]] -= r["n"]
         kinds[rest + r["sign"]] -= 1
-    ids = chunks.select("doc_id")
-    ends = ids.where("doc_id IS NULL OR crc32(cast(cast(doc_id AS string) AS binary)) % 10 <> 0").count()
+
+    def count_ends(batches):
+        for _, table in _tables(batches):
+            n = sum(not held_out(x) for x in table.column("doc_id").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    ends = chunks.mapInArrow(count_ends, "n long").agg(F.sum("n")).first()[0] or 0
     words[END_CLASS], kinds[END_CLASS] = ends, min(ends, 1)
     model = Model(np.sort(head, order="hash"), words, kinds)
     train(chunks, model)
@@ -337,14 +351,14 @@ def fit(chunks: DataFrame, counted: DataFrame) -> tuple[Model, int, int]:
 
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    chunks = stage(chunked(docs))
+    chunks = stage(chunked(docs), codec="uncompressed")
     counted = count_words(chunks)
     model, n, v = fit(chunks, counted)
     ends = int(model.words[END_CLASS])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes, whatever the input
 
     def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        t = Tokens(left)
+        t = Tokens(unpacked(left.column("data")[0].as_py()))
         right = right.sort_by("bucket")
         sent = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("data").to_pylist())])
         counts = np.zeros(len(t.hashes), dtype=np.int64)
@@ -357,6 +371,6 @@ def score(docs: DataFrame) -> DataFrame:
         columns = [pa.array(t.names, pa.int64()), pa.array(~t.train), pa.array(t.sizes, pa.int64()), pa.array(np.add.reduceat((c > 0)[t.of].astype(np.int64), first)), pa.array([n] * len(t.names), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logs, first) / np.log(10))]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    n_buckets = max(1, -(-(chunks.agg(F.sum(F.length("text"))).first()[0] or 0) // BUCKET_BYTES))
+    n_buckets = max(1, -(-(chunks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
     words = counted.where("chunk IS NOT NULL").select("chunk", "bucket", "data")
     return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -58,3 +58,22 @@ def test_probabilities_sum_to_one(spark):
     p = np.exp(logs[t.bounds[:-2] + 3])[known].sum() + np.exp(logs[t.bounds[-2] + 3])
     # the rest is the unknown word of each class
     assert 0.9 < p < 1.0 + 1e-6
+
+
+def test_chunks_stay_whole_where_files_are_split(spark):
+    docs = documents()
+    rows = [*zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    hadoop, old = spark.sparkContext._jsc.hadoopConfiguration(), {}
+    small = {"spark.sql.files.maxPartitionBytes": "16k", "spark.sql.files.openCostInBytes": "1k"}
+    for k, v in small.items():
+        old[k] = spark.conf.get(k)
+        spark.conf.set(k, v)
+    hadoop.set("parquet.block.size", "16384")
+    try:
+        plain, _ = columns(maxent.score(df))
+    finally:
+        hadoop.unset("parquet.block.size")
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert plain == brute(rows)
