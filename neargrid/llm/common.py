@@ -18,7 +18,7 @@ def read_documents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select(*(columns or ("doc_id", "text")))
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = 8 << 20) -> None:
+def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = 4 << 20) -> None:
     """Bound the Arrow batches by rows and by bytes: a batch of very long texts is cut earlier."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
@@ -56,31 +56,48 @@ def utf8_runs(texts) -> tuple[bytes, np.ndarray]:
     return b"".join(parts), ragged([len(x) for x in parts])
 
 
-#: Powers of an odd base modulo 2**64 and of its inverse, for hashes of any run of bytes of a batch.
+#: Powers of an odd base modulo 2**64 and of its inverse. Tables are of one block's length, whatever is hashed.
 _BASE = 0x9E3779B97F4A7C15
-_POWERS: dict[int, np.ndarray] = {}
+_BLOCK = 1 << 15
 _BYTES = np.random.default_rng(20260101).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def _powers(base: int, n: int) -> np.ndarray:
-    got = _POWERS.get(base, np.ones(1, dtype=np.uint64))
-    while len(got) < n:
-        with np.errstate(over="ignore"):
-            got = np.concatenate([got, got * np.uint64(pow(base, len(got), 1 << 64))])
-    _POWERS[base] = got
-    return got[:n]
+    out = np.ones(1, dtype=np.uint64)
+    with np.errstate(over="ignore"):
+        while len(out) < n:
+            out = np.concatenate([out, out * np.uint64(pow(base, len(out), 1 << 64))])
+    return out[:n]
+
+
+_UP = _powers(_BASE, _BLOCK + 1)
+_DOWN = _powers(pow(_BASE, -1, 1 << 64), _BLOCK + 1)[1:]
 
 
 class RunHashes:
-    """64-bit hashes of any runs of bytes, from sums over all prefixes."""
+    """64-bit hashes of any runs of a sequence (bytes, or numbers of 64 bits), each in constant time.
+
+    Running Karp-Rabin hashes: `sums` holds the hash of every prefix, made block by block.
+    """
 
     def __init__(self, data: np.ndarray):
+        n = len(data)
+        self.sums = np.zeros(n + 1, dtype=np.uint64)
         with np.errstate(over="ignore"):
-            self.sums = np.zeros(len(data) + 1, dtype=np.uint64)
-            np.cumsum(_BYTES[data] * _powers(_BASE, len(data)), out=self.sums[1:])
-        self.back = _powers(pow(_BASE, -1, 1 << 64), len(data) + 1)
+            for a in range(0, n, _BLOCK):
+                part = data[a : a + _BLOCK]
+                part = _BYTES[part] if data.dtype == np.uint8 else part.copy()
+                m = len(part)
+                part *= _DOWN[:m]
+                np.cumsum(part, out=part)
+                part += self.sums[a]
+                np.multiply(part, _UP[1 : m + 1], out=self.sums[a + 1 : a + m + 1])
 
     def of(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = ends - starts
         with np.errstate(over="ignore"):
-            h = (self.sums[ends] - self.sums[starts]) * self.back[starts]
-            return mix64(h ^ ((ends - starts).astype(np.uint64) << np.uint64(40)))
+            if int(n.max(initial=0)) <= _BLOCK:
+                power = _UP[n]
+            else:
+                power = _UP[n % _BLOCK] * _powers(pow(_BASE, _BLOCK, 1 << 64), int(n.max()) // _BLOCK + 1)[n // _BLOCK]
+            return mix64(self.sums[ends] - self.sums[starts] * power ^ n.astype(np.uint64) << np.uint64(40))

@@ -12,54 +12,26 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import small_batches
-from .encoding import worker_encoder, safe_cuts
+from .encoding import balanced, worker_encoder
 
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 
 
-def split_long(raw: bytes, limit: int) -> list[bytes]:
-    """Parts of about `limit` bytes, cut at safe boundaries only; a part without one stays whole."""
-    if len(raw) <= limit:
-        return [raw]
-    cuts = safe_cuts(np.frombuffer(raw, dtype=np.uint8), np.array([0, len(raw)]))
-    at = [0]
-    while len(raw) - at[-1] > limit:
-        k = max(np.searchsorted(cuts, at[-1] + limit, side="right") - 1, np.searchsorted(cuts, at[-1], side="right"))
-        if k >= len(cuts):
-            break
-        at.append(int(cuts[k]))
-    return [raw[a:b] for a, b in zip(at, [*at[1:], len(raw)], strict=True)]
-
-
-def balanced(texts: list[bytes], batch_bytes: int):
-    """Groups of (text number, part) pairs of about batch_bytes each."""
-    group: list[tuple[int, bytes]] = []
-    size = 0
-    for i, text in enumerate(texts):
-        for part in split_long(text, batch_bytes):
-            group.append((i, part))
-            size += len(part)
-            if size >= batch_bytes:
-                yield group
-                group, size = [], 0
-    if group:
-        yield group
-
-
-def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = 2048, batch_bytes: int = 4 << 20) -> DataFrame:
+def count_tokens(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", limit: int = 2048, batch_bytes: int = 2 << 20) -> DataFrame:
     """doc_id, UTF-8 bytes, tokens, and whether there are more tokens than `limit`."""
     small_batches(docs.sparkSession)
 
     def run(batches):
         encoder = worker_encoder(vocabulary, ids=False)
         for batch in batches:
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+            texts = [(x or "").encode("utf-8", "surrogatepass") for x in batch.column(1).to_pylist()]
             counts = np.zeros(len(texts), dtype=np.int64)
             for group in balanced(texts, batch_bytes):
-                np.add.at(counts, [i for i, _ in group], encoder.count([part for _, part in group]))
+                np.add.at(counts, [i for i, _ in group], encoder.count_ids([part for _, part in group]))
             sizes = np.array([len(x) for x in texts], dtype=np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes), pa.array(counts), pa.array(counts > limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)

@@ -1,18 +1,23 @@
-"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine.
-
-Terms are words and the first four and five bytes of longer words. The examples are a sample of the labelled documents
-that the caller allows for training: the `per_class` rows of each label with the least hash of their doc_id. Terms of
-the vocabulary are the at most `terms` whose share of documents differs most between the labels of the examples
-(|z| >= `least_z`, and a ratio of `RATIO` at least); only they count in the cosine. Their document frequencies are counted over all documents.
-
-The examples stand in blocks that hold similar ones. For every term and block the index has the largest weight, so a
-query bounds each block's cosines from above, opens blocks in the order of the bounds, and stops when the next bound is
-below the k-th cosine found: the result is exact. The k nearest vote with the square of their cosine, weighted back to
-the labels' shares among all training rows, beside a constant vote for the overall share. A document without any
-term of the vocabulary gets the share of toxic rows among the examples that have none either.
-
-Null and empty texts have no terms. Rows with one doc_id twice give two scores. A null doc_id gets a score and is held out
-when crc32 is null: false. Without training rows every score is 0. Empty tables give no rows.
+"""Toxicity scores from the nearest labelled examples by exact TF-IDF cosine over a block-max inverted index.
+
+The examples are a sample of the labelled documents that the caller allows for training: the `per_class` doc_ids of each
+label with the least hash; of rows with one doc_id the least text, and a doc_id with both labels is toxic. Terms are all
+words of the examples and the first four bytes of longer words. A term's weight in a text is
+(1 + ln count) * idf * z: document frequencies are counted over all documents, and z says how far the shares of
+the labels' examples with this term lie apart, in standard deviations. No term is dropped; one without any difference
+weighs nothing.
+
+Each term has a posting list, cut by blocks of similar examples, and for each block its largest weight. A query adds
+these maxima up, opens the blocks with the largest sums, then all others whose sum reaches the k-th cosine found: the result
+is exact. An example with the query's own text is left out, so no row's label feeds its own score, and equal texts
+have equal scores; ties go to the lesser digest of the text.
+
+The k nearest vote with the square of their cosine, weighted back to the labels' shares among all training rows, beside a
+constant vote for the overall share. Votes are calibrated by isotonic regression over the examples' own votes. A text without
+any term of weight gets the calibrated overall share.
+
+Null and empty texts have no terms. Rows with one doc_id twice give two scores. A null doc_id gets a score and is not held
+out. Without training rows every score is 0, with one label only it is that label. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,205 +26,256 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, mix64, small_batches, stage
+from .common import crc_mod, gather_runs, ragged, small_batches, stage
 from .words import Words
 
 #: Examples of each label at most: the bound of the sample that the classifier is fitted on.
-PER_CLASS = 2000
-TERMS = 1024
-LEAST_Z = 6.0
-#: How many times more often a term must occur under one label than under the other.
-RATIO = 8.0
+PER_CLASS = 500
+PREFIXES = (4,)
 NEAREST = 15
 THRESHOLD = 0.3
 BLOCK = 64
+#: Blocks that are opened first.
+FIRST = 4
 #: Weight of the vote for the overall share.
 PRIOR = 1.0
 
 
-def terms_of(words: Words, hashes) -> np.ndarray:
-    """Term numbers of the words of a batch: one row for each word, one column for each kind of term."""
-    n = words.ends - words.starts
-    out = np.empty((len(n), 3), dtype=np.uint64)
-    out[:, 0] = words.hashes
-    for j, size in enumerate((4, 5), 1):
-        out[:, j] = np.where(n > size, mix64(hashes.of(words.starts, np.minimum(words.starts + size, words.ends)), j), words.hashes)
-    return out
+def counted(texts, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """For each text, as offsets, its distinct terms with their counts; the terms' names (places in a sorted vocabulary;
+    without one, in the fourth result)."""
+    words = Words(texts, PREFIXES)
+    text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
+    # a short word is its own prefix; it counts once
+    columns = [words.hashes, *(c for c in words.prefixes.T)]
+    on = [np.ones(len(text), dtype=bool), *(c != words.hashes for c in columns[1:])]
+    if vocabulary is None:
+        vocabulary = np.unique(np.concatenate([c[k] for c, k in zip(columns, on, strict=True)]))
+    codes, n = [], max(1, len(vocabulary))
+    for c, k in zip(columns, on, strict=True):
+        c, of = c[k], text[k]
+        place = np.minimum(np.searchsorted(vocabulary, c), n - 1)
+        hit = vocabulary[place] == c if len(vocabulary) else np.zeros(len(c), dtype=bool)
+        codes.append(of[hit] * n + place[hit])
+    codes, counts = np.unique(np.concatenate(codes), return_counts=True)
+    return np.searchsorted(codes, np.arange(len(words.bounds)) * n), codes % n, counts, vocabulary
 
 
-def _terms(texts) -> tuple[Words, np.ndarray]:
-    words = Words(texts, keep=True)
-    return words, terms_of(words, words.runs)
+@dataclass
+class BlockMaxIndex:
+    """Examples in blocks of similar ones. Postings are sorted by term, block and example; an entry is the part of a
+    posting list that lies in one block."""
 
+    digests: list[bytes]
+    toxic: np.ndarray
+    weight: np.ndarray
+    rank: np.ndarray  # of the digests
+    first: np.ndarray  # of each term, its first entry
+    block: np.ndarray  # of each entry
+    top: np.ndarray  # of each entry, the largest weight
+    at: np.ndarray  # of each entry, its first posting
+    example: np.ndarray
+    share: np.ndarray
 
-def choose_terms(examples: DataFrame, terms: int, least_z: float) -> np.ndarray:
-    """The vocabulary (at most `terms` hashes) from examples (toxic, text)."""
+    @classmethod
+    def build(cls, digests: list[bytes], toxic: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
+        """vectors: of each example, its terms (ascending) and their shares, which have a norm of 1 (or 0)."""
+        heavy = np.array([k[x.argmax()] if len(x) else -1 for k, x in vectors], dtype=np.int64)
+        peak = np.array([x.max(initial=0) for _, x in vectors])
+        names = np.argsort(np.array(digests, dtype=object), kind="stable")
+        rank = np.empty(len(digests), dtype=np.int64)
+        rank[names] = np.arange(len(digests))
+        order = np.lexsort((rank, -peak, heavy))
+        some = [vectors[i] for i in order.tolist()]
+        term = np.concatenate([np.zeros(0, dtype=np.int64), *(k for k, _ in some)])
+        share = np.concatenate([np.zeros(0), *(x for _, x in some)])
+        example = np.repeat(np.arange(len(some)), [len(k) for k, _ in some])
+        term, share, example = term[share > 0], share[share > 0], example[share > 0]
+        by = np.argsort(term, kind="stable")
+        term, share, example = term[by], share[by], example[by]
+        n_blocks = -(-len(some) // BLOCK)
+        key = term * max(1, n_blocks) + example // BLOCK
+        at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
+        top = np.maximum.reduceat(share, at) if len(at) else share
+        return cls([digests[i] for i in order.tolist()], toxic[order], weight[order], rank[order], np.searchsorted(term[at], np.arange(n_terms + 1)), example[at] // BLOCK, top, np.append(at, len(key)), example, share)
+
+    def nearest(self, terms: np.ndarray, shares: np.ndarray, k: int, own: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
+        """Places and cosines of the k nearest examples with a cosine above 0 and a digest other than `own`."""
+        n = self.first[terms + 1] - self.first[terms]
+        entry, by = gather_runs(self.first[terms], n), np.repeat(shares, n)
+        blocks = self.block[entry]
+        n_blocks = -(-len(self.digests) // BLOCK)
+        bound = np.bincount(blocks, weights=self.top[entry] * by, minlength=n_blocks)
+        other = np.array([d != own for d in self.digests]) if own in self.digests else True
+        cosines = np.zeros(len(self.digests))
+
+        def open_(which: np.ndarray) -> None:
+            on = which[blocks]
+            e = entry[on]
+            size = self.at[e + 1] - self.at[e]
+            p = gather_runs(self.at[e], size)
+            cosines[:] += np.bincount(self.example[p], weights=self.share[p] * np.repeat(by[on], size), minlength=len(cosines))
+
+        opened = np.zeros(n_blocks, dtype=bool)
+        opened[np.argsort(-bound, kind="stable")[:FIRST]] = True
+        open_(opened)
+        found = np.sort((cosines * other)[cosines * other > 0])
+        least = found[-k] if len(found) >= k else 0.0
+        rest = ~opened & (bound > 0) & (bound >= least - 1e-12)
+        if rest.any():
+            open_(rest)
+        cosines *= other
+        at = np.flatnonzero(cosines > 0)
+        if len(at) > 4 * k:
+            at = at[cosines[at] >= np.partition(cosines[at], len(at) - k)[len(at) - k]]
+        at = at[np.lexsort((self.rank[at], -cosines[at]))[:k]]
+        return at, cosines[at]
+
+
+def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Knots of the non-decreasing function with the least weighted squares: pool adjacent violators."""
+    pools: list[list[float]] = []  # weight, sum of x, sum of y
+    for i in np.argsort(x, kind="stable").tolist():
+        pools.append([weight[i], weight[i] * x[i], weight[i] * y[i]])
+        while len(pools) > 1 and (pools[-2][2] * pools[-1][0] >= pools[-1][2] * pools[-2][0] or pools[-2][1] * pools[-1][0] >= pools[-1][1] * pools[-2][0]):
+            last = pools.pop()
+            pools[-1] = [a + b for a, b in zip(pools[-1], last, strict=True)]
+    return np.array([p[1] / p[0] for p in pools]), np.array([p[2] / p[0] for p in pools])
 
-    def run(batches):
-        for batch in batches:
-            words, table = _terms(batch.column(1))
-            toxic = batch.column(0).to_numpy(zero_copy_only=False)
-            text = np.repeat(np.arange(batch.num_rows), np.diff(words.bounds))
-            pairs = np.unique(np.stack([np.repeat(text, 3).astype(np.uint64), table.ravel()], axis=1), axis=0)
-            seen, of = np.unique(pairs[:, 1], return_inverse=True)
-            bad = toxic[pairs[:, 0].astype(np.int64)]
-            yield pa.RecordBatch.from_arrays([pa.array(seen.view(np.int64)), pa.array(np.bincount(of, weights=bad, minlength=len(seen)).astype(np.int64)), pa.array(np.bincount(of, weights=1 - bad, minlength=len(seen)).astype(np.int64))], names=["term", "bad", "good"])
-
-    sizes = examples.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
-    n1, n0 = sizes[0] or 0, sizes[1] or 0
-    if not n1 or not n0:
-        return np.zeros(0, dtype=np.uint64)
-    counts = examples.mapInArrow(run, "term long, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
-    p = (F.col("bad") + F.col("good") + 1) / F.lit(n1 + n0 + 2)
-    z = F.abs(F.col("bad") / n1 - F.col("good") / n0) / F.sqrt(p * (1 - p) * (1 / n1 + 1 / n0))
-    ratio = F.abs(F.ln((F.col("bad") + 0.5) / (n1 + 1)) - F.ln((F.col("good") + 0.5) / (n0 + 1)))
-    best = counts.where(ratio >= float(np.log(RATIO))).select("term", z.alias("z")).where(F.col("z") >= least_z).orderBy(F.desc("z"), "term").limit(terms)
-    return np.array(sorted(r["term"] for r in best.select("term").collect()), dtype=np.int64).view(np.uint64)
-
-
-def term_counts(docs: DataFrame, vocabulary: np.ndarray) -> DataFrame:
-    """doc_id, and the vocabulary's terms in each text with their counts."""
-    small_batches(docs.sparkSession)
-    vocabulary = np.sort(vocabulary)
-    mask = np.uint64((1 << 18) - 1)
 
-    def run(batches):
-        hint = np.zeros(1 << 18, dtype=bool)
-        hint[(vocabulary & mask).astype(np.int64)] = True
-        for batch in batches:
-            words, table = _terms(batch.column(1))
-            flat = table.ravel()
-            at = np.flatnonzero(hint[(flat & mask).astype(np.int64)])
-            k = np.minimum(np.searchsorted(vocabulary, flat[at]), max(0, len(vocabulary) - 1))
-            hit = vocabulary[k] == flat[at] if len(vocabulary) else np.zeros(0, dtype=bool)
-            at, k = at[hit], k[hit]
-            # a short word is its own prefix; it counts once
-            first = (at % 3 == 0) | (flat[at] != flat[at - at % 3])
-            at, k = at[first], k[first]
-            text = np.searchsorted(words.bounds, at // 3, side="right") - 1
-            codes, n = np.unique(text * max(1, len(vocabulary)) + k, return_counts=True)
-            text, k = codes // max(1, len(vocabulary)), codes % max(1, len(vocabulary))
-            bounds = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
-            lists = [pa.ListArray.from_arrays(pa.array(bounds), pa.array(x, pa.int32())) for x in (k, n)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *lists], names=["doc_id", "terms", "counts"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, terms array<int>, counts array<int>")
+@dataclass
+class Model:
+    """All that a task needs to score texts. Its size follows from the examples alone."""
 
+    vocabulary: np.ndarray
+    weights: np.ndarray  # idf * z of each term
+    index: BlockMaxIndex
+    overall: float
+    knots: tuple[np.ndarray, np.ndarray] | None
+    k: int
 
-@dataclass
-class BlockMaxIndex:
-    """Examples (ids, labels' weights, unit vectors) in blocks, with the largest weight of each term in each block."""
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        x = (1 + np.log(counts)) * self.weights[terms]
+        norm = np.sqrt((x * x).sum())
+        on = x > 0
+        return terms[on], x[on] / norm if norm else x[on]
 
-    ids: np.ndarray
-    toxic: np.ndarray
-    weight: np.ndarray
-    rows: list[np.ndarray]
-    top: np.ndarray
+    def vote(self, terms: np.ndarray, counts: np.ndarray, own: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+        """The share of toxic votes, and the nearest examples with their cosines."""
+        at, near = self.index.nearest(*self.vector(terms, counts), self.k, own)
+        votes = near * near * self.index.weight[at]
+        return float((votes @ self.index.toxic[at] + PRIOR * self.overall) / (votes.sum() + PRIOR)), at, near
 
-    @classmethod
-    def build(cls, ids: np.ndarray, toxic: np.ndarray, weight: np.ndarray, vectors: np.ndarray) -> BlockMaxIndex:
-        # similar examples side by side: by their heaviest term, then by its weight
-        heavy = vectors.argmax(axis=1) if vectors.size else np.zeros(len(ids), dtype=np.int64)
-        order = np.lexsort((ids, -vectors.max(axis=1, initial=0), heavy))
-        ids, toxic, weight, vectors = ids[order], toxic[order], weight[order], vectors[order]
-        rows = [vectors[a : a + BLOCK] for a in range(0, len(ids), BLOCK)]
-        top = np.array([r.max(axis=0) for r in rows]) if rows else np.zeros((0, vectors.shape[1]))
-        return cls(ids, toxic, weight, rows, top)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places and cosines of the k nearest examples with a cosine above 0; ties go to the lesser id."""
-        bound = self.top[:, terms] @ weights
-        order = np.argsort(-bound, kind="stable")
-        places, scores = np.zeros(0, dtype=np.int64), np.zeros(0)
-        for b in order:
-            if bound[b] <= 0 or len(scores) >= k and bound[b] < scores[k - 1] - 1e-12:
-                break
-            own = self.rows[b][:, terms] @ weights
-            on = own > 0
-            places = np.concatenate([places, b * BLOCK + np.flatnonzero(on)])
-            scores = np.concatenate([scores, own[on]])
-            best = np.lexsort((self.ids[places], -scores))[: max(k, 1)]
-            places, scores = places[best], scores[best]
-        return places, scores
-
-
-def score(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, terms: int = TERMS, least_z: float = LEAST_Z, k: int = NEAREST, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, score, predicted, and as evidence the nearest examples with their cosines.
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        return np.interp(votes, *self.knots) if self.knots is not None else votes
 
-    training: a condition on labels' rows that may be learnt from.
-    """
-    small_batches(docs.sparkSession)
-    known = labels.where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), (F.col("toxic") > 0).cast("int").alias("toxic"))
-    shares = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    sample = {}
-    for y in (0, 1):  # per_class rows at most
-        for r in known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class).collect():
-            sample[r["doc_id"]] = y
+
+def _text(x: str | None) -> bytes:
+    return (x or "").encode("utf-8", "surrogatepass")
+
+
+def examples_of(docs: DataFrame, labels: DataFrame, training, per_class: int) -> tuple[DataFrame, list[int]]:
+    """Examples (doc_id, toxic, text), and the numbers of training rows with either label."""
+    known = labels.where(training & F.col("toxic").isNotNull() & F.col("doc_id").isNotNull())
+    known = known.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
+    sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    some = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)]
+    picked = stage(some[0].unionByName(some[1]))  # 2 * per_class rows at most
+    texts = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")
+    return stage(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))), [sizes.get(y, 0) for y in (0, 1)]
+
+
+def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, k: int = NEAREST) -> Model:
     spark = docs.sparkSession
-    picked = spark.createDataFrame(list(sample.items()), "doc_id long, toxic int").coalesce(1)
-    texts = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(picked), "doc_id")  # 2 * per_class rows at most
-    examples = stage(texts.select("toxic", "text"))
-    vocabulary = choose_terms(examples, terms, least_z)
-    counted = stage(term_counts(docs, vocabulary))
-
-    def frequencies(batches):
-        n, seen = 0, np.zeros(len(vocabulary) + 1, dtype=np.int64)
+    small_batches(spark)
+    examples, sizes = examples_of(docs, labels, training, per_class)
+    texts: list[bytes] = []
+    toxic: list[int] = []
+    for r in examples.orderBy(F.sha2("text", 256), "toxic").collect():  # 2 * per_class rows at most
+        texts.append(_text(r["text"]))
+        toxic.append(r["toxic"])
+    y = np.array(toxic, dtype=np.int64)
+    bounds, terms, counts, vocabulary = counted(texts)
+    n = np.bincount(y, minlength=2)
+    seen = [np.bincount(terms[np.repeat(y == v, np.diff(bounds))], minlength=len(vocabulary)) for v in (0, 1)]
+    p = (seen[0] + seen[1] + 1) / (len(y) + 2)
+    z = np.abs(seen[1] / max(1, n[1]) - seen[0] / max(1, n[0])) / np.sqrt(p * (1 - p) * (1 / max(1, n[1]) + 1 / max(1, n[0])))
+    total, df = document_frequencies(docs, vocabulary)
+    overall = sizes[1] / max(1, sum(sizes))
+    weight = np.array([sizes[v] / max(1, sum(sizes)) * len(y) / max(1, n[v]) for v in (0, 1)])
+    model = Model(vocabulary, (np.log((1 + total) / (1 + df)) + 1) * z, None, overall, None, k)
+    vectors = [model.vector(terms[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    digests = [xxhash.xxh3_128_digest(t) for t in texts]
+    model.index = BlockMaxIndex.build(digests, y, weight[y], vectors, len(vocabulary))
+    if n.all():
+        votes = np.array([model.vote(terms[a:b], counts[a:b], d)[0] for a, b, d in zip(bounds[:-1], bounds[1:], digests, strict=True)])
+        model.knots = isotonic(votes, y.astype(float), weight[y])
+    return model
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> tuple[int, np.ndarray]:
+    """The number of documents, and of those with each term of the vocabulary."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches):
+        n, seen = 0, np.zeros(len(shared.value), dtype=np.int64)
         for batch in batches:
             n += batch.num_rows
-            own = batch.column(0).flatten().to_numpy(zero_copy_only=False)
-            seen[:-1] += np.bincount(own, minlength=len(vocabulary))
-        seen[-1] = n
-        yield pa.RecordBatch.from_arrays([pa.array(range(len(seen)), pa.int32()), pa.array(seen)], names=["term", "n"])
-
-    # one row a term from each task; documents are counted as one more term
-    df = np.zeros(len(vocabulary) + 1)
-    for r in counted.select("terms").mapInArrow(frequencies, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect():
-        df[r["term"]] = r["n"]
-    total, df = df[-1], df[:-1]
-    idf = np.log((1 + total) / (1 + df)) + 1
-
-    def vector(some: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        x = (1 + np.log(counts)) * idf[some]
-        return x / np.sqrt((x * x).sum())
-
-    rows = counted.join(F.broadcast(picked), "doc_id").orderBy("doc_id").limit(2 * per_class).collect()
-    sizes = np.bincount([r["toxic"] for r in rows], minlength=2)
-    weight = np.array([shares.get(y, 0) / max(1, sizes[y]) for y in (0, 1)])
-    vectors = np.zeros((len(rows), len(vocabulary)), dtype=np.float32)
-    for i, r in enumerate(rows):
-        if r["terms"]:
-            vectors[i, r["terms"]] = vector(np.array(r["terms"]), np.array(r["counts"], dtype=float))
-    toxic = np.array([r["toxic"] for r in rows], dtype=np.int64)
-    own = weight[toxic]
-    share = float(own[toxic == 1].sum() / own.sum()) if own.sum() else 0.0
-    bare = ~vectors.any(axis=1) if len(rows) else np.zeros(0, dtype=bool)
-    without = float(own[bare & (toxic == 1)].sum() / own[bare].sum()) if own[bare].sum() else share
-    index = BlockMaxIndex.build(np.array([r["doc_id"] for r in rows], dtype=np.int64)[~bare], toxic[~bare], own[~bare], vectors[~bare])
+            _, terms, _, _ = counted(batch.column(0), shared.value)
+            seen += np.bincount(terms, minlength=len(seen))
+        on = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(on, -1), pa.int32()), pa.array(np.append(seen[on], n))], names=["term", "n"])
+
+    # one row a term from each task; the driver gets one a term
+    got = docs.select("text").mapInArrow(run, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = got.column("term").to_numpy(), got.column("n").to_numpy()
+    out = np.zeros(len(vocabulary))
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
+
+
+def score(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, k: int = NEAREST, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, score, predicted, and as evidence the cosines and labels of the nearest examples.
+
+    training: a condition on labels' rows that may be learnt from.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, per_class, k))
 
     def run(batches):
+        model = shared.value
         for batch in batches:
-            scores, ids, cosines = [], [], []
-            for some, counts in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                at, near = index.nearest(np.array(some), vector(np.array(some), np.array(counts, dtype=float)), k) if some else (np.zeros(0, dtype=np.int64), np.zeros(0))
-                vote = near * near * index.weight[at]
-                scores.append(float((vote @ index.toxic[at] + PRIOR * share) / (vote.sum() + PRIOR)) if len(at) else without)
-                ids.append(index.ids[at].tolist())
-                cosines.append(near.tolist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(np.array(scores) >= threshold).cast(pa.int32()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], names=["doc_id", "score", "predicted", "nearest", "cosines"])
-
-    return counted.mapInArrow(run, "doc_id long, score double, predicted int, nearest array<long>, cosines array<double>")
+            texts = [_text(x) for x in batch.column(1).to_pylist()]
+            bounds, terms, counts, _ = counted(texts, model.vocabulary)
+            votes, cosines, toxic = [], [], []
+            for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                vote, at, near = model.vote(terms[a:b], counts[a:b], xxhash.xxh3_128_digest(text))
+                votes.append(vote)
+                cosines.append(near)
+                toxic.append(model.index.toxic[at])
+            scores = model.calibrated(np.array(votes))
+            ends = pa.array(ragged([len(x) for x in cosines]).astype(np.int32))
+            lists = [
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0), *cosines]))),
+                pa.ListArray.from_arrays(ends, pa.array(np.concatenate([np.zeros(0, dtype=np.int64), *toxic]))),
+            ]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores), pa.array((scores >= threshold).astype(np.int32)), *lists], names=["doc_id", "score", "predicted", "cosines", "labels"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, score double, predicted int, cosines array<double>, labels array<long>")
 
 
 def held_out_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """Scores learnt from the rows whose crc32 of doc_id leaves another remainder than 2 by 4."""
     out = score(docs, labels, crc_mod("doc_id", 4) != 2, **options)
-    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "nearest", "cosines")
+    return out.select("doc_id", F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "score", "predicted", "cosines", "labels")
 
 
 def reject(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The documents that are not predicted to be toxic."""
-    bad = held_out_scores(docs, labels, **options).where("predicted = 1").select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["__bad"]), "left_anti").select(*docs.columns)
+    """The documents that are not predicted to be toxic. Rows of one doc_id go together; ids that are null stay or go
+    together too."""
+    bad = held_out_scores(docs, labels, **options).where("predicted = 1").select("doc_id").distinct()
+    left, right = docs.alias("left"), bad.alias("right")
+    return left.join(right, F.col("left.doc_id").eqNullSafe(F.col("right.doc_id")), "left_anti").select("left.*")

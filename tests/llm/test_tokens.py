@@ -15,14 +15,32 @@ def plain(name, texts):
 
 @pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
 def test_pieces_give_the_ids_of_whole_texts(name):
-    texts = [t for _, t in EDGE] + documents().text.tolist() + ["x \ny", "x\n y", " a", "\t a", "   x", "\x1c x", "ᄀ ᅡ", "x́ ́y", "a \n\n  b", "İ İ"]
+    texts = [t for _, t in EDGE] + documents().text.tolist() + ["x \ny", "x\n y", " a", "\t a", "   x", "\x1c x", "ᄀ ᅡ", "x́ ́y", "a \n\n  b", "İ İ", "a.b,c ,d;: e.\u0338 é. l'.x l'll!s", "x.<|endoftext|>.y", " ß, ªº. x²;"]
     encoder = PieceEncoder(name, cache_pieces=500)
     want = plain(name, texts)
     for a in range(0, len(texts), 50):
         ids, lengths = encoder.encode(texts[a : a + 50])
         assert lengths.tolist() == [len(x) for x in want[a : a + 50]]
         assert ids.tolist() == [i for x in want[a : a + 50] for i in x]
-        assert encoder.count(texts[a : a + 50]).tolist() == lengths.tolist()
+        assert encoder.count_ids([(t or "").encode() for t in texts[a : a + 50]]).tolist() == lengths.tolist()
+
+
+def test_pieces_that_share_a_hash_are_encoded_apart(monkeypatch):
+    monkeypatch.setattr("neargrid.llm.encoding.RunHashes.of", lambda self, a, b: (b - a).astype(np.uint64) % np.uint64(7))
+    texts = documents().text.tolist()[:40]
+    ids, lengths = PieceEncoder("byte_bpe_50k.json").encode(texts)
+    want = plain("byte_bpe_50k.json", texts)
+    assert ids.tolist() == [i for x in want for i in x] and lengths.tolist() == [len(x) for x in want]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_random_texts_are_cut_safely(name):
+    rng = np.random.default_rng(3)
+    marks = list("ab Z.,;:!?'\n\t -9<|>éñ\u0301\u00a0\u2003世") + ["'s", "'ll", "<|endoftext|>", "..."]
+    texts = ["".join(rng.choice(marks, rng.integers(0, 40))) for _ in range(2000)]
+    ids, lengths = PieceEncoder(name, cache_pieces=300).encode(texts)
+    want = plain(name, texts)
+    assert lengths.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
 
 
 @pytest.mark.parametrize("n", [0, 1, 1023, 1024, 1025, 300_000])
