@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..sources.staging import shared_dir, stage
 
-__all__ = ["RunHashes", "crc_mod", "gather_runs", "mix64", "ragged", "read_documents", "shared_dir", "small_batches", "stage", "utf8_runs"]
+__all__ = ["RunHashes", "crc_mod", "gather_runs", "mix64", "ragged", "read_documents", "shared_dir", "small_batches", "stage", "task_count", "utf8_runs"]
 
 #: Rows of one Arrow batch handed to Python. Documents may hold 100 KB and more, so batches stay small.
 ARROW_ROWS = 2048
@@ -24,6 +24,11 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS, size: int = 4 <<
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def task_count(spark: SparkSession, total_bytes: int, task_bytes: int = 128 << 20) -> int:
+    """Tasks for a shuffle of so many bytes: the session's number, or more when tasks would get more than task_bytes."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // task_bytes))
+
+
 def crc_mod(column: str, modulus: int):
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
 

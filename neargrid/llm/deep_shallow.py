@@ -1,6 +1,6 @@
 """Deep-shallow sorting of byte strings (Manzini and Ferragina 2004).
 
-Shallow: multikey quicksort, eight bytes at a time and all groups at once, to a depth of `SHALLOW` bytes. Deep: each group
+Shallow: multikey quicksort (Bentley and Sedgewick 1997) with eight bytes as one character, to a depth of `SHALLOW` bytes. Deep: each group
 that still shares its prefix is ordered by a blind trie, which branches only where strings differ: a search reads one
 byte for each branch, and one comparison with the leaf it comes to tells where the new string leaves the trie.
 """
@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from .common import gather_runs, ragged
+
 SHALLOW = 24
 
 
@@ -76,6 +78,49 @@ def blind_trie_order(keys: list[bytes]) -> tuple[list[int], list[int]]:
     return order, shared
 
 
+def multikey_quicksort(words: np.ndarray, order: np.ndarray, starts: np.ndarray, depth: int) -> np.ndarray:
+    """Sort `order` in place by the first `depth` words of the rows, each segment (from one start to the next) by itself.
+    Returns the starts of the runs that have these words in common.
+
+    Ternary partitions by a pivot at one word; the middle part goes on at the next word. All segments are partitioned at
+    once, one level of the recursion after another.
+    """
+    bounds = np.append(starts, len(order))
+    done = [starts]
+    at, size, level = bounds[:-1], np.diff(bounds), np.zeros(len(starts), dtype=np.int64)
+    while True:
+        on = (size > 1) & (level < depth)
+        at, size, level = at[on], size[on], level[on]
+        if not len(at):
+            return np.unique(np.concatenate(done))
+        place, of = gather_runs(at, size), np.repeat(np.arange(len(at)), size)
+        rows = order[place]
+        value = words[rows, level[of]]
+        ends = ragged(size)
+        three = np.stack([value[ends[:-1]], value[(ends[:-1] + ends[1:]) // 2], value[ends[1:] - 1]])
+        three.sort(axis=0)
+        pivot = three[1][of]
+        part = of * 3 + (value >= pivot) + (value > pivot)
+        order[place] = rows[np.argsort(part, kind="stable")]
+        size = np.bincount(part, minlength=3 * len(at))
+        at = np.repeat(at - ends[:-1], 3) + ragged(size)[:-1]
+        level = np.repeat(level, 3) + (np.arange(len(size)) % 3 == 1)
+        done.append(at[size > 0])
+
+
+def neighbours_prefix(words: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Common leading bytes of each row with the one before it in the order (0 for the first)."""
+    out = np.zeros(len(order), dtype=np.int64)
+    for a in range(1, len(order), 1 << 14):
+        x = words[order[a : a + (1 << 14)]] ^ words[order[a - 1 : a - 1 + (1 << 14)][: len(order) - a]]
+        differ = x != 0
+        first = differ.argmax(axis=1)
+        left = x[np.arange(len(x)), first]
+        zeros = sum((left < (1 << (64 - 8 * k))).astype(np.int64) for k in range(1, 8))
+        out[a : a + len(x)] = np.where(differ.any(axis=1), 8 * first + zeros, 8 * words.shape[1])
+    return out
+
+
 def deep_shallow(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Order of the rows (n x width bytes, width a multiple of 8) by group and then by content, and the common prefix of
     each with the row before it in that order: -1 where a group begins."""
@@ -84,24 +129,12 @@ def deep_shallow(rows: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.n
     order = np.argsort(groups, kind="stable")
     new = np.ones(n, dtype=bool)
     new[1:] = groups[order][1:] != groups[order][:-1]
-    shared = np.where(new, -1, 0)
-    for w in range(SHALLOW // 8):
-        segment = np.cumsum(new)
-        again = np.lexsort((words[order, w], segment))
-        order = order[again]
-        at = words[order, w]
-        split = np.zeros(n, dtype=bool)
-        split[1:] = ~new[1:] & (at[1:] != at[:-1])
-        if split.any():
-            a, b = rows[order[1:][split[1:]], 8 * w : 8 * w + 8], rows[order[:-1][split[1:]], 8 * w : 8 * w + 8]
-            shared[split] = 8 * w + (a != b).argmax(axis=1)
-        new |= split
-    starts = np.append(np.flatnonzero(new), n)
+    starts = np.append(multikey_quicksort(words, order, np.flatnonzero(new), SHALLOW // 8), n)
     sizes = np.diff(starts)
-    raw = rows.tobytes()
     for a, size in zip(starts[:-1][sizes > 1].tolist(), sizes[sizes > 1].tolist(), strict=True):
         own = order[a : a + size]
-        got, lcp = blind_trie_order([raw[i * width : (i + 1) * width] for i in own.tolist()])
+        got, _ = blind_trie_order([rows[i].tobytes() for i in own.tolist()])
         order[a : a + size] = own[got]
-        shared[a + 1 : a + size] = lcp[1:]
+    shared = neighbours_prefix(words, order)
+    shared[new] = -1
     return order, shared

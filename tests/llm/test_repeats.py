@@ -74,3 +74,35 @@ def test_shared_passages(spark):
     assert rows_of(repeats.remove_repeats(df)) == brute(rows)
     left = {r.doc_id: r.kept for r in repeats.remove_repeats(df, texts=True).collect()}
     assert {hashlib.sha256(bytes(x)).hexdigest() for x in left.values()} == {x[4] for x in brute(rows)}
+
+
+def test_hot_anchors_go_by_window(spark):
+    r = random.Random(8)
+    line = "".join(r.choice("abcdefgh ") for _ in range(70))
+    long = "".join(r.choice("stuvwxyz ") for _ in range(230))
+    rows = [(i, "".join(r.choice("0123456789") for _ in range(90)) + line + "".join(r.choice("0123456789") for _ in range(90)) + long * (i % 3)) for i in range(60)]
+    rows += [(i + 60, rows[i % 7][1][i : i + 190]) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert rows_of(repeats.remove_repeats(df, hot=3, salts=2)) == brute(rows)
+
+
+def test_long_texts_cross_blocks(spark, monkeypatch):
+    r = random.Random(3)
+    rows = [(i, "".join(r.choice(["lorem ", "ipsum ", "dolor\n", "sit ", "amet "]) for _ in range(r.randrange(900)))) for i in range(12)]
+    monkeypatch.setattr(repeats, "STEP", 256)
+    texts = [t.encode() for _, t in rows]
+    small = repeats.Anchors(texts)
+    monkeypatch.setattr(repeats, "STEP", 1 << 18)
+    whole = repeats.Anchors(texts)
+    # equal windows have equal anchors at equal places, however the texts are cut into blocks
+    for name in ("at", "low", "high", "doc", "hashes"):
+        assert np.array_equal(getattr(small, name), getattr(whole, name)), name
+    assert rows_of(repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"))) == brute(rows)
+
+
+def test_numbers_of_chunks_are_not_bounded():
+    text = bytes(range(32, 127)) * 4
+    anchors, chunk = repeats.Anchors([text, text]), (50_000 << 32) + 7
+    items = anchors.items(np.arange(len(anchors.at)), np.array([5, 6]), chunk)
+    spans = repeats.spans_of(items, *repeats.lost_windows(items))
+    assert set(spans[:, 0].tolist()) == {chunk} and spans[spans[:, 1] == 1][:, 3].max() == len(text)
