@@ -25,11 +25,11 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches, stage
+from .common import small_batches, stage, task_count
 
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of distinct contents that one table holds.
-TABLE_BYTES = 64 << 20
+TABLE_BYTES = 32 << 20
 #: Buckets into which a bucket that doesn't fit is divided.
 FAN_OUT = 64
 
@@ -84,15 +84,14 @@ def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[t]) for c, t in zip(columns, types, strict=True)], names=list(names))
 
 
-def combine(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
-    """Rows of kind 0 (a document and its record) and of kind 1 (a record)."""
-    small_batches(docs.sparkSession)
+def combine(rows: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
+    """Rows of kind 0 (a document and its record) and of kind 1 (a record). rows: doc_id, text, and a row number."""
+    small_batches(rows.sparkSession)
 
     def run(batches):
         from pyspark import TaskContext
 
-        base = TaskContext.get().partitionId() << 33
-        row = first = base
+        first = TaskContext.get().partitionId() << 33
         table, best, count = OpenTable(), [], []
 
         def records():
@@ -101,7 +100,7 @@ def combine(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
 
         for batch in batches:
             out = []
-            for name, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for name, text, row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 text = text or ""
                 content = text.encode("utf-8", "surrogatepass").translate(None, SPACES)
                 k, new = table.place(xxhash.xxh3_64_intdigest(content), content)
@@ -114,7 +113,6 @@ def combine(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
                     if better(own, best[k]):
                         best[k] = own
                 out.append((0, first + k, name, row, None, None, None, None, None, None, None))
-                row += 1
             yield _batch(ROWS, out)
             if table.bytes > table_bytes:
                 yield from records()
@@ -122,12 +120,11 @@ def combine(docs: DataFrame, table_bytes: int = TABLE_BYTES) -> DataFrame:
                 table, best, count = OpenTable(), [], []
         yield from records()
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, ROWS)
+    return rows.mapInArrow(run, ROWS)
 
 
-def buckets(records: DataFrame, table_bytes: int, fan_out: int = FAN_OUT) -> DataFrame:
-    """Records with a column bucket, such that the contents of a bucket fit a table or have one hash."""
-    total = records.agg(F.sum("size")).first()[0] or 0
+def buckets(records: DataFrame, total: int, table_bytes: int, fan_out: int = FAN_OUT) -> DataFrame:
+    """Records with a column bucket, such that the contents of a bucket fit a table or have one hash. total: their bytes."""
     first = max(1, -(-2 * total // table_bytes))
     part = records.withColumn("bucket", F.pmod("hash", F.lit(first)))
     done, level = None, 0
@@ -143,7 +140,7 @@ def buckets(records: DataFrame, table_bytes: int, fan_out: int = FAN_OUT) -> Dat
         part = stage(part.join(big, "bucket", "left_semi").select(*part.columns).withColumn("bucket", F.xxhash64(F.col("bucket"), digit)))
 
 
-def group_records(bucketed: DataFrame) -> DataFrame:
+def group_records(bucketed: DataFrame, tasks: int) -> DataFrame:
     """The group of each record: every bucket goes through one open-addressing table."""
 
     def run(batches):
@@ -171,21 +168,32 @@ def group_records(bucketed: DataFrame) -> DataFrame:
         yield from groups()
 
     wanted = bucketed.select("bucket", "record", "hash", "content", "n", "best_chars", "best_id", "best_row")
-    return wanted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
+    return wanted.repartition(tasks, "bucket").sortWithinPartitions("bucket").mapInArrow(run, GROUPS)
+
+
+def group_rows(rows: DataFrame, table_bytes: int = TABLE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
+    """doc_id, row, keep_id, keep_row, group_size, text_sha256 for rows of doc_id (long), text and row."""
+    found = stage(combine(rows, table_bytes), ["kind"])
+    records = found.where("kind = 1")
+    total = records.agg(F.sum("size")).first()[0] or 0
+    groups = group_records(buckets(records, total, table_bytes, fan_out), task_count(rows.sparkSession, total))
+    return found.where("kind = 0").select("record", "doc_id", "row").join(groups, "record")
 
 
 def group_texts(docs: DataFrame, table_bytes: int = TABLE_BYTES, fan_out: int = FAN_OUT) -> DataFrame:
     """Every document with the row of its group that stays."""
-    rows = stage(combine(docs, table_bytes), ["kind"])
-    groups = group_records(buckets(rows.where("kind = 1"), table_bytes, fan_out))
-    documents = rows.where("kind = 0").select("record", "doc_id", "row")
-    return documents.join(groups, "record").selectExpr("doc_id", "keep_id", "group_size", "row = keep_row AS kept", "text_sha256", "keep_chars AS n_chars")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
+    return group_rows(rows, table_bytes, fan_out).selectExpr("doc_id", "keep_id", "group_size", "row = keep_row AS kept", "text_sha256")
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """One document of each group of equal texts, with all its columns."""
-    kept = group_texts(docs, **options).where("kept").select("doc_id", "text_sha256", "n_chars")
-    text = F.coalesce("text", F.lit(""))
-    keyed = docs.withColumns({"__sha": F.sha2(F.regexp_replace(text, "[\\x20\\x09-\\x0D]", ""), 256), "__chars": F.length(text)})
-    same = keyed["doc_id"].eqNullSafe(kept["doc_id"]) & (keyed["__sha"] == kept["text_sha256"]) & (keyed["__chars"] == kept["n_chars"])
-    return keyed.join(kept, same, "left_semi").dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    """One document of each group of equal texts, with all its columns.
+
+    Rows are numbered and stored once, so that what stays is found by its number and texts are not hashed again.
+    """
+    columns = docs.columns
+    named = stage(docs.toDF(*[f"c{i}" for i in range(len(columns))]).withColumn("row", F.monotonically_increasing_id()))
+    of = {c: f"c{i}" for i, c in enumerate(columns)}
+    groups = group_rows(named.select(F.col(of["doc_id"]).cast("long").alias("doc_id"), F.col(of["text"]).alias("text"), "row"), **options)
+    kept = groups.where("row = keep_row").select("row")
+    return named.join(kept, "row", "left_semi").drop("row").toDF(*columns)

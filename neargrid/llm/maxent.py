@@ -32,11 +32,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RunHashes, mix64, ragged, stage
-from .repeats import BUCKET_BYTES, unpacked
+from .common import RunHashes, mix64, ragged, stage, task_count
+from .repeats import _packed, unpacked
 from .repeats import packed_chunks as chunked
 
 HEAD = 1 << 14
+#: Text whose words are counted in one bucket.
+BUCKET_BYTES = 16 << 20
 #: Rank at which each frequency bin of the head ends.
 BINS = np.array([16, 64, 256, 1024, 4096, HEAD])
 SIGNS = 4
@@ -53,7 +55,7 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
-SENT = np.dtype([("hash", "<u8"), ("n", "<u4"), ("sign", "u1")])
+SENT = np.dtype([("hash", "<u8"), ("n", "<u8"), ("sign", "u1")])
 
 
 def held_out(doc_id) -> bool:
@@ -208,8 +210,9 @@ def _sum_counts(held, head: int):
     parts = [np.frombuffer(d, SENT) for _, d, _ in held]
     rows = np.concatenate(parts)
     hashes, first, of = np.unique(rows["hash"], return_index=True, return_inverse=True)
-    n = np.bincount(of, weights=rows["n"], minlength=len(hashes)).astype(np.int64)
-    back = n[of].astype("<u4")
+    n = np.zeros(len(hashes), dtype=np.int64)
+    np.add.at(n, of, rows["n"].astype(np.int64))
+    back = n[of].astype("<u8")
     cut = ragged([len(p) for p in parts])
     kinds = pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int64()
     names = ["chunk", "bucket", "data", "hash", "n", "sign", "kinds"]
@@ -224,19 +227,22 @@ def _sum_counts(held, head: int):
     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(([None] * 4, [None] * 4, [None] * 4, [None] * 4, [x[0] for x in per], [x[1] for x in per], [x[2] for x in per]), kinds, strict=True)], names=names)
 
 
-def count_words(chunks: DataFrame, head: int = HEAD) -> DataFrame:
-    """Rows of three kinds: counts for a chunk (chunk set), frequent words (hash set), sums of a sign (kinds set)."""
+def bucket_count(chunks: DataFrame) -> tuple[int, int]:
+    """Buckets that words fall into by their hash, and tasks that share them."""
     total = chunks.agg(F.sum("n_bytes")).first()[0] or 0
-    n = max(1, -(-total // BUCKET_BYTES))
+    tasks = task_count(chunks.sparkSession, total)
+    return max(tasks, -(-total // BUCKET_BYTES)), tasks
+
+
+def count_words(chunks: DataFrame, n: int, tasks: int, head: int = HEAD) -> DataFrame:
+    """Rows of three kinds: counts for a chunk (chunk set), frequent words (hash set), sums of a sign (kinds set)."""
 
     def send(batches):
         for chunk, table in _tables(batches):
             t = Tokens(table)
             rows = np.zeros(len(t.hashes), dtype=SENT)
             rows["hash"], rows["n"], rows["sign"] = t.hashes, t.counts(), t.sign
-            rows, cut = by_bucket(rows, n)
-            full = np.flatnonzero(np.diff(cut))
-            yield pa.RecordBatch.from_arrays([pa.array(full, pa.int64()), pa.array([chunk] * len(full), pa.int64()), pa.array([rows[cut[b] : cut[b + 1]].tobytes() for b in full.tolist()], pa.binary())], names=["bucket", "chunk", "data"])
+            yield _packed((rows["hash"] % np.uint64(n)).astype(np.int64), rows, chunk)
 
     sent = chunks.mapInArrow(send, "bucket long, chunk long, data binary")
 
@@ -253,16 +259,10 @@ def count_words(chunks: DataFrame, head: int = HEAD) -> DataFrame:
         if held:
             yield from _sum_counts(held, head)
 
-    ordered = sent.repartition("bucket").sortWithinPartitions("bucket")
+    ordered = sent.repartition(tasks, "bucket").sortWithinPartitions("bucket")
     return stage(ordered.mapInArrow(run, "chunk long, bucket long, data binary, hash long, n long, sign int, kinds long"))
 
 
-def by_bucket(rows: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    bucket = (rows["hash"] % np.uint64(n)).astype(np.int64)
-    order = np.argsort(bucket, kind="stable")
-    return rows[order], np.searchsorted(bucket[order], np.arange(n + 1))
-
-
 def train(chunks: DataFrame, model: Model) -> None:
     """Set the model's weights from all training documents."""
 
@@ -352,7 +352,8 @@ def fit(chunks: DataFrame, counted: DataFrame) -> tuple[Model, int, int]:
 def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     chunks = stage(chunked(docs), codec="uncompressed")
-    counted = count_words(chunks)
+    n_buckets, tasks = bucket_count(chunks)
+    counted = count_words(chunks, n_buckets, tasks)
     model, n, v = fit(chunks, counted)
     ends = int(model.words[END_CLASS])
     shared = docs.sparkSession.sparkContext.broadcast(model)  # some megabytes, whatever the input
@@ -360,7 +361,7 @@ def score(docs: DataFrame) -> DataFrame:
     def one(key, left: pa.Table, right: pa.Table) -> pa.Table:
         t = Tokens(unpacked(left.column("data")[0].as_py()))
         right = right.sort_by("bucket")
-        sent = np.concatenate([np.zeros(0, "<u4"), *(np.frombuffer(x, "<u4") for x in right.column("data").to_pylist())])
+        sent = np.concatenate([np.zeros(0, "<u8"), *(np.frombuffer(x, "<u8") for x in right.column("data").to_pylist())])
         counts = np.zeros(len(t.hashes), dtype=np.int64)
         buckets = (t.hashes % np.uint64(n_buckets)).astype(np.int64)
         counts[np.argsort(buckets, kind="stable")] = sent
@@ -371,6 +372,5 @@ def score(docs: DataFrame) -> DataFrame:
         columns = [pa.array(t.names, pa.int64()), pa.array(~t.train), pa.array(t.sizes, pa.int64()), pa.array(np.add.reduceat((c > 0)[t.of].astype(np.int64), first)), pa.array([n] * len(t.names), pa.int64()), pa.array(np.add.reduceat(base, first)), pa.array(np.add.reduceat(logs, first) / np.log(10))]
         return pa.Table.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
-    n_buckets = max(1, -(-(chunks.agg(F.sum("n_bytes")).first()[0] or 0) // BUCKET_BYTES))
     words = counted.where("chunk IS NOT NULL").select("chunk", "bucket", "data")
-    return chunks.groupBy("chunk").cogroup(words.groupBy("chunk")).applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.repartition(tasks, "chunk").groupBy("chunk").cogroup(words.repartition(tasks, "chunk").groupBy("chunk")).applyInArrow(one, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

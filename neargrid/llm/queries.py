@@ -23,7 +23,7 @@ def op3_deep_shallow_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_grace_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.group_texts(read_documents(spark, sf_dir)).drop("n_chars")
+    return exact_dedup.group_texts(read_documents(spark, sf_dir))
 
 
 def op5_nearest_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

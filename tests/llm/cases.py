@@ -23,8 +23,8 @@ EDGE = [
 
 def edge(spark, extra: bool = True):
     """Rows with nulls, empty and very long texts, equal rows, and extra columns with clashing names."""
-    rows = [(d, t, 1, "s", 0, 0) for d, t in EDGE]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, source string, bucket int, rank int")
+    rows = [(d, t, 1, "s", 0, 0, 0, "", 0, 0) for d, t in EDGE]
+    df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int, source string, bucket int, rank int, row int, __sha string, __bad int, toxic int")
     return df if extra else df.select("doc_id", "text")
 
 

@@ -42,7 +42,7 @@ def test_probabilities_sum_to_one(spark):
     docs = documents().head(60)
     df = spark.createDataFrame([*zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)], "doc_id long, text string").coalesce(1)
     chunks = maxent.chunked(df)
-    counted = maxent.count_words(chunks)
+    counted = maxent.count_words(chunks, 3, 2)
     model, _, _ = maxent.fit(chunks, counted)
     import pyarrow as pa
 
@@ -77,3 +77,43 @@ def test_chunks_stay_whole_where_files_are_split(spark):
         for k, v in old.items():
             spark.conf.set(k, v)
     assert plain == brute(rows)
+
+
+def test_counts_beyond_32_bits():
+    rows = np.zeros(2, dtype=maxent.SENT)
+    rows["hash"], rows["n"] = [5, 9], [5_000_000_000, (1 << 60) + 1]
+    first = next(iter(maxent._sum_counts([(1, rows.tobytes(), 0), (2, rows.tobytes(), 0)], 10)))
+    assert np.frombuffer(first.column("data")[0].as_py(), "<u8").tolist() == [10_000_000_000, (1 << 61) + 2]
+
+
+def test_scores_equal_the_formula(spark):
+    docs = documents().head(40)
+    df = spark.createDataFrame([*zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True)], "doc_id long, text string").coalesce(1)
+    chunks = maxent.chunked(df)
+    model, n, _ = maxent.fit(chunks, maxent.count_words(chunks, 3, 2))
+    table = next(iter(maxent._tables([r for r in pa_batches(chunks)])))[1]
+    t = maxent.Tokens(table)
+    counts = t.counts()
+    logs = model.logs(t, counts)
+    kind = model.classes(t)[0]
+    slots = model.features(t, kind)
+    c = [*counts.tolist(), 0]
+    for d in range(0, 40, 5):
+        for i in range(t.bounds[d], min(t.bounds[d] + 12, t.bounds[d + 1])):
+            w, past = t.of[i], [t.of[i - k] for k in (1, 2, 3) if i - k >= t.bounds[d]]
+            z = [model.bias[k] + sum(float(model.weights[s, k]) for s in slots[i]) for k in range(maxent.CLASSES)]
+            want = z[kind[w]] - math.log(sum(math.exp(x) for x in z))
+            if kind[w] != maxent.END_CLASS:
+                share = lambda x: (c[x] + maxent.ADD) / (model.words[kind[x]] + maxent.ADD * (model.kinds[kind[x]] + 1))
+                seen, norm, bonus = set(), 1.0, 0.0
+                for weight, x in zip(model.again, past, strict=False):
+                    if x not in seen and kind[x] == kind[w]:
+                        norm += share(x) * (math.exp(weight) - 1)
+                        bonus += weight * (x == w)
+                    seen.add(x)
+                want += math.log(share(w)) + bonus - math.log(norm)
+            assert abs(want - logs[i]) < 1e-3, (d, i)
+
+
+def pa_batches(chunks):
+    return chunks.toArrow().to_batches()

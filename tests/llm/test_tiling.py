@@ -12,7 +12,7 @@ import re
 
 def plain_tiles(a, b, least):
     """Greedy string tiling as defined: mark one longest common unmarked run after another."""
-    free_a, free_b, total = [True] * len(a), [True] * len(b), 0
+    free_a, free_b, tiles = [True] * len(a), [True] * len(b), []
     while True:
         best = (0, 0, 0)
         for i in range(len(a)):
@@ -23,9 +23,9 @@ def plain_tiles(a, b, least):
                 best = max(best, (n, -i, -j))
         n, i, j = best[0], -best[1], -best[2]
         if n < least:
-            return total
+            return tiles
+        tiles.append((n, i, j))
         free_a[i : i + n], free_b[j : j + n] = [False] * n, [False] * n
-        total += n
 
 
 @settings(max_examples=60, deadline=None)
@@ -40,9 +40,7 @@ def test_tiles_are_common_and_apart(a, b):
         used_a |= {*range(i, i + n)}
         used_b |= {*range(j, j + n)}
     want = plain_tiles(a, b, 2)
-    assert (want == 0) == (not tiles)
-    if tiles:
-        assert max(n for n, _, _ in tiles) == max(n for n, _, _ in tiles[:1])
+    assert tiles == want
 
 
 def test_query_finds_the_passages(spark):
@@ -68,3 +66,24 @@ def test_reordered_edge_and_empty(spark):
     assert many == got
     assert tiling.leaks(none(spark), bench).collect() == [] == tiling.leaks(docs, bench.limit(0)).collect()
     assert tiling.leaks(edge(spark), bench).collect() == []
+
+
+def test_query_equals_plain_tiling(spark):
+    docs, items = documents(), pd.read_parquet(f"{SF}/benchmark.parquet")
+    lower = lambda t: re.sub("[A-ZÀ-ÖØ-Þ]", lambda m: chr(ord(m[0]) + 32), t)
+    cut = lambda t: re.findall("[0-9a-z_\u0080-\U0010ffff]+", lower(t or ""))
+    seeds = lambda w: {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+    texts = {d: cut(t) for d, t in zip(docs.doc_id.tolist(), docs.text, strict=True)}
+    known = {d: seeds(w) for d, w in texts.items()}
+    want = {}
+    for i, t in zip(items.item_id.tolist(), items.text, strict=True):
+        own = cut(t)
+        for d, w in texts.items():
+            if seeds(own) & known[d]:
+                near = [any(tuple(w[k : k + 5]) in seeds(own) for k in range(max(0, j - 4), j + 1)) for j in range(len(w))]
+                at = [j for j in range(len(w)) if near[j] or (j and near[j - 1])]
+                covered = sum(n for n, _, _ in plain_tiles([w[j] if near[j] else None for j in at], own, 5))
+                if covered >= tiling.THRESHOLD * len(own):
+                    want[d, i] = (covered, len(own))
+    got = {(r.doc_id, r.item_id): (r.matched_words, r.item_words) for r in queries.op9_greedy_string_tiling(spark, SF).collect()}
+    assert got == want
