@@ -11,9 +11,10 @@ from pyspark.sql.window import Window
 from .functions import quantize, text
 from .functions.metrics import metric
 from .operators import evaluate, sampling
-from .operators.ann import GraphIndex, SignLsh
+from .operators.ann import GraphIndex, SignLsh, memory_bytes
 from .operators.knn import knn, knn_join, merge_shards, padded, rerank, top_k, translate_labels
-from .plans import bench, generate
+from .plans import bench, generate, report
+from .sources import bigann, staging
 
 K = 10
 DIMS = 64
@@ -205,7 +206,17 @@ def knn_binary_rerank(spark, sf_dir):
     return rounded(rerank(short, b.select("key", "vector"), q, K))
 
 
-@query("knn_scalar_quant")
+CUT = (1 - 0.99) / 2
+SCALAR_SQL = f"""{with_sql()}, e AS (SELECT vec_id, unnest(range(0, {DIMS})) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
+    bounds AS (SELECT dim, quantile_disc(x, {CUT}) AS low, quantile_disc(x, {1 - CUT}) AS high FROM e GROUP BY dim),
+    codes AS (SELECT vec_id, list(trunc(greatest(0, least(255, (x - low) / (high - low) * 255)))::DOUBLE ORDER BY dim) AS code FROM e JOIN bounds USING (dim) GROUP BY vec_id),
+    d AS (SELECT x.vec_id AS query_id, y.vec_id AS key, {fold_sql('x.code', 'y.code', '(x - y) * (x - y)')} AS distance FROM codes x, codes y WHERE x.vec_id % 10 = 0),
+    short AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS n FROM d) WHERE n <= {4 * K}),
+    s AS (SELECT short.query_id, short.key, {l2_sql()} AS distance FROM short JOIN q ON q.query_id = short.query_id JOIN b ON b.key = short.key),
+    r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank FROM s) WHERE rank <= {K})"""
+
+
+@query("knn_scalar_quant", f"{SCALAR_SQL} {ROWS}")
 def knn_scalar_quant(spark, sf_dir):
     """Codes between the bounds that hold 0.99 of each dimension, then exact distances of the best 4 K."""
     b, q = base(spark, sf_dir).select("key", "vector"), asked(spark, sf_dir)
@@ -274,6 +285,27 @@ def ndcg_at_10(spark, sf_dir):
     return rounded(evaluate.ndcg(*judged(spark, sf_dir), K), "ndcg")
 
 
+#: A backend that leaves queries unanswered: results beyond this squared distance are dropped, and the base has no queries.
+RADIUS = 1.2
+PARTLY_SQL = f"""{knn_sql(DISTANCE_SQL['l2'], where='key % 10 <> 0')}, truth AS (SELECT query_id, rank, key FROM r), results AS (SELECT query_id, rank, key FROM r WHERE distance <= {RADIUS})"""
+
+
+def partly(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    found = knn(base(spark, sf_dir).where("key % 10 <> 0"), asked(spark, sf_dir), K)
+    return found.where(F.col("distance") <= RADIUS).drop("distance"), found.drop("distance")
+
+
+@query("recall_unanswered", f"{PARTLY_SQL} SELECT round(count(results.key)::DOUBLE / count(*), 9) AS recall FROM truth LEFT JOIN results ON results.query_id = truth.query_id AND results.key = truth.key WHERE truth.rank = 1")
+def recall_unanswered(spark, sf_dir):
+    return rounded(evaluate.recall(*partly(spark, sf_dir), K, queries=asked(spark, sf_dir)), "recall", digits=9)
+
+
+@query("ndcg_unanswered", f"""{PARTLY_SQL} SELECT round(sum(dcg) / count(*), 6) AS ndcg FROM (SELECT q.query_id, coalesce(sum(1 / log2(results.rank + 1)), 0) / (SELECT sum(1 / log2(i + 1)) FROM range(1, {K + 1}) t(i)) AS dcg
+    FROM q LEFT JOIN results ON results.query_id = q.query_id GROUP BY q.query_id)""")
+def ndcg_unanswered(spark, sf_dir):
+    return rounded(evaluate.ndcg(*partly(spark, sf_dir), K, queries=asked(spark, sf_dir)), "ndcg")
+
+
 def curve(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     b = base(spark, sf_dir).select(F.col("key").alias("row"), "key", "vector")
     total = b.count()
@@ -309,16 +341,17 @@ def normalized_metrics(spark, sf_dir):
     return joined.select("step", "indexed", F.round(evaluate.normalized(F.col("recall"), F.col("indexed"), F.lit(total)), 6).alias("normalized"))
 
 
-@query("found_counts", f"{knn_sql(DISTANCE_SQL['l2'], where='key < 7')} SELECT query_id, count(*) AS found FROM r GROUP BY query_id")
+@query("found_counts", f"{PARTLY_SQL} SELECT query_id, count(*) AS found FROM results GROUP BY query_id")
 def found_counts(spark, sf_dir):
-    return evaluate.found_counts(knn(base(spark, sf_dir).where("key < 7"), asked(spark, sf_dir), K))
+    return evaluate.found_counts(partly(spark, sf_dir)[0])
 
 
-@query("padded_results", f"""{knn_sql(DISTANCE_SQL['l2'], where='key < 7')}, slots AS (SELECT query_id, unnest(range(1, {K + 1})) AS rank FROM q)
-    SELECT slots.query_id, slots.rank, coalesce(key, 4294967295) AS key, key IS NOT NULL AS filled FROM slots LEFT JOIN r ON r.query_id = slots.query_id AND r.rank = slots.rank""")
+@query("padded_results", f"""{PARTLY_SQL}, slots AS (SELECT query_id, unnest(range(1, {K + 1})) AS rank FROM q)
+    SELECT slots.query_id, slots.rank, coalesce(key, 4294967295) AS key, key IS NOT NULL AS filled FROM slots LEFT JOIN results r ON r.query_id = slots.query_id AND r.rank = slots.rank""")
 def padded_results(spark, sf_dir):
     q = asked(spark, sf_dir)
-    return padded(knn(base(spark, sf_dir).where("key < 7"), q, K), q, K).select("query_id", "rank", "key", (F.col("distance") < float("inf")).alias("filled"))
+    found = partly(spark, sf_dir)[0].withColumn("distance", F.lit(0.0))
+    return padded(found, q, K).select("query_id", "rank", "key", (F.col("distance") < float("inf")).alias("filled"))
 
 
 @query("translated_keys", f"""{knn_sql(DISTANCE_SQL['l2'])} SELECT query_id, rank, CASE WHEN key % 5 = 0 THEN 4294967295 ELSE key * 7 + 1 END AS key FROM r""")
@@ -337,12 +370,12 @@ def ground_truth_table(spark, sf_dir):
 @query("result_membership", f"WITH {TRUTH_SQL} SELECT results.query_id, results.rank, results.key, truth.rank AS true_rank FROM results LEFT JOIN truth ON truth.query_id = results.query_id AND truth.key = results.key")
 def result_membership(spark, sf_dir):
     results, truth = judged(spark, sf_dir)
-    return results.join(truth.withColumnRenamed("rank", "true_rank"), ["query_id", "key"], "left").select("query_id", "rank", "key", "true_rank")
+    return evaluate.membership(results, truth).select("query_id", "rank", "key", "true_rank")
 
 
 # ---------------------------------------------------------------- order, samples, shards
 
-HASH_SQL = "(vec_id + 42) * 2654435761 % 4294967296"
+HASH_SQL = sampling.row_hash_sql("vec_id")
 
 
 @query("insertion_order", f"SELECT vec_id AS row, row_number() OVER (ORDER BY {HASH_SQL}, vec_id) - 1 AS perm FROM embeddings")
@@ -381,12 +414,12 @@ def located_rows(spark, sf_dir):
 
 @query("row_slice", "SELECT vec_id AS row, CAST(embedding[1] AS DOUBLE) AS first_value FROM embeddings WHERE vec_id >= 100 AND vec_id < 150")
 def row_slice(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id >= 100 AND vec_id < 150").select(F.col("vec_id").alias("row"), F.col("embedding")[0].cast("double").alias("first_value"))
+    return sampling.sliced(table(spark, sf_dir, "embeddings"), 100, 150, "vec_id").select(F.col("vec_id").alias("row"), F.col("embedding")[0].cast("double").alias("first_value"))
 
 
 @query("row_cap", "SELECT count(*) AS rows FROM embeddings WHERE vec_id < 300")
 def row_cap(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").where("vec_id < 300").agg(F.count("*").alias("rows"))
+    return sampling.capped(table(spark, sf_dir, "embeddings"), 300, "vec_id").agg(F.count("*").alias("rows"))
 
 
 # ---------------------------------------------------------------- representations
@@ -418,7 +451,7 @@ def dim_bounds(spark, sf_dir):
 
 @query("memory_estimate", f"SELECT label, count(*) * ({DIMS} * 4 + 8 + 32 * 4) AS memory_bytes FROM embeddings GROUP BY label")
 def memory_estimate(spark, sf_dir):
-    return base(spark, sf_dir).groupBy("label").agg(F.sum(F.size("vector").cast("bigint") * 4 + 8 + 32 * 4).alias("memory_bytes"))
+    return base(spark, sf_dir).groupBy("label").agg(F.sum(memory_bytes(F.size("vector"), 16)).alias("memory_bytes"))
 
 
 @query("config_grid", "SELECT c::BIGINT AS connectivity, e::BIGINT AS expansion, t AS data_type FROM (SELECT unnest([16, 32, 48]) AS c), (SELECT unnest([64, 128]) AS e), (SELECT unnest(['f32', 'i8', 'b1']) AS t)")
@@ -471,17 +504,17 @@ def stored_keys(spark, sf_dir):
 
 @query("counter_rates", "SELECT event_id, CAST(event_id AS DOUBLE) / greatest(event_id % 7, 1) AS rate FROM events")
 def counter_rates(spark, sf_dir):
-    return table(spark, sf_dir, "events").select("event_id", (F.col("event_id").cast("double") / F.greatest(F.col("event_id") % 7, F.lit(1))).alias("rate"))
+    return table(spark, sf_dir, "events").select("event_id", report.rate(F.col("event_id"), F.col("event_id") % 7).alias("rate"))
 
 
 @query("outcome_counts", "SELECT event_type AS outcome, count(*) AS n FROM events GROUP BY event_type")
 def outcome_counts(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("outcome")).agg(F.count("*").alias("n"))
+    return bench.counts_by(table(spark, sf_dir, "events"), "event_type")
 
 
 @query("peak_value", "SELECT event_type, max(value) AS peak FROM events GROUP BY event_type")
 def peak_value(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.max("value").alias("peak"))
+    return report.peak_by(table(spark, sf_dir, "events"), "event_type", "value", "peak")
 
 
 # ---------------------------------------------------------------- without SQL
@@ -496,7 +529,26 @@ def _by_precision(name: str):
 
 
 for _name in ("f16", "bf16", "e5m2", "e4m3", "e3m2", "e2m3"):
-    query(f"knn_{_name}")(_by_precision(_name))
+    _v = f"list_transform(embedding, lambda v: {quantize.rounded_sql('v', _name)})"
+    query(f"knn_{_name}", f"{knn_sql(DISTANCE_SQL['l2'], _v)} {ROWS}")(_by_precision(_name))
+
+
+def found_share(spark, sf_dir, index, name: str) -> DataFrame:
+    """k, and whether a backend finds at least nine tenths of the k nearest."""
+    index.add(base(spark, sf_dir))
+    truth = knn(base(spark, sf_dir), asked(spark, sf_dir), K, name)
+    hit = truth.select("query_id", "key").join(index.search(asked(spark, sf_dir), K).select("query_id", "key", F.lit(1).alias("hit")), ["query_id", "key"], "left")
+    return hit.agg(F.lit(K).cast("bigint").alias("k"), (F.count("hit") >= 0.9 * F.count("*")).alias("enough"))
+
+
+@query("lsh_recall", f"SELECT {K}::BIGINT AS k, true AS enough")
+def lsh_recall(spark, sf_dir):
+    return found_share(spark, sf_dir, SignLsh(DIMS, "cos"), "cos")
+
+
+@query("graph_recall", f"SELECT {K}::BIGINT AS k, true AS enough")
+def graph_recall(spark, sf_dir):
+    return found_share(spark, sf_dir, GraphIndex("l2", block_rows=500), "l2")
 
 
 @query("knn_lsh")
@@ -513,14 +565,135 @@ def knn_graph(spark, sf_dir):
     return rounded(index.search(asked(spark, sf_dir), K))
 
 
-@query("generate_gaussian")
+TWO64 = 1 << 64
+
+
+def mixed_sql(row: str, column: str, seed: int, stream: int) -> str:
+    """64 bits from a counter, as `generate.mixed`, in UHUGEINT arithmetic; a list is used to name each step once."""
+    start = (seed * 0x2545F4914F6CDD1D + stream * 0xBF58476D1CE4E5B9) % TWO64
+
+    def times(x: str, factor: int) -> str:
+        return f"({x}::UHUGEINT * {factor}::UHUGEINT % {TWO64}::UHUGEINT)::UBIGINT"
+
+    x = f"((({row})::UHUGEINT * {0x9E3779B97F4A7C15}::UHUGEINT + ({column})::UHUGEINT * {0xD1B54A32D192ED03}::UHUGEINT + {start}::UHUGEINT) % {TWO64}::UHUGEINT)::UBIGINT"
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = times(f"list_transform([{x}], lambda m: xor(m, m >> {shift}))[1]", factor)
+    return f"list_transform([{x}], lambda m: xor(m, m >> 31))[1]"
+
+
+def uniform_sql(row: str, column: str, seed: int, stream: int) -> str:
+    return f"(({mixed_sql(row, column, seed, stream)} >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE)"
+
+
+@query("generate_gaussian", f"""WITH c AS (SELECT r::BIGINT AS row, j, {uniform_sql('r', 'j', 42, 0)} AS u, {uniform_sql('r', 'j', 42, 1)} AS v FROM range(2000) a(r), range(8) b(j)),
+    x AS (SELECT row, j, sqrt(-2 * ln(greatest(u, {generate.EPSILON!r}::DOUBLE))) AS s, 2 * pi() * v AS t FROM c)
+    SELECT row, 2 * j AS dim, round(CAST(CAST(s * cos(t) AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS value FROM x UNION ALL SELECT row, 2 * j + 1 AS dim, round(CAST(CAST(s * sin(t) AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS value FROM x""")
 def generate_gaussian(spark, sf_dir):
-    return generate.gaussian(spark, 2000, 16)
+    each = generate.gaussian(spark, 2000, 16).select("row", F.posexplode("vector").alias("dim", "value"))
+    return rounded(each.select("row", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value")), "value", digits=4)
 
 
-@query("generate_clustered_bits")
+@query("generate_clustered_bits", f"""WITH bit AS (SELECT r::BIGINT AS row, i::BIGINT AS bit, ({mixed_sql('r', '0', 42, 8)} % 256)::BIGINT AS centre, ({mixed_sql('r', 'i', 42, 9)} & 255) < 25 AS flip FROM range(2000) a(r), range(168) b(i)),
+    centres AS (SELECT c::BIGINT AS centre, i::BIGINT AS bit, ({mixed_sql('c', 'i // 64', 42, 7)} >> (i % 64)::INTEGER & 1) = 1 AS one FROM range(256) a(c), range(168) b(i))
+    SELECT row, bit, (one <> flip) AS value FROM bit JOIN centres USING (centre, bit)""")
 def generate_clustered_bits(spark, sf_dir):
-    return generate.clustered_bits(spark, 2000, 168)
+    bits = generate.clustered_bits(spark, 2000, 168).select("row", F.posexplode(quantize.unpacked_bits(F.col("words"), 168)).alias("bit", "value"))
+    return bits.select("row", F.col("bit").cast("bigint").alias("bit"), (F.col("value") == 1).alias("value"))
+
+
+# ---------------------------------------------------------------- vector files
+
+
+def _folder(spark) -> str:
+    """A new folder that driver and executors have mounted."""
+    import os
+
+    path = staging.shared_dir(spark).removeprefix("file://")
+    os.makedirs(path, exist_ok=True)
+    return path
+
+
+def _written(spark, sf_dir, ext: str) -> str:
+    """The embeddings as shard files of a vector format; their pattern."""
+    bigann.register(spark)
+    rows = base(spark, sf_dir).select(F.col("key").alias("row"), "vector")
+    if ext == "i8bin":
+        rows = rows.withColumn("vector", quantize.to_integer(F.col("vector"), "i8", 127.0))
+    elif ext == "u8bin":
+        rows = rows.withColumn("vector", quantize.to_integer(F.col("vector"), "u8", 255.0))
+    elif ext == "b1bin":
+        rows = rows.select("row", quantize.sign_words(F.col("vector"), DIMS).alias("words"), F.lit(DIMS).alias("bits"))
+    path = _folder(spark)
+    rows.repartitionByRange(3, "row").sortWithinPartitions("row").write.format("bigann").option("shards", "true").mode("append").save(f"{path}/base.{ext}")
+    return f"{path}/base_*.{ext}"
+
+
+def _numbers(df: DataFrame) -> DataFrame:
+    each = df.select("row", F.posexplode("vector").alias("dim", "value"))
+    return each.select("row", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value"))
+
+
+@query("bigann_fbin", f"SELECT vec_id AS row, unnest(range(0, {DIMS})) AS dim, CAST(unnest(embedding) AS DOUBLE) AS value FROM embeddings")
+def bigann_fbin(spark, sf_dir):
+    return _numbers(spark.read.format("bigann").load(_written(spark, sf_dir, "fbin")))
+
+
+for _name in ("i8", "u8"):
+    query(f"bigann_{_name}bin", f"SELECT vec_id AS row, unnest(range(0, {DIMS})) AS dim, CAST(unnest({INTEGER_SQL[_name]}) AS DOUBLE) AS value FROM embeddings")(lambda spark, sf_dir, ext=f"{_name}bin": _numbers(spark.read.format("bigann").load(_written(spark, sf_dir, ext))))
+
+
+@query("bigann_b1bin", f"SELECT vec_id AS row, {SIGN_SQL} AS word, {DIMS} AS bits FROM embeddings")
+def bigann_b1bin(spark, sf_dir):
+    return spark.read.format("bigann").load(_written(spark, sf_dir, "b1bin")).select("row", F.col("words")[0].alias("word"), "bits")
+
+
+@query("bigann_prefix_slice", "SELECT vec_id AS row, unnest(range(0, 16)) AS dim, CAST(unnest(embedding[1:16]) AS DOUBLE) AS value FROM embeddings WHERE vec_id >= 100 AND vec_id < 150")
+def bigann_prefix_slice(spark, sf_dir):
+    files = spark.read.format("bigann").option("dims", 16).load(_written(spark, sf_dir, "fbin"))
+    return _numbers(sampling.sliced(files, 100, 150))
+
+
+@query("bigann_ground_truth", f"{knn_sql(DISTANCE_SQL['l2'])} SELECT (query_id // 10) AS query_id, rank, key FROM r")
+def bigann_ground_truth(spark, sf_dir):
+    """Base, queries and ground truth written as a dataset; its neighbours read back."""
+    path = _folder(spark)
+    rows = base(spark, sf_dir).select(F.col("key").alias("row"), "vector")
+    generate.dataset(spark, rows, asked(spark, sf_dir).select((F.col("query_id") / 10).cast("bigint").alias("row"), "vector"), K, "l2", path, "fbin")
+    return evaluate.truth_table(spark.read.format("bigann").load(f"{path}/groundtruth.ibin"))
+
+
+@query("bigann_keys", "SELECT vec_id AS row, vec_id * 7 + 1 AS key FROM embeddings")
+def bigann_keys(spark, sf_dir):
+    bigann.register(spark)
+    path = _folder(spark)
+    keys = base(spark, sf_dir).select(F.col("key").alias("row"), (F.col("key") * 7 + 1).alias("key"))
+    keys.repartitionByRange("row").sortWithinPartitions("row").write.format("bigann").mode("append").save(f"{path}/keys.i32bin")
+    return spark.read.format("bigann").load(f"{path}/keys.i32bin")
+
+
+@query("gathered_rows", "SELECT e.event_id AS place, v.vec_id AS row, v.label FROM events e JOIN embeddings v ON v.vec_id = e.event_id * 7919 % 600")
+def gathered_rows(spark, sf_dir):
+    places = table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7919 % 600).alias("row"))
+    return sampling.gather(base(spark, sf_dir).select(F.col("key").alias("row"), "label"), places).select("place", "row", "label")
+
+
+@query("corpus_lines", r"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, doc_id, replace(replace(replace(coalesce(text, ''), '\', '\\'), chr(10), '\n'), chr(13), '\r') AS line FROM documents)
+    SELECT d.row, line, (doc_id * 37 % 256)::BIGINT AS first_byte FROM d""")
+def corpus_lines(spark, sf_dir):
+    """Texts and byte vectors written side by side, one line and one vector a row, read back and joined by row."""
+    path = _folder(spark)
+    rows = sampling.global_rank(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", name="row")
+    rows = rows.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: ((F.col("doc_id") + i) * 37 % 256).cast("int")))
+    generate.corpus(rows, path, "vector", "text")
+    files = spark.read.format("bigann").load(f"{path}/base_*.b1bin")
+    lines = spark.read.text(f"{path}/text").select("*", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = sampling.global_rank(lines, "file", "block", "at", name="row")
+    return lines.join(files, "row").select("row", F.col("value").alias("line"), F.col("words")[0].bitwiseAND(F.lit(255)).alias("first_byte"))
+
+
+@query("factory_strings", "SELECT * FROM (VALUES ('f32', 'IDMap,HNSW32,Flat'), ('f16', 'IDMap,HNSW32,SQfp16'), ('bf16', 'IDMap,HNSW32,SQbf16'), ('u8', 'IDMap,HNSW32,SQ8_direct'), ('i8', 'IDMap,HNSW32,SQ8_direct_signed'), ('b1', 'BHNSW32')) t(data_type, factory)")
+def factory_strings(spark, sf_dir):
+    return spark.createDataFrame([(t, bench.factory_string(t, 32)) for t in ("f32", "f16", "bf16", "u8", "i8", "b1")], "data_type string, factory string")
 
 
 __all__ = ["ORACLES", "QUERIES", "top_k"]

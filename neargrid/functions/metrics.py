@@ -154,21 +154,36 @@ def _g_cos(q, b):
     return np.where(norm == 0, 1.0, 1.0 - q @ b.T / np.where(norm == 0, 1.0, norm))
 
 
+def _terms(x: np.ndarray, y: np.ndarray, f) -> np.ndarray:
+    """For rows of equal numbers, the sum over dimensions, first to last."""
+    out = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        out += f(x[:, d], y[:, d])
+    return out
+
+
+def _p_cos(x, y):
+    norm = np.sqrt(_squares(x) * _squares(y))
+    return np.where(norm == 0, 1.0, 1.0 - _terms(x, y, np.multiply) / np.where(norm == 0, 1.0, norm))
+
+
 @dataclass(frozen=True)
 class Metric:
-    """column and block agree exactly; quick (if any) is a matrix product that may differ in the last bits."""
+    """column and block agree exactly; quick (if any) is a matrix product that may differ in the last bits, and pairs gives
+    what block gives for the pairs of rows that it proposes."""
 
     column: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
     bits: bool = False
     quick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
 
 
 METRICS: dict[str, Metric] = {
-    "l2": Metric(_l2, lambda q, b: _add(q, b, lambda x, y: (x - y) * (x - y)), quick=_g_l2),
-    "ip": Metric(_ip, lambda q, b: 1.0 - _add(q, b, np.multiply), quick=lambda q, b: 1.0 - q @ b.T),
-    "cos": Metric(_cos, _b_cos, quick=_g_cos),
-    "manhattan": Metric(_manhattan, lambda q, b: _add(q, b, lambda x, y: np.abs(x - y))),
+    "l2": Metric(_l2, lambda q, b: _add(q, b, lambda x, y: (x - y) * (x - y)), quick=_g_l2, pairs=lambda x, y: _terms(x, y, lambda a, b: (a - b) * (a - b))),
+    "ip": Metric(_ip, lambda q, b: 1.0 - _add(q, b, np.multiply), quick=lambda q, b: 1.0 - q @ b.T, pairs=lambda x, y: 1.0 - _terms(x, y, np.multiply)),
+    "cos": Metric(_cos, _b_cos, quick=_g_cos, pairs=_p_cos),
+    "manhattan": Metric(_manhattan, lambda q, b: _add(q, b, lambda x, y: np.abs(x - y)), pairs=lambda x, y: _terms(x, y, lambda a, b: np.abs(a - b))),
     "pearson": Metric(_pearson, _b_pearson),
     "haversine": Metric(_haversine, _b_haversine),
     "divergence": Metric(_divergence, _b_divergence),
@@ -179,6 +194,12 @@ METRICS: dict[str, Metric] = {
 ALIASES = {"l2sq": "l2", "euclidean": "l2", "dot": "ip", "inner_product": "ip", "cosine": "cos", "angular": "cos", "l1": "manhattan", "tanimoto": "jaccard", "jensenshannon": "divergence"}
 
 
+def pair_distances(name: str, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The distance of each row of x from the same row of y."""
+    m = metric(name)
+    return m.pairs(x, y) if m.pairs else np.array([m.block(x[i : i + 1], y[i : i + 1])[0, 0] for i in range(len(x))])
+
+
 def metric(name: str) -> Metric:
     key = ALIASES.get(name.lower(), name.lower())
     if key not in METRICS:

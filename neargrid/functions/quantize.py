@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,6 +47,13 @@ def sign_words(vector: Column, dims: int) -> Column:
     return F.array(*[word(s) for s in range(0, dims, 64)])
 
 
+def rounded_sql(x: str, name: str) -> str:
+    """The value of `rounded` in DuckDB's SQL."""
+    e, m, bias, top = {"f16": (5, 10, 15, 65504.0), "bf16": (8, 7, 127, 3.3895313892515355e38), **SMALL_FLOATS}[name]
+    step = f"pow(2.0::DOUBLE, greatest(floor(log2(abs(CAST({x} AS DOUBLE)))), {1 - bias}) - {m})"
+    return f"CASE WHEN {x} = 0 THEN 0.0::DOUBLE ELSE sign({x}) * least({top!r}::DOUBLE, CAST(round_even(abs(CAST({x} AS DOUBLE)) / {step}, 0) AS DOUBLE) * {step}) END"
+
+
 def grid(name: str) -> np.ndarray:
     """All finite values of a small float, ascending."""
     e, m, bias, top = SMALL_FLOATS[name]
@@ -81,18 +89,47 @@ def at_precision(vector: Column, name: str) -> Column:
 
     @F.pandas_udf("array<float>")
     def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda v: None if v is None else rounded(v, name))
+        some = s[s.notna()]
+        if not len(some):
+            return s
+        ends = np.cumsum([len(v) for v in some])
+        out = s.copy()
+        out[some.index] = pd.Series(np.split(rounded(np.concatenate(some.to_list()), name), ends[:-1]), index=some.index, dtype=object)
+        return out
 
     return run(vector)
 
 
-def dim_bounds(df: DataFrame, column: str, quantile: float = 1.0) -> DataFrame:
-    """Per dimension (dim from 0) the low and high bound that holds `quantile` of the values. One row a dimension."""
-    each = df.select(F.posexplode(column).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
+def dim_bounds(df: DataFrame, column: str, quantile: float = 1.0, accuracy: int = 100_000) -> DataFrame:
+    """Per dimension (dim from 0) the low and high bound that holds `quantile` of the values. One row a dimension.
+
+    The extremes are found in one pass that sends one row a dimension from each task. Other quantiles are values of the data
+    whose rank is right to one part in `accuracy` (exactly, for fewer rows), from sketches of bounded size.
+    """
     if quantile >= 1:
-        return each.groupBy("dim").agg(F.min("x").alias("low"), F.max("x").alias("high"))
+
+        def run(batches):
+            low = high = None
+            for batch in batches:
+                if batch.num_rows:
+                    x = batch.column(0).drop_null().flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+                    x = x.reshape(batch.num_rows - batch.column(0).null_count, -1)
+                    if len(x):
+                        low = x.min(axis=0) if low is None else np.minimum(low, x.min(axis=0))
+                        high = x.max(axis=0) if high is None else np.maximum(high, x.max(axis=0))
+            n = 0 if low is None else len(low)
+            yield pa.RecordBatch.from_arrays([pa.array(range(n), pa.int32()), pa.array([] if low is None else low, pa.float64()), pa.array([] if high is None else high, pa.float64())], names=["dim", "low", "high"])
+
+        parts = df.select(column).mapInArrow(run, "dim int, low double, high double")
+        return parts.groupBy("dim").agg(F.min("low").alias("low"), F.max("high").alias("high"))
+    each = df.select(F.posexplode(column).alias("dim", "x")).withColumn("x", F.col("x").cast("double"))
     cut = (1 - quantile) / 2
-    return each.groupBy("dim").agg(F.percentile("x", F.lit(cut)).alias("low"), F.percentile("x", F.lit(1 - cut)).alias("high"))
+    return each.groupBy("dim").agg(F.percentile_approx("x", F.lit(cut), accuracy).alias("low"), F.percentile_approx("x", F.lit(1 - cut), accuracy).alias("high"))
+
+
+def unpacked_bits(words: Column, bits: int) -> Column:
+    """64-bit words to an array of 0 and 1, the lowest bit first."""
+    return F.transform(F.sequence(F.lit(0), F.lit(bits - 1)), lambda i: F.call_function("shiftright", words[F.floor(i / 64).cast("int")], (i % 64).cast("int")).bitwiseAND(F.lit(1)).cast("tinyint"))
 
 
 def scalar_codes(df: DataFrame, column: str, bounds: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
-"""Approximate neighbours: sign-projection buckets and a sharded neighbour graph.
+"""Approximate neighbours: sign-projection buckets, and neighbour graphs behind centroids.
 
-Both are VectorIndex backends: `add` materialises, `search` returns query_id, rank, key, distance, `save` and `load` go
-through Parquet.
+All are VectorIndex backends: `add` materialises (so building is not billed to the first search, and survives lost
+executors), `search` returns query_id, rank, key, distance, `save` and `load` go through Parquet.
 """
 
 from __future__ import annotations
@@ -14,10 +14,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions.metrics import metric as find
+from ..functions.metrics import pair_distances
 from ..sources.staging import stage
-from .knn import knn, matrix, query_blocks, rerank, top_k
+from .knn import knn, matrix, rerank, top_k
+from .sampling import row_hash
 
 
 class VectorIndex(Protocol):
@@ -35,7 +38,7 @@ class FlatIndex:
     base: DataFrame | None = field(default=None, repr=False)
 
     def add(self, base: DataFrame) -> None:
-        base = base.select("key", "vector")
+        base = stage(base.select("key", "vector"))
         self.base = base if self.base is None else self.base.unionByName(base)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
@@ -50,6 +53,11 @@ class FlatIndex:
         return d or 0
 
 
+def memory_bytes(dims, connectivity: int, scalar_bytes: int = 4):
+    """Estimated memory of a row in a graph index: its vector, its key and two links of four bytes for each neighbour."""
+    return dims.cast("bigint") * scalar_bytes + 8 + 2 * connectivity * 4
+
+
 def _save_meta(spark: SparkSession, path: str, meta: dict) -> None:
     spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
 
@@ -58,39 +66,54 @@ def _save_meta(spark: SparkSession, path: str, meta: dict) -> None:
 class SignLsh:
     """Random hyperplanes: vectors that fall on the same side of `bits` planes share a bucket in one of `tables` tables.
 
-    Buckets only propose; candidates are scored exactly. Rows of large buckets are salted over `salts` tasks.
+    bits = 0: chosen by the first `add`, so that a bucket holds some `bucket_rows` rows whatever their number. A query looks
+    into its own bucket and those `probes` that differ in the planes it lies nearest to. Buckets only propose; each
+    task counts a candidate once and keeps what its query shares most tables with (`candidates` a query), which are scored
+    exactly. Rows of a bucket are salted over `salts` tasks.
     """
 
     dims: int
     metric: str = "cos"
-    tables: int = 16
-    bits: int = 6
+    tables: int = 24
+    bits: int = 0
+    bucket_rows: int = 32
+    probes: int = 4
+    candidates: int = 1000
     salts: int = 4
     seed: int = 42
     entries: DataFrame | None = field(default=None, repr=False)
     base: DataFrame | None = field(default=None, repr=False)
 
-    def _buckets(self, df: DataFrame, name: str) -> DataFrame:
+    def _buckets(self, df: DataFrame, name: str, probes: int = 0) -> DataFrame:
         planes = np.random.default_rng(self.seed).standard_normal((self.tables, self.bits, self.dims))
         weights, tables, bits = 1 << np.arange(self.bits), self.tables, self.bits
+        probes = min(probes, bits)
 
         def run(batches):
             for batch in batches:
-                x = matrix(batch.column(1), False)
-                codes = ((np.einsum("tbd,nd->ntb", planes, x) > 0) * weights).sum(axis=2) + (np.arange(tables) << bits)
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column(0).to_numpy(), tables)), pa.array(codes.ravel().astype(np.int64))], names=[name, "bucket"])
+                side = np.einsum("tbd,nd->ntb", planes, matrix(batch.column(1), False))
+                own = ((side > 0) * weights).sum(axis=2)
+                near = weights[np.argsort(np.abs(side), axis=2)[:, :, :probes]]
+                codes = np.concatenate([own[:, :, None], own[:, :, None] ^ near], axis=2) + (np.arange(tables) << bits)[None, :, None]
+                names = np.repeat(batch.column(0).to_numpy(), tables * (1 + probes))
+                yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(codes.ravel().astype(np.int64))], names=[name, "bucket"])
 
         return df.select(F.col(name).cast("long"), "vector").mapInArrow(run, f"{name} long, bucket long")
 
     def add(self, base: DataFrame) -> None:
-        base = base.select("key", "vector")
-        entries = self._buckets(base, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(self.salts)))
+        base = stage(base.select("key", "vector"))
+        if not self.bits:
+            self.bits = int(np.clip(np.ceil(np.log2(max(1, base.count()) / self.bucket_rows)), 3, 40))
+        entries = stage(self._buckets(base, "key").withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(self.salts))))
         self.base = base if self.base is None else self.base.unionByName(base)
         self.entries = entries if self.entries is None else self.entries.unionByName(entries)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        asked = self._buckets(queries, "query_id").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.salts - 1).cast("bigint"))))
-        return rerank(asked.join(self.entries, ["bucket", "salt"]).select("query_id", "key").distinct(), self.base, queries, k, self.metric)
+        asked = self._buckets(queries, "query_id", self.probes).withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(self.salts - 1).cast("bigint"))))
+        pairs = asked.join(self.entries, ["bucket", "salt"]).groupBy("query_id", "key").agg(F.count("*").alias("n"))
+        w = Window.partitionBy("query_id").orderBy(F.desc("n"), "key")
+        some = pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= max(self.candidates, k))
+        return rerank(some.select("query_id", "key"), self.base, queries, k, self.metric)
 
     def save(self, path: str) -> None:
         self.base.write.parquet(f"{path}/rows")
@@ -104,87 +127,157 @@ def asdict_simple(x) -> dict:
     return {k: v for k, v in x.__dict__.items() if isinstance(v, int | float | str)}
 
 
-def _beam(names: list[int], asked: np.ndarray, name: str, width: int, k: int):
-    """Beam search of one block's graph for a block of queries."""
-
-    def beam(key, table):
-        x, ids = matrix(table.column("vector").combine_chunks(), False), table.column("key").to_numpy()
-        links = table.column("neighbors").to_pylist()
-        distance = find(name).block
-        start = np.unique(np.linspace(0, len(x) - 1, 8).astype(int))
-        rows_out = []
-        for q, v in zip(names, asked, strict=True):
-            seen = set(start.tolist())
-            pool = sorted(zip(distance(v[None], x[start])[0].tolist(), ids[start].tolist(), start.tolist(), strict=True))
-            done: set[int] = set()
-            while todo := [p for p in pool[:width] if p[2] not in done][:8]:
-                done.update(p[2] for p in todo)
-                fresh = sorted({j for p in todo for j in links[p[2]]} - seen)
-                seen.update(fresh)
-                if fresh:
-                    pool = sorted(pool + list(zip(distance(v[None], x[fresh])[0].tolist(), ids[fresh].tolist(), fresh, strict=True)))[:width]
-            rows_out += [(q, i, d) for d, i, _ in pool[:k]]
-        columns = list(zip(*rows_out, strict=True)) if rows_out else [[], [], []]
-        return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=["query_id", "key", "distance"])
+def beam_search(x: np.ndarray, links: np.ndarray, asked: np.ndarray, name: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places and distances of the k nearest rows that a beam of `width` finds in a graph, for all queries at once.
 
-    return beam
-
-
-GRAPH = "shard long, block long, key long, vector array<float>, neighbors array<int>"
+    links: the neighbours of each row, -1 where there are fewer. Each step expands the eight nearest rows not yet expanded.
+    """
+    n, q = len(x), len(asked)
+    start = np.unique(np.linspace(0, n - 1, ENTRIES).astype(int))
+    seen, done = np.zeros((q, n), dtype=bool), np.zeros((q, n), dtype=bool)
+    seen[:, start] = True
+    pool = np.tile(start, (q, 1))
+    dist = find(name).block(asked, x[start])
+    while True:
+        order = np.argsort(dist, axis=1, kind="stable")[:, :width]
+        pool, dist = np.take_along_axis(pool, order, axis=1), np.take_along_axis(dist, order, axis=1)
+        fresh = np.isfinite(dist) & ~np.take_along_axis(done, pool, axis=1)
+        fresh &= np.cumsum(fresh, axis=1) <= 8
+        rows, at = np.nonzero(fresh)
+        if not len(rows):
+            return pool[:, :k], dist[:, :k]
+        done[rows, pool[rows, at]] = True
+        near = links[pool[rows, at]]
+        who, what = np.repeat(rows, near.shape[1]), near.ravel()
+        new = what >= 0
+        code = np.unique(who[new] * n + what[new])
+        who, what = code // n, code % n
+        new = ~seen[who, what]
+        who, what = who[new], what[new]
+        seen[who, what] = True
+        found = pair_distances(name, asked[who], x[what])
+        # one more column for each new row of a query
+        nth = np.arange(len(who)) - np.searchsorted(who, who)
+        wide = int(nth.max(initial=-1)) + 1
+        more, far = np.zeros((q, wide), dtype=np.int64), np.full((q, wide), np.inf)
+        more[who, nth], far[who, nth] = what, found
+        pool, dist = np.concatenate([pool, more], axis=1), np.concatenate([dist, far], axis=1)
+
+
+def neighbour_graph(x: np.ndarray, name: str, m: int) -> list[list[int]]:
+    """The m nearest rows of each row, edges both ways (which keeps far groups reachable)."""
+    quick = find(name).quick or find(name).block
+    near: list[list[int]] = []
+    for a in range(0, len(x), 1024):
+        d = quick(x[a : a + 1024], x)
+        d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
+        w = min(m, len(x) - 1)
+        near += np.argpartition(d, w - 1, axis=1)[:, :w].tolist() if 0 < w < len(x) else [[] for _ in d]
+    both = [set(n) for n in near]
+    for i, n in enumerate(near):
+        for j in n:
+            both[j].add(i)
+    return [sorted(s) for s in both]
+
+
+GRAPH = "list long, block long, key long, vector array<float>, neighbors array<int>"
+#: Rows of a block at which every search of it begins.
+ENTRIES = 32
+#: Rows that centroids are fitted on, and centroids, at most. Rows are all indexed.
+FIT_ROWS, MAX_LISTS = 1 << 14, 1 << 12
 
 
 @dataclass
 class GraphIndex:
-    """A neighbour graph for each shard's blocks, searched by beams; shards' results are merged.
+    """Lists around centroids, each cut into blocks of at most about `block_rows` rows with a neighbour graph of their own.
 
-    connectivity: neighbours kept for each row; expansion_search: width of the beam (at least k). A block has at most
-    `block_rows` rows, so no task holds more than one block of a shard at a time; every block is searched.
+    connectivity: neighbours kept for each row; expansion_search: width of the beam (at least k); lists = 0: one for each
+    `block_rows` rows. Queries are rows, which are sent to the blocks of their `probes` nearest lists; blocks are searched by
+    beams, and results are merged. Centroids are fitted on FIT_ROWS rows with the least hash.
     """
 
     metric: str = "l2"
     connectivity: int = 16
-    expansion_search: int = 64
-    shards: int = 4
-    block_rows: int = 20_000
+    expansion_search: int = 96
+    lists: int = 0
+    probes: int = 8
+    block_rows: int = 10_000
+    centroids: list | None = field(default=None, repr=False)
     graph: DataFrame | None = field(default=None, repr=False)
 
+    def _fit(self, base: DataFrame) -> None:
+        total = base.count()
+        self.lists = self.lists or int(np.clip(-(-total // self.block_rows), 1, MAX_LISTS))
+        some = base.orderBy(row_hash(F.col("key")), "key").limit(FIT_ROWS).select("vector").toArrow().column(0).combine_chunks()  # FIT_ROWS rows at most
+        x = matrix(some, False)
+        centres = x[np.linspace(0, max(0, len(x) - 1), min(self.lists, len(x))).astype(int)]
+        for _ in range(8):
+            of = find("l2").quick(x, centres).argmin(axis=1) if len(x) else np.zeros(0, dtype=int)
+            sums = np.zeros_like(centres)
+            np.add.at(sums, of, x)
+            n = np.bincount(of, minlength=len(centres))
+            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+        self.centroids = centres.tolist()
+
+    def _lists(self, df: DataFrame, name: str, probes: int) -> DataFrame:
+        """df with a column list: one row for each of the nearest `probes` lists."""
+        centres = np.array(self.centroids)
+        probes = min(probes, len(centres))
+
+        def run(batches):
+            for batch in batches:
+                d = find("l2").quick(matrix(batch.column(1), False), centres)
+                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
+                of = np.repeat(np.arange(batch.num_rows), near.shape[1])
+                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["list", name, "vector"])
+
+        return df.select(F.col(name).cast("long"), F.col("vector").cast("array<float>")).mapInArrow(run, f"list long, {name} long, vector array<float>")
+
     def add(self, base: DataFrame) -> None:
         m, name = self.connectivity, self.metric
-        blocks = max(1, -(-base.count() // (self.shards * self.block_rows) * 2))
+        base = stage(base.select("key", "vector"))
+        if self.centroids is None:
+            self._fit(base)
 
         def build(key, table):
             x = matrix(table.column("vector").combine_chunks(), False)
-            quick = find(name).quick or find(name).block
-            near = []
-            for a in range(0, len(x), 1024):
-                d = quick(x[a : a + 1024], x)
-                d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-                w = min(m, len(x) - 1)
-                near += np.argpartition(d, w - 1, axis=1)[:, :w].tolist() if 0 < w < len(x) else [[] for _ in d]
-            # edges both ways keep far groups reachable
-            both = [set(n) for n in near]
-            for i, n in enumerate(near):
-                for j in n:
-                    both[j].add(i)
-            out = pa.array([sorted(s) for s in both], pa.list_(pa.int32()))
-            return pa.Table.from_arrays([table.column("shard"), table.column("block"), table.column("key"), table.column("vector").cast(pa.list_(pa.float32())), out], names=["shard", "block", "key", "vector", "neighbors"])
-
-        placed = base.select(F.pmod("key", F.lit(self.shards)).cast("long").alias("shard"), F.pmod(F.xxhash64("key"), F.lit(blocks)).cast("long").alias("block"), F.col("key").cast("long"), F.col("vector").cast("array<float>"))
-        # written now, so building is not billed to the first search and survives lost executors
-        graph = stage(placed.groupBy("shard", "block").applyInArrow(build, GRAPH))
+            links = pa.array(neighbour_graph(x, name, m), pa.list_(pa.int32()))
+            return pa.Table.from_arrays([*(table.column(c) for c in ("list", "block", "key", "vector")), links], names=["list", "block", "key", "vector", "neighbors"])
+
+        listed = stage(self._lists(base, "key", 1))
+        blocks = listed.groupBy("list").agg(F.ceil(F.count("*") / self.block_rows).cast("bigint").alias("blocks"))
+        first = 0 if self.graph is None else (self.graph.agg(F.max("block")).first()[0] or 0) + 1
+        placed = listed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")) + F.lit(first))  # MAX_LISTS rows at most
+        graph = stage(placed.select("list", "block", "key", "vector").groupBy("list", "block").applyInArrow(build, GRAPH))
         self.graph = graph if self.graph is None else self.graph.unionByName(graph)
 
     def search(self, queries: DataFrame, k: int) -> DataFrame:
-        out = None
-        for rows in query_blocks(queries, 16 << 20):
-            beam = _beam([r["query_id"] for r in rows], np.array([r["vector"] for r in rows], dtype=float), self.metric, max(self.expansion_search, k), k)
-            part = self.graph.groupBy("shard", "block").applyInArrow(beam, "query_id long, key long, distance double")
-            out = part if out is None else out.unionByName(part)
-        return top_k(out, k).select("query_id", "rank", "key", "distance")
+        name, width = self.metric, max(self.expansion_search, k)
+
+        def run(key, block: pa.Table, asked: pa.Table) -> pa.Table:
+            out = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
+            if block.num_rows and asked.num_rows:
+                x, ids = matrix(block.column("vector").combine_chunks(), False), block.column("key").to_numpy()
+                lists = block.column("neighbors").combine_chunks()
+                n = np.diff(lists.offsets.to_numpy())
+                links = np.full((len(x), int(n.max(initial=0))), -1, dtype=np.int64)
+                links[np.repeat(np.arange(len(x)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+                names, y = asked.column("query_id").to_numpy(), matrix(asked.column("vector").combine_chunks(), False)
+                for a in range(0, len(y), 256):
+                    at, dist = beam_search(x, links, y[a : a + 256], name, width, k)
+                    on = np.isfinite(dist)
+                    out.append((np.repeat(names[a : a + 256], dist.shape[1])[on.ravel()], ids[at[on]], dist[on]))
+            return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "key", "distance"])
+
+        blocks = self.graph.select(F.col("list").alias("list"), F.col("block").alias("block")).distinct()
+        routed = self._lists(queries, "query_id", self.probes).join(blocks, "list").select("list", "block", "query_id", "vector")
+        wanted = self.graph.select("list", "block", "key", "vector", "neighbors")
+        found = wanted.groupBy("list", "block").cogroup(routed.groupBy("list", "block")).applyInArrow(run, "query_id long, key long, distance double")
+        return top_k(found, k).select("query_id", "rank", "key", "distance")
 
     def save(self, path: str) -> None:
-        self.graph.write.partitionBy("shard").parquet(f"{path}/rows")
-        _save_meta(self.graph.sparkSession, path, {"kind": "graph", **asdict_simple(self)})
+        self.graph.write.parquet(f"{path}/rows")
+        _save_meta(self.graph.sparkSession, path, {"kind": "graph", "centroids": self.centroids, **asdict_simple(self)})
 
     def size_bytes(self) -> int:
         return self.graph.agg(F.sum(F.size("vector") * 4 + F.size("neighbors") * 4 + 8).alias("n")).first()["n"] or 0
@@ -200,4 +293,4 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
         index = SignLsh(**meta)
         index.add(rows)
         return index
-    return GraphIndex(**meta, graph=rows.select("shard", "block", "key", "vector", "neighbors").withColumn("shard", F.col("shard").cast("long")))
+    return GraphIndex(**meta, graph=rows)

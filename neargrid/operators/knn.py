@@ -18,13 +18,17 @@ from pyspark.sql.window import Window
 
 from ..functions.metrics import metric as find
 
-#: Bytes of query vectors (as doubles) that go to the tasks at once, and of distances that a task holds.
+#: Bytes of query vectors (as doubles) that go to the tasks at once.
 QUERY_BYTES = 64 << 20
-TILE_BYTES = 64 << 20
+#: Queries and base rows whose distances are held at once.
+QUERY_TILE, BASE_TILE = 1024, 4096
 MISSING_KEY = 4294967295
 
 
-def check_k(k: int, base_rows: int | None = None) -> None:
+def check_k(k: int, base_rows: int | None = None, base_dims: int | None = None, query_dims: int | None = None) -> None:
+    """k must be in 1..base_rows, and both sides have the same dimensions."""
+    if base_dims is not None and query_dims is not None and base_dims != query_dims:
+        raise ValueError(f"base vectors have {base_dims} dimensions, queries {query_dims}")
     if k < 1:
         raise ValueError("k must be at least 1")
     if base_rows is not None and k > base_rows:
@@ -37,49 +41,51 @@ def top_k(pairs: DataFrame, k: int, *by: str) -> DataFrame:
     return pairs.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
-def _best(key: np.ndarray, dist: np.ndarray, keys: np.ndarray, new: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """k least (distance, key) of each row of two sets."""
-    dist = np.concatenate([dist, new], axis=1)
-    key = np.concatenate([key, np.broadcast_to(keys, new.shape)], axis=1)
-    order = np.lexsort((key, dist), axis=1)[:, :k]
-    return np.take_along_axis(key, order, axis=1), np.take_along_axis(dist, order, axis=1)
-
-
 class Scan:
-    """The k nearest of what went by, for a block of queries."""
+    """The k nearest of what went by, for a block of queries. Tiles of both sides have fixed sizes."""
 
     def __init__(self, queries: np.ndarray, k: int, name: str):
         self.metric, self.queries, self.k = find(name), queries, k
-        self.key = np.zeros((len(queries), 0), dtype=np.int64)
-        self.dist = np.zeros((len(queries), 0))
+        self.key = np.full((len(queries), k), np.iinfo(np.int64).max)
+        self.dist = np.full((len(queries), k), np.inf)
 
     def add(self, keys: np.ndarray, vectors: np.ndarray) -> None:
-        step = max(1, TILE_BYTES // (8 * max(1, len(self.queries))))
-        for a in range(0, len(keys), step):
-            own, names = vectors[a : a + step], keys[a : a + step]
-            if self.metric.quick is None or len(own) <= 4 * self.k:
-                self.key, self.dist = _best(self.key, self.dist, names, self.metric.block(self.queries, own), self.k)
-            else:
-                self._shortlist(names, own)
-
-    def _shortlist(self, names: np.ndarray, own: np.ndarray) -> None:
-        """A matrix product proposes more than k; the exact order of terms decides."""
-        quick = self.metric.quick(self.queries, own)
-        worst = np.partition(quick, self.k - 1, axis=1)[:, self.k - 1]
+        for a in range(0, len(keys), BASE_TILE):
+            names, own = keys[a : a + BASE_TILE], vectors[a : a + BASE_TILE]
+            for c in range(0, len(self.queries), QUERY_TILE):
+                (self._scan if self.metric.quick is None else self._shortlist)(c, self.queries[c : c + QUERY_TILE], names, own)
+
+    def _scan(self, c: int, asked: np.ndarray, names: np.ndarray, own: np.ndarray) -> None:
+        """Every distance, in the order of terms."""
+        exact = self.metric.block(asked, own)
+        rows, cols = np.nonzero(exact <= self._bar(c, exact)[:, None])
+        self._merge(c, rows, names[cols], exact[rows, cols])
+
+    def _shortlist(self, c: int, asked: np.ndarray, names: np.ndarray, own: np.ndarray) -> None:
+        """A matrix product proposes whatever may come before the k-th so far; the exact order of terms decides."""
+        quick = self.metric.quick(asked, own)
         scale = np.abs(quick).max(initial=1.0) + np.abs(own).max(initial=1.0) ** 2 * own.shape[1]
-        near = quick <= (worst + 1e-11 * scale)[:, None]
-        rows, cols = np.nonzero(near)
-        bounds = np.searchsorted(rows, np.arange(len(self.queries) + 1))
-        wide = int(np.diff(bounds).max())
-        key = np.full((len(self.queries), wide), np.iinfo(np.int64).max)
-        dist = np.full((len(self.queries), wide), np.inf)
-        for q in range(len(self.queries)):
-            at = cols[bounds[q] : bounds[q + 1]]
-            key[q, : len(at)] = names[at]
-            dist[q, : len(at)] = self.metric.block(self.queries[q : q + 1], own[at])[0]
-        dist, key = np.concatenate([self.dist, dist], axis=1), np.concatenate([self.key, key], axis=1)
-        order = np.lexsort((key, dist), axis=1)[:, : self.k]
-        self.key, self.dist = np.take_along_axis(key, order, axis=1), np.take_along_axis(dist, order, axis=1)
+        rows, cols = np.nonzero(quick <= self._bar(c, quick)[:, None] + 1e-11 * scale)
+        self._merge(c, rows, names[cols], self.metric.pairs(asked[rows], own[cols]))
+
+    def _bar(self, c: int, distances: np.ndarray) -> np.ndarray:
+        """For each query a bound on its k-th distance, from what went by and from this tile."""
+        bar = self.dist[c : c + len(distances), -1]
+        if distances.shape[1] > self.k and np.isinf(bar).any():
+            bar = np.minimum(bar, np.partition(distances, self.k - 1, axis=1)[:, self.k - 1])
+        return bar
+
+    def _merge(self, c: int, rows: np.ndarray, keys: np.ndarray, distances: np.ndarray) -> None:
+        """Keep the k least (distance, key) of each query that got new rows."""
+        on = np.unique(rows)
+        if not len(on):
+            return
+        row = np.concatenate([np.repeat(on, self.k), rows])
+        dist, key = np.concatenate([self.dist[c + on].ravel(), distances]), np.concatenate([self.key[c + on].ravel(), keys])
+        order = np.lexsort((key, dist, row))
+        first = np.searchsorted(row[order], on)
+        keep = order[first[:, None] + np.arange(self.k)]
+        self.dist[c + on], self.key[c + on] = dist[keep], key[keep]
 
 
 def matrix(column: pa.Array, bits: bool) -> np.ndarray:

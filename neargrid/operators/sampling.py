@@ -1,6 +1,6 @@
 """Order, sampling and placement of base rows, all as functions of the row number.
 
-The order does not depend on partitions or machines: rows are sorted by a multiplicative hash of the row number and a seed.
+The order does not depend on partitions or machines: rows are sorted by a mixed hash of the row number and a seed.
 """
 
 from __future__ import annotations
@@ -11,12 +11,28 @@ from pyspark.sql.window import Window
 
 from ..sources.staging import stage
 
-MULTIPLIER = 2654435761
-MODULUS = 4294967296
+#: Two rounds of xor, shift and multiplication over 32 bits; products stay below 2**63.
+ROUNDS = ((16, 0x7FEB352D), (15, 0x31848BAB))
+MASK = 0xFFFFFFFF
 
 
 def row_hash(row: Column, seed: int = 42) -> Column:
-    return F.pmod((row + F.lit(seed)) * F.lit(MULTIPLIER), F.lit(MODULUS))
+    """32 mixed bits of a row number of any size."""
+    x = row.cast("bigint") + F.lit(seed)
+    high = F.shiftright(x, 32)
+    x = x.bitwiseAND(F.lit(MASK)).bitwiseXOR((high * F.lit(0x1E3779B1)).bitwiseAND(F.lit(MASK)))
+    for shift, factor in ROUNDS:
+        x = (x.bitwiseXOR(F.shiftright(x, shift)) * F.lit(factor)).bitwiseAND(F.lit(MASK))
+    return x.bitwiseXOR(F.shiftright(x, 16))
+
+
+def row_hash_sql(row: str, seed: int = 42) -> str:
+    """The same in ANSI SQL with bit operators."""
+    x = f"(({row}) + {seed})::BIGINT"
+    x = f"xor({x} & {MASK}, (({x} >> 32) * {0x1E3779B1}) & {MASK})"
+    for shift, factor in ROUNDS:
+        x = f"((xor({x}, ({x}) >> {shift}) * {factor}) & {MASK})"
+    return f"xor({x}, {x} >> 16)"
 
 
 def global_rank(df: DataFrame, *order: Column | str, name: str = "perm") -> DataFrame:
@@ -45,6 +61,24 @@ def sample(base: DataFrame, n: int, row: str = "row", seed: int = 42) -> DataFra
     return base.withColumn("__h", row_hash(F.col(row), seed)).orderBy("__h", row).limit(n).drop("__h")
 
 
+def gather(base: DataFrame, rows: DataFrame, row: str = "row") -> DataFrame:
+    """The base rows with the numbers in rows (place, row), in their places; a number given twice gives two rows, one
+    that the base does not have gives none."""
+    return rows.select("place", row).join(base, row)
+
+
+def sliced(base: DataFrame, first: int, last: int, row: str = "row") -> DataFrame:
+    """Rows first .. last - 1; a condition that sources prune by."""
+    if first < 0 or last < first:
+        raise ValueError(f"no rows {first}..{last}")
+    return base.where((F.col(row) >= first) & (F.col(row) < last))
+
+
+def capped(base: DataFrame, rows: int | None, row: str = "row") -> DataFrame:
+    """The first `rows` rows by number, all if None."""
+    return base if rows is None else sliced(base, 0, rows, row)
+
+
 def shard_of(place: Column, shards: int) -> Column:
     return F.pmod(place, F.lit(shards))
 

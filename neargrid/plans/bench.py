@@ -40,7 +40,7 @@ class BenchSpec:
         if self.output and os.path.isfile(self.output):
             raise ValueError(f"output {self.output} is not a directory")
         if self.max_base_vectors is not None:
-            self.base = self.base.where(F.col("row") < self.max_base_vectors)
+            self.base = sampling.capped(self.base, self.max_base_vectors)
         if self.dimensions:
             for name in ("base", "queries"):
                 setattr(self, name, getattr(self, name).withColumn("vector", F.slice("vector", 1, self.dimensions)))
@@ -90,9 +90,9 @@ def search_only(spec: BenchSpec, index: VectorIndex) -> list[dict]:
 
 def step_entry(results, spec, indexed, total, rows, added, n_queries, searched, size) -> dict:
     scores = {
-        "recall_at_1": evaluate.recall(results, spec.truth, 1).first()[0],
-        "recall_at_10": evaluate.recall(results, spec.truth, 10).first()[0],
-        "ndcg_at_10": evaluate.ndcg(results, spec.truth, 10).first()[0],
+        "recall_at_1": evaluate.recall(results, spec.truth, 1, queries=spec.queries).first()[0],
+        "recall_at_10": evaluate.recall(results, spec.truth, 10, queries=spec.queries).first()[0],
+        "ndcg_at_10": evaluate.ndcg(results, spec.truth, 10, queries=spec.queries).first()[0],
     }
     share = indexed / total if total else 0.0
     norm = {f"{k}_normalized": min(v / share, 1.0) if share and v else 0.0 for k, v in scores.items()}
@@ -107,8 +107,32 @@ def grid(**axes) -> Iterator[dict]:
         yield dict(zip(names, values, strict=True))
 
 
-def sweep(spec: BenchSpec, build: Callable[[dict], VectorIndex], configs: list[dict], name: str = "index") -> dict[str, int]:
-    """Run every configuration; a failed one is recorded and the sweep goes on. Reports go to spec.output."""
+def check_single(index_path: str | None, configs: list[dict]) -> None:
+    """An index that is saved or loaded has one path, so only one configuration can use it."""
+    if index_path and len(configs) > 1:
+        raise ValueError(f"an index path needs one configuration, not {len(configs)}")
+
+
+def counts_by(df: DataFrame, column: str, name: str = "outcome") -> DataFrame:
+    """How often each outcome occurred."""
+    return df.groupBy(F.col(column).alias(name)).agg(F.count("*").alias("n"))
+
+
+def factory_string(data_type: str, connectivity: int) -> str:
+    """Name of a graph index over a storage type, in the notation of index factories."""
+    # fixed values
+    storage = {"f32": "Flat", "f16": "SQfp16", "bf16": "SQbf16", "u8": "SQ8_direct", "i8": "SQ8_direct_signed"}
+    if data_type == "b1":
+        return f"BHNSW{connectivity}"
+    if data_type not in storage:
+        raise ValueError(f"unknown data type {data_type!r}; known: {sorted([*storage, 'b1'])}")
+    return f"IDMap,HNSW{connectivity},{storage[data_type]}"
+
+
+def sweep(spec: BenchSpec, build: Callable[[dict], VectorIndex], configs: list[dict], name: str = "index", index_path: str | None = None) -> dict[str, int]:
+    """Run every configuration; a failed one is recorded and the sweep goes on. Reports go to spec.output, and the index of
+    the only configuration to index_path."""
+    check_single(index_path, configs)
     outcomes = {"ran": 0, "skipped": 0, "failed": 0}
     for config in configs:
         path = report.path_of(spec.output, name, config) if spec.output else None
@@ -116,7 +140,10 @@ def sweep(spec: BenchSpec, build: Callable[[dict], VectorIndex], configs: list[d
             outcomes["skipped"] += 1
             continue
         try:
-            steps = run(spec, build(config))
+            index = build(config)
+            steps = run(spec, index)
+            if index_path:
+                index.save(index_path)
         except Exception as e:
             print(f"{config}: {type(e).__name__}: {str(e)[:200]}")
             outcomes["failed"] += 1
@@ -129,4 +156,10 @@ def sweep(spec: BenchSpec, build: Callable[[dict], VectorIndex], configs: list[d
 
 def machine(spark: SparkSession) -> dict:
     pages = os.sysconf("SC_PAGE_SIZE") * os.sysconf("SC_PHYS_PAGES")
-    return {"cpu_model": platform.processor() or platform.machine(), "logical_cores": os.cpu_count(), "ram_bytes": pages, "default_parallelism": spark.sparkContext.defaultParallelism}
+    return {"cpu_model": platform.processor() or platform.machine(), "logical_cores": os.cpu_count(), "ram_bytes": pages, "default_parallelism": spark.sparkContext.defaultParallelism, "driver_rss_bytes": resident_bytes()}
+
+
+def resident_bytes() -> int:
+    """Resident memory of this process."""
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * os.sysconf("SC_PAGE_SIZE")

@@ -51,7 +51,7 @@ def clustered_bits(spark: SparkSession, count: int, bits: int, clusters: int = 2
 
     def run(batches):
         centres = mixed(np.arange(clusters), words, seed, 7)
-        for batch in batches:
+        for batch in (b.slice(a, 4096) for b in batches for a in range(0, b.num_rows, 4096)):
             rows = batch.column(0).to_numpy()
             of = (mixed(rows, 1, seed, 8)[:, 0] % np.uint64(clusters)).astype(np.int64)
             flips = (mixed(rows, words * 64, seed, 9) & np.uint64(255)) < np.uint64(threshold)
@@ -61,7 +61,6 @@ def clustered_bits(spark: SparkSession, count: int, bits: int, clusters: int = 2
             offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * words)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.view(np.int64).ravel())), pa.array(np.full(len(rows), bits, dtype=np.int32))], names=["row", "words", "bits"])
 
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4096")
     return spark.range(first, first + count).mapInArrow(run, "row bigint, words array<bigint>, bits int")
 
 
@@ -87,13 +86,50 @@ def fingerprints(df: DataFrame, name: str) -> DataFrame:
     return df.select("row", name).mapInArrow(run, "row bigint, words array<bigint>, bits int")
 
 
+def binary_embeddings(df: DataFrame, column: str, width: int = 128) -> DataFrame:
+    """(row, list of `width` bytes) to row-major words; a value of another width is an error."""
+
+    def run(batches):
+        for batch in batches:
+            values = batch.column(1)
+            n = np.diff(values.offsets.to_numpy())
+            if values.null_count or (n != width).any():
+                raise ValueError(f"{column} values must have {width} bytes")
+            raw = values.flatten().to_numpy().astype(np.int64)
+            if ((raw < 0) | (raw > 255)).any():
+                raise ValueError(f"{column} values must be bytes")
+            wide = np.zeros((len(n), -(-width // 8) * 8), dtype=np.uint8)
+            wide[:, :width] = raw.reshape(len(n), width)
+            words = wide.view("<i8")
+            offsets = pa.array(np.arange(len(n) + 1, dtype=np.int32) * words.shape[1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(words.ravel())), pa.array(np.full(len(n), 8 * width, dtype=np.int32))], names=["row", "words", "bits"])
+
+    return df.select("row", F.col(column).cast("array<int>")).mapInArrow(run, "row bigint, words array<bigint>, bits int")
+
+
+def corpus(df: DataFrame, path: str, vector: str, text: str, width: int = 128, kind: str | None = None) -> None:
+    """Write path/base_*.b1bin and path/text, in which line n of the files taken in order is the escaped text of row n.
+
+    kind: a fingerprint's name if `vector` is binary; else `vector` is a list of `width` bytes.
+    """
+    from ..functions.text import escaped_line
+    from ..sources import bigann
+
+    bigann.register(df.sparkSession)
+    ranged = df.repartitionByRange("row").sortWithinPartitions("row")
+    words = fingerprints(ranged.withColumnRenamed(vector, kind), kind) if kind else binary_embeddings(ranged, vector, width)
+    words.write.format("bigann").option("shards", "true").mode("append").save(f"{path}/base.b1bin")
+    ranged.select(escaped_line(F.coalesce(text, F.lit(""))).alias("value")).write.text(f"{path}/text")
+
+
 def dataset(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int, metric: str, path: str, ext: str) -> None:
     """Write base, queries and exact ground truth as path/base.<ext>, path/query.<ext> and path/groundtruth.ibin."""
     from ..operators.knn import check_k, knn
     from ..sources import bigann
 
     bigann.register(spark)
-    check_k(k, base.count())
+    width = [df.select(F.max(F.size("words" if ext == "b1bin" else "vector"))).first()[0] for df in (base, queries)]
+    check_k(k, base.count(), *width)
     column = "words" if ext == "b1bin" else "vector"
     for df, name in ((base, "base"), (queries, "query")):
         df.repartitionByRange("row").sortWithinPartitions("row").write.format("bigann").mode("append").save(f"{path}/{name}.{ext}")

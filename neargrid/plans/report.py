@@ -47,3 +47,13 @@ def series(reports: DataFrame) -> DataFrame:
 
 def peak_memory(reports: DataFrame) -> DataFrame:
     return reports.select("file", F.explode("steps").alias("s")).groupBy("file").agg(F.max("s.memory_bytes").alias("peak_memory_bytes"))
+
+
+def peak_by(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
+    """The largest value of each key."""
+    return df.groupBy(key).agg(F.max(value).alias(name))
+
+
+def rate(counter, per):
+    """A counter per unit of another one, which counts as one if it is less (instructions a cycle, misses a reference)."""
+    return counter.cast("double") / F.greatest(per, F.lit(1))

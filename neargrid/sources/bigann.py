@@ -4,9 +4,11 @@ Layout, little-endian: rows u32, second u32, then the rows. Extensions: .fbin (f
 second header field counts bits), .ibin (neighbours u32), .i32bin (keys u32). A path may be a pattern: its files are read in
 natural order as one table, and the first pins element type and dimensions.
 
-Reading splits files into ranges of rows, one task each; a task reads its range only. Writing writes one body for each
-task beside the target, and joins them behind a header when all tasks are done. Files must be on a file system that
-is mounted on driver and executors.
+Reading splits files into ranges of rows, one task each; a task reads its range only, and of each row only the leading
+bytes that `dims` asks for. Conditions on the row number are pushed down to the ranges. Writing writes one file for each
+task beside the target: with the option `shards` they become `name_<first row>.ext` files of their own, which a pattern reads
+again as one table; without it they are joined behind one header when all tasks are done (for files of moderate size).
+Files must be on a file system that is mounted on driver and executors.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
 from ..functions.text import natural_key
 
@@ -102,6 +104,22 @@ class BigAnnReader(DataSourceReader):
         self.low, self.high = int(options.get("from", 0)), int(options.get("to", 1 << 62))
         self.step = int(options.get("rowspertask", ROWS_PER_TASK))
         self.dims = int(options["dims"]) if "dims" in options else None
+        self.names = [c.split()[0] for c in SCHEMAS[self.ext].split(", ")]
+
+    def pushFilters(self, filters):
+        """Comparisons of the row number with a number narrow the ranges that are read; the others go back to Spark."""
+        for f in filters:
+            whole = isinstance(getattr(f, "value", None), int) and getattr(f, "attribute", None) == (self.names[0],)
+            if whole and isinstance(f, EqualTo):
+                self.low, self.high = max(self.low, f.value), min(self.high, f.value + 1)
+            elif whole and isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                self.low = max(self.low, f.value + isinstance(f, GreaterThan))
+            elif whole and isinstance(f, (LessThan, LessThanOrEqual)):
+                self.high = min(self.high, f.value + isinstance(f, LessThanOrEqual))
+            else:
+                if isinstance(f, In) and f.attribute == (self.names[0],) and f.value and all(isinstance(v, int) for v in f.value):
+                    self.low, self.high = max(self.low, min(f.value)), min(self.high, max(f.value) + 1)
+                yield f
 
     def partitions(self):
         out = []
@@ -116,11 +134,23 @@ class BigAnnReader(DataSourceReader):
         for a in range(part.start, part.start + part.count, 8192):
             n = min(8192, part.start + part.count - a)
             with open(part.path, "rb") as f:
-                f.seek(HEADER.size + a * size)
-                x = np.frombuffer(f.read(n * size), dtype).reshape(n, size // dtype.itemsize)
+                if self.wanted(part.second) == size:
+                    f.seek(HEADER.size + a * size)
+                    raw = f.read(n * size)
+                else:  # leading bytes only
+                    raw = b"".join(f.read(self.wanted(part.second)) for k in range(a, a + n) if f.seek(HEADER.size + k * size) >= 0)
+                x = np.frombuffer(raw, dtype).reshape(n, -1)
             rows = pa.array(np.arange(n, dtype=np.int64) + part.first + (a - part.start))
             yield pa.RecordBatch.from_arrays([rows, *self.columns(x, part.second)], names=[c.split()[0] for c in SCHEMAS[self.ext].split(", ")])
 
+    def wanted(self, second: int) -> int:
+        """Bytes of a row that are read: short prefixes of long rows are read one by one."""
+        size = stride(self.ext, second)
+        if self.dims is None or self.ext in (".ibin", ".i32bin"):
+            return size
+        some = stride(self.ext, self.dims)
+        return some if size - some >= 4096 else size
+
     def columns(self, x: np.ndarray, second: int) -> list[pa.Array]:
         def lists(values: np.ndarray, kind: pa.DataType) -> pa.Array:
             offsets = np.arange(len(values) + 1, dtype=np.int32) * values.shape[1]
@@ -148,47 +178,77 @@ class Part(WriterCommitMessage):
     first: int
 
 
-class BigAnnWriter(DataSourceWriter):
+class BigAnnWriter(DataSourceArrowWriter):
     """Rows are written in the order of their number within each task; tasks follow by their first number."""
 
-    def __init__(self, path: str, overwrite: bool):
-        self.path, self.ext, self.overwrite = path, extension(path), overwrite
+    def __init__(self, path: str, overwrite: bool, sharded: bool = False):
+        self.path, self.ext, self.overwrite, self.sharded = path, extension(path), overwrite, sharded
 
-    def write(self, rows):
+    def _rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
+        """The rows of a batch as bytes, and the second field of the header."""
+        values = batch.column(1)
+        if self.ext == ".i32bin":
+            return values.to_numpy().astype("<u4")[:, None].view(np.uint8), 1
+        n = np.diff(values.offsets.to_numpy())
+        if len(np.unique(n)) != 1:
+            raise FormatError("rows differ in length")
+        if self.ext == ".b1bin":
+            bits = np.unique(batch.column(2).to_numpy())
+            if len(bits) != 1:
+                raise FormatError("rows differ in length")
+            words = np.ascontiguousarray(values.flatten().to_numpy().astype("<i8").reshape(len(n), -1))
+            return words.view(np.uint8)[:, : -(-int(bits[0]) // 8)], int(bits[0])
+        x = values.flatten().to_numpy().astype(ELEMENTS[self.ext]).reshape(len(n), -1)
+        return np.ascontiguousarray(x).view(np.uint8), x.shape[1]
+
+    def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
         part = f"{self.path}.part-{task.partitionId()}-{task.attemptNumber()}"
-        dtype, n, second, first, last = ELEMENTS[self.ext], 0, 0, -1, -1
+        n, second, first, last = 0, 0, -1, -1
         with open(part, "wb") as f:
-            for r in rows:
-                if r[0] <= last:
+            f.write(HEADER.pack(0, 0))
+            for batch in iterator:
+                if not batch.num_rows:
+                    continue
+                numbers = np.concatenate([[last], batch.column(0).to_numpy()])
+                if (np.diff(numbers) <= 0).any():
                     raise FormatError("rows must be sorted by number in each partition")
-                last = r[0]
-                first = r[0] if first < 0 else first
-                if self.ext == ".b1bin":
-                    data, width = np.array(r[1], dtype="<i8").tobytes()[: -(-r[2] // 8)], r[2]
-                elif self.ext == ".i32bin":
-                    data, width = struct.pack("<I", r[1]), 1
-                else:
-                    x = np.array(r[1], dtype=dtype)
-                    data, width = x.tobytes(), len(x)
+                last, first = int(numbers[-1]), int(numbers[1]) if first < 0 else first
+                data, width = self._rows(batch)
                 if n and width != second:
                     raise FormatError("rows differ in length")
-                second, n = width, n + 1
-                f.write(data)
+                second, n = width, n + batch.num_rows
+                f.write(data.tobytes())
+            if n >= 1 << 32:
+                raise FormatError("a file holds fewer than 2**32 rows; write more tasks with the option shards")
+            f.seek(0)
+            f.write(HEADER.pack(n, second))
         return Part(part, n, second, first)
 
     def commit(self, messages):
         parts = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first)
         if len({m.second for m in parts}) > 1:
             raise FormatError("rows differ in length")
+        if self.sharded:
+            stem = os.path.splitext(self.path)[0]
+            for m in parts:
+                target = f"{stem}_{m.first:012d}{self.ext}"
+                if os.path.exists(target) and not self.overwrite:
+                    raise FormatError(f"{target} exists")
+                os.replace(m.path, target)
+            self.abort(messages)
+            return
         if os.path.exists(self.path) and not self.overwrite:
             raise FormatError(f"{self.path} exists")
+        if sum(m.rows for m in parts) >= 1 << 32:
+            raise FormatError("a file holds fewer than 2**32 rows; use the option shards")
         with open(f"{self.path}.tmp", "wb") as out:
             out.write(HEADER.pack(sum(m.rows for m in parts), parts[0].second if parts else 0))
             for m in parts:
                 with open(m.path, "rb") as f:
+                    f.seek(HEADER.size)
                     while block := f.read(1 << 20):
                         out.write(block)
         os.replace(f"{self.path}.tmp", self.path)
@@ -212,8 +272,10 @@ class BigAnn(DataSource):
         return BigAnnReader(self.options["path"], self.options)
 
     def writer(self, schema, overwrite):
-        return BigAnnWriter(self.options["path"], overwrite)
+        return BigAnnWriter(self.options["path"], overwrite, self.options.get("shards", "false").lower() == "true")
 
 
 def register(spark: SparkSession) -> None:
+    """Make the format known to a session, with conditions pushed down to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(BigAnn)

@@ -187,7 +187,7 @@ def test_backends_runs_and_reports(spark, tmp_path):
     steps = reports.select(F.explode("steps").alias("s")).select("s.*").orderBy("vectors_indexed").collect()
     assert [s.vectors_indexed for s in steps] == [200, 400] and steps[-1].recall_at_1 == 1.0 and steps[-1].ndcg_at_10 == pytest.approx(1.0)
     assert report.series(reports).count() == 2 * len(report.CHARTS)
-    for index in (ann.GraphIndex("l2", shards=2), ann.SignLsh(8, "l2", tables=24, bits=3)):
+    for index in (ann.GraphIndex("l2", block_rows=150), ann.SignLsh(8, "l2")):
         index.add(base.withColumnRenamed("row", "key"))
         index.save(str(tmp_path / type(index).__name__))
         again = ann.load(spark, str(tmp_path / type(index).__name__))
@@ -225,3 +225,72 @@ def test_staged_tables_are_deleted(spark):
     assert df.count() == 10 and os.path.isdir(path)
     staging.clear(spark)
     assert not os.path.exists(path) and not staging._NAMED
+
+
+def test_metrics_count_all_queries(spark):
+    truth = ranked(spark, [(0, 1, 1), (1, 1, 2)])
+    results = ranked(spark, [(0, 1, 1)])
+    assert evaluate.recall(results, truth, 10).first()[0] == 0.5 == evaluate.ndcg(results, truth, 10).first()[0]
+    four = spark.range(4).withColumnRenamed("id", "query_id")
+    assert evaluate.recall(results, truth, 10, queries=four).first()[0] == 0.25
+    steps = results.withColumn("step", F.lit(3)).unionByName(results.withColumn("step", F.lit(4)).withColumn("key", F.lit(9)))
+    assert {(r.step, r.recall) for r in evaluate.recall(steps, truth, 10, "step").collect()} == {(3, 0.5), (4, 0.0)}
+    assert evaluate.recall(results.limit(0), truth.limit(0), 10).first()[0] == 0.0
+
+
+def test_order_is_mixed_for_rows_of_any_size(spark):
+    big = spark.createDataFrame([(4_000_000_000,), (10**15,), (0,), (1,), (2,)], "row bigint")
+    assert len({r.h for r in big.select(sampling.row_hash(F.col("row")).alias("h")).collect()}) == 5
+    order = [r.row for r in sampling.insertion_order(spark.range(3000).withColumnRenamed("id", "row")).orderBy("perm").collect()]
+    steps = np.diff(order)
+    assert len(set(steps.tolist())) > 1500  # a lattice has three
+
+
+def test_shard_files_are_pruned_by_row(spark, tmp_path):
+    bigann.register(spark)
+    rows = spark.range(1000).select(F.col("id").alias("row"), F.array(F.col("id").cast("float")).alias("vector"))
+    rows.repartitionByRange(4, "row").sortWithinPartitions("row").write.format("bigann").option("shards", "true").mode("append").save(str(tmp_path / "b.fbin"))
+    assert len(list(tmp_path.iterdir())) == 4
+    files = spark.read.format("bigann").load(str(tmp_path / "b_*.fbin"))
+    some = files.where("row >= 240 AND row < 260")
+    assert sorted((r.row, r.vector[0]) for r in some.collect()) == [(i, float(i)) for i in range(240, 260)]
+    reader = bigann.BigAnnReader(str(tmp_path / "b_*.fbin"), {})
+    list(reader.pushFilters([bigann.GreaterThanOrEqual(("row",), 240), bigann.LessThan(("row",), 260)]))
+    assert sum(p.count for p in reader.partitions()) == 20
+    assert [r.row for r in files.where("row = 7").collect()] == [7] and files.where("row IN (3, 900)").count() == 2
+    wide = np.arange(3 * 3000, dtype="<f4").reshape(3, 3000)
+    (tmp_path / "w.fbin").write_bytes(struct.pack("<II", *wide.shape) + wide.tobytes())
+    assert [list(r.vector) for r in spark.read.format("bigann").option("dims", 2).load(str(tmp_path / "w.fbin")).orderBy("row").collect()] == wide[:, :2].tolist()
+
+
+def test_guards_and_names(tmp_path):
+    bench.check_single(None, [{}, {}])
+    with pytest.raises(ValueError):
+        bench.check_single("x", [{}, {}])
+    with pytest.raises(ValueError):
+        knn.check_k(3, 10, 4, 5)
+    with pytest.raises(ValueError):
+        bench.factory_string("f64", 8)
+    assert bench.factory_string("b1", 8) == "BHNSW8" and bench.resident_bytes() > 1 << 20
+
+
+def test_byte_vectors_have_one_width(spark):
+    good = spark.createDataFrame([(0, list(range(16))), (1, [255] * 16)], "row bigint, v array<int>")
+    assert [list(r.words) for r in generate.binary_embeddings(good, "v", 16).orderBy("row").collect()][1] == [-1, -1]
+    for bad in ([1] * 15, [256] * 16):
+        with pytest.raises(Exception, match="bytes"):
+            generate.binary_embeddings(spark.createDataFrame([(0, bad)], "row bigint, v array<int>"), "v", 16).collect()
+
+
+@pytest.mark.parametrize("name", ["l2", "ip", "cos"])
+def test_tiles_give_the_k_nearest(name, monkeypatch):
+    r = np.random.default_rng(6)
+    b, q = np.round(r.standard_normal((700, 5)), 1), np.round(r.standard_normal((23, 5)), 1)
+    monkeypatch.setattr(knn, "BASE_TILE", 64)
+    monkeypatch.setattr(knn, "QUERY_TILE", 7)
+    scan = knn.Scan(q, 9, name)
+    for a in range(0, 700, 150):
+        scan.add(np.arange(a, min(a + 150, 700)), b[a : a + 150])
+    d = metrics.metric(name).block(q, b)
+    want = np.array([sorted(range(700), key=lambda i: (x[i], i))[:9] for x in d])
+    assert np.array_equal(scan.key, want) and np.array_equal(scan.dist, np.take_along_axis(d, want, axis=1))
