@@ -19,8 +19,9 @@ insertions and deletions are allowed, which bounds the band that has to be searc
    common shingles are counted by matrix products, and only pairs that have enough of them are aligned. Two blocks of one
    class are left out. So the classes are those of all pairs that share a bucket.
 
-Null counts as empty; all texts without words are one class. Rows with one doc_id twice must have equal texts to be one
-document; a null doc_id is left out, as it names no document. Empty tables give no rows.
+Null counts as empty; all texts without words are one class. Rows with one doc_id are compared with all texts of that id,
+and each row gets the class of its own words' least doc_id; a null doc_id is left out, as it names no document. Empty tables
+give no rows. Joins on a digest or a bucket key are plain joins of narrow rows, whose large keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -354,8 +355,8 @@ def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY) -> DataFram
     shared = entries.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     entries = stage(entries.join(shared, "key", "left_semi"))
     nodes = entries.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi").dropDuplicates(["node"])
-    texts = stage(texts)
+    texts = docs.select(F.col("doc_id").cast("long").alias("node"), "text").join(nodes, "node", "left_semi")
+    texts = stage(texts.dropDuplicates(["node", "text"]))
     links, labels, tried = None, None, None
     while True:
         left = entries

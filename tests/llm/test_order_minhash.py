@@ -114,3 +114,23 @@ def test_all_members_stay_candidates():
     assert om.links_between(chain, [0, 0, 0, 3, 4], at, at) == [(2, 3)]
     common = om.shared_shingles(chain, at[:2], at[2:])
     assert common.tolist() == [[84, 76, 60], [92, 84, 52]]
+
+
+def test_rows_of_one_id_are_compared_with_all_its_texts(spark):
+    r = random.Random(11)
+    a, b = ([f"{x}{r.randrange(10**6)}" for _ in range(120)] for x in "ab")
+    near = lambda t: " ".join([*t[:60], "new", *t[61:]])
+    rows = [(1, " ".join(a)), (1, " ".join(b)), (2, near(a)), (3, near(b))]
+    found = {tuple(sorted(map(tuple, om.near_duplicates(spark.createDataFrame(some, "doc_id long, text string").repartition(n)).collect()))) for n in (1, 4) for some in (rows, rows[::-1])}
+    assert found == {((1, 1), (1, 1), (2, 1), (3, 1))}
+
+
+def test_all_links_of_the_documents_are_found(spark):
+    docs = documents()
+    words = Words(docs.text.tolist())
+    own = [om.shingles(words.hashes[a:b]) for a, b in zip(words.bounds[:-1], words.bounds[1:], strict=True)]
+    at = np.arange(len(own))
+    got = {r.doc_id: r.class_id for r in om.near_duplicates(spark.createDataFrame(docs[["doc_id", "text"]])).collect()}
+    links = om.links_between(own, at.tolist(), at, at)
+    ids = docs.doc_id.tolist()
+    assert links and all(got[ids[x]] == got[ids[y]] for x, y in links)
