@@ -10,6 +10,10 @@ from . import exact_dedup, maxent, order_minhash, packing, repeats, surrogates,
 from .common import read_documents
 
 
+#: The query's key. Whoever uses the operator gives a secret of their own.
+EXAMPLE_KEY = "neargrid-example-key"
+
+
 def op1_rans_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.token_ids(read_documents(spark, sf_dir))
 
@@ -35,7 +39,7 @@ def op6_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return surrogates.pseudonymize(read_documents(spark, sf_dir))
+    return surrogates.pseudonymize(read_documents(spark, sf_dir), EXAMPLE_KEY)
 
 
 def op8_maxent_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

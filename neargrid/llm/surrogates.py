@@ -1,28 +1,30 @@
 r"""Surrogates for personal data, with DataFrame functions only.
 
 Found are e-mail addresses, telephone numbers, card numbers, IPv4 addresses, social security numbers, IBANs, access keys,
-secrets behind names such as `password=` or `token = "`, and names behind a title. Each becomes another value of its
-type: digits for digits, letters of the same case and script for letters, marks where they were. Names keep the gender of
-their title, their script and their number of words; e-mail addresses keep their top-level domain, hexadecimal secrets
-stay hexadecimal, IPv4 addresses stay valid, telephone numbers keep their country code.
-
-A surrogate is a function of a secret key, the type, the canonical value (lower case, digits only, ...) and an attempt, so
-one value is replaced alike everywhere, however it is written. Candidates that two values share, or that are the value of
-another entity, go to the next attempt, until all surrogates differ from each other and from every value found. Every
-eighth attempt adds a character to secrets and e-mail addresses, and a syllable to names, so that short values cannot run
-out of surrogates; a secret without letters and digits becomes letters.
-
-Names are any number of words behind one title or more, with inner capitals, apostrophes, initials and particles. Each
-form of a name is a value of its own: `Mr Smith` and `Mr John Smith` get unrelated surrogates, and a name without a title
-is not found.
-
-1. Each text is scanned once; texts and the values found are stored.
+secrets behind names such as `password=` or `token = "`, names behind a title, and in the same document the words of such
+names where they stand alone. Each becomes another value of its type: digits for digits, letters of the same case and
+script for letters, marks where they were. Words of names keep the gender of their titles and their script; e-mail
+addresses keep their top-level domain, hexadecimal secrets stay hexadecimal, IPv4 addresses stay valid, telephone numbers
+keep their country code.
+
+A surrogate is a function of a secret key that the caller gives, the type, the canonical value (lower case, digits only, ...)
+and an attempt, so one value is replaced alike everywhere, however it is written. Candidates that two values share, or that
+are the value of another entity, go to the next attempt, until all surrogates differ from each other and from every value
+found. Every eighth attempt adds a character to secrets and e-mail addresses, and a syllable to names, so that short values
+cannot run out of surrogates; a secret without letters and digits becomes letters.
+
+Names are up to 21 words behind one title or more, with inner capitals, apostrophes, initials and particles. Their last word is a
+family name, the others are given names (a word that the document has as a given name is one), and each word has its own
+surrogate: `Mr Smith`, `Dr John Smith` and a later `Smith` stay one family. The gender of a given name is that of its titles,
+none if they differ. An initial moves along the alphabet by a secret distance. A name that never has a title is not found.
+
+1. Each text is scanned once, and once more if it holds names; texts and the values found are stored.
 2. The distinct values get their surrogates: one aggregation, and one round for each attempt.
-3. Values meet their surrogates by a join, come back to their document by its row number, and the text is put together
-   from the parts between the values. Texts without any value are not shuffled.
+3. Values meet their surrogates by a join (adaptive execution splits frequent ones), come back to their document by its row
+   number, and the text is put together from the parts between the values. Texts without any value are not shuffled.
 
 Null texts stay null, with 0 values. Rows with one doc_id twice, or none, are documents of their own. Empty tables give no
-rows. Only doc_id and text are read.
+rows. Only doc_id and text are read. All repeats of groups in patterns are bounded, so no text can exhaust a stack.
 """
 
 from __future__ import annotations
@@ -33,7 +35,6 @@ from pyspark.sql.window import Window
 
 from .common import stage
 
-KEY = "neargrid-surrogates-1"
 # Titles by gender, and first names by gender and script.
 MALE_TITLES = ["Mr", "Mister", "Herr", "Monsieur", "Señor", "Господин", "Sir", "Lord", "Sr", "Signor"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа", "Madam", "Lady", "Mme", "Mlle", "Señorita", "Sra", "Signora"]
@@ -59,7 +60,7 @@ _PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _SECRET_NAMES = "password|passwd|pwd|secret|token|api_key|apikey"
 PATTERNS = {
-    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+",
+    "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}+",
     "secret": rf"(?<=(?:{_SECRET_NAMES})=)[^\s\"',;]{{4,}}+|(?<=(?:{_SECRET_NAMES}) = \")[^\"\s]{{4,}}+(?=\")",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
@@ -96,9 +97,6 @@ CANONICAL = rf"""CASE kind
     WHEN 'card' THEN regexp_replace(value, '[^0-9]', '')
     WHEN 'ssn' THEN regexp_replace(value, '[^0-9]', '')
     WHEN 'iban' THEN replace(value, ' ', '')
-    WHEN 'name' THEN concat(CASE WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(MALE_TITLES) + ")[. ]")} THEN 'm'
-                            WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(FEMALE_TITLES) + ")[. ]")} THEN 'f' ELSE 'n' END, ' ',
-                            lower(regexp_replace(value, {_literal("^" + _TITLED)}, '')))
     ELSE value END"""
 
 _BYTE = "cast(conv(substr(h, 2 * (i % 64) + 1, 2), 16, 10) AS int)"
@@ -119,25 +117,49 @@ _CHARS = rf"""array_join(transform(split(part, ''), (c, i) -> CASE
 WIDEN = 8
 
 
-def _last_name(script: str) -> str:
-    words = _list(SYLLABLES[script])
-    n = len(SYLLABLES[script])
-    return f"array_join(transform(sequence(0, 3 + least(attempt div {WIDEN}, 24)), j -> element_at({words}, 1 + cast(conv(substr(h, 9 + 4 * j, 4), 16, 10) AS int) % {n})), '')"
+def _syllables(script: str, least: int, at: int) -> str:
+    """Syllables chosen by the hash: `least` of them, and one more every WIDEN attempts."""
+    words, n = _list(SYLLABLES[script]), len(SYLLABLES[script])
+    more = f"least(attempt div {WIDEN}, 24)"
+    many = f"transform(sequence(1, {least} + {more}), j -> element_at({words}, 1 + cast(conv(substr(h, {at} + 4 * (j - 1), 4), 16, 10) AS int) % {n}))"
+    return f"array_join({many if least else f'CASE WHEN {more} > 0 THEN {many} ELSE array() END'}, '')"
 
 
-def _name() -> str:
-    def full(gender: str, script: str) -> str:
+def _given_name() -> str:
+    def one(gender: str, script: str) -> str:
         first = FIRST_NAMES[gender, script]
-        one = f"lower(element_at({_list(first)}, 1 + cast(conv(substr(h, CASE WHEN i = 0 THEN 1 ELSE 65 + 4 * (i % 15) END, 4), 16, 10) AS int) % {len(first)}))"
-        # all words but the last, each with the mark behind it
-        return f"concat('{gender} ', array_join(transform(regexp_extract_all(substr(canonical, 3), '[^ -]+[ -]', 0), (w, i) -> concat({one}, right(w, 1))), ''), {_last_name(script)})"
+        return f"concat(lower(element_at({_list(first)}, 1 + cast(conv(substr(h, 1, 4), 16, 10) AS int) % {len(first)})), {_syllables(script, 0, 9)})"
 
-    cases = " ".join(f"WHEN canonical RLIKE '^{g}' AND {'' if s == 'cyrillic' else 'NOT '}canonical RLIKE '[а-я]' THEN {full(g, s)}" for g, s in FIRST_NAMES)
+    cases = " ".join(f"WHEN gender = '{g}' AND {'' if s == 'cyrillic' else 'NOT '}canonical RLIKE '[а-я]' THEN {one(g, s)}" for g, s in FIRST_NAMES)
     return f"CASE {cases} END"
 
 
+FAMILY_NAME = f"CASE WHEN canonical RLIKE '[а-я]' THEN {_syllables('cyrillic', 3, 9)} ELSE {_syllables('latin', 3, 9)} END"
+
+# ---- parts of a name, over `value`
+_BODY = f"regexp_replace(value, {_literal('^' + _TITLED)}, '')"
+_PIECE = _literal(f"(.*?)({_WORD})")
+_GENDER = f"""CASE WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(MALE_TITLES) + ")[. ]")} THEN 'm'
+    WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(FEMALE_TITLES) + ")[. ]")} THEN 'f' ELSE 'n' END"""
+IS_NAME = f"value RLIKE {_literal('^' + PATTERNS['name'] + '$')}"
+#: Words of a titled name with their kinds.
+NAME_WORDS = f"transform(regexp_extract_all({_BODY}, {_PIECE}, 2), (w, i) -> struct(w AS word, CASE WHEN w RLIKE '[.]$' THEN 'initial' WHEN i + 1 = size(regexp_extract_all({_BODY}, {_PIECE}, 2)) THEN 'family' ELSE 'given' END AS kind))"
+
+
+def _kind_in_document(word: str) -> str:
+    return f"CASE WHEN exists(own, o -> o.word = {word} AND o.kind = 'given') THEN 'given' ELSE 'family' END"
+
+
+#: The pieces of a value that have surrogates of their own, each with the text ahead of it.
+PIECES = f"""CASE WHEN kind = 'name' THEN transform({NAME_WORDS}, (x, i) -> struct(
+        concat(CASE WHEN i = 0 THEN regexp_extract(value, {_literal("^" + _TITLED)}, 0) ELSE '' END, element_at(regexp_extract_all({_BODY}, {_PIECE}, 1), i + 1)) AS lead,
+        x.word AS value, CASE WHEN x.kind = 'initial' THEN x.kind ELSE {_kind_in_document("x.word")} END AS kind, lower(x.word) AS canonical, {_GENDER} AS gender))
+    WHEN kind = 'mention' THEN array(struct('' AS lead, value AS value, {_kind_in_document("value")} AS kind, lower(value) AS canonical, 'n' AS gender))
+    ELSE array(struct('' AS lead, value AS value, kind AS kind, canonical AS canonical, 'n' AS gender)) END"""
+
+
 def candidates(values: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, attempt) with the candidate of this attempt."""
+    """(kind, canonical, gender, attempt) with the candidate of this attempt."""
     octets = ", ".join(f"1 + cast(conv(substr(h, {1 + 4 * j}, 4), 16, 10) AS int) % 254" for j in range(4))
     hashed = values.withColumn("h", F.sha2(F.concat_ws("|", F.lit(key), "kind", "canonical", F.col("attempt").cast("string")), 512))
     # a key keeps its prefix, a card its first digit, an IBAN its country, an e-mail address its top-level domain
@@ -147,12 +169,15 @@ def candidates(values: DataFrame, key: str) -> DataFrame:
     parts = parts.withColumn("hexadecimal", F.expr("kind = 'secret' AND canonical RLIKE '^[0-9a-f]+$'"))
     parts = parts.withColumn("bare", F.expr(f"kind = 'secret' AND NOT canonical RLIKE {_literal('[\\p{L}\\p{N}]')}"))
     wider = f"CASE WHEN kind IN ('email', 'secret') THEN substr(h, 101, least(attempt div {WIDEN}, 24)) ELSE '' END"
-    made = F.expr(f"CASE kind WHEN 'ip' THEN concat_ws('.', {octets}) WHEN 'name' THEN {_name()} ELSE concat({wider}, substr(canonical, 1, head), {_CHARS}, right(canonical, tail)) END")
-    return parts.select("kind", "canonical", "attempt", made.alias("surrogate"))
+    made = F.expr(f"CASE kind WHEN 'ip' THEN concat_ws('.', {octets}) WHEN 'given' THEN {_given_name()} WHEN 'family' THEN {FAMILY_NAME} ELSE concat({wider}, substr(canonical, 1, head), {_CHARS}, right(canonical, tail)) END")
+    return parts.select("kind", "canonical", "gender", "attempt", made.alias("surrogate"))
 
 
-def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
-    """kind, canonical, surrogate for distinct (kind, canonical): no surrogate twice, none that is itself a value."""
+def surrogates(values: DataFrame, key: str) -> DataFrame:
+    """kind, canonical, surrogate for distinct (kind, canonical), and a gender: no surrogate twice, none that is itself a
+    value."""
+    if "gender" not in values.columns:
+        values = values.withColumn("gender", F.lit("n"))
     waiting, done, attempt = values.withColumn("attempt", F.lit(0)), None, 0
     while True:
         tried = candidates(waiting, key)
@@ -163,7 +188,7 @@ def surrogates(values: DataFrame, key: str = KEY) -> DataFrame:
         won = stage(first.where("nth = 1").select("kind", "canonical", "surrogate"))
         done = won if done is None else done.unionByName(won)
         attempt += 1
-        lost = waiting.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical", F.lit(attempt).alias("attempt"))
+        lost = waiting.join(won, ["kind", "canonical"], "left_anti").select("kind", "canonical", "gender", F.lit(attempt).alias("attempt"))
         lost = stage(lost)
         if lost.isEmpty():
             return done
@@ -181,23 +206,44 @@ WRITTEN = r"""CASE
     WHEN kind = 'email' THEN concat(substr(surrogate, 1, length(surrogate) - length(value)), array_join(transform(split(value, ''), (c, i) ->
         CASE WHEN c RLIKE '[A-Z]' THEN upper(substr(surrogate, length(surrogate) - length(value) + i + 1, 1))
              ELSE substr(surrogate, length(surrogate) - length(value) + i + 1, 1) END), ''))
-    WHEN kind = 'name' THEN concat(regexp_extract(value, TITLE, 0), array_join(transform(split(substr(surrogate, 3), '-'), w -> initcap(w)), '-'))
-    ELSE surrogate END""".replace("TITLE", _literal("^" + _TITLED))
+    WHEN kind IN ('given', 'family') THEN CASE WHEN upper(value) = value AND length(value) > 1 THEN upper(surrogate) ELSE initcap(surrogate) END
+    ELSE surrogate END"""
+
+
+def _initial(key: str) -> str:
+    """An initial, moved along its alphabet by a distance that depends on the key."""
+    import hashlib
+
+    far = 1 + int(hashlib.sha256(f"{key}|initial".encode()).hexdigest(), 16) % 25
+    latin = f"concat(char(65 + (ascii(upper(value)) - 65 + {far}) % 26), '.')"
+    letters = "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ"
+    cyrillic = f"concat(substr('{letters}', 1 + (greatest(locate(upper(substr(value, 1, 1)), '{letters}'), 1) - 1 + {far}) % {len(letters)}, 1), '.')"
+    return f"CASE WHEN value RLIKE '^[A-Z]' THEN {latin} WHEN value RLIKE '^[А-Я]' THEN {cyrillic} ELSE '{chr(65 + far)}.' END"
 
 
-def pseudonymize(docs: DataFrame, key: str = KEY) -> DataFrame:
+def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     """doc_id, text with surrogates, n_values."""
-    pattern = _literal(ANY)
+    if not key:
+        raise ValueError("surrogates need a secret key")
     found = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
-    found = found.withColumn("values", F.expr(f"CASE WHEN text RLIKE {_literal(HINT)} THEN regexp_extract_all(text, {pattern}, 0) END"))
-    found = stage(found.withColumn("n_values", F.expr("coalesce(size(values), 0)")))
+    found = found.withColumn("values", F.expr(f"CASE WHEN text RLIKE {_literal(HINT)} THEN regexp_extract_all(text, {_literal(ANY)}, 0) END"))
+    # the words of a document's titled names, and with them what is looked for in this document
+    found = found.withColumn("own", F.expr(f"array_distinct(flatten(transform(filter(values, value -> {IS_NAME}), value -> filter({NAME_WORDS}, x -> x.kind <> 'initial'))))"))
+    words = r"array_join(transform(array_sort(array_distinct(transform(own, o -> o.word)), (x, y) -> CASE WHEN length(x) <> length(y) THEN length(y) - length(x) ELSE CASE WHEN x < y THEN -1 WHEN x > y THEN 1 ELSE 0 END END), w -> concat('\\Q', w, '\\E')), '|')"
+    found = found.withColumn("mentions", F.expr(f"CASE WHEN size(own) > 0 THEN concat({_literal(r'|(?<![\p{L}\p{M}])(?:')}, {words}, {_literal(r')(?![\p{L}\p{M}])')}) ELSE '' END"))
+    found = found.withColumn("values", F.expr(f"CASE WHEN mentions <> '' THEN regexp_extract_all(text, concat({_literal(ANY)}, mentions), 0) ELSE values END"))
+    found = stage(found.withColumn("n_values", F.expr("greatest(coalesce(size(values), 0), 0)")))
     some = found.where("n_values > 0")
-    each = some.select("row", F.posexplode("values").alias("nth", "value")).withColumn("kind", kind_of("value")).withColumn("canonical", F.expr(CANONICAL))
+    each = some.select("row", "own", F.posexplode("values").alias("nth", "value"))
+    each = each.withColumn("kind", F.when(F.expr("exists(own, o -> o.word = value)"), "mention").when(F.expr(IS_NAME), "name").otherwise(kind_of("value")))
+    each = each.withColumn("canonical", F.expr(CANONICAL)).select("row", "nth", F.posexplode(F.expr(PIECES)).alias("i", "p")).select("row", "nth", "i", "p.*")
     each = stage(each)
-    table = stage(surrogates(stage(each.select("kind", "canonical").distinct()), key))
-    written = each.join(table, ["kind", "canonical"]).select("row", F.struct("nth", F.expr(WRITTEN).alias("w")).alias("s"))
-    by_row = written.groupBy("row").agg(F.expr("transform(sort_array(collect_list(s)), x -> x.w)").alias("written"))
-    parts = F.expr(f"split(text, {pattern}, -1)")
-    rebuilt = some.join(by_row, "row").withColumn("parts", parts)
+    values = each.where("kind <> 'initial'").groupBy("kind", "canonical").agg(F.expr("CASE WHEN max(gender = 'm') = max(gender = 'f') THEN 'n' WHEN max(gender = 'm') THEN 'm' ELSE 'f' END").alias("gender"))
+    table = stage(surrogates(stage(values), key))
+    written = each.join(table, ["kind", "canonical"], "left").withColumn("w", F.expr(f"concat(lead, CASE WHEN kind = 'initial' THEN {_initial(key)} ELSE {WRITTEN} END)"))
+    # both sums are made where the rows of a document meet
+    whole = written.select("row", "nth", "i", "w").repartition("row").groupBy("row", "nth").agg(F.expr("array_join(transform(sort_array(collect_list(struct(i, w))), x -> x.w), '')").alias("w"))
+    by_row = whole.groupBy("row").agg(F.expr("transform(sort_array(collect_list(struct(nth, w))), x -> x.w)").alias("written"))
+    rebuilt = some.join(by_row, "row").withColumn("parts", F.expr(f"CASE WHEN mentions = '' THEN split(text, {_literal(ANY)}, -1) ELSE split(text, concat({_literal(ANY)}, mentions), -1) END"))
     rebuilt = rebuilt.select("doc_id", F.expr("array_join(zip_with(parts, written, (p, s) -> concat(p, coalesce(s, ''))), '')").alias("text"), "n_values")
     return rebuilt.unionByName(found.where("n_values <= 0").select("doc_id", "text", "n_values"))

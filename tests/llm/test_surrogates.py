@@ -19,7 +19,7 @@ def by_id(df):
 
 
 def test_types_formats_and_coreference(spark):
-    got = by_id(surrogates.pseudonymize(spark.createDataFrame(MIXED, "doc_id long, text string")))
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame(MIXED, "doc_id long, text string"), "k"))
     text = {d: got[d].text for d, _ in MIXED}
     assert text[5] == MIXED[4][1] and got[5].n_values == 0
     assert [got[d].n_values for d in (1, 2, 3, 4, None)] == [4, 4, 3, 7, 1]
@@ -41,7 +41,7 @@ def test_types_formats_and_coreference(spark):
 def test_distinct_values_stay_distinct(spark):
     # 300 of the 1,000 three-digit codes: candidates must collide, and surrogates may not be values
     values = spark.createDataFrame([("ssn", f"{i:03d}") for i in range(300)], "kind string, canonical string")
-    got = surrogates.surrogates(values).collect()
+    got = surrogates.surrogates(values, "k").collect()
     made = [r.surrogate for r in got]
     assert len(got) == 300 == len(set(made)) and not {f"{i:03d}" for i in range(300)} & set(made)
 
@@ -59,29 +59,56 @@ def test_query_and_edges(spark):
         for a, b in zip(old, new, strict=True):
             assert a != b and pairs.setdefault(a, b) == b
     assert pairs and len(set(pairs.values())) == len(pairs)
-    kept = surrogates.pseudonymize(edge(spark)).collect()
+    kept = surrogates.pseudonymize(edge(spark), "k").collect()
     assert sorted((r.text or "") for r in kept) == sorted((t or "") for _, t in EDGE)
-    assert surrogates.pseudonymize(none(spark)).collect() == []
+    assert surrogates.pseudonymize(none(spark), "k").collect() == []
 
 
 def test_values_without_letters_or_room_end(spark):
     rows = [(1, "password=****** x"), (2, "password=密码密码 x"), (3, "---@--.-- x")]
-    got = by_id(surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string")))
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
     assert re.fullmatch(r"password=[a-z]{6} x", got[1].text) and re.fullmatch(r"password=[a-z]{4} x", got[2].text)
     assert got[3].n_values == 1 and re.fullmatch(r"[0-9a-f]+---@--\.-- x", got[3].text)
     # all secrets of one digit and one mark are values
     values = spark.createDataFrame([("secret", f"-{i}-") for i in range(10)], "kind string, canonical string")
-    made = {r.surrogate for r in surrogates.surrogates(values).collect()}
+    made = {r.surrogate for r in surrogates.surrogates(values, "k").collect()}
     assert len(made) == 10 and not made & {f"-{i}-" for i in range(10)}
 
 
 def test_whole_names(spark):
     names = ["Mr John Peter Smith", "Mr McDonald", "Mr O'Brien", "Dr Smith", "Prof. Dr. Anna-Lena Meyer", "Herr Ludwig van Beethoven", "Mrs J. K. Rowling", "Señora María José Núñez"]
     df = spark.createDataFrame([(i, f"Yes, {n}'s dog and {n}.") for i, n in enumerate(names)], "doc_id long, text string")
-    got = by_id(surrogates.pseudonymize(df))
+    got = by_id(surrogates.pseudonymize(df, "k"))
     for i, n in enumerate(names):
         title = re.match(r"(?:(?:Mr|Dr|Prof|Herr|Mrs|Señora)\.? )+", n)[0]
         m = re.fullmatch(rf"Yes, {re.escape(title)}(.+)'s dog and {re.escape(title)}(.+)\.", got[i].text)
         assert m and m[1] == m[2] and got[i].n_values == 2, got[i].text
         old, new = (re.split("[ -]", x) for x in (n[len(title):], m[1]))
         assert len(new) == len(old) and not {"John", "Peter", "Smith", "McDonald", "Donald", "O'Brien", "Brien", "Meyer", "Beethoven", "Rowling", "Núñez"} & set(new)
+
+
+def test_mentions_of_one_person_stay_together(spark):
+    text = "Mr. John Smith came. Mr. Smith left. John Smith called. Dr. Anna Berg wrote to Herr Smith; Anna and SMITH and Smithson agreed with John's plan."
+    other = "Mrs Berg met Dr John Doe. Smith is a word here."
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame([(1, text), (2, other)], "doc_id long, text string"), "k"))
+    m = re.fullmatch(r"Mr\. (\w+) (\w+) came\. Mr\. (\w+) left\. (\w+) (\w+) called\. Dr\. (\w+) (\w+) wrote to Herr (\w+); (\w+) and SMITH and Smithson agreed with (\w+)'s plan\.", got[1].text)
+    assert m and m[2] == m[3] == m[5] == m[8] and m[1] == m[4] == m[10] and m[6] == m[9], got[1].text
+    assert not {"John", "Smith", "Anna", "Berg"} & set(m.groups()) and len({m[1], m[2], m[6], m[7]}) == 4
+    n = re.fullmatch(r"Mrs (\w+) met Dr (\w+) (\w+)\. Smith is a word here\.", got[2].text)
+    assert n and n[1] == m[7] and n[2] == m[1] and n[3] != "Doe"
+    # another key, other surrogates
+    again = by_id(surrogates.pseudonymize(spark.createDataFrame([(1, text)], "doc_id long, text string"), "other"))
+    assert again[1].text != got[1].text
+
+
+def test_a_key_is_required(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        surrogates.pseudonymize(none(spark), "")
+
+
+def test_long_values_end(spark):
+    texts = ["a@b" + ".c" * 500_000, "Mr " + "A" * 200_000, "Mr " + "Ab " * 50_000, "password=" + "x" * 300_000 + " y", "1" * 200_000, "A." * 100_000, "DE44" + " 5001" * 50_000]
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "k"))
+    assert len(got) == len(texts) and not got[0].text.startswith("a@b") and "x" * 30 not in got[3].text
