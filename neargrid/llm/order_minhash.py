@@ -295,19 +295,22 @@ def verify(pairs: DataFrame, texts: DataFrame, similarity: float = SIMILARITY) -
 
 
 def classes(edges: DataFrame) -> DataFrame:
-    """node and its class (the least node joined with it), for all nodes of the edges (a, b)."""
-    now = stage(edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct())
+    """node and its class (the least node joined with it), for all nodes of the edges (a, b).
+
+    A large and a small star are one job; a second one says by count and hashes whether they have changed anything.
+    """
+    now, before = edges.selectExpr("greatest(a, b) AS u", "least(a, b) AS v").distinct(), None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = stage(both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m"))
-        large = stage(both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        least = stage(large.groupBy("u").agg(F.min("v").alias("m")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).selectExpr("u", "least(u, m) AS m")
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        new = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-        same = new.count() == now.count() and new.join(now, ["u", "v"], "left_anti").isEmpty()
-        now = new
-        if same:
+        now = stage(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        state = now.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.shiftright(F.xxhash64("v", "u"), 32))).first()
+        if state == before:
             break
+        before = state
     stars = now.select(F.col("u").alias("node"), F.col("v").alias("class"))
     return stage(stars.unionByName(stars.select(F.col("class").alias("node"), "class").distinct()))
 
