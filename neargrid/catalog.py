@@ -444,6 +444,31 @@ def widened_vectors(spark, sf_dir):
     return base(spark, sf_dir).select("key", F.posexplode(wide).alias("dim", "value")).select("key", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value"))
 
 
+CASTS = {"f64": "v::DOUBLE", "f32": "v::DOUBLE", "i8": "trunc(greatest(least(v::DOUBLE, 127), -128))", "u8": "trunc(greatest(least(v::DOUBLE, 255), 0))"} | {t: quantize.rounded_sql("v", t) for t in ("f16", "bf16", "e4m3", "e5m2", "e3m2", "e2m3")}
+
+
+@query("wire_casts", " UNION ALL ".join(f"SELECT '{t}' AS type, event_id, round(({x})::DOUBLE, 9) + 0.0::DOUBLE AS stored FROM (SELECT event_id, value::FLOAT AS v FROM events)" for t, x in CASTS.items()))
+def wire_casts(spark, sf_dir):
+    """Values of every type that goes over a wire, from 32-bit floats."""
+    one = table(spark, sf_dir, "events").select("event_id", F.array(F.col("value").cast("float")).alias("v"))
+    out = None
+    for t in CASTS:
+        part = one.select(F.lit(t).alias("type"), "event_id", (F.round(quantize.cast(F.col("v"), t)[0].cast("double"), 9) + F.lit(0.0)).alias("stored"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("data_types", "SELECT * FROM (VALUES ('f64', 64, 'FLOAT64'), ('f32', 32, 'FLOAT32'), ('bf16', 16, 'BFLOAT16'), ('f16', 16, 'FLOAT16'), ('e5m2', 8, NULL), ('e4m3', 8, NULL), ('e3m2', 6, NULL), ('e2m3', 6, NULL), ('i8', 8, 'INT8'), ('u8', 8, 'UINT8'), ('b1', 1, NULL)) t(type, bits, wire)")
+def data_types(spark, sf_dir):
+    return spark.createDataFrame([(quantize.data_type(t), *x) for t, x in quantize.TYPES.items()], "type string, bits int, wire string")
+
+
+@query("sequential_keys", "SELECT vec_id AS row, vec_id AS key FROM embeddings WHERE vec_id >= 20 AND vec_id < 40")
+def sequential_keys(spark, sf_dir):
+    n = table(spark, sf_dir, "embeddings").count()
+    return sampling.sliced(spark.range(n).select(F.col("id").alias("row"), F.col("id").alias("key")), 20, 40)
+
+
 @query("dim_bounds", f"SELECT dim, min(x) AS low, max(x) AS high FROM (SELECT unnest(range(0, {DIMS})) AS dim, CAST(unnest(embedding) AS DOUBLE) AS x FROM embeddings) GROUP BY dim")
 def dim_bounds(spark, sf_dir):
     return quantize.dim_bounds(base(spark, sf_dir), "vector").withColumn("dim", F.col("dim").cast("bigint"))

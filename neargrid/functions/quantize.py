@@ -13,6 +13,36 @@ SMALL_FLOATS = {"e5m2": (5, 2, 15, 57344.0), "e4m3": (4, 3, 7, 448.0), "e3m2": (
 INTEGERS = {"i8": (-128, 127, "tinyint"), "u8": (0, 255, "smallint")}
 
 
+#: Bits of an element, and its name on the wire (none: not sent as such).
+TYPES = {
+    "f64": (64, "FLOAT64"),
+    "f32": (32, "FLOAT32"),
+    "bf16": (16, "BFLOAT16"),
+    "f16": (16, "FLOAT16"),
+    "e5m2": (8, None),
+    "e4m3": (8, None),
+    "e3m2": (6, None),
+    "e2m3": (6, None),
+    "i8": (8, "INT8"),
+    "u8": (8, "UINT8"),
+    "b1": (1, None),
+}
+
+
+def data_type(name: str, allowed: tuple[str, ...] = tuple(TYPES)) -> str:
+    """A type's name, if a backend that knows `allowed` supports it."""
+    if name not in TYPES or name not in allowed:
+        raise ValueError(f"unknown data type {name!r}; supported: {', '.join(allowed)}")
+    return name
+
+
+def cast(vector: Column, name: str) -> Column:
+    """A vector as elements of a type: integers clamp and truncate, floats round to the nearest."""
+    if data_type(name, tuple(t for t in TYPES if t != "b1")) in INTEGERS:
+        return to_integer(vector, name)
+    return vector.cast("array<double>") if name == "f64" else at_precision(vector, name)
+
+
 def truncated(vector: Column, dims: int) -> Column:
     """The leading dimensions."""
     return F.slice(vector, 1, dims)

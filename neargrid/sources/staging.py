@@ -25,11 +25,19 @@ def shared_dir(spark: SparkSession) -> str:
     return _NAMED[-1]
 
 
-def clear(spark: SparkSession) -> None:
-    """Delete all staged tables of this driver, once the results that read them have been written."""
+def mark() -> int:
+    """How many folders have been named so far, for `clear`."""
+    return len(_NAMED)
+
+
+def clear(spark: SparkSession, since: int = 0, keep: int = 0) -> None:
+    """Delete the staged tables that this driver has named after a mark, once the results that read them have been written;
+    the last `keep` stay."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    while _NAMED:
-        path = jvm.org.apache.hadoop.fs.Path(_NAMED.pop())
+    gone = _NAMED[since : len(_NAMED) - keep]
+    del _NAMED[since : len(_NAMED) - keep]
+    for name in gone:
+        path = jvm.org.apache.hadoop.fs.Path(name)
         path.getFileSystem(conf).delete(path, True)
 
 
