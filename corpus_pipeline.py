@@ -2,7 +2,7 @@
 
 Every stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the last return the
 columns of `documents`. Stages are meant to be written as Parquet and read again as the next one's docs; `run` does so
-below the shared folder.
+below the shared folder, and deletes what earlier stages have put there.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from neargrid.llm import exact_dedup, order_minhash, packing, tiling, toxicity
 from neargrid.llm.common import stage
+from neargrid.sources.staging import clear, mark
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,12 +47,13 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: Toxicity, near-dedup and packing cannot be written in SQL; tests hold `run` against brute force.
+#: Toxicity, near-dedup and packing cannot be written in SQL; a test holds `run` against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, begun = spark.read.parquet(f"{sf_dir}/documents.parquet"), mark()
     for _, apply in STAGES[:-1]:
         docs = stage(apply(spark, docs, sf_dir))
+        clear(spark, begun, keep=1)  # all but the stage's result
     return STAGES[-1][1](spark, docs, sf_dir)
