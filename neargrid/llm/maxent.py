@@ -3,11 +3,12 @@ r"""A hashed maximum-entropy language model with a class-factored softmax.
 Tokens are runs of bytes other than space and 09-0D, with A-Z in lower case, and one end token for each document. The
 model gives each token log P(class | before) + log P(token | class, before):
 
-* 33 classes: words by frequency (bins of the `HEAD` most frequent words; all others) and by their first character beyond
-  ASCII, and the end. P(class | before) is a softmax over hashed features: the word before (n-gram), the word two
-  before (skip), and the classes of the three words before. Weights are trained by gradient steps over minibatches in
-  each task, and averaged over tasks by how often each feature occurred.
-* Within a class, P is the smoothed share c + 0.1 of the class, times e**weight for a word equal to one of the three
+* Classes: each of the `SINGLES` most frequent words is one, so that features choose between these words themselves; the others
+  go by frequency (bins of the `HEAD` most frequent words; all others) and by their first character beyond ASCII; the end.
+  P(class | before) is a softmax over hashed features: the word before (n-gram), the word two before (skip), and the
+  classes of the three words before. Weights are trained by gradient steps over minibatches in each task, and averaged over
+  tasks by how often each feature occurred.
+* Within a class of many words, P is the smoothed share c + 0.1 of the class, times e**weight for a word equal to one of the three
   before (skip features), divided by the sum of this over the class, which differs from 1 for these three words only.
   Their weights come from one step of iterative scaling.
 
@@ -39,11 +40,13 @@ from .repeats import packed_chunks as chunked
 HEAD = 1 << 14
 #: Text whose words are counted in one bucket.
 BUCKET_BYTES = 16 << 20
-#: Rank at which each frequency bin of the head ends.
-BINS = np.array([16, 64, 256, 1024, 4096, HEAD])
+#: Words that are classes of their own.
+SINGLES = 28
+#: Rank at which each frequency bin of the rest of the head ends.
+BINS = np.array([64, 256, 1024, 4096, HEAD])
 SIGNS = 4
-CLASSES = (len(BINS) + 1) * SIGNS + 1 + 4  # and four that stay empty, so rows fill cache lines less unevenly
-END_CLASS = (len(BINS) + 1) * SIGNS
+END_CLASS = SINGLES + (len(BINS) + 1) * SIGNS
+CLASSES = 56  # some stay empty, so that rows end with a cache line
 SLOTS = 1 << 15
 BLOCK = 1 << 10
 BATCH = 8192
@@ -116,6 +119,11 @@ class Tokens:
         return out
 
 
+def class_of(rank, sign):
+    """The class of a word by its rank and sign."""
+    return np.where(rank < SINGLES, rank, SINGLES + np.searchsorted(BINS, rank, side="right") * SIGNS + sign)
+
+
 class Model:
     """Fixed-size parameters: the head's words, sums of each class, weights of feature slots and of repeated words."""
 
@@ -132,7 +140,7 @@ class Model:
         k = np.minimum(np.searchsorted(self.head["hash"], t.hashes), max(0, len(self.head) - 1))
         hit = self.head["hash"][k] == t.hashes if len(self.head) else np.zeros(len(t.hashes), dtype=bool)
         rank = np.where(hit, self.head["rank"][k], HEAD) if len(self.head) else np.full(len(t.hashes), HEAD)
-        kind = np.searchsorted(BINS, rank, side="right") * SIGNS + t.sign
+        kind = class_of(rank, t.sign)
         count = np.where(hit, self.head["n"][k], -1) if len(self.head) else np.full(len(t.hashes), -1)
         return np.append(kind, END_CLASS), np.append(count, 0)
 
@@ -145,19 +153,26 @@ class Model:
         mask = np.uint64(SLOTS - 1)
         return np.stack([mix64(names[past[0]], 21) & mask, mix64(names[past[1]], 22) & mask, mix64(three, 23) & mask], axis=1).astype(np.int64)
 
-    def class_logs(self, slots: np.ndarray) -> np.ndarray:
-        """log P(class | before), one row for each token."""
-        z = self.bias + self.weights[slots[:, 0]]
-        z += self.weights[slots[:, 1]]
-        z += self.weights[slots[:, 2]]
+    def _scores(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of the classes, the largest 0, and their exponentials; one row for each token."""
+        z = np.take(self.weights, slots[:, 0], axis=0)
+        z += np.take(self.weights, slots[:, 1], axis=0)
+        z += np.take(self.weights, slots[:, 2], axis=0)
+        z += self.bias
         z -= z.max(axis=1, keepdims=True)
-        return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+        return z, np.exp(z)
+
+    def class_logs(self, slots: np.ndarray, kind: np.ndarray) -> np.ndarray:
+        """log P(class | before) of the class of each token."""
+        z, e = self._scores(slots)
+        return z[np.arange(len(z)), kind] - np.log(e.sum(axis=1))
 
     def within(self, t: Tokens, kind: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
         """Shares in the class; for each distance whether the token is repeated, and the repeated word's share (if it is
         of the token's class and not repeated nearer)."""
         share = (counts + ADD) / (self.words[kind] + ADD * (self.kinds[kind] + 1))
         share[-1] = 1.0
+        share[kind < SINGLES] = 1.0
         same, mass, past = [], [], []
         for d in range(1, DISTANCES + 1):
             b = t.before(d)
@@ -165,7 +180,7 @@ class Model:
             for other in past:
                 fresh &= b != other
             past.append(b)
-            ok = fresh & (kind[b] == kind[t.of]) & (kind[t.of] != END_CLASS)
+            ok = fresh & (kind[b] == kind[t.of]) & (kind[t.of] != END_CLASS) & (kind[t.of] >= SINGLES)
             same.append(ok & (b == t.of))
             mass.append(np.where(ok, share[b], 0.0))
         return share, same, mass
@@ -183,7 +198,7 @@ class Model:
         slots = self.features(t, kind)
         for a in range(0, len(slots), BATCH):
             own = slots[a : a + BATCH]
-            out[a : a + BATCH] += self.class_logs(own)[np.arange(len(own)), kind[t.of[a : a + BATCH]]]
+            out[a : a + BATCH] += self.class_logs(own, kind[t.of[a : a + BATCH]])
         return out
 
     def learn(self, t: Tokens, energy: np.ndarray, seen: np.ndarray) -> None:
@@ -194,15 +209,19 @@ class Model:
         for a in range(0, len(use), BATCH):
             at = use[a : a + BATCH]
             own = slots[at]
-            g = np.exp(self.class_logs(own))
+            _, g = self._scores(own)
+            g /= g.sum(axis=1, keepdims=True)
             g[np.arange(len(at)), target[at]] -= 1
             for j in range(3):
-                order = np.argsort(own[:, j], kind="stable")
-                slot, first, n = np.unique(own[order, j], return_index=True, return_counts=True)
-                total = np.add.reduceat(g[order], first, axis=0)
+                column = own[:, j].astype(np.uint16)  # slots have 15 bits; short numbers are sorted by radix
+                order = np.argsort(column, kind="stable")
+                column = column[order]
+                first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+                slot = column[first].astype(np.int64)
+                total = np.add.reduceat(np.take(g, order, axis=0), first, axis=0)
                 energy[slot] += (total * total).sum(axis=1)
-                seen[slot] += n
-                self.weights[slot] -= RATE * total / np.sqrt(energy[slot] + 1)[:, None]
+                seen[slot] += np.diff(np.append(first, len(column)))
+                self.weights[slot] -= RATE * total / np.sqrt(energy[slot] + 1)[:, None].astype(np.float32)
 
 
 def _sum_counts(held, head: int):
@@ -285,7 +304,7 @@ def train(chunks: DataFrame, model: Model) -> None:
         for b in range(0, SLOTS, BLOCK):
             own = slice(b, b + BLOCK)
             if seen[own].any():
-                blocks.append((b // BLOCK, task, (model.weights[own] * seen[own, None]).astype("<f8").tobytes() + seen[own].astype("<f8").tobytes()))
+                blocks.append((b // BLOCK, task, (model.weights[own] * seen[own, None]).astype("<f4").tobytes() + seen[own].astype("<f4").tobytes()))
         blocks.append((-1, task, np.concatenate([hits, mass]).astype("<f8").tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*blocks, strict=True), (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["bucket", "chunk", "data"])
 
@@ -293,7 +312,8 @@ def train(chunks: DataFrame, model: Model) -> None:
         now, held = None, []
 
         def total():  # in order of the tasks, so that sums are the same every time
-            x = sum(np.frombuffer(d, "<f8") for _, d in sorted(held, key=lambda x: x[0]))
+            kind = "<f4" if now >= 0 else "<f8"
+            x = sum(np.frombuffer(d, kind).astype("<f8") for _, d in sorted(held, key=lambda x: x[0]))
             return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([x.tobytes()], pa.binary())], names=["bucket", "data"])
 
         for batch in batches:
@@ -327,11 +347,11 @@ def fit(chunks: DataFrame, counted: DataFrame) -> tuple[Model, int, int]:
     head["hash"] = np.array([r["hash"] for r in top], dtype=np.int64).view(np.uint64)
     head["rank"], head["n"] = np.arange(len(top)), [r["n"] for r in top]
     words, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
-    rest = len(BINS) * SIGNS
+    rest = SINGLES + len(BINS) * SIGNS
     for r in counted.where("kinds IS NOT NULL").groupBy("sign").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds")).collect():
         words[rest + r["sign"]], kinds[rest + r["sign"]] = r["n"], r["kinds"]
     for rank, r in enumerate(top):
-        k = int(np.searchsorted(BINS, rank, side="right")) * SIGNS + r["sign"]
+        k = int(class_of(rank, r["sign"]))
         words[k] += r["n"]
         kinds[k] += 1
         words[rest + r["sign"]] -= r["n"]

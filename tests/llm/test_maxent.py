@@ -103,7 +103,7 @@ def test_scores_equal_the_formula(spark):
             w, past = t.of[i], [t.of[i - k] for k in (1, 2, 3) if i - k >= t.bounds[d]]
             z = [model.bias[k] + sum(float(model.weights[s, k]) for s in slots[i]) for k in range(maxent.CLASSES)]
             want = z[kind[w]] - math.log(sum(math.exp(x) for x in z))
-            if kind[w] != maxent.END_CLASS:
+            if maxent.SINGLES <= kind[w] != maxent.END_CLASS:
                 share = lambda x: (c[x] + maxent.ADD) / (model.words[kind[x]] + maxent.ADD * (model.kinds[kind[x]] + 1))
                 seen, norm, bonus = set(), 1.0, 0.0
                 for weight, x in zip(model.again, past, strict=False):
