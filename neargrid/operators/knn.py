@@ -1,7 +1,7 @@
 """Exact nearest neighbours.
 
-`knn` takes a stated query set against all base rows. Queries go to the tasks in blocks of bounded size; the base is read
-once for each block and never shuffled. Each task keeps k rows a query, so what is shuffled is k rows a query and task;
+`knn` takes a stated query set against all base rows. Queries go to the tasks in blocks of bounded size, one after another; the
+base is read once for each block and never shuffled. Each task keeps k rows a query, so what is shuffled is k rows a query and task;
 the last step is a row_number, whose limit Spark applies before and after its shuffle. `knn_join` is the same as a
 DataFrame join with the metric as an expression.
 
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import metric as find
+from ..sources.staging import stage
 
 #: Bytes of query vectors (as doubles) that go to the tasks at once.
 QUERY_BYTES = 64 << 20
@@ -96,12 +97,12 @@ def matrix(column: pa.Array, bits: bool) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, query_bytes: int):
-    """Queries (query_id, vector) in blocks of at most about query_bytes; the driver holds one block."""
+    """The number of blocks of at most about query_bytes, and a generator of the blocks' queries (query_id, vector): the
+    driver holds one block at a time."""
     sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     blocks = max(1, -(-sizes["n"] * max(1, sizes["d"] or 1) * 8 * 2 // query_bytes)) if sizes["n"] * (sizes["d"] or 1) * 8 > query_bytes else 1
-    for b in range(blocks):
-        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-        yield part.collect()
+    one = lambda b: queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
+    return blocks, (one(b).collect() for b in range(blocks))
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -110,7 +111,8 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str
     check_k(k)
     bits = find(metric).bits
     out = None
-    for rows in query_blocks(queries, query_bytes):
+    n_blocks, blocks = query_blocks(queries, query_bytes)
+    for rows in blocks:
         if not rows:
             continue
         names = np.array([r["query_id"] for r in rows], dtype=np.int64)
@@ -130,12 +132,13 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(found.sum(), g)), pa.array(np.repeat(names, n)[found]), pa.array(s.key.ravel()[found]), pa.array(s.dist.ravel()[found])], names=["grp", "query_id", "key", "distance"])
 
         columns = base.select(F.col("key").cast("long"), "vector", (F.col(by) if by else F.lit(0)).cast("long").alias("grp"))
-        part = columns.mapInArrow(run, "grp long, query_id long, key long, distance double")
+        part = top_k(columns.mapInArrow(run, "grp long, query_id long, key long, distance double"), k, "grp", "query_id")
+        if n_blocks > 1:  # k rows a query are written, so that no plan holds on to the block
+            part = stage(part)
         out = part if out is None else out.unionByName(part)
     if out is None:
-        out = base.sparkSession.createDataFrame([], "grp long, query_id long, key long, distance double")
-    best = top_k(out, k, "grp", "query_id")
-    return best.select(F.col("grp").alias(by), "query_id", "rank", "key", "distance") if by else best.select("query_id", "rank", "key", "distance")
+        out = base.sparkSession.createDataFrame([], "grp long, query_id long, key long, distance double, rank long")
+    return out.select(F.col("grp").alias(by), "query_id", "rank", "key", "distance") if by else out.select("query_id", "rank", "key", "distance")
 
 
 def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
