@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import metric as find
-from ..functions.metrics import pair_distances
+from ..functions.metrics import near_distances, pair_distances
 from ..sources.staging import stage
 from .knn import knn, matrix, rerank, top_k
 from .sampling import row_hash
@@ -127,17 +127,21 @@ def asdict_simple(x) -> dict:
     return {k: v for k, v in x.__dict__.items() if isinstance(v, int | float | str)}
 
 
-def beam_search(x: np.ndarray, links: np.ndarray, asked: np.ndarray, name: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+def beam_search(x: np.ndarray, ends: np.ndarray, links: np.ndarray, asked: np.ndarray, name: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """Places and distances of the k nearest rows that a beam of `width` finds in a graph, for all queries at once.
 
-    links: the neighbours of each row, -1 where there are fewer. Each step expands the eight nearest rows not yet expanded.
+    links: the neighbours of row i at ends[i] .. ends[i + 1]. Each step expands the eight nearest rows not yet expanded.
+    Single precision steers; what the beam holds in the end is scored exactly.
     """
+    exact = x, asked
+    x, asked = x.astype(np.float32), asked.astype(np.float32)
     n, q = len(x), len(asked)
     start = np.unique(np.linspace(0, n - 1, ENTRIES).astype(int))
     seen, done = np.zeros((q, n), dtype=bool), np.zeros((q, n), dtype=bool)
+    mark = np.zeros((q, n), dtype=np.int32)
     seen[:, start] = True
     pool = np.tile(start, (q, 1))
-    dist = find(name).block(asked, x[start])
+    dist = near_distances(name, np.repeat(asked, len(start), axis=0), np.tile(x[start], (q, 1))).reshape(q, -1)
     while True:
         order = np.argsort(dist, axis=1, kind="stable")[:, :width]
         pool, dist = np.take_along_axis(pool, order, axis=1), np.take_along_axis(dist, order, axis=1)
@@ -145,17 +149,25 @@ def beam_search(x: np.ndarray, links: np.ndarray, asked: np.ndarray, name: str,
         fresh &= np.cumsum(fresh, axis=1) <= 8
         rows, at = np.nonzero(fresh)
         if not len(rows):
-            return pool[:, :k], dist[:, :k]
+            rows, at = np.nonzero(np.isfinite(dist))
+            out = np.full(dist.shape, np.inf)
+            out[rows, at] = pair_distances(name, exact[1][rows], exact[0][pool[rows, at]])
+            order = np.lexsort((pool, out), axis=1)[:, :k]
+            return np.take_along_axis(pool, order, axis=1), np.take_along_axis(out, order, axis=1)
         done[rows, pool[rows, at]] = True
-        near = links[pool[rows, at]]
-        who, what = np.repeat(rows, near.shape[1]), near.ravel()
-        new = what >= 0
-        code = np.unique(who[new] * n + what[new])
-        who, what = code // n, code % n
+        node = pool[rows, at]
+        size = ends[node + 1] - ends[node]
+        last = np.cumsum(size)
+        what = links[np.arange(last[-1]) + np.repeat(ends[node] - last + size, size)]
+        who = np.repeat(rows, size)
         new = ~seen[who, what]
         who, what = who[new], what[new]
+        # a row that several of a query's rows lead to counts once: the last to mark it
+        mark[who, what] = np.arange(len(who))
+        new = mark[who, what] == np.arange(len(who))
+        who, what = who[new], what[new]
         seen[who, what] = True
-        found = pair_distances(name, asked[who], x[what])
+        found = near_distances(name, asked[who], x[what])
         # one more column for each new row of a query
         nth = np.arange(len(who)) - np.searchsorted(who, who)
         wide = int(nth.max(initial=-1)) + 1
@@ -259,12 +271,11 @@ class GraphIndex:
             if block.num_rows and asked.num_rows:
                 x, ids = matrix(block.column("vector").combine_chunks(), False), block.column("key").to_numpy()
                 lists = block.column("neighbors").combine_chunks()
-                n = np.diff(lists.offsets.to_numpy())
-                links = np.full((len(x), int(n.max(initial=0))), -1, dtype=np.int64)
-                links[np.repeat(np.arange(len(x)), n), np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)] = lists.flatten().to_numpy()
+                links = lists.flatten().to_numpy()
+                ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
                 names, y = asked.column("query_id").to_numpy(), matrix(asked.column("vector").combine_chunks(), False)
                 for a in range(0, len(y), 256):
-                    at, dist = beam_search(x, links, y[a : a + 256], name, width, k)
+                    at, dist = beam_search(x, ends, links, y[a : a + 256], name, width, k)
                     on = np.isfinite(dist)
                     out.append((np.repeat(names[a : a + 256], dist.shape[1])[on.ravel()], ids[at[on]], dist[on]))
             return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "key", "distance"])
