@@ -45,6 +45,8 @@ NEAR = 3
 #: Texts, and characters, of a block of a bucket that is compared in full.
 BLOCK = 256
 BLOCK_CHARS = 2 << 20
+#: Tasks that the rows of one bucket go to where they are only picked out.
+SALTS = 16
 #: Columns of one matrix product of common shingles.
 COLUMNS = 4096
 
@@ -324,7 +326,10 @@ def compare_fully(entries: DataFrame, labels: DataFrame | None, texts: DataFrame
     named = entries.select("key", "node")
     named = named.withColumn("class", F.col("node")) if labels is None else named.join(labels, "node", "left").select("key", "node", F.coalesce("class", "node").alias("class"))
     several = named.groupBy("key").agg(F.count("*").alias("n"), F.min("class").alias("x"), F.max("class").alias("y")).where(f"n > {NEAR + 1} AND x <> y").select("key")
-    rest = stage(named.join(several, "key", "left_semi").join(texts.select("node", F.length("text").alias("chars")), "node"))
+    # narrow rows of one key are dealt over SALTS tasks
+    several = several.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    named = named.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS))).join(several, ["key", "salt"], "left_semi").drop("salt")
+    rest = stage(named.join(texts.select("node", F.length("text").alias("chars")), "node"))
     own = rest.groupBy("key", "class").agg(F.count("*").alias("n"), F.sum("chars").alias("chars"))
     own = stage(own.withColumn("home", F.expr(f"CASE WHEN n > {BLOCK} OR chars > {BLOCK_CHARS} THEN class END")))
     blocks = own.groupBy("key", "home").agg(F.expr(f"greatest(ceil(sum(n) / {BLOCK}), ceil(sum(chars) / {BLOCK_CHARS}), 1)").alias("parts"))
