@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
+from . import exact_dedup, line_dedup, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -54,6 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir))
 
 
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_report(read_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -72,5 +76,21 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 """
 
 
+OP12_SQL = r"""
+WITH cut AS (
+    SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
+), each AS (
+    SELECT doc_id, unnest(parts) AS line, unnest(range(len(parts))) AS pos FROM cut
+), keyed AS (
+    SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM each
+), told AS (
+    SELECT *, length(key) < 10 OR doc_id = min(doc_id) OVER (PARTITION BY key) AS kept FROM keyed
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT kept) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (kept), '')) AS kept_sha256
+FROM told GROUP BY doc_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace_exact_dedup": OP4_SQL}
+    return {"op4_grace_exact_dedup": OP4_SQL, "op12_line_dedup": OP12_SQL}
