@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
+from . import exact_dedup, line_dedup, manifest, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -58,6 +58,10 @@ def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_documents(spark, sf_dir))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest.verify(read_documents(spark, sf_dir, "doc_id", "source", "lang", "n_chars", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
@@ -92,5 +96,53 @@ FROM told GROUP BY doc_id
 """
 
 
+_FIELD = "CASE WHEN {0} IS NULL THEN '-' ELSE strlen({0}::VARCHAR) || ':' || {0}::VARCHAR END"
+_FIELDS = " || ".join(_FIELD.format(x) for x in ("doc_id", "source", "lang", "{n}", "text"))
+#: crc32 bit by bit, as DuckDB has no such function.
+_CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(doc_id::VARCHAR, ''), lambda c: ascii(c)::BIGINT)),
+    lambda s, b: list_reduce(list_prepend(xor(s, b), range(8)), lambda x, i: xor(x >> 1, (x & 1) * 3988292384::BIGINT))), 4294967295::BIGINT)"""
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+    SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256({_FIELDS.format(n="n_chars")}) AS leaf,
+           sha256({_FIELDS.format(n="(n_chars + CASE WHEN " + _CRC + " % 7 = 0 THEN 1 ELSE 0 END)")}) AS changed
+    FROM documents
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaves
+), low AS (
+    SELECT grp, 0 AS level, pos, leaf AS h, count(*) OVER (PARTITION BY grp) AS nodes FROM placed
+    UNION ALL
+    SELECT grp, any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(nodes) + 1) // 2 FROM low WHERE nodes > 1 GROUP BY grp, pos // 2
+), subroots AS (
+    SELECT grp, h, row_number() OVER (ORDER BY grp) - 1 AS pos, count(*) OVER () AS nodes FROM low WHERE nodes = 1
+), high AS (
+    SELECT 0 AS level, pos, h, nodes FROM subroots
+    UNION ALL
+    SELECT any_value(level) + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (any_value(nodes) + 1) // 2 FROM high WHERE nodes > 1 GROUP BY pos // 2
+), steps AS (
+    SELECT grp, level, pos, h, nodes FROM low WHERE nodes > 1
+), walk AS (
+    SELECT doc_id, grp, pos AS place, 0 AS level, pos, false AS up, leaf, changed AS folded, '' AS proof FROM placed
+    UNION ALL
+    SELECT w.doc_id, w.grp, w.place,
+           CASE WHEN NOT w.up AND d.pos IS NULL AND n.pos IS NULL THEN 0 ELSE w.level + 1 END,
+           CASE WHEN NOT w.up AND n.pos IS NULL THEN r.pos ELSE w.pos // 2 END,
+           w.up OR n.pos IS NULL, w.leaf,
+           CASE WHEN NOT w.up AND n.pos IS NULL THEN w.folded WHEN w.pos % 2 = 0 THEN sha256(w.folded || coalesce(d.h, u.h, '')) ELSE sha256(coalesce(d.h, u.h) || w.folded) END,
+           w.proof || coalesce(d.h, u.h, '')
+    FROM walk w
+    LEFT JOIN steps n ON NOT w.up AND n.grp = w.grp AND n.level = w.level AND n.pos = w.pos
+    LEFT JOIN steps d ON NOT w.up AND d.grp = w.grp AND d.level = w.level AND d.pos = xor(w.pos, 1)
+    LEFT JOIN subroots r ON NOT w.up AND n.pos IS NULL AND r.grp = w.grp
+    LEFT JOIN high m ON w.up AND m.level = w.level AND m.pos = w.pos
+    LEFT JOIN high u ON w.up AND u.level = w.level AND u.pos = xor(w.pos, 1)
+    WHERE NOT w.up OR m.nodes > 1
+), ended AS (
+    SELECT doc_id, grp, place, leaf, last(folded ORDER BY up, level) AS folded_root, last(proof ORDER BY up, level) AS proof FROM walk GROUP BY doc_id, grp, place, leaf
+)
+SELECT doc_id, leaf, s.h AS subroot, t.h AS root, sha256(proof) AS proof_sha256, folded_root, folded_root = t.h AS verified
+FROM ended JOIN subroots s USING (grp) CROSS JOIN (SELECT h FROM high WHERE nodes = 1) t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace_exact_dedup": OP4_SQL, "op12_line_dedup": OP12_SQL}
+    return {"op4_grace_exact_dedup": OP4_SQL, "op12_line_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
