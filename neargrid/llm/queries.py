@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, line_dedup, manifest, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
+from . import divergence, exact_dedup, line_dedup, manifest, maxent, order_minhash, packing, repeats, surrogates, tiling, token_counts, token_output, toxicity
 from .common import read_documents
 
 
@@ -54,6 +54,10 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_documents(spark, sf_dir))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(read_documents(spark, sf_dir, "lang", "source", "text"))
+
+
 def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_report(read_documents(spark, sf_dir))
 
@@ -80,6 +84,40 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(content) AS
 """
 
 
+OP11_SQL = r"""
+WITH docs AS (
+    SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS text FROM documents
+), words AS (
+    SELECT row, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM docs
+), kept AS (
+    SELECT lang, term, count(*) AS total FROM words GROUP BY lang, term HAVING count(DISTINCT row) >= 3
+), langs AS (
+    SELECT lang, sum(total) AS n, count(*) AS v FROM kept GROUP BY lang
+), groups AS (
+    SELECT DISTINCT lang, source FROM docs
+), found AS (
+    SELECT lang, source, term, count(*) AS count FROM words JOIN kept USING (lang, term) GROUP BY lang, source, term
+), sums AS (
+    SELECT g.lang, g.source, coalesce(sum(count), 0) AS n FROM groups g LEFT JOIN found USING (lang, source) GROUP BY g.lang, g.source
+), shares AS (
+    SELECT s.lang, s.source, k.term, coalesce(f.count, 0) AS count,
+           (1 + 1000000000::HUGEINT * (coalesce(f.count, 0) + 1)::HUGEINT // (s.n + l.v)::HUGEINT) AS p,
+           (1 + 1000000000::HUGEINT * (k.total + 1)::HUGEINT // (l.n + l.v)::HUGEINT) AS q
+    FROM sums s JOIN kept k USING (lang) JOIN langs l USING (lang) LEFT JOIN found f ON f.lang = s.lang AND f.source = s.source AND f.term = k.term
+), pairs AS (
+    SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(sum((x.p - y.p) * (x.p - y.p) // y.p), 0)::BIGINT AS value
+    FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source
+    LEFT JOIN shares x ON x.lang = a.lang AND x.source = a.source
+    LEFT JOIN shares y ON y.lang = b.lang AND y.source = b.source AND y.term = x.term
+    WHERE x.term IS NULL OR y.term IS NOT NULL
+    GROUP BY a.lang, a.source, b.source
+), terms AS (
+    SELECT lang, source, 'term' AS part, term AS item, ((p - q) * (p - q) // q)::BIGINT AS value FROM shares WHERE count > 0 AND p > q
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, encode(item))::INTEGER AS rank FROM (SELECT * FROM pairs UNION ALL SELECT * FROM terms)
+)
+SELECT * FROM ranked WHERE part = 'pair' OR rank <= 200
+"""
 OP12_SQL = r"""
 WITH cut AS (
     SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents
@@ -145,4 +183,4 @@ FROM ended JOIN subroots s USING (grp) CROSS JOIN (SELECT h FROM high WHERE node
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_grace_exact_dedup": OP4_SQL, "op12_line_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op4_grace_exact_dedup": OP4_SQL, "op11_source_divergence": OP11_SQL, "op12_line_dedup": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
