@@ -104,7 +104,8 @@ def apply_bitmaps(docs: DataFrame, bitmaps: DataFrame) -> DataFrame:
     """docs with their texts as they stay, and the columns __lines and __left: lines before and after."""
     # a join does not let the unpacked words be made anew for each line
     keep = bitmaps.select(F.col("doc_id").alias("__id"), F.col("text_id").alias("__text_id"), unpacked(F.col("words")).alias("__keep"))
-    met = docs.join(keep, docs["doc_id"].eqNullSafe(keep["__id"]) & (text_id(docs["text"]) == keep["__text_id"]), "left")
+    # hashed by partitions at every size: bitmaps are small beside their texts, which need no sort
+    met = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["__id"]) & (text_id(docs["text"]) == keep["__text_id"]), "left")
     word = lambda i: F.coalesce(F.get("__keep", F.shiftright(i, 6)), F.lit(-1))
     stays = lambda line, i: F.call_function("shiftright", word(i), i % BITS).bitwiseAND(F.lit(1)) == 1
     left = met.withColumn("__kept", F.filter(lines_of(F.col("text")), stays))
