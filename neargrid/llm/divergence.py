@@ -37,9 +37,9 @@ from .common import gather_runs, small_batches, stage
 
 SCALE, MIN_DOCS, TOP = 1_000_000_000, 3, 200
 #: Bytes of a text that are cut into terms at once, and terms that a task's table holds before it is sent on.
-BLOCK, TABLE = 1 << 20, 1 << 18
-#: Entries of vectors in a block; sources on the left side of the pairs of a task; pairs that are evaluated at once.
-ENTRIES, SLICE, PAIRS = 1 << 18, 64, 1 << 20
+BLOCK, TABLE = 1 << 20, 1 << 19
+#: Entries of vectors in a block (or as many as its language has pairs, so that sums are no more than entries); sources on the left side of the pairs of a task; pairs that are evaluated at once.
+ENTRIES, SLICE, PAIRS = 1 << 15, 64, 1 << 20
 
 #: Letters and bytes beyond ASCII stay, A-Z in lower case; all else separates.
 _TERMS = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b > 127 else 32 for b in range(256))
@@ -100,8 +100,8 @@ def kept_terms(docs: DataFrame, min_docs: int = MIN_DOCS) -> DataFrame:
 
 
 def columns_of(terms: DataFrame) -> DataFrame:
-    """lang, vector, times: the distinct vectors and how many terms have each."""
-    return terms.groupBy("lang", "vector").agg(F.count("*").alias("times"))
+    """id, lang, vector, times: the distinct vectors and how many terms have each. Ids hold once the table is written."""
+    return terms.groupBy("lang", "vector").agg(F.count("*").alias("times")).withColumn("id", F.monotonically_increasing_id())
 
 
 def group_table(docs: DataFrame, columns: DataFrame) -> DataFrame:
@@ -178,7 +178,8 @@ def block_sums(sources: np.ndarray, counts: np.ndarray, lengths: np.ndarray, tim
 
 def pair_sums(columns: DataFrame, groups: DataFrame) -> DataFrame:
     """lang, source, item, value for each ordered pair of different sources of a language."""
-    langs = groups.groupBy("lang").agg(F.ceil(F.max("entries") / ENTRIES).cast("bigint").alias("blocks"), F.ceil(F.count("*") / SLICE).cast("bigint").alias("slices"))
+    many = F.greatest(F.lit(ENTRIES), F.count("*") * F.count("*"))
+    langs = groups.groupBy("lang").agg(F.ceil(F.max("entries") / many).cast("bigint").alias("blocks"), F.ceil(F.count("*") / SLICE).cast("bigint").alias("slices"))
     langs = langs.select("lang", F.greatest("blocks", F.lit(1).cast("bigint")).alias("blocks"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("slices") - 1)).alias("slice"))
     dealt = columns.join(langs, "lang").select("lang", F.pmod(F.xxhash64("vector"), "blocks").alias("block"), "slice", "vector", "times")
     some = groups.join(langs, "lang").select(F.col("lang").alias("lang"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.col("slice").alias("slice"), *(F.col(c).alias(c) for c in ("source", "m", "v")))
@@ -215,14 +216,14 @@ def share_sql(count: str, m: str) -> str:
 def first_terms(terms: DataFrame, columns: DataFrame, groups: DataFrame, top: int = TOP) -> DataFrame:
     """lang, source, item, value, rank of the terms that lie furthest above their language's share."""
     total = F.aggregate("vector", F.lit(0).cast("bigint"), lambda s, e: s + e["n"])
-    entries = columns.select("lang", "vector", total.alias("total"), F.explode("vector").alias("e")).select("lang", "vector", "total", F.col("e.source").alias("source"), F.col("e.n").alias("count"))
+    entries = columns.select("lang", "id", total.alias("total"), F.explode("vector").alias("e")).select("lang", "id", "total", F.col("e.source").alias("source"), F.col("e.n").alias("count"))
     met = entries.join(groups.select("lang", "source", "m", "lang_m"), ["lang", "source"])
     each = met.withColumn("p", F.expr(share_sql("count", "m"))).withColumn("q", F.expr(share_sql("total", "lang_m"))).where("p > q")
-    valued = each.select("lang", "source", "vector", F.expr("(p - q) * (p - q) div q").alias("value"))
+    valued = each.select("lang", "source", "id", F.expr("(p - q) * (p - q) div q").alias("value"))
     w = Window.partitionBy("lang", "source").orderBy(F.desc("value"))
     # a term among the first `top` has a vector with fewer than `top` vectors above it
     some = valued.withColumn("place", F.rank().over(w)).where(F.col("place") <= top).drop("place")
-    named = some.join(terms, ["lang", "vector"]).select("lang", "source", F.col("term").alias("item"), "value")
+    named = some.join(columns.select("id", "vector"), "id").join(terms, ["lang", "vector"]).select("lang", "source", F.col("term").alias("item"), "value")
     return named.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))).where(F.col("rank") <= top)
 
 
