@@ -12,7 +12,8 @@ from .functions import quantize, text
 from .functions.metrics import metric
 from .operators import evaluate, sampling
 from .operators.ann import GraphIndex, SignLsh, memory_bytes
-from .operators.knn import knn, knn_join, merge_shards, padded, rerank, top_k, translate_labels
+from .operators.descent import detours, ranked_lists
+from .operators.knn import knn, knn_grid, knn_join, merge_shards, padded, rerank, top_k, translate_labels
 from .plans import bench, generate, report
 from .sources import bigann, staging
 
@@ -571,9 +572,61 @@ def lsh_recall(spark, sf_dir):
     return found_share(spark, sf_dir, SignLsh(DIMS, "cos"), "cos")
 
 
-@query("graph_recall", f"SELECT {K}::BIGINT AS k, true AS enough")
+LISTS = 48  # more than 40 also where hashes give fewer
+
+
+def graph_of(spark, sf_dir, **options) -> GraphIndex:
+    """A graph over many lists, whatever the size of the table."""
+    rows = base(spark, sf_dir)
+    index = GraphIndex("l2", block_rows=max(1, rows.count() // LISTS), **options)
+    index.add(rows)
+    return index
+
+
+@query("graph_recall")
 def graph_recall(spark, sf_dir):
-    return found_share(spark, sf_dir, GraphIndex("l2", block_rows=500), "l2")
+    """Lists, and the shares of the k nearest that a search finds and of the base that it compares."""
+    index = graph_of(spark, sf_dir)
+    truth, steps = knn(base(spark, sf_dir), asked(spark, sf_dir), K), staging.stage(index.trace(asked(spark, sf_dir), K))
+    w = Window.partitionBy("query").orderBy("dist", "key")
+    found = steps.where("kind = 0").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= K).select(F.col("query").alias("query_id"), "key", F.lit(1).alias("hit"))
+    share = truth.join(found, ["query_id", "key"], "left").agg((F.count("hit") / F.count("*")).alias("found"))
+    cost = steps.where("kind = 1").agg((F.sum("key") / F.countDistinct("query") / F.lit(base(spark, sf_dir).count())).alias("compared"))
+    return share.crossJoin(cost).select(F.lit(len(index.centres)).cast("bigint").alias("lists"), "found", "compared")  # one row each
+
+
+@query("descent_edges")
+def descent_edges(spark, sf_dir):
+    """How many of all edges to the true nearest neighbours descent finds from first edges inside lists."""
+    index = graph_of(spark, sf_dir)
+    rows = base(spark, sf_dir)
+    truth = knn_grid(rows, rows.select(F.col("key").alias("query_id"), "vector"), K + 1).where("query_id <> key")
+    met = truth.join(index.edges.select(F.col("node").alias("query_id"), F.col("nbr").alias("key"), F.lit(1).alias("hit")), ["query_id", "key"], "left")
+    return met.agg(F.count("*").alias("edges"), (F.count("hit") / F.count("*")).alias("found"))
+
+
+ALL_SQL = f"""WITH d AS (SELECT q.vec_id AS query_id, b.vec_id AS key, {fold_sql("q.embedding", "b.embedding", "(x - y) * (x - y)")} AS distance FROM embeddings q, embeddings b),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank FROM d)"""
+
+
+@query("knn_all_rows", f"{ALL_SQL} SELECT query_id, rank, key, round(distance, 6) + 0.0::DOUBLE AS distance FROM ranked WHERE rank <= {K}")
+def knn_all_rows(spark, sf_dir):
+    rows = base(spark, sf_dir)
+    return rounded(knn_grid(rows, rows.select(F.col("key").alias("query_id"), "vector"), K, cell_rows=max(64, rows.count() // 4)))
+
+
+DETOUR_SQL = f"""{ALL_SQL}, e AS (SELECT query_id AS node, key AS nbr, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) - 1 AS rank FROM ranked WHERE rank <= {K} AND query_id <> key)
+SELECT x.node, x.nbr, x.rank::INTEGER AS rank, count(z.nbr) AS ways FROM e x
+LEFT JOIN (SELECT a.node, b.nbr, greatest(a.rank, b.rank) AS most FROM e a JOIN e b ON a.nbr = b.node) z ON z.node = x.node AND z.nbr = x.nbr AND z.most < x.rank
+GROUP BY x.node, x.nbr, x.rank"""
+
+
+@query("graph_detours", DETOUR_SQL)
+def graph_detours(spark, sf_dir):
+    """By how many pairs of shorter edges each edge of the exact neighbour graph can be replaced."""
+    rows = base(spark, sf_dir)
+    near = knn_grid(rows, rows.select(F.col("key").alias("query_id"), "vector"), K).where("query_id <> key")
+    return detours(ranked_lists(near.select(F.col("query_id").alias("node"), F.col("key").alias("nbr"), F.col("distance").alias("dist"))))
 
 
 @query("knn_lsh")

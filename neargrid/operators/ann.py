@@ -1,4 +1,4 @@
-"""Approximate neighbours: sign-projection buckets, and neighbour graphs behind centroids.
+"""Index backends, and approximate neighbours by sign-projection buckets (`graph` has those by neighbour graphs).
 
 All are VectorIndex backends: `add` materialises (so building is not billed to the first search, and survives lost
 executors), `search` returns query_id, rank, key, distance, `save` and `load` go through Parquet.
@@ -16,11 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.metrics import metric as find
-from ..functions.metrics import near_distances, pair_distances
 from ..sources.staging import stage
-from .knn import knn, matrix, rerank, top_k
-from .sampling import row_hash
+from .graph import GraphIndex, asdict_simple, save_meta
+from .knn import knn, matrix, rerank
 
 
 class VectorIndex(Protocol):
@@ -46,7 +44,7 @@ class FlatIndex:
 
     def save(self, path: str) -> None:
         self.base.write.parquet(f"{path}/rows")
-        _save_meta(self.base.sparkSession, path, {"kind": "flat", "metric": self.metric})
+        save_meta(self.base.sparkSession, path, {"kind": "flat", "metric": self.metric})
 
     def size_bytes(self) -> int:
         d = self.base.agg(F.sum(F.size("vector") * 4 + 8).alias("n")).first()["n"]
@@ -58,10 +56,6 @@ def memory_bytes(dims, connectivity: int, scalar_bytes: int = 4):
     return dims.cast("bigint") * scalar_bytes + 8 + 2 * connectivity * 4
 
 
-def _save_meta(spark: SparkSession, path: str, meta: dict) -> None:
-    spark.createDataFrame([(json.dumps(meta),)], "value string").coalesce(1).write.text(f"{path}/meta")
-
-
 @dataclass
 class SignLsh:
     """Random hyperplanes: vectors that fall on the same side of `bits` planes share a bucket in one of `tables` tables.
@@ -117,191 +111,21 @@ class SignLsh:
 
     def save(self, path: str) -> None:
         self.base.write.parquet(f"{path}/rows")
-        _save_meta(self.base.sparkSession, path, {"kind": "lsh", **{k: v for k, v in asdict_simple(self).items()}})
+        save_meta(self.base.sparkSession, path, {"kind": "lsh", **{k: v for k, v in asdict_simple(self).items()}})
 
     def size_bytes(self) -> int:
         return self.base.count() * (self.dims * 4 + 8 + 24 * self.tables)
 
 
-def asdict_simple(x) -> dict:
-    return {k: v for k, v in x.__dict__.items() if isinstance(v, int | float | str)}
-
-
-def beam_search(x: np.ndarray, ends: np.ndarray, links: np.ndarray, asked: np.ndarray, name: str, width: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places and distances of the k nearest rows that a beam of `width` finds in a graph, for all queries at once.
-
-    links: the neighbours of row i at ends[i] .. ends[i + 1]. Each step expands the eight nearest rows not yet expanded.
-    Single precision steers; what the beam holds in the end is scored exactly.
-    """
-    exact = x, asked
-    x, asked = x.astype(np.float32), asked.astype(np.float32)
-    n, q = len(x), len(asked)
-    start = np.unique(np.linspace(0, n - 1, ENTRIES).astype(int))
-    seen, done = np.zeros((q, n), dtype=bool), np.zeros((q, n), dtype=bool)
-    mark = np.zeros((q, n), dtype=np.int32)
-    seen[:, start] = True
-    pool = np.tile(start, (q, 1))
-    dist = near_distances(name, np.repeat(asked, len(start), axis=0), np.tile(x[start], (q, 1))).reshape(q, -1)
-    while True:
-        order = np.argsort(dist, axis=1, kind="stable")[:, :width]
-        pool, dist = np.take_along_axis(pool, order, axis=1), np.take_along_axis(dist, order, axis=1)
-        fresh = np.isfinite(dist) & ~np.take_along_axis(done, pool, axis=1)
-        fresh &= np.cumsum(fresh, axis=1) <= 8
-        rows, at = np.nonzero(fresh)
-        if not len(rows):
-            rows, at = np.nonzero(np.isfinite(dist))
-            out = np.full(dist.shape, np.inf)
-            out[rows, at] = pair_distances(name, exact[1][rows], exact[0][pool[rows, at]])
-            order = np.lexsort((pool, out), axis=1)[:, :k]
-            return np.take_along_axis(pool, order, axis=1), np.take_along_axis(out, order, axis=1)
-        done[rows, pool[rows, at]] = True
-        node = pool[rows, at]
-        size = ends[node + 1] - ends[node]
-        last = np.cumsum(size)
-        what = links[np.arange(last[-1]) + np.repeat(ends[node] - last + size, size)]
-        who = np.repeat(rows, size)
-        new = ~seen[who, what]
-        who, what = who[new], what[new]
-        # a row that several of a query's rows lead to counts once: the last to mark it
-        mark[who, what] = np.arange(len(who))
-        new = mark[who, what] == np.arange(len(who))
-        who, what = who[new], what[new]
-        seen[who, what] = True
-        found = near_distances(name, asked[who], x[what])
-        # one more column for each new row of a query
-        nth = np.arange(len(who)) - np.searchsorted(who, who)
-        wide = int(nth.max(initial=-1)) + 1
-        more, far = np.zeros((q, wide), dtype=np.int64), np.full((q, wide), np.inf)
-        more[who, nth], far[who, nth] = what, found
-        pool, dist = np.concatenate([pool, more], axis=1), np.concatenate([dist, far], axis=1)
-
-
-def neighbour_graph(x: np.ndarray, name: str, m: int) -> list[list[int]]:
-    """The m nearest rows of each row, edges both ways (which keeps far groups reachable)."""
-    quick = find(name).quick or find(name).block
-    near: list[list[int]] = []
-    for a in range(0, len(x), 1024):
-        d = quick(x[a : a + 1024], x)
-        d[np.arange(len(d)), a + np.arange(len(d))] = np.inf
-        w = min(m, len(x) - 1)
-        near += np.argpartition(d, w - 1, axis=1)[:, :w].tolist() if 0 < w < len(x) else [[] for _ in d]
-    both = [set(n) for n in near]
-    for i, n in enumerate(near):
-        for j in n:
-            both[j].add(i)
-    return [sorted(s) for s in both]
-
-
-GRAPH = "list long, block long, key long, vector array<float>, neighbors array<int>"
-#: Rows of a block at which every search of it begins.
-ENTRIES = 32
-#: Rows that centroids are fitted on, and centroids, at most. Rows are all indexed.
-FIT_ROWS, MAX_LISTS = 1 << 14, 1 << 12
-
-
-@dataclass
-class GraphIndex:
-    """Lists around centroids, each cut into blocks of at most about `block_rows` rows with a neighbour graph of their own.
-
-    connectivity: neighbours kept for each row; expansion_search: width of the beam (at least k); lists = 0: one for each
-    `block_rows` rows. Queries are rows, which are sent to the blocks of their `probes` nearest lists; blocks are searched by
-    beams, and results are merged. Centroids are fitted on FIT_ROWS rows with the least hash.
-    """
-
-    metric: str = "l2"
-    connectivity: int = 16
-    expansion_search: int = 96
-    lists: int = 0
-    probes: int = 8
-    block_rows: int = 10_000
-    centroids: list | None = field(default=None, repr=False)
-    graph: DataFrame | None = field(default=None, repr=False)
-
-    def _fit(self, base: DataFrame) -> None:
-        total = base.count()
-        self.lists = self.lists or int(np.clip(-(-total // self.block_rows), 1, MAX_LISTS))
-        some = base.orderBy(row_hash(F.col("key")), "key").limit(FIT_ROWS).select("vector").toArrow().column(0).combine_chunks()  # FIT_ROWS rows at most
-        x = matrix(some, False)
-        centres = x[np.linspace(0, max(0, len(x) - 1), min(self.lists, len(x))).astype(int)]
-        for _ in range(8):
-            of = find("l2").quick(x, centres).argmin(axis=1) if len(x) else np.zeros(0, dtype=int)
-            sums = np.zeros_like(centres)
-            np.add.at(sums, of, x)
-            n = np.bincount(of, minlength=len(centres))
-            centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
-        self.centroids = centres.tolist()
-
-    def _lists(self, df: DataFrame, name: str, probes: int) -> DataFrame:
-        """df with a column list: one row for each of the nearest `probes` lists."""
-        centres = np.array(self.centroids)
-        probes = min(probes, len(centres))
-
-        def run(batches):
-            for batch in batches:
-                d = find("l2").quick(matrix(batch.column(1), False), centres)
-                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
-                of = np.repeat(np.arange(batch.num_rows), near.shape[1])
-                yield pa.RecordBatch.from_arrays([pa.array(near.ravel().astype(np.int64)), batch.column(0).take(pa.array(of)), batch.column(1).take(pa.array(of))], names=["list", name, "vector"])
-
-        return df.select(F.col(name).cast("long"), F.col("vector").cast("array<float>")).mapInArrow(run, f"list long, {name} long, vector array<float>")
-
-    def add(self, base: DataFrame) -> None:
-        m, name = self.connectivity, self.metric
-        base = stage(base.select("key", "vector"))
-        if self.centroids is None:
-            self._fit(base)
-
-        def build(key, table):
-            x = matrix(table.column("vector").combine_chunks(), False)
-            links = pa.array(neighbour_graph(x, name, m), pa.list_(pa.int32()))
-            return pa.Table.from_arrays([*(table.column(c) for c in ("list", "block", "key", "vector")), links], names=["list", "block", "key", "vector", "neighbors"])
-
-        listed = stage(self._lists(base, "key", 1))
-        blocks = listed.groupBy("list").agg(F.ceil(F.count("*") / self.block_rows).cast("bigint").alias("blocks"))
-        first = 0 if self.graph is None else (self.graph.agg(F.max("block")).first()[0] or 0) + 1
-        placed = listed.join(F.broadcast(blocks), "list").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")) + F.lit(first))  # MAX_LISTS rows at most
-        graph = stage(placed.select("list", "block", "key", "vector").groupBy("list", "block").applyInArrow(build, GRAPH))
-        self.graph = graph if self.graph is None else self.graph.unionByName(graph)
-
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        name, width = self.metric, max(self.expansion_search, k)
-
-        def run(key, block: pa.Table, asked: pa.Table) -> pa.Table:
-            out = [(np.zeros(0, dtype=np.int64),) * 2 + (np.zeros(0),)]
-            if block.num_rows and asked.num_rows:
-                x, ids = matrix(block.column("vector").combine_chunks(), False), block.column("key").to_numpy()
-                lists = block.column("neighbors").combine_chunks()
-                links = lists.flatten().to_numpy()
-                ends = np.append(0, np.cumsum(np.diff(lists.offsets.to_numpy())))
-                names, y = asked.column("query_id").to_numpy(), matrix(asked.column("vector").combine_chunks(), False)
-                for a in range(0, len(y), 256):
-                    at, dist = beam_search(x, ends, links, y[a : a + 256], name, width, k)
-                    on = np.isfinite(dist)
-                    out.append((np.repeat(names[a : a + 256], dist.shape[1])[on.ravel()], ids[at[on]], dist[on]))
-            return pa.Table.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["query_id", "key", "distance"])
-
-        blocks = self.graph.select(F.col("list").alias("list"), F.col("block").alias("block")).distinct()
-        routed = self._lists(queries, "query_id", self.probes).join(blocks, "list").select("list", "block", "query_id", "vector")
-        wanted = self.graph.select("list", "block", "key", "vector", "neighbors")
-        found = wanted.groupBy("list", "block").cogroup(routed.groupBy("list", "block")).applyInArrow(run, "query_id long, key long, distance double")
-        return top_k(found, k).select("query_id", "rank", "key", "distance")
-
-    def save(self, path: str) -> None:
-        self.graph.write.parquet(f"{path}/rows")
-        _save_meta(self.graph.sparkSession, path, {"kind": "graph", "centroids": self.centroids, **asdict_simple(self)})
-
-    def size_bytes(self) -> int:
-        return self.graph.agg(F.sum(F.size("vector") * 4 + F.size("neighbors") * 4 + 8).alias("n")).first()["n"] or 0
-
-
 def load(spark: SparkSession, path: str) -> VectorIndex:
     """An index saved by one of the backends."""
     meta = json.loads(spark.read.text(f"{path}/meta").first()["value"])
-    kind, rows = meta.pop("kind"), spark.read.parquet(f"{path}/rows")
+    kind = meta.pop("kind")
+    if kind == "graph":
+        return GraphIndex.loaded(spark, path, meta)
+    rows = spark.read.parquet(f"{path}/rows")
     if kind == "flat":
         return FlatIndex(meta["metric"], rows)
-    if kind == "lsh":
-        index = SignLsh(**meta)
-        index.add(rows)
-        return index
-    return GraphIndex(**meta, graph=rows)
+    index = SignLsh(**meta)
+    index.add(rows)
+    return index

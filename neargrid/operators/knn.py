@@ -3,7 +3,8 @@
 `knn` takes a stated query set against all base rows. Queries go to the tasks in blocks of bounded size, one after another; the
 base is read once for each block and never shuffled. Each task keeps k rows a query, so what is shuffled is k rows a query and task;
 the last step is a row_number, whose limit Spark applies before and after its shuffle. `knn_join` is the same as a
-DataFrame join with the metric as an expression.
+DataFrame join with the metric as an expression. `knn_grid` takes query sets of any size: both sides are cut into numbered blocks, a
+pair of blocks is a cell, and nothing goes through the driver.
 
 Results are ordered by (distance, key); both ways give the same rows.
 """
@@ -151,6 +152,34 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") ->
     return top_k(pairs, k).select("query_id", "rank", "key", "distance")
 
 
+def knn_grid(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", cell_rows: int = 8192) -> DataFrame:
+    """query_id, rank, key, distance, as by `knn`, for any number of queries (ids and keys are distinct).
+
+    Rows are dealt by hash into blocks of about cell_rows, each block is sent to the cells of its row or column of the grid,
+    and a task holds one cell. A cell keeps k rows a query; the rest is a row_number, limited before its shuffle.
+    """
+    check_k(k)
+    bits = find(metric).bits
+    n_base, n_queries = (max(1, -(-df.count() // cell_rows)) for df in (base, queries))
+    deal = lambda column, own, others: (F.pmod(F.xxhash64(column), F.lit(own)), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(others - 1).cast("bigint"))))
+    q_own, q_other = deal("query_id", n_queries, n_base)
+    b_own, b_other = deal("key", n_base, n_queries)
+    left = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("vector"), q_own.alias("across"), q_other.alias("down"))
+    right = base.select(F.col("key").cast("long").alias("key"), F.col("vector").alias("vector"), b_own.alias("down"), b_other.alias("across"))
+
+    def compare(cell: tuple, asked: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0)]
+        if asked.num_rows and rows.num_rows:
+            best = Scan(matrix(asked.column("vector").combine_chunks(), bits), k, metric)
+            best.add(rows.column("key").to_numpy(), matrix(rows.column("vector").combine_chunks(), bits))
+            found = np.isfinite(best.dist)
+            out = [np.repeat(asked.column("query_id").to_numpy(), found.sum(axis=1)), best.key[found], best.dist[found]]
+        return pa.table([pa.array(c) for c in out], names=["query_id", "key", "distance"])
+
+    cells = left.groupBy("across", "down").cogroup(right.groupBy("across", "down")).applyInArrow(compare, "query_id long, key long, distance double")
+    return top_k(cells, k).select("query_id", "rank", "key", "distance")
+
+
 def merge_shards(results: DataFrame, k: int) -> DataFrame:
     """k nearest over all shards; on equal distances the earlier shard comes first. results: shard, query_id, rank, key, distance."""
     w = Window.partitionBy("query_id").orderBy("distance", "shard", "rank")

@@ -25,23 +25,45 @@ def uniform(rows: np.ndarray, columns: int, seed: int, stream: int) -> np.ndarra
     return (mixed(rows, columns, seed, stream) >> np.uint64(11)) * 2.0**-53
 
 
-def gaussian(spark: SparkSession, count: int, dims: int, seed: int = 42, first: int = 0) -> DataFrame:
-    """row, vector array<float> with standard normal values (Box-Muller)."""
-    if count < 0 or dims < 1:
-        raise ValueError("count must not be negative and dims at least 1")
+def normal(rows: np.ndarray, dims: int, seed: int) -> np.ndarray:
+    """Standard normal values (Box-Muller)."""
+    u, v = (uniform(rows, -(-dims // 2), seed, s) for s in (0, 1))
+    r = np.sqrt(-2 * np.log(np.maximum(u, EPSILON)))
+    return np.stack([r * np.cos(2 * np.pi * v), r * np.sin(2 * np.pi * v)], axis=2).reshape(len(rows), -1)[:, :dims]
+
 
+def _vectors(spark: SparkSession, first: int, count: int, dims: int, values) -> DataFrame:
     def run(batches):
         for batch in batches:
-            rows = batch.column(0).to_numpy()
-            u, v = (uniform(rows, -(-dims // 2), seed, s) for s in (0, 1))
-            r = np.sqrt(-2 * np.log(np.maximum(u, EPSILON)))
-            x = np.stack([r * np.cos(2 * np.pi * v), r * np.sin(2 * np.pi * v)], axis=2).reshape(len(rows), -1)[:, :dims].astype(np.float32)
-            offsets = pa.array(np.arange(len(rows) + 1, dtype=np.int32) * dims)
+            x = values(batch.column(0).to_numpy()).astype(np.float32)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * dims)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=["row", "vector"])
 
     return spark.range(first, first + count).mapInArrow(run, "row bigint, vector array<float>")
 
 
+def embedded(spark: SparkSession, count: int, dims: int, inner: int, noise: float = 0.05, seed: int = 42, first: int = 0) -> DataFrame:
+    """row, vector array<float>: normal values of `inner` dimensions in a fixed linear image of `dims`, with some noise, so
+    that rows have as much structure as embeddings have."""
+    if count < 0 or not 1 <= inner <= dims:
+        raise ValueError("count must not be negative and inner in 1..dims")
+    shape = normal(np.arange(inner), dims, seed + 1)
+
+    def values(rows):
+        x = normal(rows, inner + dims, seed)
+        return x[:, :inner] @ shape + noise * x[:, inner:]
+
+    return _vectors(spark, first, count, dims, values)
+
+
+def gaussian(spark: SparkSession, count: int, dims: int, seed: int = 42, first: int = 0) -> DataFrame:
+    """row, vector array<float> with standard normal values (Box-Muller)."""
+    if count < 0 or dims < 1:
+        raise ValueError("count must not be negative and dims at least 1")
+
+    return _vectors(spark, first, count, dims, lambda rows: normal(rows, dims, seed))
+
+
 def clustered_bits(spark: SparkSession, count: int, bits: int, clusters: int = 256, noise: float = 0.1, seed: int = 42, first: int = 0) -> DataFrame:
     """row, words array<bigint>, bits: random centres with each bit flipped with probability floor(256 noise) / 256."""
     if bits < 1 or bits % 8 or clusters < 1 or not 0 <= noise <= 1:
