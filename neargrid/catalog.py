@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from .functions import quantize, text
 from .functions.metrics import metric
-from .operators import evaluate, sampling
+from .operators import binary, evaluate, sampling
 from .operators.ann import GraphIndex, SignLsh, memory_bytes
 from .operators.descent import detours, ranked_lists
 from .operators.knn import knn, knn_grid, knn_join, merge_shards, padded, rerank, top_k, translate_labels
@@ -384,6 +384,15 @@ def insertion_order(spark, sf_dir):
     return sampling.insertion_order(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row"))).select("row", "perm")
 
 
+@query("permuted_rows", sampling.permutation_sql("embeddings", "vec_id"))
+def permuted_rows(spark, sf_dir):
+    """Each row's place in a keyed permutation of all rows, and the row that the place leads back to."""
+    rows = base(spark, sf_dir)
+    n = rows.count()
+    placed = rows.select(F.col("key").alias("row"), sampling.permuted(F.col("key"), n).alias("place"))
+    return placed.select("row", "place", sampling.unpermuted(F.col("place"), n).alias("back"))
+
+
 @query("sample_queries", f"SELECT vec_id AS row FROM embeddings ORDER BY {HASH_SQL}, vec_id LIMIT 50")
 def sample_queries(spark, sf_dir):
     return sampling.sample(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("row")), 50)
@@ -572,6 +581,18 @@ def lsh_recall(spark, sf_dir):
     return found_share(spark, sf_dir, SignLsh(DIMS, "cos"), "cos")
 
 
+@query("knn_hamming_indexed", f"{knn_sql(BIT_SQL['hamming'])} {ROWS}")
+def knn_hamming_indexed(spark, sf_dir):
+    return rounded(binary.hamming_index(words(base(spark, sf_dir)), words(asked(spark, sf_dir)), K, DIMS, 4)[0])
+
+
+for _name in ("jaccard", "sorensen"):
+
+    @query(f"knn_{_name}_bounded", f"{knn_sql(BIT_SQL[_name])} {ROWS}")
+    def knn_bounded(spark, sf_dir, _name=_name):
+        return rounded(binary.popcount_search(words(base(spark, sf_dir)), words(asked(spark, sf_dir)), K, _name)[0])
+
+
 LISTS = 48  # more than 40 also where hashes give fewer
 
 

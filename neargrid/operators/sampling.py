@@ -5,6 +5,8 @@ The order does not depend on partitions or machines: rows are sorted by a mixed
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -16,7 +18,7 @@ ROUNDS = ((16, 0x7FEB352D), (15, 0x31848BAB))
 MASK = 0xFFFFFFFF
 
 
-def row_hash(row: Column, seed: int = 42) -> Column:
+def row_hash(row: Column, seed: int | Column = 42) -> Column:
     """32 mixed bits of a row number of any size."""
     x = row.cast("bigint") + F.lit(seed)
     high = F.shiftright(x, 32)
@@ -49,6 +51,66 @@ def global_rank(df: DataFrame, *order: Column | str, name: str = "perm") -> Data
     return ranged.join(F.broadcast(before), "__part").withColumn(name, F.col("__before") + F.col("__nth")).drop("__part", "__at", "__nth", "__before")
 
 
+#: Rounds of the network, and the steps that a place outside the table is followed for.
+TURNS, WALK = 6, 40
+
+
+def _sides(n: int) -> tuple[int, int]:
+    """Numbers of rows and columns of the smallest near-square that holds n places."""
+    a = max(1, math.isqrt(max(0, n - 1)) + 1)
+    return a, max(1, -(-n // a))
+
+
+def _network(x: Column, n: int, seed: int, back: bool) -> Column:
+    """One pass over a * b places: the row number is shifted by a hash of the column number and the other way round, in turn."""
+    a, b = _sides(n)
+    sign = F.lit(-1 if back else 1)
+
+    def turn(p: Column, t: Column) -> Column:
+        odd = t % 2 == 1
+        mixed = row_hash(F.when(odd, p["i"]).otherwise(p["j"]), F.lit(seed) + t)
+        i = F.when(odd, p["i"]).otherwise(F.pmod(p["i"] + sign * mixed, F.lit(a)))
+        j = F.when(odd, F.pmod(p["j"] + sign * mixed, F.lit(b))).otherwise(p["j"])
+        return F.struct(i.cast("bigint").alias("i"), j.cast("bigint").alias("j"))
+
+    j = F.pmod(x, F.lit(b)).cast("bigint")
+    begin = F.struct(((x - j) / F.lit(b)).cast("bigint").alias("i"), j.alias("j"))
+    turns = F.array(*(F.lit(t) for t in range(TURNS)[:: -1 if back else 1]))
+    return F.aggregate(turns, begin, turn, lambda p: p["i"] * F.lit(b) + p["j"])
+
+
+def _walk(row: Column, n: int, seed: int, back: bool) -> Column:
+    x = _network(row.cast("bigint"), n, seed, back)
+    # fewer than a of a * b places lie outside the table: WALK steps are enough for certain if a <= WALK, and else but for one in n ** (WALK / 2)
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), x, lambda y, _: F.when(y < n, y).otherwise(_network(y, n, seed, back)))
+
+
+def permuted(row: Column, n: int, seed: int = 42) -> Column:
+    """The place of row 0 .. n - 1 in a keyed permutation of 0 .. n - 1: a Feistel network over a near-square with cycle walking.
+
+    An expression of the row number alone: no sort, no exchange, and `unpermuted` gives the row of a place.
+    """
+    return _walk(row, n, seed, False)
+
+
+def unpermuted(place: Column, n: int, seed: int = 42) -> Column:
+    """The row that `permuted` has put in a place."""
+    return _walk(place, n, seed, True)
+
+
+def permutation_sql(table: str, row: str, seed: int = 42) -> str:
+    """row, place and back (the row itself) in ANSI SQL; cycles are walked by a recursive query."""
+    step = "SELECT row, n, a, b, x // b AS i, x % b AS j FROM {0}"
+    for t in range(TURNS):
+        i, j = ("i", f"(j + {row_hash_sql('i', seed + t)}) % b") if t % 2 else (f"(i + {row_hash_sql('j', seed + t)}) % a", "j")
+        step = f"SELECT row, n, a, b, {i} AS i, {j} AS j FROM ({step})"
+    once = f"SELECT row, n, a, b, i * b + j AS x FROM ({step})"
+    return f"""WITH RECURSIVE size AS (SELECT count(*) AS n, CAST(floor(sqrt(count(*) - 1)) AS BIGINT) + 1 AS a FROM {table}),
+    begin AS (SELECT {row} AS row, n, a, CAST(ceil(n / a) AS BIGINT) AS b, {row} AS x FROM {table}, size),
+    walk AS ({once.format("begin")} UNION ALL {once.format("(SELECT * FROM walk WHERE x >= n)")})
+    SELECT row, x AS place, row AS back FROM walk WHERE x < n"""
+
+
 def insertion_order(base: DataFrame, row: str = "row", seed: int = 42, shuffle: bool = True) -> DataFrame:
     """perm: the place of each row in the order of insertion."""
     if not shuffle:

@@ -294,3 +294,18 @@ def test_tiles_give_the_k_nearest(name, monkeypatch):
     d = metrics.metric(name).block(q, b)
     want = np.array([sorted(range(700), key=lambda i: (x[i], i))[:9] for x in d])
     assert np.array_equal(scan.key, want) and np.array_equal(scan.dist, np.take_along_axis(d, want, axis=1))
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 10, 37, 1000, 4097])
+def test_permutation_without_a_sort(spark, n, capsys):
+    df = spark.range(n).select("id", sampling.permuted(F.col("id"), n).alias("place"))
+    df = df.withColumn("back", sampling.unpermuted(F.col("place"), n))
+    rows = df.collect()
+    assert sorted(r.place for r in rows) == list(range(n)) and all(r.back == r.id for r in rows)
+    df.explain()
+    assert "Exchange" not in capsys.readouterr().out
+    if n > 100:
+        other = {r.id: r.p for r in df.select("id", sampling.permuted(F.col("id"), n, 7).alias("p")).collect()}
+        assert sum(other[r.id] == r.place for r in rows) < 10
+        steps = np.diff([r.place for r in sorted(rows)])
+        assert len(set(steps.tolist())) > n / 2
