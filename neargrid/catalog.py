@@ -616,6 +616,19 @@ def graph_recall(spark, sf_dir):
     return share.crossJoin(cost).select(F.lit(len(index.centres)).cast("bigint").alias("lists"), "found", "compared")  # one row each
 
 
+@query("graph_filtered_recall")
+def graph_filtered_recall(spark, sf_dir):
+    """For labels below 1, 3 and 6: rows that may be found, and the share of the k nearest of these that a filtered search finds."""
+    index, rows, out = graph_of(spark, sf_dir), base(spark, sf_dir), None
+    for most in (1, 3, 6):
+        some = rows.where(F.col("label") < most)
+        found = index.search(asked(spark, sf_dir), K, some).select("query_id", "key", F.lit(1).alias("hit"))
+        part = knn(some, asked(spark, sf_dir), K).join(found, ["query_id", "key"], "left").agg((F.count("hit") / F.count("*")).alias("found"))
+        part = part.select(F.lit(most).alias("below"), F.lit(some.count()).alias("rows"), "found")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
 @query("descent_edges")
 def descent_edges(spark, sf_dir):
     """How many of all edges to the true nearest neighbours descent finds from first edges inside lists."""

@@ -49,7 +49,20 @@ def unpack(column: pa.Array) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     raw = b"".join(column.to_pylist())
-    return np.frombuffer(raw, dtype="<f4").reshape(n, -1).astype(np.float64)
+    return np.frombuffer(raw, dtype="<f4").reshape(n, -1 if n else 0).astype(np.float64)
+
+
+def unpack_vectors(df: DataFrame, *names: str) -> DataFrame:
+    """df (names..., vector packed) with the vectors as array<float>."""
+
+    def run(batches):
+        for batch in batches:
+            x = unpack(batch.column(len(names))).astype(np.float32)
+            offsets = pa.array(np.arange(len(x) + 1, dtype=np.int32) * (x.shape[1] if len(x) else 0))
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.ListArray.from_arrays(offsets, pa.array(x.ravel()))], names=[*names, "vector"])
+
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*names).schema)
+    return df.select(*names, "vector").mapInArrow(run, f"{schema}, vector array<float>")
 
 
 def mutual(name: str, x: np.ndarray) -> np.ndarray:

@@ -29,8 +29,8 @@ from pyspark.sql.window import Window
 from ..functions.metrics import metric as find
 from ..functions.metrics import near_distances, pair_distances
 from ..sources.staging import stage
-from .descent import descend, pack_vectors, prune, unpack
-from .knn import QUERY_BYTES, Scan, matrix, query_blocks, top_k
+from .descent import descend, pack_vectors, prune, unpack, unpack_vectors
+from .knn import QUERY_BYTES, Scan, knn, matrix, query_blocks, top_k
 from .sampling import row_hash
 
 #: Rows of a block at which every search of it begins, queries that a beam walks at once, edges by which a query enters a block.
@@ -42,6 +42,8 @@ MAX_CENTRES = 1 << 16
 ENTER, FOLLOW = 2, 16
 #: Rows of a block that is compared whole; rows whose neighbours are looked up to set `probes`, and how many of each.
 SCAN_ROWS, SAMPLE, SAMPLE_K = 8_192, 256, 10
+#: Share of allowed rows below which they are compared one by one.
+THIN = 0.05
 #: Further lists in which a new row looks for its first edges.
 VISITS = 2
 
@@ -318,9 +320,9 @@ class GraphIndex:
 
     # ------------------------------------------------------------ searching
 
-    def _routed(self, queries: DataFrame) -> DataFrame:
+    def _routed(self, queries: DataFrame, probes: int) -> DataFrame:
         """query_id, vector, lists: the nearest centres of each query."""
-        centres, probes = self.centres, min(self.probes or self.enough, len(self.centres))
+        centres, probes = self.centres, min(probes, len(self.centres))
 
         def run(batches):
             for batch in batches:
@@ -330,14 +332,13 @@ class GraphIndex:
 
         return queries.select(F.col("query_id").cast("long"), F.col("vector").cast("array<float>")).mapInArrow(run, "query_id long, vector array<float>, lists array<long>")
 
-    def _at(self, units: np.ndarray, columns: str) -> DataFrame:
+    def _at(self, blocks: DataFrame, units: np.ndarray, columns: str) -> DataFrame:
         """Columns of the given blocks; few blocks are looked up by the scan."""
         some = np.unique(units)
-        blocks = self.blocks.where(F.col("unit").isin(some.tolist())) if len(some) <= 1000 else self.blocks
-        return blocks.select(*columns.split())
+        return (blocks.where(F.col("unit").isin(some.tolist())) if len(some) <= 1000 else blocks).select(*columns.split())
 
-    def _step(self, route: Route, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
-        """One round: the nearest rows of each block that a query enters, and how many distances that took."""
+    def _step(self, blocks: DataFrame, route: Route, names: np.ndarray, vectors: np.ndarray, k: int) -> DataFrame:
+        """One round: the nearest (allowed) rows of each block that a query enters, and how many distances that took."""
         name, width, keep = self.metric, max(self.expansion_search, k), max(k, FOLLOW)
 
         def walk(row: dict) -> list[tuple]:
@@ -345,11 +346,17 @@ class GraphIndex:
             some, place, door = route.at(unit)
             get = lambda c, kind: np.frombuffer(row[c], dtype=kind)
             keys, x = get("keys", np.int64), get("vectors", "<f4").reshape(n, -1).astype(np.float64)
-            out = []
+            out, may = [], np.ones(n, dtype=bool)
+            if row.get("allowed") is not None:
+                may = np.isin(keys, np.array(row["allowed"], dtype=np.int64))
+                if not may.any():
+                    return []
+            few = np.flatnonzero(may)
             for a in range(0, len(some), QUERIES):
                 who = some[a : a + QUERIES]
-                if n <= SCAN_ROWS:
-                    found, dist, cost = scan(x, vectors[who], name, keep)
+                if n <= SCAN_ROWS or len(few) < THIN * n:
+                    found, dist, cost = scan(x[few], vectors[who], name, keep)
+                    found = few[found]
                 else:
                     on = (door >= 0) & (place >= a) & (place < a + len(who))
                     at, mine = np.searchsorted(keys, door[on]), place[on] - a
@@ -358,7 +365,10 @@ class GraphIndex:
                     nth = np.arange(len(mine)) - np.searchsorted(mine, mine)
                     doors = np.full((len(who), int(nth.max(initial=-1)) + 1), -1)
                     doors[mine, nth] = at
-                    found, dist, cost = beam_search(x, get("ends", np.int64), get("links", np.int32), vectors[who], name, width, keep, doors)
+                    found, dist, cost = beam_search(x, get("ends", np.int64), get("links", np.int32), vectors[who], name, width, width, doors)
+                    dist = np.where(may[found], dist, np.inf)  # a beam passes through rows that it may not return
+                    order = np.argsort(dist, axis=1, kind="stable")[:, :keep]
+                    found, dist = np.take_along_axis(found, order, axis=1), np.take_along_axis(dist, order, axis=1)
                 q, c = np.nonzero(np.isfinite(dist))
                 out.append((RESULT, names[who[q]], np.full(len(q), unit), keys[found[q, c]], dist[q, c]))
                 out.append((COST, names[who], np.full(len(who), unit), cost.astype(np.int64), np.zeros(len(who))))
@@ -371,9 +381,10 @@ class GraphIndex:
                     for kind, *columns in walk(row):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(c) for c in columns)], names=["kind", "query", "unit", "key", "dist"])
 
-        return self._at(route.unit, "unit rows keys vectors ends links").mapInArrow(run, STEP)
+        columns = "unit rows keys vectors ends links" + " allowed" * ("allowed" in blocks.columns)
+        return self._at(blocks, route.unit, columns).mapInArrow(run, STEP)
 
-    def _crossings(self, best: list, number: dict[int, int], visited: np.ndarray) -> Route | None:
+    def _crossings(self, blocks: DataFrame, best: list, number: dict[int, int], visited: np.ndarray) -> Route | None:
         """Where the best rows so far (query, unit, key, dist) lead: the `fan` nearest blocks that a query has not entered."""
         unit, key = (np.array([r[c] for r in best], dtype=np.int64) for c in ("unit", "key"))
         query, dist = np.array([number[r["query"]] for r in best], dtype=np.int64), np.array([r["dist"] for r in best])
@@ -395,14 +406,14 @@ class GraphIndex:
                     new = ~np.isin(_code(q, to), visited)
                     yield pa.RecordBatch.from_arrays([pa.array(c[new]) for c in (q, to, target, d)], names=["query", "unit", "key", "dist"])
 
-        ways = self._at(unit, "unit keys cross_ends cross_keys cross_units").mapInArrow(run, "query long, unit long, key long, dist double")
+        ways = self._at(blocks, unit, "unit keys cross_ends cross_keys cross_units").mapInArrow(run, "query long, unit long, key long, dist double")
         # how many of the best rows lead to a block says more than how near one of them is
         doors = ways.groupBy("query", "unit").agg(F.count("*").alias("n"), F.min("dist").alias("dist"), F.slice(F.sort_array(F.collect_set("key")), 1, DOORS).alias("doors"))
         w = Window.partitionBy("query").orderBy(F.desc("n"), "dist", "unit")
         some = doors.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= self.fan).select("query", "unit", F.explode("doors").alias("door")).collect()  # fan x DOORS a query
         return Route.of([r["unit"] for r in some], [r["query"] for r in some], [r["door"] for r in some]) if some else None
 
-    def _search_block(self, rows: list, k: int) -> DataFrame:
+    def _search_block(self, blocks: DataFrame, rows: list, k: int) -> DataFrame:
         """STEP rows of all rounds for the queries of one block."""
         names = np.array([r["query_id"] for r in rows], dtype=np.int64)
         vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
@@ -411,13 +422,13 @@ class GraphIndex:
         units, who = (np.array(x, dtype=np.int64) for x in zip(*into, strict=True))
         route, visited, out = Route.of(units, who, np.full(len(who), -1)), _code(who, units), None
         for turn in range(self.hops + 1):
-            step = stage(self._step(route, names, vectors, k))
+            step = stage(self._step(blocks, route, names, vectors, k))
             out = step if out is None else out.unionByName(step)
             if turn < self.hops:
                 results = out.where(F.col("kind") == RESULT)
                 nth = F.row_number().over(Window.partitionBy("query").orderBy("dist", "key"))
                 best = results.withColumn("nth", nth).where(F.col("nth") <= max(k, FOLLOW)).select("query", "unit", "key", "dist").collect()  # so many a query
-                route = self._crossings(best, number, visited)
+                route = self._crossings(blocks, best, number, visited)
                 if route is None:
                     break
                 visited = np.unique(np.append(visited, _code(route.query, route.unit)))
@@ -427,17 +438,30 @@ class GraphIndex:
         cut = self.units.get(near, 0)
         return [(near << 32) + (query + j) % cut for j in range(min(cut, ENTER))]
 
-    def trace(self, queries: DataFrame, k: int) -> DataFrame:
+    def trace(self, queries: DataFrame, k: int, blocks: DataFrame | None = None, probes: int = 0) -> DataFrame:
         """STEP rows of a search: what each block gave, and how many distances it took."""
-        out = None
-        for rows in query_blocks(self._routed(queries), QUERY_BYTES)[1] if self.blocks is not None else ():
+        out, blocks = None, self.blocks if blocks is None else blocks
+        for rows in query_blocks(self._routed(queries, probes or self.probes or self.enough), QUERY_BYTES)[1] if blocks is not None else ():
             if rows:
-                part = self._search_block(rows, k)
+                part = self._search_block(blocks, rows, k)
                 out = part if out is None else out.unionByName(part)
         return out if out is not None else queries.sparkSession.createDataFrame([], STEP)
 
-    def search(self, queries: DataFrame, k: int) -> DataFrame:
-        found = self.trace(queries, k).where(F.col("kind") == RESULT).select(F.col("query").alias("query_id"), "key", F.col("dist").alias("distance"))
+    def search(self, queries: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+        """query_id, rank, key, distance. allowed (key): rows that may be found.
+
+        Of few allowed rows (less than THIN of all) each is compared. Else each block carries those of its rows that are allowed, a beam
+        passes through the others, and how many lists a query enters is measured on the allowed rows.
+        """
+        steps = None
+        if allowed is not None and self.blocks is not None:
+            some = stage(self.rows.join(allowed.select(F.col("key").cast("long").alias("key")).distinct(), "key", "left_semi"))
+            if some.count() < THIN * self.rows.count():
+                return knn(unpack_vectors(some.select("key", "vector"), "key"), queries, k, self.metric)
+            own = some.groupBy("unit").agg(F.collect_list("key").alias("allowed"))  # at most a block's rows
+            blocks = stage(self.blocks.join(own, "unit", "left").withColumn("allowed", F.coalesce("allowed", F.array().cast("array<bigint>"))), codec="uncompressed")
+            steps = self.trace(queries, k, blocks, self.probes or self._measured(some))
+        found = (self.trace(queries, k) if steps is None else steps).where(F.col("kind") == RESULT).select(F.col("query").alias("query_id"), "key", F.col("dist").alias("distance"))
         return top_k(found, k).select("query_id", "rank", "key", "distance")
 
     # ------------------------------------------------------------ keeping

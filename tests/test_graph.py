@@ -156,3 +156,17 @@ def test_grid(spark, name):
     assert knn.knn_grid(base.limit(0), asked, 7, name).collect() == []
     few = knn.knn_grid(base.where("key < 3"), asked, 7, name, 2)
     assert few.count() == 210
+
+
+@pytest.mark.parametrize("rows", [10, 8192])
+def test_filtered_search(spark, monkeypatch, rows):
+    monkeypatch.setattr(graph, "SCAN_ROWS", rows)  # blocks are walked, or compared whole
+    x, q = points(1500), points(30, seed=2)
+    index = graph.GraphIndex("l2", block_rows=150)
+    index.add(table(spark, x))
+    asked, keys = table(spark, q, "query_id"), np.arange(1500)
+    for allowed in (keys[keys % 100 == 7], keys[keys % 10 == 3], keys[keys % 2 == 0]):
+        want = allowed[true_near(x[allowed], q, 10)]
+        found = index.search(asked, 10, spark.createDataFrame([(int(i),) for i in allowed], "key long"))
+        assert {r.key for r in found.collect()} <= set(allowed.tolist()) and share(found.select("query_id", "key"), want) >= 0.9
+    assert index.search(asked, 10, spark.createDataFrame([], "key long")).count() == 0
