@@ -468,9 +468,19 @@ def wire_casts(spark, sf_dir):
     return out
 
 
-@query("data_types", "SELECT * FROM (VALUES ('f64', 64, 'FLOAT64'), ('f32', 32, 'FLOAT32'), ('bf16', 16, 'BFLOAT16'), ('f16', 16, 'FLOAT16'), ('e5m2', 8, NULL), ('e4m3', 8, NULL), ('e3m2', 6, NULL), ('e2m3', 6, NULL), ('i8', 8, 'INT8'), ('u8', 8, 'UINT8'), ('b1', 1, NULL)) t(type, bits, wire)")
+def sizes(spark, sf_dir) -> DataFrame:
+    """One row: how many vectors there are, and how many values in all."""
+    return base(spark, sf_dir).agg(F.count("*").alias("n"), F.sum(F.size("vector")).cast("bigint").alias("total"))
+
+
+SIZES_SQL = "(SELECT count(*) AS n, sum(len(embedding))::BIGINT AS total FROM embeddings)"
+
+
+@query("data_types", f"SELECT type, bits, wire, total * bits // 8 AS table_bytes FROM (VALUES ('f64', 64, 'FLOAT64'), ('f32', 32, 'FLOAT32'), ('bf16', 16, 'BFLOAT16'), ('f16', 16, 'FLOAT16'), ('e5m2', 8, NULL), ('e4m3', 8, NULL), ('e3m2', 6, NULL), ('e2m3', 6, NULL), ('i8', 8, 'INT8'), ('u8', 8, 'UINT8'), ('b1', 1, NULL)) t(type, bits, wire), {SIZES_SQL} s")
 def data_types(spark, sf_dir):
-    return spark.createDataFrame([(quantize.data_type(t), *x) for t, x in quantize.TYPES.items()], "type string, bits int, wire string")
+    """What the table's vectors take in each element type."""
+    types = spark.createDataFrame([(quantize.data_type(t), *x) for t, x in quantize.TYPES.items()], "type string, bits int, wire string")
+    return sizes(spark, sf_dir).crossJoin(F.broadcast(types)).select("type", "bits", "wire", F.expr("total * bits div 8").alias("table_bytes"))  # a row a type
 
 
 @query("sequential_keys", "SELECT vec_id AS row, vec_id AS key FROM embeddings WHERE vec_id >= 20 AND vec_id < 40")
@@ -489,10 +499,13 @@ def memory_estimate(spark, sf_dir):
     return base(spark, sf_dir).groupBy("label").agg(F.sum(memory_bytes(F.size("vector"), 16)).alias("memory_bytes"))
 
 
-@query("config_grid", "SELECT c::BIGINT AS connectivity, e::BIGINT AS expansion, t AS data_type FROM (SELECT unnest([16, 32, 48]) AS c), (SELECT unnest([64, 128]) AS e), (SELECT unnest(['f32', 'i8', 'b1']) AS t)")
+@query("config_grid", f"SELECT c::BIGINT AS connectivity, e::BIGINT AS expansion, t.type AS data_type, total * bits // 8 + n * (8 + 8 * c) AS memory_bytes FROM (SELECT unnest([16, 32, 48]) AS c), (SELECT unnest([64, 128]) AS e), (VALUES ('f32', 32), ('i8', 8), ('b1', 1)) t(type, bits), {SIZES_SQL} s")
 def config_grid(spark, sf_dir):
-    rows = [(g["connectivity"], g["expansion"], g["data_type"]) for g in bench.grid(connectivity=[16, 32, 48], expansion=[64, 128], data_type=["f32", "i8", "b1"])]
-    return spark.createDataFrame(rows, "connectivity bigint, expansion bigint, data_type string")
+    """The configurations of a sweep, and what an index over the table takes in each."""
+    rows = [(g["connectivity"], g["expansion"], g["data_type"], quantize.TYPES[g["data_type"]][0]) for g in bench.grid(connectivity=[16, 32, 48], expansion=[64, 128], data_type=["f32", "i8", "b1"])]
+    each = spark.createDataFrame(rows, "connectivity bigint, expansion bigint, data_type string, bits int")
+    memory = F.expr("total * bits div 8 + n * (8 + 8 * connectivity)").alias("memory_bytes")
+    return sizes(spark, sf_dir).crossJoin(F.broadcast(each)).select("connectivity", "expansion", "data_type", memory)  # a row a configuration
 
 
 # ---------------------------------------------------------------- text and numbers
@@ -697,19 +710,19 @@ def uniform_sql(row: str, column: str, seed: int, stream: int) -> str:
     return f"(({mixed_sql(row, column, seed, stream)} >> 11)::DOUBLE * {2.0**-53!r}::DOUBLE)"
 
 
-@query("generate_gaussian", f"""WITH c AS (SELECT r::BIGINT AS row, j, {uniform_sql('r', 'j', 42, 0)} AS u, {uniform_sql('r', 'j', 42, 1)} AS v FROM range(2000) a(r), range(8) b(j)),
+@query("generate_gaussian", f"""WITH c AS (SELECT r::BIGINT AS row, j, {uniform_sql('r', 'j', 42, 0)} AS u, {uniform_sql('r', 'j', 42, 1)} AS v FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS r), range(8) b(j)),
     x AS (SELECT row, j, sqrt(-2 * ln(greatest(u, {generate.EPSILON!r}::DOUBLE))) AS s, 2 * pi() * v AS t FROM c)
     SELECT row, 2 * j AS dim, round(CAST(CAST(s * cos(t) AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS value FROM x UNION ALL SELECT row, 2 * j + 1 AS dim, round(CAST(CAST(s * sin(t) AS FLOAT) AS DOUBLE), 4) + 0.0::DOUBLE AS value FROM x""")
 def generate_gaussian(spark, sf_dir):
-    each = generate.gaussian(spark, 2000, 16).select("row", F.posexplode("vector").alias("dim", "value"))
+    each = generate.gaussian(spark, base(spark, sf_dir).count(), 16).select("row", F.posexplode("vector").alias("dim", "value"))
     return rounded(each.select("row", F.col("dim").cast("bigint").alias("dim"), F.col("value").cast("double").alias("value")), "value", digits=4)
 
 
-@query("generate_clustered_bits", f"""WITH bit AS (SELECT r::BIGINT AS row, i::BIGINT AS bit, ({mixed_sql('r', '0', 42, 8)} % 256)::BIGINT AS centre, ({mixed_sql('r', 'i', 42, 9)} & 255) < 25 AS flip FROM range(2000) a(r), range(168) b(i)),
+@query("generate_clustered_bits", f"""WITH bit AS (SELECT r::BIGINT AS row, i::BIGINT AS bit, ({mixed_sql('r', '0', 42, 8)} % 256)::BIGINT AS centre, ({mixed_sql('r', 'i', 42, 9)} & 255) < 25 AS flip FROM (SELECT unnest(range((SELECT count(*) FROM embeddings))) AS r), range(168) b(i)),
     centres AS (SELECT c::BIGINT AS centre, i::BIGINT AS bit, ({mixed_sql('c', 'i // 64', 42, 7)} >> (i % 64)::INTEGER & 1) = 1 AS one FROM range(256) a(c), range(168) b(i))
     SELECT row, bit, (one <> flip) AS value FROM bit JOIN centres USING (centre, bit)""")
 def generate_clustered_bits(spark, sf_dir):
-    bits = generate.clustered_bits(spark, 2000, 168).select("row", F.posexplode(quantize.unpacked_bits(F.col("words"), 168)).alias("bit", "value"))
+    bits = generate.clustered_bits(spark, base(spark, sf_dir).count(), 168).select("row", F.posexplode(quantize.unpacked_bits(F.col("words"), 168)).alias("bit", "value"))
     return bits.select("row", F.col("bit").cast("bigint").alias("bit"), (F.col("value") == 1).alias("value"))
 
 
@@ -783,10 +796,12 @@ def bigann_keys(spark, sf_dir):
     return spark.read.format("bigann").load(f"{path}/keys.i32bin")
 
 
-@query("gathered_rows", "SELECT e.event_id AS place, v.vec_id AS row, v.label FROM events e JOIN embeddings v ON v.vec_id = e.event_id * 7919 % 600")
+@query("gathered_rows", "SELECT e.event_id AS place, v.vec_id AS row, v.label FROM events e JOIN embeddings v ON v.vec_id = e.event_id * 7919 % (SELECT count(*) FROM embeddings)")
 def gathered_rows(spark, sf_dir):
-    places = table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7919 % 600).alias("row"))
-    return sampling.gather(base(spark, sf_dir).select(F.col("key").alias("row"), "label"), places).select("place", "row", "label")
+    """For each event a row of the whole base, by its number."""
+    rows = base(spark, sf_dir).select(F.col("key").alias("row"), "label")
+    places = table(spark, sf_dir, "events").select(F.col("event_id").alias("place"), (F.col("event_id") * 7919 % rows.count()).alias("row"))
+    return sampling.gather(rows, places).select("place", "row", "label")
 
 
 @query("corpus_lines", r"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, doc_id, replace(replace(replace(coalesce(text, ''), '\', '\\'), chr(10), '\n'), chr(13), '\r') AS line FROM documents)
@@ -803,9 +818,12 @@ def corpus_lines(spark, sf_dir):
     return lines.join(files, "row").select("row", F.col("value").alias("line"), F.col("words")[0].bitwiseAND(F.lit(255)).alias("first_byte"))
 
 
-@query("factory_strings", "SELECT * FROM (VALUES ('f32', 'IDMap,HNSW32,Flat'), ('f16', 'IDMap,HNSW32,SQfp16'), ('bf16', 'IDMap,HNSW32,SQbf16'), ('u8', 'IDMap,HNSW32,SQ8_direct'), ('i8', 'IDMap,HNSW32,SQ8_direct_signed'), ('b1', 'BHNSW32')) t(data_type, factory)")
+@query("factory_strings", "SELECT l.label, l.rows, t.data_type, t.factory FROM (VALUES ('f32', 'IDMap,HNSW32,Flat'), ('f16', 'IDMap,HNSW32,SQfp16'), ('bf16', 'IDMap,HNSW32,SQbf16'), ('u8', 'IDMap,HNSW32,SQ8_direct'), ('i8', 'IDMap,HNSW32,SQ8_direct_signed'), ('b1', 'BHNSW32')) t(data_type, factory), (SELECT label, count(*) AS rows FROM embeddings GROUP BY label) l")
 def factory_strings(spark, sf_dir):
-    return spark.createDataFrame([(t, bench.factory_string(t, 32)) for t in ("f32", "f16", "bf16", "u8", "i8", "b1")], "data_type string, factory string")
+    """An index for each label's rows, in each storage type."""
+    kinds = spark.createDataFrame([(t, bench.factory_string(t, 32)) for t in ("f32", "f16", "bf16", "u8", "i8", "b1")], "data_type string, factory string")
+    rows = base(spark, sf_dir).groupBy("label").agg(F.count("*").alias("rows"))
+    return rows.crossJoin(F.broadcast(kinds)).select("label", "rows", "data_type", "factory")  # six rows a label
 
 
 __all__ = ["ORACLES", "QUERIES", "top_k"]
