@@ -341,7 +341,7 @@ class GraphIndex:
         """One round: the nearest (allowed) rows of each block that a query enters, and how many distances that took."""
         name, width, keep = self.metric, max(self.expansion_search, k), max(k, FOLLOW)
 
-        def walk(row: dict) -> list[tuple]:
+        def walk(row: dict, bars: np.ndarray) -> list[tuple]:
             unit, n = row["unit"], row["rows"]
             some, place, door = route.at(unit)
             get = lambda c, kind: np.frombuffer(row[c], dtype=kind)
@@ -369,25 +369,30 @@ class GraphIndex:
                     dist = np.where(may[found], dist, np.inf)  # a beam passes through rows that it may not return
                     order = np.argsort(dist, axis=1, kind="stable")[:, :keep]
                     found, dist = np.take_along_axis(found, order, axis=1), np.take_along_axis(dist, order, axis=1)
-                q, c = np.nonzero(np.isfinite(dist))
+                # the task has seen rows enough that are nearer than a query's bar
+                q, c = np.nonzero(np.isfinite(dist) & (dist <= bars[who][:, None]))
+                if dist.shape[1] == keep:
+                    bars[who] = np.minimum(bars[who], dist[:, -1])
                 out.append((RESULT, names[who[q]], np.full(len(q), unit), keys[found[q, c]], dist[q, c]))
                 out.append((COST, names[who], np.full(len(who), unit), cost.astype(np.int64), np.zeros(len(who))))
             return out
 
         def run(batches):
+            bars = np.full(len(names), np.inf)
             for batch in batches:
                 for i in range(batch.num_rows):
                     row = {c: batch.column(j)[i].as_py() for j, c in enumerate(batch.schema.names)}
-                    for kind, *columns in walk(row):
+                    for kind, *columns in walk(row, bars):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), kind, dtype=np.int32)), *(pa.array(c) for c in columns)], names=["kind", "query", "unit", "key", "dist"])
 
         columns = "unit rows keys vectors ends links" + " allowed" * ("allowed" in blocks.columns)
         return self._at(blocks, route.unit, columns).mapInArrow(run, STEP)
 
-    def _crossings(self, blocks: DataFrame, best: list, number: dict[int, int], visited: np.ndarray) -> Route | None:
+    def _crossings(self, blocks: DataFrame, best: pa.Table, names: np.ndarray, visited: np.ndarray) -> Route | None:
         """Where the best rows so far (query, unit, key, dist) lead: the `fan` nearest blocks that a query has not entered."""
-        unit, key = (np.array([r[c] for r in best], dtype=np.int64) for c in ("unit", "key"))
-        query, dist = np.array([number[r["query"]] for r in best], dtype=np.int64), np.array([r["dist"] for r in best])
+        query, unit, key, dist = (best.column(c).to_numpy() for c in ("query", "unit", "key", "dist"))
+        by_name = np.argsort(names, kind="stable")
+        query = by_name[np.searchsorted(names[by_name], query)]
         order = np.argsort(unit, kind="stable")
         unit, key, query, dist = unit[order], key[order], query[order], dist[order]
         visited = np.sort(visited)
@@ -410,16 +415,20 @@ class GraphIndex:
         # how many of the best rows lead to a block says more than how near one of them is
         doors = ways.groupBy("query", "unit").agg(F.count("*").alias("n"), F.min("dist").alias("dist"), F.slice(F.sort_array(F.collect_set("key")), 1, DOORS).alias("doors"))
         w = Window.partitionBy("query").orderBy(F.desc("n"), "dist", "unit")
-        some = doors.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= self.fan).select("query", "unit", F.explode("doors").alias("door")).collect()  # fan x DOORS a query
-        return Route.of([r["unit"] for r in some], [r["query"] for r in some], [r["door"] for r in some]) if some else None
+        some = doors.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= self.fan).select("query", "unit", F.explode("doors").alias("door")).toArrow()  # fan x DOORS a query
+        return Route.of(*(some.column(c).to_numpy() for c in ("unit", "query", "door"))) if some.num_rows else None
 
-    def _search_block(self, blocks: DataFrame, rows: list, k: int) -> DataFrame:
+    def _search_block(self, blocks: DataFrame, rows: pa.Table, k: int) -> DataFrame:
         """STEP rows of all rounds for the queries of one block."""
-        names = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        vectors = np.array([r["vector"] for r in rows], dtype=np.float64)
-        number = {int(q): i for i, q in enumerate(names)}
-        into = [(c, i) for i, r in enumerate(rows) for near in r["lists"] for c in self._units_of(near, int(names[i]))]
-        units, who = (np.array(x, dtype=np.int64) for x in zip(*into, strict=True))
+        names, vectors = rows.column("query_id").to_numpy().astype(np.int64), matrix(rows.column("vector").combine_chunks(), False)
+        lists = rows.column("lists").combine_chunks().flatten().to_numpy().reshape(len(names), -1)
+        cut = np.array([self.units.get(c, 0) for c in range(len(self.centres))], dtype=np.int64)
+        units, who = [], []
+        for j in range(ENTER):  # blocks of a list, from one that the query's id names
+            q, c = np.nonzero(cut[lists] > j)
+            units.append((lists[q, c] << 32) + (names[q] + j) % cut[lists[q, c]])
+            who.append(q)
+        units, who = np.concatenate(units), np.concatenate(who)
         route, visited, out = Route.of(units, who, np.full(len(who), -1)), _code(who, units), None
         for turn in range(self.hops + 1):
             step = stage(self._step(blocks, route, names, vectors, k))
@@ -427,22 +436,18 @@ class GraphIndex:
             if turn < self.hops:
                 results = out.where(F.col("kind") == RESULT)
                 nth = F.row_number().over(Window.partitionBy("query").orderBy("dist", "key"))
-                best = results.withColumn("nth", nth).where(F.col("nth") <= max(k, FOLLOW)).select("query", "unit", "key", "dist").collect()  # so many a query
-                route = self._crossings(blocks, best, number, visited)
+                best = results.withColumn("nth", nth).where(F.col("nth") <= max(k, FOLLOW)).select("query", "unit", "key", "dist").toArrow()  # so many a query
+                route = self._crossings(blocks, best, names, visited)
                 if route is None:
                     break
                 visited = np.unique(np.append(visited, _code(route.query, route.unit)))
         return out
 
-    def _units_of(self, near: int, query: int) -> list[int]:
-        cut = self.units.get(near, 0)
-        return [(near << 32) + (query + j) % cut for j in range(min(cut, ENTER))]
-
     def trace(self, queries: DataFrame, k: int, blocks: DataFrame | None = None, probes: int = 0) -> DataFrame:
         """STEP rows of a search: what each block gave, and how many distances it took."""
         out, blocks = None, self.blocks if blocks is None else blocks
         for rows in query_blocks(self._routed(queries, probes or self.probes or self.enough), QUERY_BYTES)[1] if blocks is not None else ():
-            if rows:
+            if rows.num_rows:
                 part = self._search_block(blocks, rows, k)
                 out = part if out is None else out.unionByName(part)
         return out if out is not None else queries.sparkSession.createDataFrame([], STEP)

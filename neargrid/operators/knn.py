@@ -98,12 +98,12 @@ def matrix(column: pa.Array, bits: bool) -> np.ndarray:
 
 
 def query_blocks(queries: DataFrame, query_bytes: int):
-    """The number of blocks of at most about query_bytes, and a generator of the blocks' queries (query_id, vector): the
+    """The number of blocks of at most about query_bytes, and a generator of the blocks' queries (Arrow tables): the
     driver holds one block at a time."""
     sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
     blocks = max(1, -(-sizes["n"] * max(1, sizes["d"] or 1) * 8 * 2 // query_bytes)) if sizes["n"] * (sizes["d"] or 1) * 8 > query_bytes else 1
     one = lambda b: queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)
-    return blocks, (one(b).collect() for b in range(blocks))
+    return blocks, (one(b).toArrow() for b in range(blocks))
 
 
 def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str | None = None, query_bytes: int = QUERY_BYTES) -> DataFrame:
@@ -114,10 +114,9 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str
     out = None
     n_blocks, blocks = query_blocks(queries, query_bytes)
     for rows in blocks:
-        if not rows:
+        if not rows.num_rows:
             continue
-        names = np.array([r["query_id"] for r in rows], dtype=np.int64)
-        vectors = np.array([r["vector"] for r in rows], dtype=np.int64 if bits else np.float64)
+        names, vectors = rows.column("query_id").to_numpy().astype(np.int64), matrix(rows.column("vector").combine_chunks(), bits)
 
         def run(batches, names=names, vectors=vectors):
             scans: dict[int, Scan] = {}
