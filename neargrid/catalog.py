@@ -12,6 +12,7 @@ from .functions import quantize, text
 from .functions.metrics import metric
 from .operators import binary, evaluate, sampling
 from .operators.ann import GraphIndex, SignLsh, memory_bytes
+from .operators.bounds import BoundsIndex
 from .operators.descent import detours, ranked_lists
 from .operators.knn import knn, knn_grid, knn_join, merge_shards, padded, rerank, top_k, translate_labels
 from .plans import bench, generate, report
@@ -226,6 +227,14 @@ def knn_scalar_quant(spark, sf_dir):
     return rounded(rerank(short, b, q, K))
 
 
+@query("knn_bounds_scan", f"{knn_sql(DISTANCE_SQL['l2'])} {ROWS}")
+def knn_bounds_scan(spark, sf_dir):
+    """Codes of one byte a dimension bound every distance; only rows that may be among the nearest are fetched."""
+    index = BoundsIndex("l2")
+    index.add(base(spark, sf_dir).select("key", "vector"))
+    return rounded(index.search(asked(spark, sf_dir), K))
+
+
 @query("scalar_codes", f"""WITH e AS (SELECT vec_id, unnest(range(0, {DIMS})) AS dim, unnest(embedding)::DOUBLE AS x FROM embeddings),
     bounds AS (SELECT dim, min(x) AS low, max(x) AS high FROM e GROUP BY dim)
     SELECT vec_id AS key, dim, CAST(trunc(greatest(0, least(255, (x - low) / (high - low) * 255))) AS BIGINT) AS code FROM e JOIN bounds USING (dim)""")

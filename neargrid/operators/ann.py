@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.staging import stage
+from .bounds import BoundsIndex
 from .graph import GraphIndex, asdict_simple, save_meta
 from .knn import knn, matrix, rerank
 
@@ -111,6 +112,7 @@ class SignLsh:
 
     def save(self, path: str) -> None:
         self.base.write.parquet(f"{path}/rows")
+        self.entries.write.parquet(f"{path}/entries")
         save_meta(self.base.sparkSession, path, {"kind": "lsh", **{k: v for k, v in asdict_simple(self).items()}})
 
     def size_bytes(self) -> int:
@@ -123,9 +125,9 @@ def load(spark: SparkSession, path: str) -> VectorIndex:
     kind = meta.pop("kind")
     if kind == "graph":
         return GraphIndex.loaded(spark, path, meta)
+    if kind == "bounds":
+        return BoundsIndex.loaded(spark, path, meta)
     rows = spark.read.parquet(f"{path}/rows")
     if kind == "flat":
         return FlatIndex(meta["metric"], rows)
-    index = SignLsh(**meta)
-    index.add(rows)
-    return index
+    return SignLsh(**meta, entries=spark.read.parquet(f"{path}/entries"), base=rows)

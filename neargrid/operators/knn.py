@@ -198,6 +198,14 @@ def translate_labels(results: DataFrame, labels: DataFrame) -> DataFrame:
     return joined.select("query_id", "rank", F.coalesce("user_key", F.lit(MISSING_KEY)).alias("key"), F.when(known, F.col("distance")).otherwise(F.lit(float("inf"))).alias("distance"))
 
 
+def fetched(candidates: DataFrame, base: DataFrame) -> DataFrame:
+    """(query_id, key) candidates with their base rows. Few candidates go to the base, so that its rows stay where they are; beyond
+    QUERY_BYTES both sides meet by a shuffle. candidates: read twice, so a stored table."""
+    if candidates.count() * 16 <= QUERY_BYTES:
+        candidates = F.broadcast(candidates)
+    return base.join(candidates, "key")
+
+
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Exact distances for (query_id, key) candidates, then the k nearest."""
     pairs = candidates.select("query_id", "key").join(base, "key").join(queries.withColumnRenamed("vector", "query"), "query_id")
