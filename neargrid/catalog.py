@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .functions import quantize, text
+from .functions import quantize, sql, text
 from .functions.metrics import metric
 from .operators import binary, evaluate, sampling
 from .operators.ann import GraphIndex, SignLsh, memory_bytes
@@ -150,6 +150,31 @@ def knn_l2_join(spark, sf_dir):
     return rounded(knn_join(base(spark, sf_dir), asked(spark, sf_dir), K))
 
 
+def views(spark, sf_dir, bits: bool = False) -> tuple[str, str]:
+    """Names of views of the base and the stated queries, for statements in SQL."""
+    names = ("base_words", "asked_words") if bits else ("base_vectors", "asked_vectors")
+    for name, df in zip(names, (base(spark, sf_dir), asked(spark, sf_dir)), strict=True):
+        (words(df) if bits else df).createOrReplaceTempView(name)
+    return names
+
+
+@query("knn_table_function", f"{knn_sql(DISTANCE_SQL['cos'])} {ROWS}")
+def knn_table_function(spark, sf_dir):
+    sql.register(spark)
+    return rounded(spark.sql(sql.nearest_sql(*views(spark, sf_dir), K, "cos", base_blocks=4, query_blocks=2)))
+
+
+@query("distances_by_sql_functions", f"""{knn_sql(DISTANCE_SQL['l2'])} SELECT r.query_id, r.key, {", ".join(f"round({DISTANCE_SQL[m]}, 6) + 0.0::DOUBLE AS {m}" for m in ('ip', 'cos', 'manhattan', 'pearson', 'haversine'))},
+    {", ".join(f"round({x}, 6) AS {m}" for m, x in BIT_SQL.items())} FROM r JOIN q ON q.query_id = r.query_id JOIN b ON b.key = r.key""")
+def distances_by_sql_functions(spark, sf_dir):
+    """Other distances of the nearest by l2, all in one SQL statement."""
+    sql.register(spark)
+    (b, q), (bw, qw) = views(spark, sf_dir), views(spark, sf_dir, bits=True)
+    each = ", ".join(f"round({m}_distance({x}.vector, {y}.vector), 6) + 0D AS {m}" for m, x, y in [(m, "q", "b") for m in ("ip", "cos", "manhattan", "pearson", "haversine")] + [(m, "qw", "bw") for m in BIT_SQL])
+    return spark.sql(f"""WITH r AS ({sql.nearest_sql(b, q, K, base_blocks=4)}) SELECT r.query_id, r.key, {each} FROM r
+        JOIN {q} q ON q.query_id = r.query_id JOIN {b} b ON b.key = r.key JOIN {qw} qw ON qw.query_id = r.query_id JOIN {bw} bw ON bw.key = r.key""")
+
+
 @query("knn_truncated_dims", f"{knn_sql(DISTANCE_SQL['l2'], 'embedding[1:16]')} {ROWS}")
 def knn_truncated_dims(spark, sf_dir):
     d = quantize.check_dims(16, DIMS)
