@@ -763,15 +763,6 @@ def generate_clustered_bits(spark, sf_dir):
 # ---------------------------------------------------------------- vector files
 
 
-def _folder(spark) -> str:
-    """A new folder that driver and executors have mounted."""
-    import os
-
-    path = staging.shared_dir(spark).removeprefix("file://")
-    os.makedirs(path, exist_ok=True)
-    return path
-
-
 def _written(spark, sf_dir, ext: str) -> str:
     """The embeddings as shard files of a vector format; their pattern."""
     bigann.register(spark)
@@ -782,7 +773,7 @@ def _written(spark, sf_dir, ext: str) -> str:
         rows = rows.withColumn("vector", quantize.to_integer(F.col("vector"), "u8", 255.0))
     elif ext == "b1bin":
         rows = rows.select("row", quantize.sign_words(F.col("vector"), DIMS).alias("words"), F.lit(DIMS).alias("bits"))
-    path = _folder(spark)
+    path = staging.shared_dir(spark)
     rows.repartitionByRange(3, "row").sortWithinPartitions("row").write.format("bigann").option("shards", "true").mode("append").save(f"{path}/base.{ext}")
     return f"{path}/base_*.{ext}"
 
@@ -815,7 +806,7 @@ def bigann_prefix_slice(spark, sf_dir):
 @query("bigann_ground_truth", f"{knn_sql(DISTANCE_SQL['l2'])} SELECT (query_id // 10) AS query_id, rank, key FROM r")
 def bigann_ground_truth(spark, sf_dir):
     """Base, queries and ground truth written as a dataset; its neighbours read back."""
-    path = _folder(spark)
+    path = staging.shared_dir(spark)
     rows = base(spark, sf_dir).select(F.col("key").alias("row"), "vector")
     generate.dataset(spark, rows, asked(spark, sf_dir).select((F.col("query_id") / 10).cast("bigint").alias("row"), "vector"), K, "l2", path, "fbin")
     return evaluate.truth_table(spark.read.format("bigann").load(f"{path}/groundtruth.ibin"))
@@ -824,7 +815,7 @@ def bigann_ground_truth(spark, sf_dir):
 @query("bigann_keys", "SELECT vec_id AS row, vec_id * 7 + 1 AS key FROM embeddings")
 def bigann_keys(spark, sf_dir):
     bigann.register(spark)
-    path = _folder(spark)
+    path = staging.shared_dir(spark)
     keys = base(spark, sf_dir).select(F.col("key").alias("row"), (F.col("key") * 7 + 1).alias("key"))
     keys.repartitionByRange("row").sortWithinPartitions("row").write.format("bigann").mode("append").save(f"{path}/keys.i32bin")
     return spark.read.format("bigann").load(f"{path}/keys.i32bin")
@@ -842,7 +833,7 @@ def gathered_rows(spark, sf_dir):
     SELECT d.row, line, (doc_id * 37 % 256)::BIGINT AS first_byte FROM d""")
 def corpus_lines(spark, sf_dir):
     """Texts and byte vectors written side by side, one line and one vector a row, read back and joined by row."""
-    path = _folder(spark)
+    path = staging.shared_dir(spark)
     rows = sampling.global_rank(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", name="row")
     rows = rows.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: ((F.col("doc_id") + i) * 37 % 256).cast("int")))
     generate.corpus(rows, path, "vector", "text")

@@ -1,29 +1,36 @@
-"""Row-major binary vector files as a Spark data source ("bigann"), for reading and writing.
+"""Row-major binary vector files as a Spark data source ("bigann"), for reading and writing, on any file system of `files`.
 
 Layout, little-endian: rows u32, second u32, then the rows. Extensions: .fbin (f32), .u8bin, .i8bin, .b1bin (bits, 8 a byte; the
 second header field counts bits), .ibin (neighbours u32), .i32bin (keys u32). A path may be a pattern: its files are read in
 natural order as one table, and the first pins element type and dimensions.
 
 Reading splits files into ranges of rows, one task each; a task reads its range only, and of each row only the leading
-bytes that `dims` asks for. Conditions on the row number are pushed down to the ranges. Writing writes one file for each
-task beside the target: with the option `shards` they become `name_<first row>.ext` files of their own, which a pattern reads
-again as one table; without it they are joined behind one header when all tasks are done (for files of moderate size).
-Files must be on a file system that is mounted on driver and executors.
+bytes that `dims` asks for. Conditions on the row number are pushed down to the ranges.
+
+Tasks write files of at most PART_BYTES, each at once with its header. What becomes of them is for the driver to say when all tasks are done:
+
+* option `folder`: they stay where they are, below a folder with the name of the target, and a manifest of their names and sizes is added
+  as a new version. No byte is copied or moved, files of failed attempts are in no manifest, `append` adds files and
+  `overwrite` begins anew. Such a folder is read like a file, without opening its files for their sizes, and
+  `readStream` gives each committed file once. One writer at a time.
+* option `shards`: they become `name_<first row>.ext` files of their own, which a pattern reads again as one table.
+* neither: they are joined behind one header (for files of moderate size).
 """
 
 from __future__ import annotations
 
-import glob
+import json
 import os
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, GreaterThan, GreaterThanOrEqual, In, InputPartition, LessThan, LessThanOrEqual, WriterCommitMessage
 
-from ..functions.text import natural_key
+from . import files
 
 HEADER = struct.Struct("<II")
 ELEMENTS = {".fbin": "<f4", ".u8bin": "u1", ".i8bin": "i1", ".b1bin": "u1", ".ibin": "<u4", ".i32bin": "<u4"}
@@ -36,6 +43,8 @@ SCHEMAS = {
     ".i32bin": "row bigint, key bigint",
 }
 ROWS_PER_TASK = 1 << 18
+#: Bytes of a file that a task writes, which it holds until its number of rows is known.
+PART_BYTES = 128 << 20
 
 
 class FormatError(ValueError):
@@ -64,28 +73,48 @@ def stride(ext: str, second: int) -> int:
 
 
 def expand(path: str) -> list[str]:
-    if not any(c in path for c in "*?["):
-        return [path]
-    found = sorted(glob.glob(path), key=natural_key)
+    found = files.expand(path)
     if not found:
         raise FormatError(f"no file matches {path}")
     return found
 
 
+def manifest_version(folder: str) -> int:
+    """The newest version of a folder's manifest, 0 if it has none."""
+    return max((int(n[10:-5]) for n in files.names(folder) if n.startswith("_manifest-") and n.endswith(".json")), default=0)
+
+
+def manifest(folder: str) -> list[dict]:
+    """name, rows and second of the files of the newest version, in order."""
+    version = manifest_version(folder)
+    if not version:
+        raise FormatError(f"{folder}: a folder without a manifest")
+    with files.reading(f"{folder}/_manifest-{version:010d}.json") as f:
+        return json.loads(f.read())["files"]
+
+
 def shards(path: str) -> list[Shard]:
     out: list[Shard] = []
+
+    def add(p: str, ext: str, rows: int, second: int) -> None:
+        if out and (second != out[0].second or ext != extension(out[0].path)):
+            raise FormatError(f"{p}: differs from {out[0].path} in dimensions or type")
+        out.append(Shard(p, rows, second, out[-1].first + out[-1].rows if out else 0))
+
     for p in expand(path):
         ext = extension(p)
-        with open(p, "rb") as f:
+        if files.kind(p) == "folder":
+            for part in manifest(p):
+                add(f"{p}/{part['name']}", ext, part["rows"], part["second"])
+            continue
+        with files.reading(p) as f:
             head = f.read(HEADER.size)
         if len(head) < HEADER.size:
             raise FormatError(f"{p}: shorter than a header")
         rows, second = HEADER.unpack(head)
-        if os.path.getsize(p) - HEADER.size < rows * stride(ext, second):
+        if files.size(p) - HEADER.size < rows * stride(ext, second):
             raise FormatError(f"{p}: body too small for {rows} rows")
-        if out and (second != out[0].second or ext != extension(out[0].path)):
-            raise FormatError(f"{p}: differs from {out[0].path} in dimensions or type")
-        out.append(Shard(p, rows, second, out[-1].first + out[-1].rows if out else 0))
+        add(p, ext, rows, second)
     return out
 
 
@@ -126,19 +155,19 @@ class BigAnnReader(DataSourceReader):
         for s in self.shards:
             a, b = max(0, self.low - s.first), min(s.rows, self.high - s.first)
             out += [RowRange(s.path, s.second, k, min(self.step, b - k), s.first + k) for k in range(a, b, self.step)]
-        return out or [RowRange(self.shards[0].path, self.shards[0].second, 0, 0, 0)]
+        return out or [RowRange("", self.shards[0].second if self.shards else 0, 0, 0, 0)]
 
     def read(self, part: RowRange):
         size = stride(self.ext, part.second)
         dtype = np.dtype(ELEMENTS[self.ext])
         for a in range(part.start, part.start + part.count, 8192):
             n = min(8192, part.start + part.count - a)
-            with open(part.path, "rb") as f:
+            with files.reading(part.path) as f:
                 if self.wanted(part.second) == size:
                     f.seek(HEADER.size + a * size)
                     raw = f.read(n * size)
                 else:  # leading bytes only
-                    raw = b"".join(f.read(self.wanted(part.second)) for k in range(a, a + n) if f.seek(HEADER.size + k * size) >= 0)
+                    raw = b"".join(f.read_at(self.wanted(part.second), HEADER.size + k * size) for k in range(a, a + n))
                 x = np.frombuffer(raw, dtype).reshape(n, -1)
             rows = pa.array(np.arange(n, dtype=np.int64) + part.first + (a - part.start))
             yield pa.RecordBatch.from_arrays([rows, *self.columns(x, part.second)], names=[c.split()[0] for c in SCHEMAS[self.ext].split(", ")])
@@ -170,19 +199,44 @@ class BigAnnReader(DataSourceReader):
         return [lists(x.astype(kind.to_pandas_dtype()), kind)]
 
 
+class BigAnnStream(BigAnnReader, DataSourceStreamReader):
+    """The files of a folder's manifest, each once, as they are committed."""
+
+    def __init__(self, path: str, options: dict):
+        if files.kind(path) != "folder":
+            raise FormatError(f"{path}: a stream reads a folder with a manifest")
+        self.path = path
+        super().__init__(path, options)
+
+    def initialOffset(self):
+        return {"files": 0}
+
+    def latestOffset(self):
+        return {"files": len(manifest(self.path))}
+
+    def partitions(self, start=None, end=None):
+        every = shards(self.path)
+        if len(every) < end["files"]:
+            raise FormatError(f"{self.path}: has been overwritten since the stream began")
+        self.shards = every[start["files"] : end["files"]]
+        return super().partitions()
+
+    def commit(self, end):
+        pass
+
+
 @dataclass
 class Part(WriterCommitMessage):
-    path: str
-    rows: int
-    second: int
-    first: int
+    """The files that a task has written: path, rows, second, first row number."""
+
+    made: list[tuple[str, int, int, int]]
 
 
 class BigAnnWriter(DataSourceArrowWriter):
     """Rows are written in the order of their number within each task; tasks follow by their first number."""
 
-    def __init__(self, path: str, overwrite: bool, sharded: bool = False):
-        self.path, self.ext, self.overwrite, self.sharded = path, extension(path), overwrite, sharded
+    def __init__(self, path: str, overwrite: bool, layout: str = "one"):
+        self.path, self.ext, self.overwrite, self.layout, self.token = path.rstrip("/"), extension(path), overwrite, layout, uuid.uuid4().hex
 
     def _rows(self, batch: pa.RecordBatch) -> tuple[np.ndarray, int]:
         """The rows of a batch as bytes, and the second field of the header."""
@@ -201,63 +255,100 @@ class BigAnnWriter(DataSourceArrowWriter):
         x = values.flatten().to_numpy().astype(ELEMENTS[self.ext]).reshape(len(n), -1)
         return np.ascontiguousarray(x).view(np.uint8), x.shape[1]
 
+    def _part(self, name: str) -> str:
+        return f"{self.path}/part-{self.token}-{name}{self.ext}" if self.layout == "folder" else f"{self.path}.part-{self.token}-{name}"
+
     def write(self, iterator):
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        part = f"{self.path}.part-{task.partitionId()}-{task.attemptNumber()}"
-        n, second, first, last = 0, 0, -1, -1
-        with open(part, "wb") as f:
-            f.write(HEADER.pack(0, 0))
-            for batch in iterator:
-                if not batch.num_rows:
-                    continue
-                numbers = np.concatenate([[last], batch.column(0).to_numpy()])
-                if (np.diff(numbers) <= 0).any():
-                    raise FormatError("rows must be sorted by number in each partition")
-                last, first = int(numbers[-1]), int(numbers[1]) if first < 0 else first
-                data, width = self._rows(batch)
-                if n and width != second:
-                    raise FormatError("rows differ in length")
-                second, n = width, n + batch.num_rows
-                f.write(data.tobytes())
-            if n >= 1 << 32:
-                raise FormatError("a file holds fewer than 2**32 rows; write more tasks with the option shards")
-            f.seek(0)
-            f.write(HEADER.pack(n, second))
-        return Part(part, n, second, first)
+        name, made, held, n, second, first, last = f"{task.partitionId()}-{task.attemptNumber()}", [], [], 0, 0, -1, -1
+
+        def close() -> None:
+            path = self._part(f"{name}-{len(made)}")
+            with files.writing(path) as f:
+                f.write(HEADER.pack(n, second))
+                for data in held:
+                    f.write(data)
+            made.append((path, n, second, first))
+
+        for batch in iterator:
+            if not batch.num_rows:
+                continue
+            numbers = np.concatenate([[last], batch.column(0).to_numpy()])
+            if (np.diff(numbers) <= 0).any():
+                raise FormatError("rows must be sorted by number in each partition")
+            last = int(numbers[-1])
+            data, width = self._rows(batch)
+            if first >= 0 and width != second:
+                raise FormatError("rows differ in length")
+            if n and (n + batch.num_rows) * data.shape[1] > PART_BYTES:
+                close()
+                held, n = [], 0
+            first = first if n else int(numbers[1])
+            second, n = width, n + batch.num_rows
+            held.append(data.tobytes())
+        if n:
+            close()
+        return Part(made)
 
     def commit(self, messages):
-        parts = sorted((m for m in messages if m is not None and m.rows), key=lambda m: m.first)
-        if len({m.second for m in parts}) > 1:
+        parts = sorted((p for m in messages if m is not None for p in m.made), key=lambda p: p[3])
+        if len({p[2] for p in parts}) > 1:
             raise FormatError("rows differ in length")
-        if self.sharded:
-            stem = os.path.splitext(self.path)[0]
-            for m in parts:
-                target = f"{stem}_{m.first:012d}{self.ext}"
-                if os.path.exists(target) and not self.overwrite:
-                    raise FormatError(f"{target} exists")
-                os.replace(m.path, target)
-            self.abort(messages)
-            return
-        if os.path.exists(self.path) and not self.overwrite:
-            raise FormatError(f"{self.path} exists")
-        if sum(m.rows for m in parts) >= 1 << 32:
-            raise FormatError("a file holds fewer than 2**32 rows; use the option shards")
-        with open(f"{self.path}.tmp", "wb") as out:
-            out.write(HEADER.pack(sum(m.rows for m in parts), parts[0].second if parts else 0))
-            for m in parts:
-                with open(m.path, "rb") as f:
+        {"folder": self._list, "shards": self._name, "one": self._join}[self.layout](parts)
+        self._clean({p[0] for p in parts} if self.layout == "folder" else set())
+
+    def _list(self, parts) -> None:
+        """A new version of the manifest. It is written beside and moved, so that no reader sees half of it."""
+        version = manifest_version(self.path)
+        before = manifest(self.path) if version else []
+        new = [{"name": path.rsplit("/", 1)[1], "rows": n, "second": second} for path, n, second, _ in parts]
+        kept = [] if self.overwrite else before
+        if kept and new and kept[0]["second"] != new[0]["second"]:
+            raise FormatError(f"{self.path}: holds rows of another length")
+        target = f"{self.path}/_manifest-{version + 1:010d}.json"
+        with files.writing(f"{target}.tmp") as f:
+            f.write(json.dumps({"files": kept + new}).encode())
+        files.move(f"{target}.tmp", target)
+        if self.overwrite:
+            for part in before:
+                files.remove(f"{self.path}/{part['name']}")
+
+    def _name(self, parts) -> None:
+        stem = os.path.splitext(self.path)[0]
+        for path, _, _, first in parts:
+            target = f"{stem}_{first:012d}{self.ext}"
+            self._free(target)
+            files.move(path, target)
+
+    def _join(self, parts) -> None:
+        self._free(self.path)
+        rows = sum(p[1] for p in parts)
+        if rows >= 1 << 32:
+            raise FormatError("a file holds fewer than 2**32 rows; use the option folder or shards")
+        with files.writing(f"{self.path}.tmp") as out:
+            out.write(HEADER.pack(rows, parts[0][2] if parts else 0))
+            for path, *_ in parts:
+                with files.reading(path) as f:
                     f.seek(HEADER.size)
                     while block := f.read(1 << 20):
                         out.write(block)
-        os.replace(f"{self.path}.tmp", self.path)
-        self.abort(messages)
+        files.move(f"{self.path}.tmp", self.path)
+
+    def _free(self, target: str) -> None:
+        if files.kind(target) != "none" and not self.overwrite:
+            raise FormatError(f"{target} exists")
+
+    def _clean(self, keep: set[str]) -> None:
+        """Delete the files of this write that are not kept, those of lost attempts among them."""
+        folder, stem = (self.path, f"part-{self.token}") if self.layout == "folder" else (os.path.dirname(self.path) or ".", f"{os.path.basename(self.path)}.part-{self.token}")
+        for name in files.names(folder):
+            if name.startswith(stem) and f"{folder}/{name}" not in keep:
+                files.remove(f"{folder}/{name}")
 
     def abort(self, messages):
-        for m in messages:
-            if m is not None and os.path.exists(m.path):
-                os.remove(m.path)
+        self._clean(set())
 
 
 class BigAnn(DataSource):
@@ -271,8 +362,12 @@ class BigAnn(DataSource):
     def reader(self, schema):
         return BigAnnReader(self.options["path"], self.options)
 
+    def streamReader(self, schema):
+        return BigAnnStream(self.options["path"], self.options)
+
     def writer(self, schema, overwrite):
-        return BigAnnWriter(self.options["path"], overwrite, self.options.get("shards", "false").lower() == "true")
+        asked = [name for name in ("folder", "shards") if self.options.get(name, "false").lower() == "true"]
+        return BigAnnWriter(self.options["path"], overwrite, asked[0] if asked else "one")
 
 
 def register(spark: SparkSession) -> None:
