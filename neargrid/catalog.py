@@ -557,9 +557,14 @@ def natural_sort(spark, sf_dir):
     return names.select("name", F.substring("name", 4, 20).cast("bigint").alias("number"), F.row_number().over(w).cast("bigint").alias("place"))
 
 
-@query("series_labels", "SELECT DISTINCT concat_ws(' · ', event_type, 'f32', 'l2') AS label FROM events")
+@query("series_labels", """WITH c AS (SELECT event_type AS backend, CASE WHEN user_id % 4 <> 0 THEN 'f32' END AS dtype, 'l2' AS metric, CASE WHEN user_id % 3 <> 0 THEN 16 * (user_id % 3) END AS m,
+    CASE WHEN user_id % 5 <> 0 THEN 128 END AS a, CASE WHEN user_id % 2 = 0 THEN 64 END AS s, user_id % 3 AS shards FROM events)
+    SELECT DISTINCT concat_ws(' · ', backend, dtype, metric, 'M=' || m, 'ef=' || a || '/' || s, CASE WHEN shards > 1 THEN shards || 's' END) AS label FROM c""")
 def series_labels(spark, sf_dir):
-    return table(spark, sf_dir, "events").select(text.series_label(F.col("event_type"), F.lit("f32"), F.lit("l2")).alias("label")).distinct()
+    """Names of series for configurations with parts left out here and there."""
+    user, some = F.col("user_id"), lambda c, v: F.when(c, v)
+    parts = [some(user % 4 != 0, F.lit("f32")), F.lit("l2"), some(user % 3 != 0, 16 * (user % 3)), some(user % 5 != 0, F.lit(128)), some(user % 2 == 0, F.lit(64)), user % 3]
+    return table(spark, sf_dir, "events").select(text.config_label(F.col("event_type"), *parts).alias("label")).distinct()
 
 
 @query("throughput", "SELECT event_id, CASE WHEN value = 0 THEN 0 ELSE CAST(floor(1000 / value) AS BIGINT) END AS per_second FROM events")
@@ -843,6 +848,22 @@ def corpus_lines(spark, sf_dir):
     return lines.join(files, "row").select("row", F.col("value").alias("line"), F.col("words")[0].bitwiseAND(F.lit(255)).alias("first_byte"))
 
 
+BYTES_SQL = "list_transform(range(128), lambda i: ((doc_id + i) * 37 % 256)::BIGINT)"
+
+
+@query("corpus_ground_truth", f"""WITH d AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS row, {BYTES_SQL} AS bytes FROM documents),
+    q AS (SELECT row_number() OVER (ORDER BY {sampling.row_hash_sql('row')}, row) - 1 AS query_id, bytes FROM d ORDER BY query_id LIMIT 50),
+    x AS (SELECT query_id, row AS key, list_sum(list_transform(list_zip(q.bytes, d.bytes), lambda z: bit_count(xor(z[1], z[2])))) AS distance FROM q, d),
+    r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, key) AS rank FROM x) SELECT query_id, rank, key FROM r WHERE rank <= {K}""")
+def corpus_ground_truth(spark, sf_dir):
+    """A corpus with sampled queries and their ground truth, read back from its file."""
+    path = staging.shared_dir(spark)
+    rows = sampling.global_rank(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", name="row")
+    rows = rows.withColumn("vector", F.transform(F.sequence(F.lit(0), F.lit(127)), lambda i: ((F.col("doc_id") + i) * 37 % 256).cast("int")))
+    generate.corpus(rows, path, "vector", "text", queries=50, k=K)
+    return evaluate.truth_table(spark.read.format("bigann").load(f"{path}/groundtruth.ibin"))
+
+
 @query("factory_strings", "SELECT l.label, l.rows, t.data_type, t.factory FROM (VALUES ('f32', 'IDMap,HNSW32,Flat'), ('f16', 'IDMap,HNSW32,SQfp16'), ('bf16', 'IDMap,HNSW32,SQbf16'), ('u8', 'IDMap,HNSW32,SQ8_direct'), ('i8', 'IDMap,HNSW32,SQ8_direct_signed'), ('b1', 'BHNSW32')) t(data_type, factory), (SELECT label, count(*) AS rows FROM embeddings GROUP BY label) l")
 def factory_strings(spark, sf_dir):
     """An index for each label's rows, in each storage type."""

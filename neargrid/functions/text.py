@@ -42,6 +42,14 @@ def series_label(*parts: Column) -> Column:
     return F.concat_ws(" · ", *parts)
 
 
+def config_label(backend: Column, dtype: Column, metric: Column, connectivity: Column, expansion_add: Column, expansion_search: Column, shards: Column) -> Column:
+    """A series' name from its configuration: parts that are null are left out, expansions are shown together or not at all,
+    and shards if there are several."""
+    both = F.concat(F.lit("ef="), expansion_add.cast("string"), F.lit("/"), expansion_search.cast("string"))
+    several = F.when(shards > 1, F.concat(shards.cast("string"), F.lit("s")))
+    return series_label(F.coalesce(backend, F.lit("?")), dtype, metric, F.concat(F.lit("M="), connectivity.cast("string")), both, several)
+
+
 def stored_key(name: Column, prefix: str) -> Column:
     """A key from its stored form; what cannot be read is the missing key 4294967295."""
     return F.coalesce(F.regexp_replace(name, f"^{re.escape(prefix)}", "").try_cast("bigint"), F.lit(4294967295))

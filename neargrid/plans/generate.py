@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Least first argument of the logarithm in Box-Muller.
 EPSILON = float(np.finfo(np.float32).eps)
@@ -129,32 +130,50 @@ def binary_embeddings(df: DataFrame, column: str, width: int = 128) -> DataFrame
     return df.select("row", F.col(column).cast("array<int>")).mapInArrow(run, "row bigint, words array<bigint>, bits int")
 
 
-def corpus(df: DataFrame, path: str, vector: str, text: str, width: int = 128, kind: str | None = None) -> None:
+def corpus(df: DataFrame, path: str, vector: str, text: str, width: int = 128, kind: str | None = None, queries: int = 0, k: int = 10) -> None:
     """Write path/base_*.b1bin and path/text, in which line n of the files taken in order is the escaped text of row n.
 
-    kind: a fingerprint's name if `vector` is binary; else `vector` is a list of `width` bytes.
+    kind: a fingerprint's name if `vector` is binary; else `vector` is a list of `width` bytes. queries: so many rows, sampled without
+    replacement, go to path/query.b1bin as well, and the numbers of their k nearest base rows by Hamming distance to
+    path/groundtruth.ibin.
     """
     from ..functions.text import escaped_line
+    from ..operators import sampling
     from ..sources import bigann
 
-    bigann.register(df.sparkSession)
+    spark = df.sparkSession
+    bigann.register(spark)
     ranged = df.repartitionByRange("row").sortWithinPartitions("row")
     words = fingerprints(ranged.withColumnRenamed(vector, kind), kind) if kind else binary_embeddings(ranged, vector, width)
     words.write.format("bigann").option("shards", "true").mode("append").save(f"{path}/base.b1bin")
     ranged.select(escaped_line(F.coalesce(text, F.lit(""))).alias("value")).write.text(f"{path}/text")
+    if queries:
+        base = spark.read.format("bigann").load(f"{path}/base_*.b1bin")
+        some = sampling.sample(base, queries)  # a stated query set, so one task may number it
+        place = F.row_number().over(Window.orderBy(sampling.row_hash(F.col("row")), "row")) - 1
+        some.withColumn("row", place.cast("bigint")).coalesce(1).sortWithinPartitions("row").write.format("bigann").mode("append").save(f"{path}/query.b1bin")
+        asked = spark.read.format("bigann").load(f"{path}/query.b1bin")
+        ground_truth(base.withColumnRenamed("words", "vector"), asked.withColumnRenamed("words", "vector"), k, "hamming", path)
 
 
-def dataset(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int, metric: str, path: str, ext: str) -> None:
-    """Write base, queries and exact ground truth as path/base.<ext>, path/query.<ext> and path/groundtruth.ibin."""
+def ground_truth(base: DataFrame, queries: DataFrame, k: int, metric: str, path: str) -> None:
+    """Write the row numbers of each query's k nearest as path/groundtruth.ibin. base, queries: row, vector."""
     from ..operators.knn import check_k, knn
+
+    sizes = [df.agg(F.count("*"), F.max(F.size("vector"))).first() for df in (base, queries)]
+    check_k(k, sizes[0][0], sizes[0][1], sizes[1][1])
+    found = knn(base.select(F.col("row").alias("key"), "vector"), queries.select(F.col("row").alias("query_id"), "vector"), k, metric)
+    wide = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "key"))), lambda s: s["key"]).alias("neighbors"))  # k a query
+    wide.repartitionByRange("query_id").sortWithinPartitions("query_id").write.format("bigann").mode("append").save(f"{path}/groundtruth.ibin")
+
+
+def dataset(spark: SparkSession, base: DataFrame, queries: DataFrame, k: int, metric: str, path: str, ext: str) -> None:
+    """Write base, queries and exact ground truth as path/base.<ext> (a folder of files with a manifest), path/query.<ext> and
+    path/groundtruth.ibin."""
     from ..sources import bigann
 
     bigann.register(spark)
-    width = [df.select(F.max(F.size("words" if ext == "b1bin" else "vector"))).first()[0] for df in (base, queries)]
-    check_k(k, base.count(), *width)
     column = "words" if ext == "b1bin" else "vector"
     for df, name in ((base, "base"), (queries, "query")):
-        df.repartitionByRange("row").sortWithinPartitions("row").write.format("bigann").mode("append").save(f"{path}/{name}.{ext}")
-    found = knn(base.select(F.col("row").alias("key"), F.col(column).alias("vector")), queries.select(F.col("row").alias("query_id"), F.col(column).alias("vector")), k, metric)
-    wide = found.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("rank", "key"))), lambda s: s["key"]).alias("neighbors"))  # k a query
-    wide.repartitionByRange("query_id").sortWithinPartitions("query_id").write.format("bigann").mode("append").save(f"{path}/groundtruth.ibin")
+        df.repartitionByRange("row").sortWithinPartitions("row").write.format("bigann").option("folder", str(name == "base")).mode("append").save(f"{path}/{name}.{ext}")
+    ground_truth(base.withColumnRenamed(column, "vector"), queries.withColumnRenamed(column, "vector"), k, metric, path)

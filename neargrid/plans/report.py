@@ -9,7 +9,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import series_label
+from ..functions.text import config_label
 
 STEP = ["vectors_indexed", "add_elapsed", "add_throughput", "memory_bytes", "search_elapsed", "search_throughput", "recall_at_1", "recall_at_10", "ndcg_at_10", "recall_at_1_normalized", "recall_at_10_normalized", "ndcg_at_10_normalized"]
 #: Series of the charts: name and column against vectors_indexed.
@@ -37,10 +37,18 @@ def load(spark: SparkSession, directory: str) -> DataFrame:
     return spark.read.option("multiLine", True).json(f"{directory}/*.json").withColumn("file", F.element_at(F.split(F.input_file_name(), "/"), -1))
 
 
+def label(reports: DataFrame):
+    """The name of each report's series; a report without a backend in its configuration goes by its file name."""
+    held = reports.schema["config"].dataType
+    known = {f.name for f in held.fields} if hasattr(held, "fields") else set()
+    part = lambda name, kind: F.col(f"config.{name}").cast(kind) if name in known else F.lit(None).cast(kind)
+    backend = F.coalesce(part("backend", "string"), F.regexp_replace("file", r"-[0-9a-f]{6}\.json$", ""))
+    return config_label(backend, part("dtype", "string"), part("metric", "string"), *(part(n, "bigint") for n in ("connectivity", "expansion_add", "expansion_search", "shards")))
+
+
 def series(reports: DataFrame) -> DataFrame:
     """chart, label, vectors_indexed, value: what the charts show."""
-    label = series_label(F.regexp_replace("file", r"-[0-9a-f]{6}\.json$", ""), F.to_json("config"))
-    each = reports.select(label.alias("label"), F.explode("steps").alias("s"))
+    each = reports.select(label(reports).alias("label"), F.explode("steps").alias("s"))
     pairs = F.array(*[F.struct(F.lit(c).alias("chart"), F.col(f"s.{col}").cast("double").alias("value")) for c, col in CHARTS.items()])
     return each.select("label", F.col("s.vectors_indexed").alias("vectors_indexed"), F.explode(pairs).alias("p")).select("p.chart", "label", "vectors_indexed", "p.value")
 
