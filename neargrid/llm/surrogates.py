@@ -5,18 +5,19 @@ secrets behind names such as `password=` or `token = "`, names behind a title, a
 names where they stand alone. Each becomes another value of its type: digits for digits, letters of the same case and
 script for letters, marks where they were. Words of names keep the gender of their titles and their script; e-mail
 addresses keep their top-level domain, hexadecimal secrets stay hexadecimal, IPv4 addresses stay valid, telephone numbers
-keep their country code.
+keep their country code, card numbers pass the Luhn check and IBANs the check modulo 97.
 
 A surrogate is a function of a secret key that the caller gives, the type, the canonical value (lower case, digits only, ...)
 and an attempt, so one value is replaced alike everywhere, however it is written. Candidates that two values share, or that
 are the value of another entity, go to the next attempt, until all surrogates differ from each other and from every value
-found. Every eighth attempt adds a character to secrets and e-mail addresses, and a syllable to names, so that short values
-cannot run out of surrogates; a secret without letters and digits becomes letters.
+found. Every eighth attempt adds a character to secrets and e-mail addresses, and every attempt a syllable to names, so that
+short values cannot run out of surrogates; a secret without letters and digits becomes letters.
 
 Names are up to 21 words behind one title or more, with inner capitals, apostrophes, initials and particles. Their last word is a
 family name, the others are given names (a word that the document has as a given name is one), and each word has its own
 surrogate: `Mr Smith`, `Dr John Smith` and a later `Smith` stay one family. The gender of a given name is that of its titles,
-none if they differ. An initial moves along the alphabet by a secret distance. A name that never has a title is not found.
+none if they differ; where no title tells it, that of the name in a list of common ones. Behind a title in capitals (`MR JOHN SMITH`) three words
+are taken at most, as a whole sentence may be in capitals. An initial moves along the alphabet by a secret distance. A name that never has a title is not found.
 
 1. Each text is scanned once, and once more if it holds names; texts and the values found are stored.
 2. The distinct values get their surrogates: one aggregation, and one round for each attempt.
@@ -46,14 +47,28 @@ FIRST_NAMES = {
     ("m", "cyrillic"): ["Антон", "Борис", "Виктор", "Глеб", "Денис", "Иван", "Кирилл", "Максим", "Олег", "Павел"],
     ("f", "cyrillic"): ["Анна", "Вера", "Галина", "Дарья", "Елена", "Ирина", "Мария", "Нина", "Ольга", "Юлия"],
 }
+# Given names whose gender is known without a title, beside those above.
+GIVEN_NAMES = {
+    "m": ["John", "Peter", "James", "Robert", "Michael", "William", "Richard", "Thomas", "Daniel", "Mark", "George", "Andrew", "Kevin", "Brian", "Hans", "Karl", "Klaus", "Jürgen", "Wolfgang", "Stefan", "Andreas", "Pierre", "Jean", "Louis", "Jacques", "Philippe", "José", "Juan", "Carlos", "Pedro", "Miguel", "Александр", "Дмитрий", "Сергей", "Николай"],
+    "f": ["Anna", "Mary", "Elizabeth", "Jennifer", "Linda", "Susan", "Sarah", "Karen", "Margaret", "Jane", "Emily", "Kate", "Eva", "Ursula", "Monika", "Petra", "Sabine", "Ingrid", "Marie", "Claire", "Sophie", "Camille", "Isabelle", "Catherine", "Carmen", "Ana", "Lucia", "Elena", "Isabel", "Rosa", "Татьяна", "Наталья", "Светлана", "Екатерина"],
+}
+GIVEN_NAMES = {g: sorted({n.lower() for n in names} | {n.lower() for (own, _), first in FIRST_NAMES.items() if own == g for n in first}) for g, names in GIVEN_NAMES.items()}
 FIRST_NAMES |= {("n", script): FIRST_NAMES["m", script] + FIRST_NAMES["f", script] for script in ("latin", "cyrillic")}
 SYLLABLES = {
     "latin": ["ba", "bel", "cor", "da", "den", "fal", "gar", "hol", "jan", "kel", "lan", "mar", "nor", "pel", "ran", "sol", "tam", "ver", "win", "zan"],
     "cyrillic": ["ба", "вел", "гор", "да", "жен", "зар", "кол", "лан", "мар", "нов", "пет", "рад", "сол", "тим", "фед", "чер"],
 }
 
-_TITLES = "|".join(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
+
+
+def _either(titles: list[str]) -> str:
+    """Titles as they are, or in capitals."""
+    return "|".join(titles + [t.upper() for t in titles])
+
+
+_TITLES = _either(MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)
 _TITLED = rf"(?:(?:{_TITLES})\.? ){{1,5}}"
+_CAPITALS = rf"(?:(?:{'|'.join(t.upper() for t in MALE_TITLES + FEMALE_TITLES + OTHER_TITLES)})\.? ){{1,5}}"
 # a capital, and what follows in the word: an apostrophe only ahead of another capital (O'Brien, not Smith's)
 _WORD = r"(?:\p{Lu}\.(?= \p{Lu})|\p{Lu}(?:[\p{L}\p{M}]|['’](?=\p{Lu})){0,40}+)"
 _PARTICLES = r"(?:(?:van|von|der|den|de|del|della|di|da|dos|du|la|le|bin|ibn|al|el|zu) ){0,3}"
@@ -63,12 +78,12 @@ PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++){1,127}+",
     "secret": rf"(?<=(?:{_SECRET_NAMES})=)[^\s\"',;]{{4,}}+|(?<=(?:{_SECRET_NAMES}) = \")[^\"\s]{{4,}}+(?=\")",
     "key": r"(?<![A-Za-z0-9])A[KS]IA[0-9A-Z]{16}(?![A-Za-z0-9])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:(?: ?[0-9A-Z]{4}){3,7}(?:[0-9A-Z]{1,3}| [0-9]{1,3})?|(?: ?[0-9A-Z]{4}){2}(?:[0-9A-Z]{3}| [0-9]{3}))(?![A-Za-z0-9])",
     "ip": rf"(?<![0-9.]){_OCTET}(?:\.{_OCTET}){{3}}(?!\.?[0-9])",
-    "card": r"(?<![0-9-])[0-9]{4}(?:[ -]?[0-9]{4}){3}(?![0-9-])",
+    "card": r"(?<![0-9-])(?:[0-9]{4}(?:[ -]?[0-9]{4}){3}|3[47][0-9]{2}[ -]?[0-9]{6}[ -]?[0-9]{5})(?![0-9-])",
     "ssn": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "phone": r"(?<![0-9+])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)[ .-]?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9])|(?<![0-9+])\+[0-9]{2,3}(?:[ .-]?[0-9]{2,4}){3,5}(?![0-9])",
-    "name": rf"(?<![\p{{L}}]){_TITLED}{_PARTICLES}{_WORD}(?:[ -]{_PARTICLES}{_WORD}){{0,20}}+",
+    "name": rf"(?<![\p{{L}}])(?:{_CAPITALS}{_WORD}(?:[ -]{_WORD}){{0,2}}+|{_TITLED}{_PARTICLES}{_WORD}(?:[ -]{_PARTICLES}{_WORD}){{0,20}}+)",
 }
 ANY = "|".join(PATTERNS.values())
 #: A text without any of these holds nothing to be found; most texts are passed over by this alone.
@@ -113,14 +128,14 @@ _CHARS = rf"""array_join(transform(split(part, ''), (c, i) -> CASE
     ELSE c END), '')"""
 
 
-#: Attempts after which surrogates grow.
+#: Attempts after which secrets and e-mail addresses grow.
 WIDEN = 8
 
 
 def _syllables(script: str, least: int, at: int) -> str:
-    """Syllables chosen by the hash: `least` of them, and one more every WIDEN attempts."""
+    """Syllables chosen by the hash: `least` of them, and one more with every attempt, so that many names need few attempts."""
     words, n = _list(SYLLABLES[script]), len(SYLLABLES[script])
-    more = f"least(attempt div {WIDEN}, 24)"
+    more = "least(attempt, 24)"
     many = f"transform(sequence(1, {least} + {more}), j -> element_at({words}, 1 + cast(conv(substr(h, {at} + 4 * (j - 1), 4), 16, 10) AS int) % {n}))"
     return f"array_join({many if least else f'CASE WHEN {more} > 0 THEN {many} ELSE array() END'}, '')"
 
@@ -139,8 +154,8 @@ FAMILY_NAME = f"CASE WHEN canonical RLIKE '[а-я]' THEN {_syllables('cyrillic',
 # ---- parts of a name, over `value`
 _BODY = f"regexp_replace(value, {_literal('^' + _TITLED)}, '')"
 _PIECE = _literal(f"(.*?)({_WORD})")
-_GENDER = f"""CASE WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(MALE_TITLES) + ")[. ]")} THEN 'm'
-    WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + "|".join(FEMALE_TITLES) + ")[. ]")} THEN 'f' ELSE 'n' END"""
+_GENDER = f"""CASE WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + _either(MALE_TITLES) + ")[. ]")} THEN 'm'
+    WHEN value RLIKE {_literal("^(?:(?:" + _TITLES + ")[.]? )*(?:" + _either(FEMALE_TITLES) + ")[. ]")} THEN 'f' ELSE 'n' END"""
 IS_NAME = f"value RLIKE {_literal('^' + PATTERNS['name'] + '$')}"
 #: Words of a titled name with their kinds.
 NAME_WORDS = f"transform(regexp_extract_all({_BODY}, {_PIECE}, 2), (w, i) -> struct(w AS word, CASE WHEN w RLIKE '[.]$' THEN 'initial' WHEN i + 1 = size(regexp_extract_all({_BODY}, {_PIECE}, 2)) THEN 'family' ELSE 'given' END AS kind))"
@@ -158,6 +173,16 @@ PIECES = f"""CASE WHEN kind = 'name' THEN transform({NAME_WORDS}, (x, i) -> stru
     ELSE array(struct('' AS lead, value AS value, kind AS kind, canonical AS canonical, 'n' AS gender)) END"""
 
 
+#: The digit that makes a number pass the Luhn check, in place of its last one.
+_LUHN = """cast((10 - aggregate(transform(split(reverse(substr(made, 1, length(made) - 1)), ''), (c, i) -> CASE
+    WHEN NOT c RLIKE '[0-9]' THEN 0 WHEN i % 2 = 1 THEN cast(c AS int) ELSE 2 * cast(c AS int) div 10 + 2 * cast(c AS int) % 10 END), cast(0 AS bigint), (s, v) -> s + v) % 10) % 10 AS string)"""
+#: The third and fourth character of an IBAN: 98 less the remainder of all others, the country behind them and its digits 0.
+_MOD_97 = """lpad(cast(98 - aggregate(split(concat(substr(made, 5), substr(made, 1, 2), '00'), ''), cast(0 AS bigint), (s, c) -> CASE
+    WHEN c RLIKE '[0-9]' THEN (10 * s + cast(c AS int)) % 97 WHEN c RLIKE '[A-Z]' THEN (100 * s + ascii(c) - 55) % 97 ELSE s END) AS string), 2, '0')"""
+CHECKED = f"""CASE kind WHEN 'card' THEN concat(substr(made, 1, length(made) - 1), {_LUHN})
+    WHEN 'iban' THEN concat(substr(made, 1, 2), {_MOD_97}, substr(made, 5)) ELSE made END"""
+
+
 def candidates(values: DataFrame, key: str) -> DataFrame:
     """(kind, canonical, gender, attempt) with the candidate of this attempt."""
     octets = ", ".join(f"1 + cast(conv(substr(h, {1 + 4 * j}, 4), 16, 10) AS int) % 254" for j in range(4))
@@ -170,7 +195,7 @@ def candidates(values: DataFrame, key: str) -> DataFrame:
     parts = parts.withColumn("bare", F.expr(f"kind = 'secret' AND NOT canonical RLIKE {_literal('[\\p{L}\\p{N}]')}"))
     wider = f"CASE WHEN kind IN ('email', 'secret') THEN substr(h, 101, least(attempt div {WIDEN}, 24)) ELSE '' END"
     made = F.expr(f"CASE kind WHEN 'ip' THEN concat_ws('.', {octets}) WHEN 'given' THEN {_given_name()} WHEN 'family' THEN {FAMILY_NAME} ELSE concat({wider}, substr(canonical, 1, head), {_CHARS}, right(canonical, tail)) END")
-    return parts.select("kind", "canonical", "gender", "attempt", made.alias("surrogate"))
+    return parts.select("kind", "canonical", "gender", "attempt", made.alias("made")).withColumn("surrogate", F.expr(CHECKED)).drop("made")
 
 
 def surrogates(values: DataFrame, key: str) -> DataFrame:
@@ -195,6 +220,11 @@ def surrogates(values: DataFrame, key: str) -> DataFrame:
         waiting = lost
 
 
+#: Of all places where a name occurs: by titles, else by the name itself.
+GENDER_OF_NAME = f"""CASE WHEN max(gender = 'm') AND max(gender = 'f') THEN 'n' WHEN max(gender = 'm') THEN 'm' WHEN max(gender = 'f') THEN 'f'
+    WHEN kind = 'given' AND array_contains({_list(GIVEN_NAMES['m'])}, canonical) THEN 'm' WHEN kind = 'given' AND array_contains({_list(GIVEN_NAMES['f'])}, canonical) THEN 'f' ELSE 'n' END"""
+
+
 #: A surrogate in the way its value is written: digits from the right, or character by character in the same case.
 WRITTEN = r"""CASE
     WHEN kind = 'ip' THEN surrogate
@@ -238,7 +268,7 @@ def pseudonymize(docs: DataFrame, key: str) -> DataFrame:
     each = each.withColumn("kind", F.when(F.expr("exists(own, o -> o.word = value)"), "mention").when(F.expr(IS_NAME), "name").otherwise(kind_of("value")))
     each = each.withColumn("canonical", F.expr(CANONICAL)).select("row", "nth", F.posexplode(F.expr(PIECES)).alias("i", "p")).select("row", "nth", "i", "p.*")
     each = stage(each)
-    values = each.where("kind <> 'initial'").groupBy("kind", "canonical").agg(F.expr("CASE WHEN max(gender = 'm') = max(gender = 'f') THEN 'n' WHEN max(gender = 'm') THEN 'm' ELSE 'f' END").alias("gender"))
+    values = each.where("kind <> 'initial'").groupBy("kind", "canonical").agg(F.expr(GENDER_OF_NAME).alias("gender"))
     table = stage(surrogates(stage(values), key))
     written = each.join(table, ["kind", "canonical"], "left").withColumn("w", F.expr(f"concat(lead, CASE WHEN kind = 'initial' THEN {_initial(key)} ELSE {WRITTEN} END)"))
     # both sums are made where the rows of a document meet

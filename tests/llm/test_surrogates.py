@@ -112,3 +112,49 @@ def test_long_values_end(spark):
     texts = ["a@b" + ".c" * 500_000, "Mr " + "A" * 200_000, "Mr " + "Ab " * 50_000, "password=" + "x" * 300_000 + " y", "1" * 200_000, "A." * 100_000, "DE44" + " 5001" * 50_000]
     got = by_id(surrogates.pseudonymize(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), "k"))
     assert len(got) == len(texts) and not got[0].text.startswith("a@b") and "x" * 30 not in got[3].text
+
+
+def luhn(digits):
+    return sum(int(d) if i % 2 == 0 else sum(map(int, str(2 * int(d)))) for i, d in enumerate(reversed(digits))) % 10 == 0
+
+
+def mod_97(iban):
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+
+def test_check_digits(spark):
+    cards = [f"4{i:014d}" + str(i % 10) for i in range(0, 900, 9)] + ["371449635398431", "3782 822463 10005"]
+    ibans = ["DE89370400440532013000", "GB29NWBK60161331926819", "GB33 BUKB 2020 1555 5555 55", "FR1420041010050500013M02606", "NO93 8601 1117 947", "DE44 5001 0517 5407 3249 31"]
+    rows = [(i, f"pay {v} now") for i, v in enumerate(cards + ibans)]
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    made = [got[i].text.removeprefix("pay ").removesuffix(" now") for i in range(len(rows))]
+    for old, new in zip(cards, made, strict=False):
+        assert re.sub(r"\d", "0", old) == re.sub(r"\d", "0", new) and old != new and old[0] == new[0]
+        assert luhn(new.replace(" ", "")), new
+    for old, new in zip(ibans, made[len(cards) :], strict=True):
+        assert re.sub("[A-Z]", "A", re.sub(r"\d", "0", old)) == re.sub("[A-Z]", "A", re.sub(r"\d", "0", new)) and old[:2] == new[:2] and old != new
+        assert mod_97(new.replace(" ", "")) == 1, new
+    assert len(set(made)) == len(made)
+
+
+def test_gender_behind_neutral_titles_and_titles_in_capitals(spark):
+    rows = [(0, "Dr. Anna Berg"), (1, "Prof. John Peter Doe"), (2, "Доктор Светлана Котова"), (3, "MR JOHN SMITH WENT HOME"), (4, "MRS. JANE DOE-ROE"), (5, "mr smith"), (6, "Dr. Robert Q"), (7, "Mrs Robert Q")]
+    got = by_id(surrogates.pseudonymize(spark.createDataFrame(rows, "doc_id long, text string"), "k"))
+    starts = lambda word, gender, script="latin": any(word.lower().startswith(n.lower()) for n in surrogates.FIRST_NAMES[gender, script])
+    assert starts(got[0].text.split()[1], "f") and starts(got[1].text.split()[1], "m") and starts(got[1].text.split()[2], "m")
+    assert starts(got[2].text.split()[1], "f", "cyrillic")
+    m = re.fullmatch(r"MR ([A-Z]+) ([A-Z]+) [A-Z]+ HOME", got[3].text)
+    assert m and m[1] != "JOHN" and m[2] != "SMITH" and starts(m[1], "m")
+    m = re.fullmatch(r"MRS\. ([A-Z]+) ([A-Z]+)-([A-Z]+)", got[4].text)
+    assert m and starts(m[1], "f") and "DOE" not in m.groups()
+    assert got[5].text == "mr smith" and got[5].n_values == 0
+    # a title comes before the list
+    assert starts(got[7].text.split()[1], "f") and got[6].text.split()[1] == got[7].text.split()[1]
+
+
+def test_many_names_take_few_rounds(spark, monkeypatch):
+    values = spark.range(20_000).selectExpr("'given' AS kind", "concat('name', id) AS canonical", "CASE WHEN id % 2 = 0 THEN 'm' ELSE 'f' END AS gender")
+    staged = []
+    monkeypatch.setattr(surrogates, "stage", lambda df, keep=surrogates.stage: staged.append(1) or keep(df))
+    made = surrogates.surrogates(values, "k")
+    assert made.select("surrogate").distinct().count() == 20_000 and len(staged) <= 14
