@@ -19,7 +19,7 @@ def main() -> None:
     os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
     os.environ["PYTHONPATH"] = os.pathsep.join([HERE, os.environ.get("PYTHONPATH", "")])
     from neargrid.catalog import QUERIES as known
-    from neargrid.operators.ann import GraphIndex
+    from neargrid.operators.ann import BoundsIndex, GraphIndex
     from neargrid.operators.knn import knn
     from neargrid.plans import generate
     from neargrid.sources.staging import clear, stage
@@ -54,6 +54,9 @@ def main() -> None:
     base = stage(base.repartition(int(cpus)), codec="uncompressed")
     some = stage(some)
     timed("generated_knn_l2", lambda: knn(base, some, 10))
+    codes = BoundsIndex("l2")
+    codes.add(base)
+    timed("generated_bounds_scan", lambda: codes.search(some, 10))
     index = GraphIndex("l2", block_rows=1_500)
     began = time.time()
     index.add(base)
@@ -72,6 +75,8 @@ def main() -> None:
         "queries_per_sec_knn_l2": round(asked / took["knn_l2"], 1),
         "queries_per_sec_generated_knn_l2": round(queries / took["generated_knn_l2"], 1),
         "distances_per_sec_generated_knn_l2": round(queries * rows / took["generated_knn_l2"]),
+        "queries_per_sec_generated_bounds_scan": round(queries / took["generated_bounds_scan"], 1),
+        "fetched_a_query_generated_bounds_scan": round(codes.fetches.agg(F.avg("fetched")).first()[0], 2),
         "rows_per_sec_generated_graph_add": round(rows / took["generated_graph_add"], 1),
         "queries_per_sec_generated_graph_search": round(queries / took["generated_graph_search"], 1),
         "lists_generated_graph": len(index.centres),

@@ -11,10 +11,10 @@ from pyspark.sql.window import Window
 from .functions import quantize, sql, text
 from .functions.metrics import metric
 from .operators import binary, evaluate, sampling
-from .operators.ann import GraphIndex, SignLsh, memory_bytes
+from .operators.ann import FlatIndex, GraphIndex, SignLsh, memory_bytes
 from .operators.bounds import BoundsIndex
 from .operators.descent import detours, ranked_lists
-from .operators.knn import knn, knn_grid, knn_join, merge_shards, padded, rerank, top_k, translate_labels
+from .operators.knn import knn, knn_grid, knn_join, merge_shards, padded, radius_count, rerank, top_k, translate_labels
 from .plans import bench, generate, report
 from .sources import bigann, staging
 
@@ -272,9 +272,7 @@ def scalar_codes(spark, sf_dir):
 @query("knn_radius_count", f"""{with_sql()}, d AS (SELECT q.query_id, {l2_sql()} AS distance FROM q, b)
     SELECT query_id, count(*) FILTER (WHERE distance <= 1.5) AS within FROM d GROUP BY query_id""")
 def knn_radius_count(spark, sf_dir):
-    q = F.broadcast(asked(spark, sf_dir).withColumnRenamed("vector", "query"))  # a stated query set
-    d = base(spark, sf_dir).crossJoin(q).select("query_id", metric("l2").column(F.col("query"), F.col("vector")).alias("distance"))
-    return d.groupBy("query_id").agg(F.count_if(F.col("distance") <= 1.5).alias("within"))
+    return radius_count(base(spark, sf_dir), asked(spark, sf_dir), 1.5)
 
 
 @query("label_vote", f"""{knn_sql(DISTANCE_SQL['l2'])}, v AS (SELECT r.query_id, b.label, count(*) AS votes, min(r.rank) AS best FROM r JOIN b ON b.key = r.key GROUP BY r.query_id, b.label)
@@ -366,6 +364,25 @@ def epoch_recall_curve(spark, sf_dir):
     return rounded(evaluate.recall(steps, truth, K, "step"), "recall", digits=9)
 
 
+STEPS = 3
+RUN_SQL = f"""{knn_sql(DISTANCE_SQL['l2'], k=1)}, n AS (SELECT count(*) AS total, CAST(ceil(count(*) / {STEPS}.0) AS BIGINT) AS s FROM embeddings),
+    p AS (SELECT vec_id, row_number() OVER (ORDER BY {sampling.row_hash_sql('vec_id')}, vec_id) - 1 AS perm FROM embeddings),
+    e AS (SELECT t.step, least((t.step + 1) * s, total) AS indexed, least((t.step + 1) * s, total) - least(t.step * s, total) AS added FROM n, (SELECT unnest(range(0, {STEPS})) AS step) t)
+    SELECT e.step::BIGINT AS step, indexed::BIGINT AS vectors_indexed, added::BIGINT AS rows_added, (count(*) * least({K}, indexed))::BIGINT AS rows_found, round(avg(CASE WHEN p.perm < indexed THEN 1.0 ELSE 0.0 END)::DOUBLE, 9) AS recall_at_10
+    FROM e, r JOIN p ON p.vec_id = r.key GROUP BY e.step, indexed, added"""
+
+
+@query("observed_run", RUN_SQL)
+def observed_run(spark, sf_dir):
+    """A whole run over the table in shuffled order: what plans have seen of rows in each step, and its recall."""
+    b = base(spark, sf_dir).select(F.col("key").alias("row"), "vector")
+    q = asked(spark, sf_dir)
+    truth = knn(b.withColumnRenamed("row", "key"), q, K).drop("distance")
+    steps = bench.run(bench.BenchSpec(b, q, truth, K, epochs=STEPS), FlatIndex())
+    rows = [(i, s["vectors_indexed"], s["rows_added"], s["rows_found"], s["recall_at_10"]) for i, s in enumerate(steps)]  # one a step
+    return rounded(spark.createDataFrame(rows, "step bigint, vectors_indexed bigint, rows_added bigint, rows_found bigint, recall_at_10 double"), "recall_at_10", digits=9)
+
+
 @query("normalized_metrics", f"""{STEPS_SQL}, raw AS (SELECT step, avg(hit) AS recall FROM each GROUP BY step)
     SELECT step::BIGINT AS step, CAST(least((step + 1) * step_rows, total) AS BIGINT) AS indexed, round(least(recall / (least((step + 1) * step_rows, total)::DOUBLE / total), 1.0), 6) AS normalized FROM raw, total""")
 def normalized_metrics(spark, sf_dir):

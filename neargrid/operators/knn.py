@@ -141,6 +141,38 @@ def knn(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", by: str
     return out.select(F.col("grp").alias(by), "query_id", "rank", "key", "distance") if by else out.select("query_id", "rank", "key", "distance")
 
 
+def radius_count(base: DataFrame, queries: DataFrame, radius: float, metric: str = "l2", query_bytes: int = QUERY_BYTES) -> DataFrame:
+    """query_id, within: how many base rows lie within a distance of each query. One scan of the base for each block of
+    queries, one row a query from each task; distances near the radius are added up term by term."""
+    kind = find(metric)
+    out = queries.select(F.col("query_id").cast("long").alias("query_id"), F.lit(0).cast("long").alias("within"))  # queries without any
+    for rows in query_blocks(queries, query_bytes)[1]:
+        if not rows.num_rows:
+            continue
+        names, vectors = rows.column("query_id").to_numpy().astype(np.int64), matrix(rows.column("vector").combine_chunks(), kind.bits)
+
+        def run(batches, names=names, vectors=vectors):
+            n = np.zeros(len(names), dtype=np.int64)
+            for batch in batches:
+                own = matrix(batch.column(0), kind.bits)
+                for a in range(0, len(own), BASE_TILE):
+                    some = own[a : a + BASE_TILE]
+                    for c in range(0, len(vectors), QUERY_TILE):
+                        asked = vectors[c : c + QUERY_TILE]
+                        if kind.quick is None:
+                            n[c : c + len(asked)] += (kind.block(asked, some) <= radius).sum(axis=1)
+                            continue
+                        quick = kind.quick(asked, some)
+                        slack = 1e-11 * (np.abs(quick).max(initial=1.0) + np.abs(some).max(initial=1.0) ** 2 * some.shape[1])
+                        row, col = np.nonzero(np.abs(quick - radius) <= slack)
+                        near = kind.pairs(asked[row], some[col]) <= radius
+                        n[c : c + len(asked)] += (quick < radius - slack).sum(axis=1) + np.bincount(row[near], minlength=len(asked))
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(n)], names=["query_id", "within"])
+
+        out = out.unionByName(base.select("vector").mapInArrow(run, "query_id long, within long"))
+    return out.groupBy("query_id").agg(F.sum("within").alias("within"))
+
+
 def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """The same rows by a nested-loop join over a broadcast query set of checked size, all inside the JVM."""
     check_k(k)
@@ -208,5 +240,5 @@ def fetched(candidates: DataFrame, base: DataFrame) -> DataFrame:
 
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Exact distances for (query_id, key) candidates, then the k nearest."""
-    pairs = candidates.select("query_id", "key").join(base, "key").join(queries.withColumnRenamed("vector", "query"), "query_id")
+    pairs = fetched(stage(candidates.select("query_id", "key")), base).join(queries.withColumnRenamed("vector", "query"), "query_id")
     return top_k(pairs.select("query_id", "key", find(metric).column(F.col("query"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "key", "distance")

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ..operators import evaluate, sampling
 from ..operators.ann import VectorIndex
 from ..operators.knn import check_k, knn
-from . import report
+from . import measure, report
 
 
 @dataclass
@@ -60,20 +60,22 @@ def epoch_curve(base: DataFrame, queries: DataFrame, k: int, epochs: int, total:
 
 
 def run(spec: BenchSpec, index: VectorIndex) -> list[dict]:
-    """Add epoch by epoch to a backend with state; search and score all queries after each."""
-    total = spec.base.count()
+    """Add epoch by epoch to a backend with state; search and score all queries after each. Every step also holds the rows that
+    its plans have seen, and memory, bytes and failed tasks of the executors (`measure`)."""
+    total, spark = spec.base.count(), spec.base.sparkSession
     placed = sampling.insertion_order(spec.base, shuffle=spec.shuffle).persist()
     n_queries, steps = spec.queries.count(), []
     for epoch, first, rows in sampling.epoch_sizes(total, spec.epochs):
-        began = time.time()
+        before, began, went_in, came_out = measure.executors(spark), time.time(), measure.Rows(f"added {epoch}"), measure.Rows(f"found {epoch}")
         if rows:
-            index.add(placed.where((F.col("perm") >= first) & (F.col("perm") < first + rows)).select(F.col("row").alias("key"), "vector"))
+            index.add(went_in.through(placed.where((F.col("perm") >= first) & (F.col("perm") < first + rows)).select(F.col("row").alias("key"), "vector")))
         added = time.time() - began
         began = time.time()
         results = index.search(spec.queries, spec.k).persist()
-        results.count()
+        came_out.through(results).count()
         searched = time.time() - began
-        steps.append(step_entry(results, spec, first + rows, total, rows, added, n_queries, searched, index.size_bytes()))
+        seen = {"rows_added": went_in.get() if rows else 0, "rows_found": came_out.get(), **measure.between(before, measure.executors(spark))}
+        steps.append(step_entry(results, spec, first + rows, total, rows, added, n_queries, searched, index.size_bytes()) | seen)
         results.unpersist()
     placed.unpersist()
     return steps

@@ -54,7 +54,11 @@ def series(reports: DataFrame) -> DataFrame:
 
 
 def peak_memory(reports: DataFrame) -> DataFrame:
-    return reports.select("file", F.explode("steps").alias("s")).groupBy("file").agg(F.max("s.memory_bytes").alias("peak_memory_bytes"))
+    """The largest index of each report, and the largest heaps: of one executor, and of all together."""
+    held = reports.schema["steps"].dataType.elementType.fieldNames()
+    peak = lambda step, name: F.max(f"s.{step}" if step in held else F.lit(None).cast("bigint")).alias(name)
+    each = reports.select("file", F.explode("steps").alias("s"))
+    return each.groupBy("file").agg(F.max("s.memory_bytes").alias("peak_memory_bytes"), peak("peak_heap_bytes", "peak_heap_bytes"), peak("sum_of_peaks_heap_bytes", "sum_of_peaks_heap_bytes"))
 
 
 def peak_by(df: DataFrame, key: str, value: str, name: str) -> DataFrame:

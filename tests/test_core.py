@@ -62,6 +62,18 @@ def test_ties_shards_and_blocks(spark):
         metrics.metric("nope")
 
 
+@pytest.mark.parametrize("name, radius", [("l2", 2.0), ("cos", 1.0), ("manhattan", 3.0)])
+def test_rows_within_a_radius(spark, name, radius):
+    x = np.random.default_rng(9).integers(-1, 2, (80, 4)).astype(np.float32)  # many lie at the radius
+    base, asked = vectors(spark, x), vectors(spark, x[:9], "query_id")
+    want = (metrics.metric(name).block(x[:9].astype(float), x.astype(float)) <= radius).sum(axis=1)
+    for size in (knn.QUERY_BYTES, 64):
+        got = knn.radius_count(base, asked, radius, name, query_bytes=size).orderBy("query_id").collect()
+        assert [r.within for r in got] == want.tolist()
+    assert [r.within for r in knn.radius_count(base.where("false"), asked, radius, name).collect()] == [0] * 9
+    assert knn.radius_count(base, asked.where("false"), radius, name).collect() == []
+
+
 def ranked(spark, rows):
     return spark.createDataFrame(rows, "query_id bigint, rank bigint, key bigint")
 
