@@ -2,19 +2,20 @@
 
 The examples are a sample of the labelled documents that the caller allows for training: the `per_class` doc_ids of each
 label with the least hash; of rows with one doc_id the least text, and a doc_id with both labels is toxic. Terms are all
-words of the examples and the first four bytes of longer words. A term's weight in a text is
-(1 + ln count) * idf * z: document frequencies are counted over all documents, and z says how far the shares of
-the labels' examples with this term lie apart, in standard deviations. No term is dropped; one without any difference
-weighs nothing.
+words of a text and the first four bytes of longer words. A term's weight in a text is (1 + ln count) * idf, and
+a text's norm goes over all its terms. idf is ln((1 + N) / (1 + df)) + 1; df is counted over all documents for each term
+of an example, and a term that no example holds has a df of 0: it adds to the norm and meets nothing.
 
 Each term has a posting list, cut by blocks of similar examples, and for each block its largest weight. A query adds
 these maxima up, opens the blocks with the largest sums, then all others whose sum reaches the k-th cosine found: the result
 is exact. An example with the query's own text is left out, so no row's label feeds its own score, and equal texts
 have equal scores; ties go to the lesser digest of the text.
 
-The k nearest vote with the square of their cosine, weighted back to the labels' shares among all training rows, beside a
-constant vote for the overall share. Votes are calibrated by isotonic regression over the examples' own votes. A text without
-any term of weight gets the calibrated overall share.
+The k nearest by that cosine vote, each with the square of its nearness in the terms that tell the labels apart: the cosine of the
+same vectors with every term times z, which says how far the shares of the labels' examples with the term lie apart, in
+standard deviations. Votes are weighted back to the labels' shares among all training rows and stand beside a constant vote
+for the overall share; isotonic regression over the examples' own votes calibrates them. A text without a term of an example
+gets the calibrated overall share.
 
 Null and empty texts have no terms. Rows with one doc_id twice give two scores. A null doc_id gets a score and is not held
 out. Without training rows every score is 0, with one label only it is that label. Empty tables give no rows.
@@ -34,7 +35,7 @@ from .common import crc_mod, gather_runs, ragged, small_batches, stage
 from .words import Words
 
 #: Examples of each label at most: the bound of the sample that the classifier is fitted on.
-PER_CLASS = 500
+PER_CLASS = 1000
 PREFIXES = (4,)
 NEAREST = 15
 THRESHOLD = 0.3
@@ -45,9 +46,10 @@ FIRST = 4
 PRIOR = 1.0
 
 
-def counted(texts, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def counted(texts, vocabulary: np.ndarray | None = None, rest: bool = False) -> tuple[np.ndarray, ...]:
     """For each text, as offsets, its distinct terms with their counts; the terms' names (places in a sorted vocabulary;
-    without one, in the fourth result)."""
+    without one, in the fourth result). With `rest`, a fifth: for each text the sum of squares of 1 + ln count over its
+    terms outside the vocabulary."""
     words = Words(texts, PREFIXES)
     text = np.repeat(np.arange(len(words.bounds) - 1), np.diff(words.bounds))
     # a short word is its own prefix; it counts once
@@ -55,14 +57,23 @@ def counted(texts, vocabulary: np.ndarray | None = None) -> tuple[np.ndarray, np
     on = [np.ones(len(text), dtype=bool), *(c != words.hashes for c in columns[1:])]
     if vocabulary is None:
         vocabulary = np.unique(np.concatenate([c[k] for c, k in zip(columns, on, strict=True)]))
-    codes, n = [], max(1, len(vocabulary))
+    codes, n, beyond = [], max(1, len(vocabulary)), []
     for c, k in zip(columns, on, strict=True):
         c, of = c[k], text[k]
         place = np.minimum(np.searchsorted(vocabulary, c), n - 1)
         hit = vocabulary[place] == c if len(vocabulary) else np.zeros(len(c), dtype=bool)
         codes.append(of[hit] * n + place[hit])
+        beyond.append((of[~hit], c[~hit]))
     codes, counts = np.unique(np.concatenate(codes), return_counts=True)
-    return np.searchsorted(codes, np.arange(len(words.bounds)) * n), codes % n, counts, vocabulary
+    out = np.searchsorted(codes, np.arange(len(words.bounds)) * n), codes % n, counts, vocabulary
+    if not rest:
+        return out
+    of, name = (np.concatenate(x) for x in zip(*beyond, strict=True))
+    by = np.lexsort((name, of))
+    of, name = of[by], name[by]
+    at = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (name[1:] != name[:-1]))) if len(of) else np.zeros(0, dtype=np.int64)
+    times = np.diff(np.append(at, len(of)))
+    return *out, np.bincount(of[at], weights=(1 + np.log(times)) ** 2, minlength=len(words.bounds) - 1)
 
 
 @dataclass
@@ -80,20 +91,25 @@ class BlockMaxIndex:
     at: np.ndarray  # of each entry, its first posting
     example: np.ndarray
     share: np.ndarray
+    own: np.ndarray  # of each example, its first term
+    term: np.ndarray
+    told: np.ndarray  # the terms' shares times z, with a norm of 1 for each example
 
     @classmethod
-    def build(cls, digests: list[bytes], toxic: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int) -> BlockMaxIndex:
+    def build(cls, digests: list[bytes], toxic: np.ndarray, weight: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]], z: np.ndarray) -> BlockMaxIndex:
         """vectors: of each example, its terms (ascending) and their shares, which have a norm of 1 (or 0)."""
         heavy = np.array([k[x.argmax()] if len(x) else -1 for k, x in vectors], dtype=np.int64)
         peak = np.array([x.max(initial=0) for _, x in vectors])
-        names = np.argsort(np.array(digests, dtype=object), kind="stable")
         rank = np.empty(len(digests), dtype=np.int64)
-        rank[names] = np.arange(len(digests))
+        rank[np.argsort(np.array(digests, dtype=object), kind="stable")] = np.arange(len(digests))
         order = np.lexsort((rank, -peak, heavy))
         some = [vectors[i] for i in order.tolist()]
         term = np.concatenate([np.zeros(0, dtype=np.int64), *(k for k, _ in some)])
         share = np.concatenate([np.zeros(0), *(x for _, x in some)])
         example = np.repeat(np.arange(len(some)), [len(k) for k, _ in some])
+        own, names, told = ragged([len(k) for k, _ in some]), term, share * z[term]
+        norm = np.sqrt(np.bincount(example, weights=told * told, minlength=len(some)))
+        told = told / np.where(norm > 0, norm, 1)[example]
         term, share, example = term[share > 0], share[share > 0], example[share > 0]
         by = np.argsort(term, kind="stable")
         term, share, example = term[by], share[by], example[by]
@@ -101,7 +117,7 @@ class BlockMaxIndex:
         key = term * max(1, n_blocks) + example // BLOCK
         at = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, dtype=np.int64)
         top = np.maximum.reduceat(share, at) if len(at) else share
-        return cls([digests[i] for i in order.tolist()], toxic[order], weight[order], rank[order], np.searchsorted(term[at], np.arange(n_terms + 1)), example[at] // BLOCK, top, np.append(at, len(key)), example, share)
+        return cls([digests[i] for i in order.tolist()], toxic[order], weight[order], rank[order], np.searchsorted(term[at], np.arange(len(z) + 1)), example[at] // BLOCK, top, np.append(at, len(key)), example, share, own, names, told)
 
     def nearest(self, terms: np.ndarray, shares: np.ndarray, k: int, own: bytes = b"") -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples with a cosine above 0 and a digest other than `own`."""
@@ -136,6 +152,15 @@ class BlockMaxIndex:
         return at, cosines[at]
 
 
+    def nearness(self, which: np.ndarray, terms: np.ndarray, told: np.ndarray) -> np.ndarray:
+        """Cosines of the given examples with a text in the terms that tell the labels apart."""
+        size = self.own[which + 1] - self.own[which]
+        at = gather_runs(self.own[which], size)
+        place = np.minimum(np.searchsorted(terms, self.term[at]), len(terms) - 1)
+        met = terms[place] == self.term[at]
+        return np.bincount(np.repeat(np.arange(len(which)), size)[met], weights=self.told[at[met]] * told[place[met]], minlength=len(which))
+
+
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Knots of the non-decreasing function with the least weighted squares: pool adjacent violators."""
     pools: list[list[float]] = []  # weight, sum of x, sum of y
@@ -152,22 +177,28 @@ class Model:
     """All that a task needs to score texts. Its size follows from the examples alone."""
 
     vocabulary: np.ndarray
-    weights: np.ndarray  # idf * z of each term
+    idf: np.ndarray  # of each term
+    z: np.ndarray
+    unseen: float  # idf of a term that no example holds
     index: BlockMaxIndex
     overall: float
     knots: tuple[np.ndarray, np.ndarray] | None
     k: int
 
-    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        x = (1 + np.log(counts)) * self.weights[terms]
-        norm = np.sqrt((x * x).sum())
-        on = x > 0
-        return terms[on], x[on] / norm if norm else x[on]
+    def vector(self, terms: np.ndarray, counts: np.ndarray, rest: float = 0.0) -> np.ndarray:
+        """The terms' shares in a text's vector of norm 1; rest: what `counted` gives for its other terms."""
+        x = (1 + np.log(counts)) * self.idf[terms]
+        return x / np.sqrt((x * x).sum() + rest * self.unseen**2) if len(x) else x
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, own: bytes) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, terms: np.ndarray, counts: np.ndarray, rest: float, own: bytes) -> tuple[float, np.ndarray, np.ndarray]:
         """The share of toxic votes, and the nearest examples with their cosines."""
-        at, near = self.index.nearest(*self.vector(terms, counts), self.k, own)
-        votes = near * near * self.index.weight[at]
+        x = self.vector(terms, counts, rest)
+        at, near = self.index.nearest(terms, x, self.k, own)
+        if not len(at):
+            return self.overall, at, near
+        told = x * self.z[terms]
+        norm = np.sqrt((told * told).sum())
+        votes = self.index.nearness(at, terms, told / norm if norm else told) ** 2 * self.index.weight[at]
         return float((votes @ self.index.toxic[at] + PRIOR * self.overall) / (votes.sum() + PRIOR)), at, near
 
     def calibrated(self, votes: np.ndarray) -> np.ndarray:
@@ -189,17 +220,33 @@ def examples_of(docs: DataFrame, labels: DataFrame, training, per_class: int) ->
     return stage(texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))), [sizes.get(y, 0) for y in (0, 1)]
 
 
+def _described(batches):
+    """Digests, labels, and distinct terms with their counts: what the driver gets of the examples."""
+    for batch in batches:
+        texts = [_text(x) for x in batch.column(0).to_pylist()]
+        bounds, terms, counts, vocabulary = counted(texts)
+        ends = pa.array(bounds.astype(np.int32))
+        columns = [
+            pa.array([xxhash.xxh3_128_digest(x) for x in texts], pa.binary()),
+            batch.column(1),
+            pa.ListArray.from_arrays(ends, pa.array(vocabulary[terms].view(np.int64))),
+            pa.ListArray.from_arrays(ends, pa.array(counts.astype(np.int64))),
+        ]
+        yield pa.RecordBatch.from_arrays(columns, names=["digest", "toxic", "terms", "counts"])
+
+
 def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS, k: int = NEAREST) -> Model:
     spark = docs.sparkSession
     small_batches(spark)
     examples, sizes = examples_of(docs, labels, training, per_class)
-    texts: list[bytes] = []
-    toxic: list[int] = []
-    for r in examples.orderBy(F.sha2("text", 256), "toxic").collect():  # 2 * per_class rows at most
-        texts.append(_text(r["text"]))
-        toxic.append(r["toxic"])
-    y = np.array(toxic, dtype=np.int64)
-    bounds, terms, counts, vocabulary = counted(texts)
+    got = examples.select("text", "toxic").mapInArrow(_described, "digest binary, toxic int, terms array<long>, counts array<long>").toArrow()
+    got = got.sort_by([("digest", "ascending"), ("toxic", "ascending")])  # 2 * per_class rows at most, with distinct terms only
+    digests, y = got.column("digest").to_pylist(), got.column("toxic").to_numpy().astype(np.int64)
+    lists = got.column("terms").combine_chunks()
+    names = lists.flatten().to_numpy().astype(np.int64).view(np.uint64)
+    counts = got.column("counts").combine_chunks().flatten().to_numpy()
+    bounds = ragged(lists.value_lengths().to_numpy())
+    vocabulary, terms = np.unique(names, return_inverse=True)
     n = np.bincount(y, minlength=2)
     seen = [np.bincount(terms[np.repeat(y == v, np.diff(bounds))], minlength=len(vocabulary)) for v in (0, 1)]
     p = (seen[0] + seen[1] + 1) / (len(y) + 2)
@@ -207,12 +254,11 @@ def fit(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLASS
     total, df = document_frequencies(docs, vocabulary)
     overall = sizes[1] / max(1, sum(sizes))
     weight = np.array([sizes[v] / max(1, sum(sizes)) * len(y) / max(1, n[v]) for v in (0, 1)])
-    model = Model(vocabulary, (np.log((1 + total) / (1 + df)) + 1) * z, None, overall, None, k)
-    vectors = [model.vector(terms[a:b], counts[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    digests = [xxhash.xxh3_128_digest(t) for t in texts]
-    model.index = BlockMaxIndex.build(digests, y, weight[y], vectors, len(vocabulary))
+    model = Model(vocabulary, np.log((1 + total) / (1 + df)) + 1, z, float(np.log(1 + total) + 1), None, overall, None, k)
+    own = list(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True))
+    model.index = BlockMaxIndex.build(digests, y, weight[y], [(terms[a:b], model.vector(terms[a:b], counts[a:b])) for a, b in own], z)
     if n.all():
-        votes = np.array([model.vote(terms[a:b], counts[a:b], d)[0] for a, b, d in zip(bounds[:-1], bounds[1:], digests, strict=True)])
+        votes = np.array([model.vote(terms[a:b], counts[a:b], 0.0, d)[0] for (a, b), d in zip(own, digests, strict=True)])
         model.knots = isotonic(votes, y.astype(float), weight[y])
     return model
 
@@ -249,10 +295,10 @@ def score(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLA
         model = shared.value
         for batch in batches:
             texts = [_text(x) for x in batch.column(1).to_pylist()]
-            bounds, terms, counts, _ = counted(texts, model.vocabulary)
+            bounds, terms, counts, _, rest = counted(texts, model.vocabulary, rest=True)
             votes, cosines, toxic = [], [], []
-            for text, a, b in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                vote, at, near = model.vote(terms[a:b], counts[a:b], xxhash.xxh3_128_digest(text))
+            for text, a, b, other in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), rest.tolist(), strict=True):
+                vote, at, near = model.vote(terms[a:b], counts[a:b], other, xxhash.xxh3_128_digest(text))
                 votes.append(vote)
                 cosines.append(near)
                 toxic.append(model.index.toxic[at])

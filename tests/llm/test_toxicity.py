@@ -18,7 +18,7 @@ def test_index_is_exact():
     x /= np.maximum(np.sqrt((x * x).sum(axis=1, keepdims=True)), 1e-9)
     x[7] = x[8] = x[9]
     digests = [f"{i * 37 % n:04d}".encode() for i in range(n)]
-    index = toxicity.BlockMaxIndex.build(digests, np.zeros(n, dtype=int), np.ones(n), [(np.flatnonzero(y), y[y > 0]) for y in x], v)
+    index = toxicity.BlockMaxIndex.build(digests, np.zeros(n, dtype=int), np.ones(n), [(np.flatnonzero(y), y[y > 0]) for y in x], np.ones(v))
     for trial in range(50):
         q = x[9].copy() if not trial else r.random(v) * (r.random(v) < 0.15)
         terms = np.flatnonzero(q)
@@ -55,22 +55,28 @@ def brute_force(docs, labels, k):
         df.update(c.keys())
         if d in train:
             (bad if train[d] else good).update(c.keys())
-    weights = {}
+    z = {}
     for t in bad.keys() | good.keys():
         p = (bad[t] + good[t] + 1) / (len(train) + 2)
-        weights[t] = (math.log((1 + total) / (1 + df[t])) + 1) * abs(bad[t] / n[1] - good[t] / n[0]) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
+        z[t] = abs(bad[t] / n[1] - good[t] / n[0]) / math.sqrt(p * (1 - p) * (1 / n[1] + 1 / n[0]))
 
-    def vector(c):
-        x = {t: (1 + math.log(m)) * weights[t] for t, m in c.items() if weights.get(t)}
+    def unit(x):
         norm = math.sqrt(sum(v * v for v in x.values()))
-        return {t: v / norm for t, v in x.items()}
+        return {t: v / norm if norm else v for t, v in x.items()}
+
+    vectors = {d: unit({t: (1 + math.log(m)) * (math.log((1 + total) / (1 + (df[t] if t in z else 0))) + 1) for t, m in c.items()}) for d, c in words.items()}
+    told = {d: unit({t: v * z.get(t, 0) for t, v in x.items()}) for d, x in vectors.items()}
+    texts, out, cosines = dict(docs), {}, {}
+
+    def dot(x, y):
+        return sum(v * y.get(t, 0) for t, v in x.items())
 
-    vectors, texts, out = {d: vector(c) for d, c in words.items()}, dict(docs), {}
     for d, x in vectors.items():
-        near = sorted(((sum(v * vectors[e].get(t, 0) for t, v in x.items()), e) for e in train if texts[e] != texts[d]), reverse=True)[:k]
-        votes = [(c * c * weight[train[e]], train[e]) for c, e in near if c > 0]
+        near = [(c, e) for c, e in sorted(((dot(x, vectors[e]), e) for e in train if texts[e] != texts[d]), reverse=True)[:k] if c > 0]
+        votes = [(dot(told[d], told[e]) ** 2 * weight[train[e]], train[e]) for _, e in near]
         out[d] = (sum(v for v, y in votes if y) + share) / (sum(v for v, _ in votes) + 1)
-    return out
+        cosines[d] = [c for c, _ in near]
+    return out, cosines
 
 
 def planted(spark, n=400):
@@ -111,10 +117,20 @@ def test_query_and_edges(spark):
 
 def test_query_equals_brute_force_up_to_calibration(spark):
     docs, labels = planted(spark, 200)
-    want = brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()], toxicity.NEAREST)
+    want, cosines = brute_force([(r.doc_id, r.text) for r in docs.collect()], [(r.doc_id, r.toxic) for r in labels.collect()], toxicity.NEAREST)
     model = toxicity.fit(docs, labels, crc_mod("doc_id", 4) != 2)
     got = {r.doc_id: r for r in toxicity.held_out_scores(docs, labels).collect()}
     assert all(abs(r.score - float(model.calibrated(np.array([want[d]]))[0])) < 1e-6 for d, r in got.items())
+    assert all(np.allclose(r.cosines, cosines[d]) for d, r in got.items())
+
+
+def test_all_terms_of_a_text_are_in_its_norm(spark):
+    docs, labels = planted(spark, 200)
+    padded = docs.where("doc_id < 40").select((F.col("doc_id") + 1000).alias("doc_id"), F.concat_ws(" ", "text", F.expr("array_join(transform(sequence(1, 5000), i -> concat('u', doc_id, 'x', i)), ' ')")).alias("text"), "toxic")
+    got = {r.doc_id: r for r in toxicity.held_out_scores(docs.unionByName(padded), labels).collect()}
+    for d in range(40):
+        assert max(got[d + 1000].cosines) < 0.2 * max(got[d].cosines)
+        assert got[d + 1000].predicted == got[d].predicted == int(d % 5 == 0)  # padding does not hide what the text says
 
 
 def test_labels_of_a_text_do_not_score_it(spark):
