@@ -132,9 +132,12 @@ class BlockMaxIndex:
         def open_(which: np.ndarray) -> None:
             on = which[blocks]
             e = entry[on]
-            size = self.at[e + 1] - self.at[e]
-            p = gather_runs(self.at[e], size)
-            cosines[:] += np.bincount(self.example[p], weights=self.share[p] * np.repeat(by[on], size), minlength=len(cosines))
+            if not len(e):
+                return
+            run = np.flatnonzero(np.append(True, e[1:] != e[:-1] + 1) | np.append(True, by[on][1:] != by[on][:-1]))
+            begin, end = self.at[e[run]], self.at[e[np.append(run[1:], len(e)) - 1] + 1]
+            p = gather_runs(begin, end - begin)
+            cosines[:] += np.bincount(self.example[p], weights=self.share[p] * np.repeat(by[on][run], end - begin), minlength=len(cosines))
 
         opened = np.zeros(n_blocks, dtype=bool)
         opened[np.argsort(-bound, kind="stable")[:FIRST]] = True
@@ -142,7 +145,12 @@ class BlockMaxIndex:
         found = np.sort((cosines * other)[cosines * other > 0])
         least = found[-k] if len(found) >= k else 0.0
         rest = ~opened & (bound > 0) & (bound >= least - 1e-12)
-        if rest.any():
+        if 2 * rest.sum() > n_blocks:  # the bounds exclude little: whole posting lists, one after another
+            begin, end = self.at[self.first[terms]], self.at[self.first[terms + 1]]
+            lists = [slice(a, b) for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+            weight = np.concatenate([self.share[x] for x in lists]) * np.repeat(shares, end - begin)
+            cosines = np.bincount(np.concatenate([self.example[x] for x in lists]), weights=weight, minlength=len(cosines))
+        elif rest.any():
             open_(rest)
         cosines *= other
         at = np.flatnonzero(cosines > 0)
@@ -154,11 +162,10 @@ class BlockMaxIndex:
 
     def nearness(self, which: np.ndarray, terms: np.ndarray, told: np.ndarray) -> np.ndarray:
         """Cosines of the given examples with a text in the terms that tell the labels apart."""
-        size = self.own[which + 1] - self.own[which]
-        at = gather_runs(self.own[which], size)
-        place = np.minimum(np.searchsorted(terms, self.term[at]), len(terms) - 1)
-        met = terms[place] == self.term[at]
-        return np.bincount(np.repeat(np.arange(len(which)), size)[met], weights=self.told[at[met]] * told[place[met]], minlength=len(which))
+        weight = np.zeros(len(self.first) - 1)
+        weight[terms] = told
+        at = [slice(a, b) for a, b in zip(self.own[which].tolist(), self.own[which + 1].tolist(), strict=True)]
+        return np.array([self.told[x] @ weight[self.term[x]] for x in at])
 
 
 def isotonic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
