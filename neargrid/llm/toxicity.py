@@ -42,6 +42,8 @@ THRESHOLD = 0.3
 BLOCK = 64
 #: Blocks that are opened first.
 FIRST = 4
+#: Results that a task keeps for texts that come again.
+KNOWN = 4096
 #: Weight of the vote for the overall share.
 PRIOR = 1.0
 
@@ -299,13 +301,18 @@ def score(docs: DataFrame, labels: DataFrame, training, per_class: int = PER_CLA
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, training, per_class, k))
 
     def run(batches):
-        model = shared.value
+        model, known = shared.value, {}
         for batch in batches:
             texts = [_text(x) for x in batch.column(1).to_pylist()]
             bounds, terms, counts, _, rest = counted(texts, model.vocabulary, rest=True)
             votes, cosines, toxic = [], [], []
             for text, a, b, other in zip(texts, bounds[:-1].tolist(), bounds[1:].tolist(), rest.tolist(), strict=True):
-                vote, at, near = model.vote(terms[a:b], counts[a:b], other, xxhash.xxh3_128_digest(text))
+                digest = xxhash.xxh3_128_digest(text)
+                if digest not in known:
+                    if len(known) >= KNOWN:
+                        known.clear()
+                    known[digest] = model.vote(terms[a:b], counts[a:b], other, digest)
+                vote, at, near = known[digest]
                 votes.append(vote)
                 cosines.append(near)
                 toxic.append(model.index.toxic[at])
