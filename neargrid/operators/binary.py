@@ -3,7 +3,7 @@
 `hamming_index` finds the k nearest by Hamming distance with one table for each piece of at most 16 bits of a code: two codes that differ in fewer
 than m (s + 1) of m pieces' bits differ in at most s bits of some piece. Radius s grows until the k-th distance found is below
 that bound; each round joins only the values at exactly distance s, for the queries that are not done. Queries that are not done
-at `max_radius`, where listing values would cost more than a scan, are scanned: the result is exact for all.
+at `max_radius`, or where listing values would cost more than a scan, are scanned: the result is exact for all.
 
 `popcount_search` finds the k nearest by Jaccard (Tanimoto) or Sorensen distance: the numbers of set bits of two vectors bound
 their distance from below. Rows are kept by that number; a query looks into the numbers nearest to its own that
@@ -20,26 +20,32 @@ import itertools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
-from .knn import Scan, check_k, knn, matrix, rerank, top_k
+from .knn import Scan, check_k, knn, matrix, top_k
 
 PIECE = 16
+#: A round of up to so many values and pairs is always made; in a larger one each counts as so many rows of a scan.
+ROUND, LISTED = 1 << 24, 32
 
 
-def pieces(vector: str, bits: int):
-    """(place, value) of the pieces of a code: as few as can be of at most PIECE bits, of equal width but for one bit, as a short one
-    would have too few values."""
-    m = -(-bits // PIECE)
-    cut = []
+def cut(word, bits: int) -> list[Column]:
+    """The pieces of a code whose 64-bit words `word` gives by number: as few as can be of at most PIECE bits, of equal width but for
+    one bit, as a short one would have too few values."""
+    m, out = -(-bits // PIECE), []
     for a, b in ((i * bits // m, (i + 1) * bits // m) for i in range(m)):
-        word = F.shiftrightunsigned(F.col(vector)[a // 64], a % 64)
+        some = F.shiftrightunsigned(word(a // 64), a % 64)
         if a // 64 != (b - 1) // 64:
-            word = word.bitwiseOR(F.shiftleft(F.col(vector)[a // 64 + 1], 64 - a % 64))
-        cut.append(word.bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int"))
-    return F.posexplode(F.array(*cut)).alias("piece", "value")
+            some = some.bitwiseOR(F.shiftleft(word(a // 64 + 1), 64 - a % 64))
+        out.append(some.bitwiseAND(F.lit((1 << (b - a)) - 1)).cast("int"))
+    return out
+
+
+def pieces(vector: str, bits: int) -> Column:
+    """(piece, value) of the pieces of a code."""
+    return F.posexplode(F.array(*cut(lambda i: F.col(vector)[i], bits))).alias("piece", "value")
 
 
 def flips(radius: int) -> list[int]:
@@ -48,37 +54,57 @@ def flips(radius: int) -> list[int]:
 
 
 def piece_table(base: DataFrame, bits: int) -> DataFrame:
-    return base.select(F.col("key").cast("long").alias("key"), pieces("vector", bits))
+    return base.select(F.col("key").cast("long").alias("key"), "vector", pieces("vector", bits))
+
+
+def worth_listing(probes: DataFrame, values: DataFrame, each: int, n_queries: int, rows: int) -> bool:
+    """Whether a round is small, or less work than a scan. probes: piece, value, n of the queries' pieces before bits are flipped in them,
+    each of which gives `each` values a query; values: piece, value, held of the base."""
+    if max(each * n_queries, 1) > ROUND and each * LISTED >= rows:
+        return False
+    pairs = probes.join(values.hint("merge"), ["piece", "value"]).agg(F.sum(F.col("n") * F.col("held")).alias("pairs")).first()["pairs"] or 0
+    return pairs <= ROUND or (pairs + each * n_queries) * LISTED < n_queries * rows
 
 
 def hamming_index(base: DataFrame, queries: DataFrame, k: int, bits: int, max_radius: int = 3, table: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, key, distance) of the k nearest, and (query_id, radius, candidates): how many rows each round compared with it.
-    A query that was scanned has a row with radius -1. table: a stored `piece_table`."""
+    A query that was scanned has a row with radius -1. table: a stored `piece_table`.
+
+    Pairs are compared where they meet and never stored: a pair belongs to the round of its nearest piece and, there, to the first such
+    piece, so it comes once; what is kept are k rows a query. A large round that would be more work than a scan is left out.
+    """
     check_k(k)
-    table, m, rows = piece_table(base, bits) if table is None else table, -(-bits // PIECE), base.count()
-    asked = stage(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("vector")))
-    open_, found, done, counts = asked, None, [], []
+    table, m, rows = stage(piece_table(base, bits)) if table is None else table, -(-bits // PIECE), base.count()
+    values = stage(table.groupBy("piece", "value").agg(F.count("*").alias("held")))  # at most 2^PIECE a piece
+    open_ = stage(queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("vector").alias("query")))
+    found = open_.sparkSession.createDataFrame([], "query_id long, key long, distance double")
+    done, counts, left = [], [], open_.count()
+    apart = [F.bit_count(x).cast("int") for x in cut(lambda i: F.col("query")[i].bitwiseXOR(F.col("vector")[i]), bits)]
+    whole = sum(apart[1:], apart[0]).cast("double")
+    least = F.least(*apart) if m > 1 else apart[0]
     for radius in range(max_radius + 1):
-        near = F.explode(F.array(*(F.lit(x) for x in flips(radius)))).alias("flip")
-        probes = open_.select("query_id", pieces("vector", bits)).select("query_id", "piece", "value", near).select("query_id", "piece", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-        pairs = probes.join(table, ["piece", "value"]).select("query_id", "key").distinct()
-        if found is not None:  # what an earlier round has compared
-            pairs = pairs.join(found.select("query_id", "key"), ["query_id", "key"], "left_anti")
-        new = rerank(pairs, base, open_, rows, "hamming").drop("rank") if rows else pairs.withColumn("distance", F.lit(0.0))
-        new = stage(new)
-        counts.append(new.groupBy("query_id").agg(F.count("*").alias("candidates")).select("query_id", F.lit(radius).alias("radius"), "candidates"))
-        found = new if found is None else found.unionByName(new)
+        near = F.explode(F.expr(f"array({', '.join(map(str, flips(radius)))})")).alias("flip")
+        flipped = F.col("value").bitwiseXOR(F.col("flip")).alias("value")
+        own = open_.select(pieces("query", bits)).groupBy("piece", "value").agg(F.count("*").alias("n"))
+        if not left or not worth_listing(own.select("piece", "value", "n", near).select("piece", "n", flipped), values, m * len(flips(radius)), left, rows):
+            break
+        bars = found.groupBy("query_id").agg(F.when(F.count("*") >= k, F.max("distance")).alias("bar"))
+        probes = open_.join(bars, "query_id", "left").select("query_id", "query", "bar", pieces("query", bits)).select("query_id", "query", "bar", "piece", "value", near)
+        probes = probes.select("query_id", "query", "bar", "piece", flipped)
+        first = F.coalesce(*(F.when(d == radius, F.lit(i)) for i, d in enumerate(apart)))
+        # shuffled and sorted: the planner does not see how far the flips multiply the queries, and would broadcast them
+        pairs = probes.join(table.hint("merge"), ["piece", "value"]).where((least >= radius) & (first == F.col("piece")))
+        counts.append(pairs.groupBy("query_id").agg(F.count("*").alias("candidates")).select("query_id", F.lit(radius).alias("radius"), "candidates"))
+        new = pairs.select("query_id", "key", whole.alias("distance"), "bar").where(F.col("bar").isNull() | (F.col("distance") <= F.col("bar"))).drop("bar")
+        best = stage(top_k(found.unionByName(new), k))
         # all rows up to this distance have been found
         bound = m * (radius + 1) - 1
-        near = top_k(found.join(open_.select("query_id"), "query_id", "left_semi"), k)
-        full = stage(near.where((F.col("rank") == min(k, rows)) & (F.col("distance") <= bound)).select("query_id"))
-        done.append(stage(near.join(full, "query_id", "left_semi").select("query_id", "rank", "key", "distance")))
+        full = best.where((F.col("rank") == min(k, rows)) & (F.col("distance") <= bound)).select("query_id")
+        done.append(best.join(full, "query_id", "left_semi").select("query_id", "rank", "key", "distance"))
         open_ = stage(open_.join(full, "query_id", "left_anti"))
-        found = stage(found.join(open_.select("query_id"), "query_id", "left_semi"))
-        if open_.isEmpty():
-            break
-    else:
-        done.append(knn(base, open_, k, "hamming"))
+        found, left = stage(best.join(full, "query_id", "left_anti").select("query_id", "key", "distance")), open_.count()
+    if left or not done:
+        done.append(knn(base, open_.withColumnRenamed("query", "vector"), k, "hamming"))
         counts.append(open_.select("query_id", F.lit(-1).alias("radius"), F.lit(rows).cast("bigint").alias("candidates")))
     result, seen = done[0], counts[0]
     for a in done[1:]:

@@ -61,3 +61,23 @@ def test_popcount_search(spark, name, block):
 
 def test_flips():
     assert [len(binary.flips(s)) for s in range(4)] == [1, 16, 120, 560] and all(bin(x).count("1") == 3 for x in binary.flips(3))
+
+
+@pytest.mark.parametrize("listed", [0, 1 << 30])
+def test_pairs_of_a_round_are_never_stored(spark, monkeypatch, listed):
+    base, asked = clustered(spark, 1500, 32, clusters=4), as_queries(clustered(spark, 20, 32, first=10_000, clusters=4))
+    stored, keep = [], binary.stage
+
+    def stage(df, **options):
+        out = keep(df, **options)
+        if {"query_id", "key"} <= set(out.columns):
+            stored.append(out.count())
+        return out
+
+    monkeypatch.setattr(binary, "stage", stage)
+    monkeypatch.setattr(binary, "ROUND", 0 if listed else 1 << 24)
+    monkeypatch.setattr(binary, "LISTED", listed)
+    found, seen = binary.hamming_index(base, asked, 5, 32, 1)
+    assert rows_of(found) == rows_of(knn.knn(base, asked, 5, "hamming"))
+    assert max(stored, default=0) <= 5 * 20
+    assert {r.radius for r in seen.collect()} == {-1} if listed else seen.where("radius = 0").agg(F.sum("candidates")).first()[0] > 5 * 20
