@@ -86,6 +86,9 @@ def _sorensen(x, y):
     return F.when(sizes == 0, 0.0).otherwise(1.0 - 2 * both / F.greatest(sizes, F.lit(1)))
 
 
+#: Queries whose distances from a tile of rows are added up at once.
+PART = 16
+
 # ---------------------------------------------------------------- blocks: q (n x d) against b (m x d) -> n x m
 
 
@@ -119,12 +122,13 @@ def _b_haversine(q, b):
     return 2 * np.arcsin(np.minimum(1.0, np.sqrt(s * s + np.cos(q[:, 0, None]) * np.cos(b[None, :, 0]) * t * t)))
 
 
-def _b_divergence(q, b):
-    def half(x, y):
-        x, y = np.broadcast_arrays(x, y)
-        return np.where(x > 0, x * np.log(np.where(x > 0, 2 * x / np.where(x > 0, x + y, 1.0), 1.0)), 0.0)
+def _half(x, y):
+    x, y = np.broadcast_arrays(x, y)
+    return np.where(x > 0, x * np.log(np.where(x > 0, 2 * x / np.where(x > 0, x + y, 1.0), 1.0)), 0.0)
+
 
-    return 0.5 * _add(q, b, half) + 0.5 * _add(q, b, lambda x, y: half(y, x))
+def _b_divergence(q, b):
+    return 0.5 * _add(q, b, _half) + 0.5 * _add(q, b, lambda x, y: _half(y, x))
 
 
 def _count(q, b, f) -> np.ndarray:
@@ -154,6 +158,57 @@ def _g_cos(q, b):
     return np.where(norm == 0, 1.0, 1.0 - q @ b.T / np.where(norm == 0, 1.0, norm))
 
 
+def _l_manhattan(q, b):
+    """In single precision, in one buffer, less what rounding can have added."""
+    norm = np.abs(q).sum(axis=1).max(initial=0.0) + np.abs(b).sum(axis=1).max(initial=0.0)
+    if not norm < 1e30:  # too large for single precision, or not a number
+        return METRICS["manhattan"].block(q, b)
+    x, y = np.ascontiguousarray(q.T, dtype=np.float32), np.ascontiguousarray(b.T, dtype=np.float32)
+    out = np.empty((len(q), len(b)), dtype=np.float32)
+    term = np.empty((PART, len(b)), dtype=np.float32)
+    for a in range(0, len(q), PART):  # a part stays in the cache
+        part, some = out[a : a + PART], term[: min(PART, len(q) - a)]
+        part[:] = 0
+        for d in range(len(x)):
+            np.subtract(x[d, a : a + PART, None], y[d], out=some)
+            np.abs(some, out=some)
+            part += some
+    # each value, difference and sum is wrong by 2^-24 of it at most
+    return out - np.float32((q.shape[1] + 8) * 2.0**-23 * norm + 1e-37)
+
+
+def _l_divergence(q, b):
+    """Each term (the gap of x ln x over x, y) is at least ln(2) / 2 times (sqrt(x) - sqrt(y))^2: least where one of them is 0."""
+    if not (q.min(initial=0.0) >= 0 and b.min(initial=0.0) >= 0):
+        return METRICS["divergence"].block(q, b)
+    x, y = np.sqrt(q), np.sqrt(b)
+    own, other = q.sum(axis=1), b.sum(axis=1)
+    out = x @ y.T
+    out *= -2
+    out += own[:, None]
+    out += other
+    out *= 0.5 * np.log(2.0) * (1 - 1e-9)
+    return out - 1e-11 * (own.max(initial=0.0) + other.max(initial=0.0))
+
+
+def _xlogx(x):
+    return x * np.log(np.maximum(x, 1e-300))
+
+
+def _c_divergence(q, b):
+    """With the entropies of both sides at hand a pair takes one logarithm a dimension."""
+    if not (q.min(initial=0.0) >= 0 and b.min(initial=0.0) >= 0):
+        return lambda rows, cols: np.full(len(rows), -np.inf)
+    own, other = (0.5 * (_xlogx(x).sum(axis=1) + np.log(2.0) * x.sum(axis=1)) for x in (q, b))
+    wide = 1e-11 * sum(np.abs(_xlogx(2 * x)).sum(axis=1).max(initial=0.0) + x.sum(axis=1).max(initial=0.0) for x in (q, b))
+
+    def bound(rows, cols):
+        both = q[rows] + b[cols]
+        return own[rows] + other[cols] - 0.5 * _xlogx(both).sum(axis=1) - wide
+
+    return bound
+
+
 def _terms(x: np.ndarray, y: np.ndarray, f) -> np.ndarray:
     """For rows of equal numbers, the sum over dimensions, first to last."""
     out = np.zeros(len(x))
@@ -171,24 +226,26 @@ def _p_cos(x, y):
 
 @dataclass(frozen=True)
 class Metric:
-    """column and block agree exactly; quick (if any) is a matrix product that may differ in the last bits, and pairs gives
-    what block gives for the pairs of rows that it proposes."""
+    """column and block agree exactly; quick (if any) is a matrix product that may differ in the last bits, least (if any) a bound
+    below block (closer gives a function of pairs with a tighter one), and pairs gives what block gives for the pairs of rows that they propose."""
 
     column: Callable[[Column, Column], Column]
     block: Callable[[np.ndarray, np.ndarray], np.ndarray]
     bits: bool = False
     quick: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
     pairs: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    least: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None
+    closer: Callable[[np.ndarray, np.ndarray], Callable[[np.ndarray, np.ndarray], np.ndarray]] | None = None
 
 
 METRICS: dict[str, Metric] = {
     "l2": Metric(_l2, lambda q, b: _add(q, b, lambda x, y: (x - y) * (x - y)), quick=_g_l2, pairs=lambda x, y: _terms(x, y, lambda a, b: (a - b) * (a - b))),
     "ip": Metric(_ip, lambda q, b: 1.0 - _add(q, b, np.multiply), quick=lambda q, b: 1.0 - q @ b.T, pairs=lambda x, y: 1.0 - _terms(x, y, np.multiply)),
     "cos": Metric(_cos, _b_cos, quick=_g_cos, pairs=_p_cos),
-    "manhattan": Metric(_manhattan, lambda q, b: _add(q, b, lambda x, y: np.abs(x - y)), pairs=lambda x, y: _terms(x, y, lambda a, b: np.abs(a - b))),
+    "manhattan": Metric(_manhattan, lambda q, b: _add(q, b, lambda x, y: np.abs(x - y)), pairs=lambda x, y: _terms(x, y, lambda a, b: np.abs(a - b)), least=_l_manhattan),
     "pearson": Metric(_pearson, _b_pearson),
     "haversine": Metric(_haversine, _b_haversine),
-    "divergence": Metric(_divergence, _b_divergence),
+    "divergence": Metric(_divergence, _b_divergence, pairs=lambda x, y: 0.5 * _terms(x, y, _half) + 0.5 * _terms(x, y, lambda a, b: _half(b, a)), least=_l_divergence, closer=_c_divergence),
     "hamming": Metric(_hamming, lambda q, b: _count(q, b, np.bitwise_xor).astype(float), bits=True),
     "jaccard": Metric(_jaccard, _b_jaccard, bits=True),
     "sorensen": Metric(_sorensen, _b_sorensen, bits=True),

@@ -23,7 +23,9 @@ from ..sources.staging import stage
 #: Bytes of query vectors (as doubles) that go to the tasks at once.
 QUERY_BYTES = 64 << 20
 #: Queries and base rows whose distances are held at once.
-QUERY_TILE, BASE_TILE = 1024, 4096
+QUERY_TILE, BASE_TILE = 256, 4096
+#: Pairs of vectors that are gathered and scored at once.
+PAIRS = 1 << 14
 MISSING_KEY = 4294967295
 
 
@@ -55,7 +57,8 @@ class Scan:
         for a in range(0, len(keys), BASE_TILE):
             names, own = keys[a : a + BASE_TILE], vectors[a : a + BASE_TILE]
             for c in range(0, len(self.queries), QUERY_TILE):
-                (self._scan if self.metric.quick is None else self._shortlist)(c, self.queries[c : c + QUERY_TILE], names, own)
+                look = self._shortlist if self.metric.quick else self._bounded if self.metric.least else self._scan
+                look(c, self.queries[c : c + QUERY_TILE], names, own)
 
     def _scan(self, c: int, asked: np.ndarray, names: np.ndarray, own: np.ndarray) -> None:
         """Every distance, in the order of terms."""
@@ -68,7 +71,25 @@ class Scan:
         quick = self.metric.quick(asked, own)
         scale = np.abs(quick).max(initial=1.0) + np.abs(own).max(initial=1.0) ** 2 * own.shape[1]
         rows, cols = np.nonzero(quick <= self._bar(c, quick)[:, None] + 1e-11 * scale)
-        self._merge(c, rows, names[cols], self.metric.pairs(asked[rows], own[cols]))
+        for a in range(0, len(rows), PAIRS):
+            r, of = rows[a : a + PAIRS], cols[a : a + PAIRS]
+            self._merge(c, r, names[of], self.metric.pairs(asked[r], own[of]))
+
+    def _bounded(self, c: int, asked: np.ndarray, names: np.ndarray, own: np.ndarray) -> None:
+        """Rows whose lower bound comes before the k-th so far are scored; without k so far, the k with the least bounds are, first."""
+        least, closer = self.metric.least(asked, own), self.metric.closer and self.metric.closer(asked, own)
+        if least.shape[1] > 2 * self.k and np.isinf(self.dist[c : c + len(asked), -1]).any():
+            cols = np.argpartition(least, self.k - 1, axis=1)[:, : self.k].ravel()
+            rows = np.repeat(np.arange(len(asked)), self.k)
+            self._merge(c, rows, names[cols], self.metric.pairs(asked[rows], own[cols]))
+            least[rows, cols] = np.inf
+        rows, cols = np.nonzero(least <= self.dist[c : c + len(asked), -1:])
+        for a in range(0, len(rows), PAIRS):  # in parts, as many may pass a bound that is not tight
+            r, of = rows[a : a + PAIRS], cols[a : a + PAIRS]
+            if closer:
+                on = closer(r, of) <= self.dist[c + r, -1]
+                r, of = r[on], of[on]
+            self._merge(c, r, names[of], self.metric.pairs(asked[r], own[of]))
 
     def _bar(self, c: int, distances: np.ndarray) -> np.ndarray:
         """For each query a bound on its k-th distance, from what went by and from this tile."""

@@ -1,5 +1,6 @@
 import math
 import struct
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -308,6 +309,26 @@ def test_tiles_give_the_k_nearest(name, monkeypatch):
     assert np.array_equal(scan.key, want) and np.array_equal(scan.dist, np.take_along_axis(d, want, axis=1))
 
 
+@pytest.mark.parametrize("name", ["manhattan", "divergence"])
+@pytest.mark.parametrize("scale", [1.0, 1e-5, 1e35])
+def test_bounds_leave_few_pairs_to_score(name, scale, monkeypatch):
+    r = np.random.default_rng(8)
+    b, q = np.abs(r.standard_normal((3000, 16))) * scale, np.abs(r.standard_normal((40, 16))) * scale
+    b[::50], b[1::50, :9], q[3] = b[7], 0, 0  # copies, parts and rows of zeros
+    d = metrics.metric(name).block(q, b)
+    monkeypatch.setattr(knn, "BASE_TILE", 1000)
+    monkeypatch.setattr(knn, "QUERY_TILE", 15)
+    monkeypatch.setattr(knn, "PAIRS", 100)
+    scan, scored = knn.Scan(q, 9, name), []
+    kept = scan.metric
+    scan.metric = replace(kept, block=None, pairs=lambda x, y: scored.append(len(x)) or kept.pairs(x, y))
+    for a in range(0, 3000, 1000):
+        scan.add(np.arange(a, a + 1000), b[a : a + 1000])
+    want = np.array([sorted(range(3000), key=lambda i: (x[i], i))[:9] for x in d])
+    assert np.array_equal(scan.key, want) and np.array_equal(scan.dist, np.take_along_axis(d, want, axis=1))
+    assert sum(scored) < 0.2 * d.size or scale > 1
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 37, 1000, 4097])
 def test_permutation_without_a_sort(spark, n, capsys):
     df = spark.range(n).select("id", sampling.permuted(F.col("id"), n).alias("place"))
