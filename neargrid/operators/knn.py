@@ -26,6 +26,8 @@ QUERY_BYTES = 64 << 20
 QUERY_TILE, BASE_TILE = 256, 4096
 #: Pairs of vectors that are gathered and scored at once.
 PAIRS = 1 << 14
+#: Dimensions of pairs up to which `knn_join` makes each pair a row.
+JOINED = 1 << 28
 MISSING_KEY = 4294967295
 
 
@@ -195,10 +197,12 @@ def radius_count(base: DataFrame, queries: DataFrame, radius: float, metric: str
 
 
 def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
-    """The same rows by a nested-loop join over a broadcast query set of checked size, all inside the JVM."""
+    """The same rows by a nested-loop join over a broadcast query set of checked size, all inside the JVM, where the pairs are
+    so few that an expression for each is no more work than tiles of them; `knn` beyond."""
     check_k(k)
     sizes = queries.agg(F.count("*").alias("n"), F.max(F.size("vector")).alias("d")).first()
-    if sizes["n"] * (sizes["d"] or 1) * 8 > QUERY_BYTES:
+    each = sizes["n"] * (sizes["d"] or 1)
+    if each * 8 > QUERY_BYTES or each * base.count() > JOINED:
         return knn(base, queries, k, metric)
     pairs = base.crossJoin(F.broadcast(queries.withColumnRenamed("vector", "query"))).select("query_id", "key", find(metric).column(F.col("query"), F.col("vector")).alias("distance"))
     return top_k(pairs, k).select("query_id", "rank", "key", "distance")

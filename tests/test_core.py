@@ -329,6 +329,14 @@ def test_bounds_leave_few_pairs_to_score(name, scale, monkeypatch):
     assert sum(scored) < 0.2 * d.size or scale > 1
 
 
+def test_a_large_join_is_made_by_tiles(spark, points, monkeypatch):
+    base, asked = vectors(spark, points[0]), vectors(spark, points[1], "query_id")
+    want = sorted(map(tuple, knn.knn_join(base, asked, 5).collect()))
+    monkeypatch.setattr(knn, "JOINED", 0)
+    large = knn.knn_join(base, asked, 5)
+    assert "NestedLoop" not in large._jdf.queryExecution().toString() and sorted(map(tuple, large.collect())) == want
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 10, 37, 1000, 4097])
 def test_permutation_without_a_sort(spark, n, capsys):
     df = spark.range(n).select("id", sampling.permuted(F.col("id"), n).alias("place"))
