@@ -12,6 +12,7 @@ looser bounds, and results stay exact. Where codes tell nothing (all rows alike
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -28,7 +29,7 @@ from .knn import BASE_TILE, QUERY_BYTES, QUERY_TILE, check_k, fetched, matrix, q
 METRICS = ("l2", "ip", "cos")
 LEVELS = 256
 #: Candidates that a task holds before it passes them on.
-POOL = 1 << 20
+POOL = 1 << 18
 #: Relative slack of bounds for rounding in sums of up to some 10,000 terms.
 SLACK = 1e-11
 CODES = "key long, code binary, residual double, length double"
@@ -86,7 +87,8 @@ class Sieve:
         self.pool: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
         self.held = 0
 
-    def add(self, keys: np.ndarray, middle: np.ndarray, residual: np.ndarray, length: np.ndarray) -> None:
+    def add(self, keys: np.ndarray, middle: np.ndarray, residual: np.ndarray, length: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+        """What has to be passed on so that not more than POOL candidates and those of a tile are held."""
         for a in range(0, len(keys), BASE_TILE):
             of = slice(a, a + BASE_TILE)
             for c in range(0, len(self.queries), QUERY_TILE):
@@ -97,6 +99,8 @@ class Sieve:
                 rows, cols = np.nonzero(low <= bar.max(axis=1)[:, None])
                 self.pool.append((rows + c, keys[of][cols], low[rows, cols], high[rows, cols]))
                 self.held += len(rows)
+                if self.held > POOL:
+                    yield self.drain()
 
     def drain(self) -> tuple[np.ndarray, ...]:
         """What is held and still may be near; nothing is held afterwards."""
@@ -118,18 +122,16 @@ def survivors(codes: DataFrame, queries: DataFrame, k: int, name: str, low: np.n
         def run(batches, names=names, vectors=vectors):
             sieve = Sieve(vectors, k, name)
 
-            def passed():
-                row, key, near, far = sieve.drain()
+            def passed(row, key, near, far):
                 return pa.RecordBatch.from_arrays([pa.array(names[row]), pa.array(key.astype(np.int64)), pa.array(near.astype(float)), pa.array(far.astype(float))], names=["query_id", "key", "low", "high"])
 
             for batch in batches:
                 if not batch.num_rows:
                     continue
                 code = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
-                sieve.add(batch.column(0).to_numpy(), decode(code, low, step), batch.column(2).to_numpy(), batch.column(3).to_numpy())
-                if sieve.held > POOL:
-                    yield passed()
-            yield passed()
+                for some in sieve.add(batch.column(0).to_numpy(), decode(code, low, step), batch.column(2).to_numpy(), batch.column(3).to_numpy()):
+                    yield passed(*some)
+            yield passed(*sieve.drain())
 
         near = stage(codes.mapInArrow(run, "query_id long, key long, low double, high double"))
         # each task has passed on its k least upper bounds, so the k least of all are among them

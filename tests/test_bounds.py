@@ -89,3 +89,20 @@ def test_save_and_load_read_what_was_built(spark, tmp_path, kind):
 def test_unknown_metric():
     with pytest.raises(ValueError):
         bounds.BoundsIndex("manhattan")
+
+
+def test_no_more_is_held_than_the_pool_and_a_tile(monkeypatch):
+    r = np.random.default_rng(4)
+    x, asked = r.standard_normal((600, 4)), r.standard_normal((50, 4))
+    monkeypatch.setattr(bounds, "POOL", 100)
+    monkeypatch.setattr(bounds, "BASE_TILE", 40)
+    monkeypatch.setattr(bounds, "QUERY_TILE", 10)
+    sieve, most, passed = bounds.Sieve(asked, 3, "l2"), 0, []
+    for some in sieve.add(np.arange(600), x, np.full(600, 2.0), np.linalg.norm(x, axis=1)):  # codes that tell little
+        most = max(most, len(some[0]))
+        passed.append(some)
+    passed.append(sieve.drain())
+    assert 0 < most <= 100 + 40 * 10 and len(passed) > 10
+    pairs = {(q, k) for some in passed for q, k in zip(some[0].tolist(), some[1].tolist(), strict=True)}
+    d = ((asked[:, None] - x[None]) ** 2).sum(axis=2)
+    assert all((q, k) in pairs for q, row in enumerate(d) for k in np.argsort(row)[:3].tolist())
