@@ -170,3 +170,16 @@ def test_filtered_search(spark, monkeypatch, rows):
         found = index.search(asked, 10, spark.createDataFrame([(int(i),) for i in allowed], "key long"))
         assert {r.key for r in found.collect()} <= set(allowed.tolist()) and share(found.select("query_id", "key"), want) >= 0.9
     assert index.search(asked, 10, spark.createDataFrame([], "key long")).count() == 0
+
+
+def test_edges_are_shuffled_once(spark):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b), float(d), bool(n)) for a, b, d, n in zip(r.integers(0, 9, 400), r.integers(0, 30, 400), r.integers(0, 5, 400), r.integers(0, 2, 400), strict=True)]
+    near = descent.nearest_edges(spark.createDataFrame(edges, "node long, nbr long, dist double, new boolean"), 4)
+    assert near._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    best: dict = {}
+    for a, b, d, n in edges:
+        dist, new = best.get((a, b), (d, n))
+        best[a, b] = min(d, dist), n and new
+    want = {(a, b, *best[a, b]) for a in range(9) for b in sorted((b for x, b in best if x == a), key=lambda b: (best[a, b][0], b))[:4]}
+    assert set(map(tuple, near.select("node", "nbr", "dist", "new").collect())) == want
