@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.metrics import metric as find
+from ..functions.metrics import pair_distances
 from ..sources.staging import stage
 
 #: Bytes of query vectors (as doubles) that go to the tasks at once.
@@ -263,7 +264,22 @@ def fetched(candidates: DataFrame, base: DataFrame) -> DataFrame:
     return base.join(candidates, "key")
 
 
+def scored(pairs: DataFrame, metric: str) -> DataFrame:
+    """query_id, key, distance of pairs of vectors (query, vector), by numpy."""
+    kind = find(metric)
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x, y = matrix(batch.column(2), kind.bits), matrix(batch.column(3), kind.bits)
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pair_distances(metric, x, y))], names=["query_id", "key", "distance"])
+
+    return pairs.select(F.col("query_id").cast("long"), F.col("key").cast("long"), "query", "vector").mapInArrow(run, "query_id long, key long, distance double")
+
+
 def rerank(candidates: DataFrame, base: DataFrame, queries: DataFrame, k: int, metric: str = "l2") -> DataFrame:
     """Exact distances for (query_id, key) candidates, then the k nearest."""
     pairs = fetched(stage(candidates.select("query_id", "key")), base).join(queries.withColumnRenamed("vector", "query"), "query_id")
+    if find(metric).pairs:
+        return top_k(scored(pairs, metric), k).select("query_id", "rank", "key", "distance")
     return top_k(pairs.select("query_id", "key", find(metric).column(F.col("query"), F.col("vector")).alias("distance")), k).select("query_id", "rank", "key", "distance")

@@ -350,3 +350,12 @@ def test_permutation_without_a_sort(spark, n, capsys):
         assert sum(other[r.id] == r.place for r in rows) < 10
         steps = np.diff([r.place for r in sorted(rows)])
         assert len(set(steps.tolist())) > n / 2
+
+
+def test_candidates_are_scored_in_blocks(spark, points):
+    base, asked = vectors(spark, points[0]), vectors(spark, points[1], "query_id")
+    every = asked.select("query_id").crossJoin(base.select("key"))
+    for name in ("cos", "pearson"):
+        near = knn.rerank(every, base, asked, 5, name)
+        assert ("MapInArrow" in near._jdf.queryExecution().toString()) == (name == "cos")
+        assert sorted(map(tuple, near.collect())) == sorted(map(tuple, knn.knn(base, asked, 5, name).collect()))
